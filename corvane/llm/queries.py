@@ -15,7 +15,22 @@ def op3_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_store.read_digests(repair_store.write(_table(spark, sf_dir, "documents")))
 
 
+def op4_fm_index_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    found = decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_best_fit_packing": op10_best_fit_packing,
+    "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op3_repair_tokens": op3_repair_tokens,
 }
 
