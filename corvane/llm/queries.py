@@ -28,7 +28,30 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import license_scan
+
+    found = license_scan.scan(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op5_unigram_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import viterbi_count
+
+    return viterbi_count.count(_table(spark, sf_dir, "documents"))
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = _table(spark, sf_dir, "documents")
+    return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op5_unigram_token_counts": op5_unigram_token_counts,
+    "op7_compression_quality": op7_compression_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op4_fm_index_decontamination": op4_fm_index_decontamination,
     "op3_repair_tokens": op3_repair_tokens,
