@@ -59,7 +59,7 @@ def write_file(folder: str, stem: str, suffix: str, data: bytes) -> str:
     uri = f"{folder}/{stem}-{uuid.uuid4().hex[:12]}{suffix}"
     where, path = filesystem(uri)
     where.create_dir(path.rpartition("/")[0], recursive=True)
-    with where.open_output_stream(path) as out:
+    with where.open_output_stream(path, compression=None) as out:
         out.write(data)
     return uri
 

@@ -48,7 +48,17 @@ def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    pages = _table(spark, sf_dir, "pages")
+    folder, captures = warc.write_archives(pages)
+    found = warc.lookup(warc.build_index(captures), warc.wanted_keys(pages))
+    return warc.fetch(folder, found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
+    "op9_warc_capture_index": op9_warc_capture_index,
     "op1_license_scan": op1_license_scan,
     "op5_unigram_token_counts": op5_unigram_token_counts,
     "op7_compression_quality": op7_compression_quality,
