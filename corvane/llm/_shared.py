@@ -8,37 +8,15 @@ are ever read, so a retried or speculative task cannot corrupt a result.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.lineage import fresh_path, materialize, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not place:
-        place = "file://" + tempfile.mkdtemp(prefix="corvane-")
-        spark.sparkContext.setCheckpointDir(place)
-    return place.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/corvane/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Cut lineage: write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fresh_path", "materialize", "shared_dir"]
 
 
 def filesystem(uri: str):
@@ -105,3 +83,11 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.repeat(starts - first, lengths) + np.arange(total, dtype=np.int64)
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that the text column holds about ``most`` bytes, a row at least."""
+    for batch in batches:
+        step = max(1, int(most * batch.num_rows / max(1, batch.column(text).nbytes)))
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)

@@ -57,7 +57,14 @@ def op9_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.fetch(folder, found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES = {
+    "op6_partenum_jaccard": op6_partenum_jaccard,
     "op9_warc_capture_index": op9_warc_capture_index,
     "op1_license_scan": op1_license_scan,
     "op5_unigram_token_counts": op5_unigram_token_counts,
