@@ -63,7 +63,24 @@ def op6_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import topk_search
+
+    docs = _table(spark, sf_dir, "documents")
+    wanted = docs.where("doc_id % 100 = 0").select(docs.doc_id.alias("query_id"), "text")
+    return topk_search.search(topk_search.build(docs), wanted)
+
+
+def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_score
+
+    docs = _table(spark, sf_dir, "documents")
+    return lm_score.score(docs, lm_score.train(docs, lm_score.target_rows(docs, _table(spark, sf_dir, "labels"))))
+
+
 QUERIES = {
+    "op2_block_max_wand": op2_block_max_wand,
+    "op8_cross_entropy_difference": op8_cross_entropy_difference,
     "op6_partenum_jaccard": op6_partenum_jaccard,
     "op9_warc_capture_index": op9_warc_capture_index,
     "op1_license_scan": op1_license_scan,
@@ -74,4 +91,19 @@ QUERIES = {
     "op3_repair_tokens": op3_repair_tokens,
 }
 
-ORACLE: dict[str, str] = {}
+#: Words of a text, as SQL: lower-case A-Z, runs of digits, letters and anything beyond ASCII.
+_SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op2_block_max_wand": f"""
+        WITH w AS (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
+        g AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+        tf AS (SELECT doc_id, term, count(*) AS c, any_value(dl) AS dl FROM (SELECT doc_id, unnest(ws) AS term, len(ws) AS dl FROM w) GROUP BY ALL),
+        idf AS (SELECT term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, g GROUP BY term, n),
+        s AS (
+            SELECT q.doc_id AS query_id, d.doc_id, round(sum(idf * d.c * 2.2 / (d.c + 1.2 * (0.25 + 0.75 * d.dl / mean))), 6) AS score
+            FROM (SELECT doc_id, term FROM tf WHERE doc_id % 100 = 0) q JOIN idf USING (term) JOIN tf d USING (term), g
+            GROUP BY 1, 2)
+        SELECT query_id, rank, doc_id, score
+        FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
+}
