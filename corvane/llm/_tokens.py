@@ -30,7 +30,8 @@ _CUT = np.zeros(64, bool)
 for _p, _c in ((0, 1), (2, 1), (3, 1), (4, 1), (0, 2), (0, 4), (2, 0)):
     _CUT[_p * 8 + _c] = True
 
-_MAX_PIECES = 1_500_000
+#: Pieces that a worker remembers; later ones are encoded anew in each batch that has them.
+_MAX_PIECES = 600_000
 _ENCODERS: dict[str, "PieceEncoder"] = {}
 
 
@@ -49,36 +50,35 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._clear()
-
-    def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.starts, self.lengths, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.starts, self.lengths, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
-        """Pool numbers of distinct pieces; new ones are encoded by the library."""
-        if len(self.known) > _MAX_PIECES:
-            self._clear()
-        known, base = self.known, len(self.starts)
+    def _numbers(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of distinct pieces in the pool (starts, lengths, ids); new ones are encoded by the library."""
+        known, starts, lengths, pool = self.known, self.starts, self.lengths, self.pool
         fresh = [p for p in pieces if p not in known]
-        if fresh:
-            ids, lengths = self._encode(fresh)
-            self.starts = np.concatenate([self.starts, len(self.pool) + np.cumsum(lengths) - lengths])
-            self.lengths = np.concatenate([self.lengths, lengths])
-            self.pool = np.concatenate([self.pool, ids])
-            known.update(zip(fresh, range(base, base + len(fresh))))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        if not fresh:
+            return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)), starts, lengths, pool
+        ids, sizes = self._encode(fresh)
+        numbers = dict(zip(fresh, range(len(starts), len(starts) + len(fresh))))
+        starts = np.concatenate([starts, (len(pool) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        lengths, pool = np.concatenate([lengths, sizes]), np.concatenate([pool, ids])
+        if len(known) < _MAX_PIECES:
+            known.update(numbers)
+            self.starts, self.lengths, self.pool = starts, lengths, pool
+            return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)), starts, lengths, pool
+        return np.fromiter((numbers[p] if p in numbers else known[p] for p in pieces), np.int64, len(pieces)), starts, lengths, pool
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces in a row, and how many each has."""
         ids: list[np.ndarray] = []
         for low in range(0, len(pieces), 20_000):
             got = self.tokenizer.encode_batch_fast([p.decode() for p in pieces[low : low + 20_000]], add_special_tokens=False)
-            ids += [np.array(e.ids, np.uint32) for e in got]
-        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+            ids += [np.array(e.ids, self.pool.dtype) for e in got]
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int32, len(ids))
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); a null is an empty text."""
@@ -95,9 +95,10 @@ class PieceEncoder:
         bounds[:-1], bounds[-1] = first, len(raw)
         pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))])
         coded = pieces.dictionary_encode()
-        numbers = self._numbers(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
-        lengths = self.lengths[numbers]
-        flat = self.pool[ranges(self.starts[numbers], lengths)]
+        numbers, starts, sizes, pool = self._numbers(coded.dictionary.to_pylist())
+        numbers = numbers[coded.indices.to_numpy()]
+        lengths = sizes[numbers].astype(np.int64)
+        flat = pool[ranges(starts[numbers], lengths)].astype(np.uint32)
         edges = np.concatenate([[0], np.cumsum(lengths)])[np.searchsorted(first, offsets)]
         counts = np.diff(edges)
         odd = self._odd(column, raw)

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import ranges
+from ._shared import ranges, slices
 from ._words import WordColumn, words
 
 WINDOW = 13
@@ -231,35 +231,38 @@ _SCHEMA = pa.schema([
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<long>>"
 
 
+def _shards(batches, text: int, shard_words: int):
+    """Tables of consecutive rows that hold about ``shard_words`` words."""
+    held, size = [], 0
+    for part in slices(batches, text, 7 * shard_words):
+        held.append(part)
+        size += part.column(text).nbytes
+        if size >= 7 * shard_words:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _scanner(blocks, shard_words: int, share: int):
     def scan(batches):
         loaded = [b.value for b in blocks]
-
-        def flush(table: pa.Table):
+        for table in _shards(batches, 1, shard_words):
             sizes, removal, seen = scan_shard(table.column(1).combine_chunks(), loaded)
-            hit = np.array([sum(e - b for b, e in spans) for spans in removal], np.int64)
+            hit = hit_words(removal)
             names = [sorted(x) for x in seen]
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
             contaminated = (hit > 0) & (share * hit >= sizes)
             columns = [table.column(0).combine_chunks(), sizes, hit, [len(x) for x in names], digests, contaminated, names, [[list(s) for s in x] for x in removal]]
-            return pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types)], schema=_SCHEMA)
-
-        held, size = [], 0
-        for batch in batches:
-            step = max(1, int(7 * shard_words * batch.num_rows / max(1, batch.column(1).nbytes)))
-            for at in range(0, batch.num_rows, step):
-                part = batch.slice(at, step)
-                held.append(part)
-                size += part.column(1).nbytes
-                if size >= 7 * shard_words:
-                    yield flush(pa.Table.from_batches(held))
-                    held, size = [], 0
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types)], schema=_SCHEMA)
 
     return scan
 
 
+def hit_words(removal: list[list[tuple[int, int]]]) -> np.ndarray:
+    return np.array([sum(e - b for b, e in spans) for spans in removal], np.int64)
+
+
 def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
     """Broadcast the benchmark's windows in blocks of bounded size, read one row at a time."""
     context, blocks, held, size = benchmark.sparkSession.sparkContext, [], [], 0
@@ -283,3 +286,17 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int
     """
     blocks = phrase_blocks(benchmark, window)
     return docs.select("doc_id", "text").mapInArrow(_scanner(blocks, shard_words, share), RESULT)
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """The documents that are not contaminated, with all their columns, in one pass."""
+    blocks, at = phrase_blocks(benchmark, window), docs.columns.index("text")
+
+    def keep(batches):
+        loaded = [b.value for b in blocks]
+        for table in _shards(batches, at, shard_words):
+            sizes, removal, _ = scan_shard(table.column(at).combine_chunks(), loaded)
+            hit = hit_words(removal)
+            yield from table.filter(pa.array((hit == 0) | (share * hit < sizes))).to_batches()
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -387,7 +387,11 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (its smallest id), and all documents without shingles; all columns stay."""
+    """One document of each component (its smallest id) and all without shingles, with all their columns.
+
+    Repeated rows of one id and text are one; rows without an id stay as they are.
+    """
     found = join_components(docs)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))

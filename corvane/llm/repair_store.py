@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, materialize, ranges, read_file, write_file
+from ._shared import fresh_path, materialize, ranges, read_file, slices, write_file
 from ._tokens import encoder, file_of
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -183,9 +183,7 @@ def _writer(path: str, end_id: int, folder: str, shard_tokens: int):
             number += 1
             return pa.record_batch({"part": [part], "number": [number - 1], "path": [uri], "n_docs": [len(doc_ids)], "n_tokens": [int(bounds[-1])]}, _MANIFEST_ARROW)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 1):
             ids, counts = tok.encode_column(batch.column(1))
             out = np.full(len(ids) + len(counts), end_id, np.uint32)
             ends = np.cumsum(counts + 1) - 1

@@ -22,12 +22,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._shared import string_buffers
+from ._shared import slices, string_buffers
 from ._tokens import file_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-_MOST_WORDS = 1_500_000
+#: Words that a worker remembers; later ones are solved anew in each batch that has them.
+_MOST_WORDS = 400_000
 _COUNTERS: dict[str, "Counter"] = {}
 
 
@@ -91,28 +92,25 @@ class Counter:
         bounds = np.append(first, len(raw)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         words = pieces.dictionary.to_pylist()
-        if len(self.known) > _MOST_WORDS:
-            self.known.clear()
-        for w in words:
-            if w not in self.known:
-                text = w.decode().replace(" ", MARK)
-                self.known[w] = self.word(text)
-        found = [self.known[w] for w in words]
+        found = [self._solved(w) for w in words]
         numbers = pieces.indices.to_numpy()
         counts = np.array([c for c, _ in found], np.int64)[numbers]
         totals = np.array([s for _, s in found])[numbers]
         # A text that does not start with a mark gets one.
         lead = np.flatnonzero(head[first] & ~start[first])
         for k in lead.tolist():
-            counts[k], totals[k] = self._lead(words[numbers[k]])
+            counts[k], totals[k] = self._solved(b" " + words[numbers[k]])
         at = np.searchsorted(first, offsets)
         sums, score = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0.0], np.cumsum(totals)])
         return sums[at[1:]] - sums[at[:-1]], score[at[1:]] - score[at[:-1]]
 
-    def _lead(self, word: bytes) -> tuple[int, float]:
-        if b" " + word not in self.known:
-            self.known[b" " + word] = self.word(MARK + word.decode())
-        return self.known[b" " + word]
+    def _solved(self, word: bytes) -> tuple[int, float]:
+        got = self.known.get(word)
+        if got is None:
+            got = self.word(word.decode().replace(" ", MARK))
+            if len(self.known) < _MOST_WORDS:
+                self.known[word] = got
+        return got
 
 
 def counter(path: str) -> Counter:
@@ -127,7 +125,7 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("path_sc
 def _count(path: str):
     def run(batches):
         tool = counter(path)
-        for batch in batches:
+        for batch in slices(batches, 1):
             if batch.num_rows:
                 n, score = tool.column(batch.column(1))
                 yield pa.record_batch([batch.column(0), pa.array(n), pa.array(score)], schema=_SCHEMA)
