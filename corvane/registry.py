@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-FLAGSHIP = None
+from .queries import catalog, graph
+
+_MODULES = (catalog, graph)
+QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
+FLAGSHIP = catalog.q12_1_facets
