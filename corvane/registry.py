@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import catalog, graph
+from .queries import catalog, content, graph
 
-_MODULES = (catalog, graph)
+_MODULES = (catalog, content, graph)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
-FLAGSHIP = catalog.q12_1_facets
+FLAGSHIP = content.q7_8_hybrid
