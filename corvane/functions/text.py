@@ -63,7 +63,7 @@ def well_formed_id(ident: Column) -> Column:
 def version_parts(version: Column) -> Column:
     """(major, minor, patch) as numbers; missing ones are 0."""
     numbers = F.regexp_extract_all(F.coalesce(version, F.lit("")), F.lit(r"(\d+)"), 1)
-    at = lambda k: F.coalesce(F.get(numbers, F.lit(k)).cast("int"), F.lit(0))
+    at = lambda k: F.coalesce(F.get(numbers, F.lit(k)).try_cast("int"), F.lit(0))
     return F.struct(at(0).alias("major"), at(1).alias("minor"), at(2).alias("patch"))
 
 
@@ -86,7 +86,7 @@ def readable_cids(text: Column) -> Column:
     """``(cid:NN)`` of printable ASCII to its character; others stay."""
     parts = F.regexp_extract_all(text, F.lit(r"(\(cid:\d+\)|(?s:.))"), 1)
     code = lambda p: F.regexp_extract(p, r"^\(cid:(\d{1,3})\)$", 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(code(p).cast("int").between(32, 126), F.chr(code(p).cast("int"))).otherwise(p)), "")
+    return F.array_join(F.transform(parts, lambda p: F.when(code(p).try_cast("int").between(32, 126), F.chr(code(p).try_cast("int"))).otherwise(p)), "")
 
 
 def structure_echo(text: Column) -> Column:

@@ -20,7 +20,7 @@ In every signature's bucket each node meets the bucket's smallest; each node is
 verified against its most frequent such centre; components are built.  Only in
 buckets that still span several components are nodes of different components
 paired: first each node with the nearest of every other component, at last all
-whose shingle histograms do not already rule them out.  All pairs are verified on
+whose parity sketches do not already rule them out.  All pairs are verified on
 the sets of 64-bit shingle hashes before they count.
 
 Documents without words have no shingles and link with nothing; those of fewer
@@ -42,7 +42,7 @@ from ._shared import materialize, slices
 from ._words import WordColumn
 
 N = 5
-CELLS = 32
+SKETCH_BITS = 2048
 _M = np.uint64(0x9E3779B97F4A7C15)
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -239,19 +239,79 @@ def _centred(batches):
             yield pa.record_batch([pa.array(np.concatenate(x)) for x in (out_sig, out_node, out_centre)], schema=schema)
 
 
-_SET = pa.schema([("node", pa.int64()), ("hist", pa.binary()), ("shingles", pa.binary())])
+_SET = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("short", pa.binary()), ("sketch", pa.binary()), ("shingles", pa.binary())])
 
 
-def _sets(n: int):
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """Parities of the shingle counts of ``SKETCH_BITS`` cells.  Two sketches differ in no more bits than the sets in shingles."""
+    counts = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
+    return np.packbits(counts & 1).tobytes()
+
+
+def folded(sketch: bytes) -> bytes:
+    """A quarter of a sketch's bits: cells that share one add up their parities."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(4, -1), axis=0).tobytes()
+
+
+def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(bits)).astype(np.int64)
+
+
+def _marks(bits: int):
     def run(batches):
+        seen = np.zeros(bits, bool)
+        for batch in batches:
+            seen[_slot(batch.column(0).to_numpy(), bits)] = True
+        yield pa.record_batch([[np.packbits(seen).tobytes()]], names=["bits"])
+
+    return run
+
+
+def marks(ids: DataFrame, most_bits: int = 1 << 27):
+    """A broadcast bit map of ids, of 16 bits an id and 16 MB at most: it only spares rows a join, which decides."""
+    bits = min(most_bits, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
+    total = np.zeros(bits // 8, np.uint8)
+    for row in ids.coalesce(8).mapInArrow(_marks(bits), "bits binary").toLocalIterator():
+        total |= np.frombuffer(row["bits"], np.uint8)
+    return ids.sparkSession.sparkContext.broadcast((bits, total))
+
+
+def _sets(shared, n: int):
+    def run(batches):
+        bits, packed = shared.value
         for batch in slices(batches, 1):
-            sets = shingle_sets(batch.column(1), n)
-            hists = [np.minimum(np.bincount((s >> np.uint64(17)).astype(np.int64) % CELLS, minlength=CELLS), 2**15 - 1).astype(np.int16).tobytes() for s in sets]
-            yield pa.record_batch([batch.column(0), pa.array(hists, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], schema=_SET)
+            at = _slot(batch.column(0).fill_null(-1).to_numpy(), bits)
+            batch = batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            if batch.num_rows:
+                sets = shingle_sets(batch.column(1), n)
+                sketches = [sketch_of(s) for s in sets]
+                columns = [batch.column(0), [node_of(s) for s in sets], [folded(x) for x in sketches], sketches, [s.tobytes() for s in sets]]
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SET.types)], schema=_SET)
+
+    return run
+
+
+def _plausible(bands: Bands):
+    """Pairs (a, b) whose sketches and sizes do not rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            yield batch.select(["a", "b"]).filter(pa.array(far * (bands.den + bands.num) <= both * (bands.den - bands.num)))
 
     return run
 
 
+def plausible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
+    small = sets.select("node", "sketch", F.octet_length("shingles").alias("n"))
+    side = lambda x: small.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), (F.col("n") / 8).cast("long").alias(f"n_{x}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_plausible(bands), "a long, b long")
+
+
 def _verify(bands: Bands):
     def run(batches):
         for batch in batches:
@@ -280,38 +340,35 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands, heavy: int = 500)
 
 
 def _cross(bands: Bands, nearest: bool):
-    """Pairs of different components in one bucket that histograms allow, from rows sorted by sig.
+    """Pairs of different components in one bucket that short sketches allow, from rows sorted by sig.
 
-    ``nearest``: of each node and other component only the pair of the closest histograms.
+    ``nearest``: of each node and other component only the pair of the closest
+    sketches; ``more`` then says whether there are others.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.int64())])
 
-    def pairs(node, comp, hist):
-        out_a, out_b = [], []
-        n = hist.sum(1, dtype=np.int64)
+    def pairs(node, comp, sketch, n):
+        out = []
         for low in range(0, len(node), 256):
             i = slice(low, low + 256)
-            best: dict = {}
+            found = []
             for start in range(0, len(node), 256):
                 j = slice(start, start + 256)
-                far = np.abs(hist[i, None, :].astype(np.int32) - hist[None, j, :]).sum(2)
-                fits = (far * (bands.den + bands.num) <= (n[i, None] + n[None, j]) * (bands.den - bands.num)) & (comp[i, None] != comp[None, j])
-                x, y = np.nonzero(fits)
-                if nearest:
-                    for p, q, d in zip((x + low).tolist(), (y + start).tolist(), far[x, y].tolist()):
-                        key = (p, int(comp[q]))
-                        if key not in best or (d, q) < best[key]:
-                            best[key] = (d, q)
-                else:
-                    out_a.append(node[x + low])
-                    out_b.append(node[y + start])
-            if best:
-                out_a.append(node[[p for p, _ in best]])
-                out_b.append(node[[q for _, q in best.values()]])
-        if not out_a:
-            return None
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+                x, y = np.nonzero((comp[i, None] != comp[None, j]) & (n[i, None] * bands.num <= n[None, j] * bands.den) & (n[None, j] * bands.num <= n[i, None] * bands.den))
+                x, y = x + low, y + start
+                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+                fits = far * (bands.den + bands.num) <= (n[x] + n[y]) * (bands.den - bands.num)
+                found.append(np.stack([x[fits], y[fits], far[fits]], 1))
+            got = np.concatenate(found)
+            more = np.zeros(len(got), np.int64)
+            if nearest and len(got):
+                got = got[np.lexsort((got[:, 1], got[:, 2], comp[got[:, 1]], got[:, 0]))]
+                head = np.flatnonzero(np.concatenate([[True], (np.diff(got[:, 0]) != 0) | (np.diff(comp[got[:, 1]]) != 0)]))
+                more = (np.diff(np.append(head, len(got))) > 1).astype(np.int64)
+                got = got[head]
+            a, b = node[got[:, 0]], node[got[:, 1]]
+            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), more], 1))
+        return np.unique(np.concatenate(out), axis=0)
 
     def run(batches):
         rest = None
@@ -329,11 +386,12 @@ def _cross(bands: Bands, nearest: bool):
                 rest = whole.slice(starts[-1]).to_batches()[0]
                 starts, ends = starts[:-1], ends[:-1]
             node, comp = whole.column(1).to_numpy(), whole.column(2).to_numpy()
-            hist = np.frombuffer(b"".join(whole.column(3).to_pylist()), np.int16).reshape(-1, CELLS)
-            found = [p for a, b in zip(starts, ends) if (p := pairs(node[a:b], comp[a:b], hist[a:b])) is not None]
+            sketch = np.frombuffer(b"".join(whole.column(3).to_pylist()), np.uint64).reshape(len(whole), -1)
+            size = whole.column(4).to_numpy()
+            found = [pairs(node[a:b], comp[a:b], sketch[a:b], size[a:b]) for a, b in zip(starts, ends)]
             if found:
                 got = np.unique(np.concatenate(found), axis=0)
-                yield pa.record_batch([pa.array(got[:, 0]), pa.array(got[:, 1])], schema=schema)
+                yield pa.record_batch([pa.array(got[:, k]) for k in range(3)], schema=schema)
 
     return run
 
@@ -364,19 +422,21 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
 
     needed = multi.select("node").distinct()
     where = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
-    texts = docs.select("doc_id", "text").join(where, "doc_id")
-    sets = materialize(texts.select("node", "text").mapInArrow(_sets(n), "node long, hist binary, shingles binary"), "sets")
+    where = materialize(where, "needed")
+    made = docs.select("doc_id", "text").mapInArrow(_sets(marks(where.select("doc_id")), n), "doc_id long, node long, short binary, sketch binary, shingles binary")
+    sets = materialize(made.join(where, ["doc_id", "node"], "left_semi").select("node", "short", "sketch", "shingles"), "sets")
 
     met = multi.where("node != centre").groupBy("node", "centre").count()
     first = met.groupBy("node").agg(F.max(F.struct("count", F.expr("-centre").alias("low"), "centre")).alias("m")).select(F.col("node").alias("a"), F.col("m.centre").alias("b"))
-    edges = materialize(verified(first, sets, bands), "edges")
+    edges = materialize(verified(plausible(first, sets, bands), sets, bands), "edges")
     for nearest in (True, False):
         labels = materialize(connected_components(edges, "a", "b"), "labels")
-        left = _unsettled(multi, labels).join(sets.select("node", "hist"), "node").select("sig", "node", "comp", "hist")
-        pairs = left.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_cross(bands, nearest), "a long, b long").distinct()
-        pairs = materialize(pairs, "pairs")
-        if not pairs.isEmpty():
-            edges = materialize(edges.unionByName(verified(pairs, sets, bands)), "edges")
+        left = _unsettled(multi, labels).join(sets.select("node", "short", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node").select("sig", "node", "comp", "short", "n")
+        pairs = left.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_cross(bands, nearest), "a long, b long, more long")
+        pairs = materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
+        edges = materialize(edges.unionByName(verified(plausible(pairs.select("a", "b"), sets, bands), sets, bands)), "edges")
+        if pairs.where("more > 0").isEmpty():
+            break
     labels = connected_components(edges, "a", "b")
     grouped = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = grouped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
