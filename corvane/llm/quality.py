@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # 2 * per_class narrow rows
     texts: dict[int, list[bytes]] = {0: [], 1: []}
     size = 0
-    joined = docs.where(~held_out()).join(sample, "doc_id").select("h", "doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
+    texts_in = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    joined = texts_in.join(sample, "doc_id").select("h", "doc_id", "quality", "text")
     for row in joined.orderBy("h", "doc_id", "text").toLocalIterator():
         texts[row["quality"]].append(row["text"].encode())
         size += len(row["text"])
