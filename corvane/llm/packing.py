@@ -183,23 +183,37 @@ def one_round(state: DataFrame) -> DataFrame:
     return after.unionByName(free).where((F.col("what") != GAP) | (F.col("size") > 0))
 
 
-def _opens(sizes: dict[int, int], wanted: int) -> tuple[int, int]:
-    """(size, share per million) such that about ``wanted`` items are larger, or that size and in the share."""
+#: Up to this many new sequences the items that open them are found by rank of a hash, beyond it by its share.
+_BY_RANK = 10_000
+
+
+def _hash(turn: int) -> F.Column:
+    return F.xxhash64("id", F.lit(turn))
+
+
+def _opens(after: DataFrame, sizes: dict[int, int], wanted: int, turn: int) -> tuple[int, int]:
+    """(size, hash) such that ``wanted`` items are larger, or of that size with no greater hash."""
     for size in sorted(sizes, reverse=True):
-        if wanted <= sizes[size]:
-            return size, max(1, math.ceil(1_000_000 * wanted / sizes[size]))
-        wanted -= sizes[size]
-    return 0, 1_000_000
+        count = sizes[size]
+        if wanted == count:
+            return size, 2**63 - 1
+        if wanted < count and wanted <= _BY_RANK:
+            some = after.where((F.col("what") == ITEM) & (F.col("size") == size)).select(_hash(turn).alias("h"))
+            return size, some.orderBy("h").limit(wanted).agg(F.max("h")).first()[0]
+        if wanted < count:
+            return size, 2**64 * wanted // count - 2**63
+        wanted -= count
+    return 0, 2**63 - 1
 
 
 def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, bin, bin_at) for every item (item, item_size)."""
     state = items.select(F.lit(ITEM).alias("what"), F.col("item").alias("id"), F.col("item_size").alias("size"))
     done: list[DataFrame] = []
-    cut, share, moved = capacity // 2, 0, True
+    cut, most, turn = capacity // 2, -(2**63), 0
     while True:  # a round places an item or opens a sequence
-        # Items above the cut (and a share of those at it) open a sequence each; what remains fills gaps.
-        own = (F.col("what") == ITEM) & ((F.col("size") > cut) | ((F.col("size") == cut) & (F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share)))
+        # Items above the cut (and some of those at it) open a sequence each; what remains fills gaps.
+        own = (F.col("what") == ITEM) & ((F.col("size") > cut) | ((F.col("size") == cut) & (_hash(turn) <= most)))
         done.append(state.where(own).select(F.col("id").alias("item"), F.col("id").alias("bin"), F.lit(0).cast("long").alias("bin_at")))
         state = state.select(F.when(own, GAP).otherwise(F.col("what")).alias("what"), "id", F.when(own, capacity - F.col("size")).otherwise(F.col("size")).alias("size")).where("size > 0")
         after = materialize(one_round(state), "round")
@@ -215,7 +229,8 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         missing = math.ceil((total - room) / capacity)
         if not moved:
             missing = max(missing, 1)
-        cut, share = _opens(sizes, missing) if missing > 0 else (capacity, 0)
+        turn += 1
+        cut, most = _opens(after, sizes, missing, turn) if missing > 0 else (capacity, -(2**63))
         state = after.where((F.col("what") == ITEM) | ((F.col("what") == GAP) & (F.col("size") >= least))).select("what", "id", "size")
     out = done[0]
     for d in done[1:]:
