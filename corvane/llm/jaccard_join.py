@@ -6,14 +6,15 @@ shingles.  The shingle domain is dealt by hash to first-level partitions, each o
 two second-level ones, and the subsets of all but one second-level partition of
 every first-level one are enumerated: a subset's content is a signature.  Similar
 sets differ in at most ``k`` subsets, so of the first ``k + 1`` subsets that are
-not empty, one is the same in both: only these are emitted.
+not empty, one is the same in both: only these are emitted.  For each set ``k``
+is the bound for its own size and the largest partner it can have.
 
 Shingles that very many documents share would make signatures common.  They are
 found over all documents (each task counts its own, the counts are summed) and
 dealt to no partition, which keeps the guarantee for every set with more than
 ``k`` non-empty subsets.  Pairs of sets without that many are found by a second
 set of signatures, emitted by such sets only: their first ``k + 1`` single
-shingles, widespread ones last.
+shingles, widespread ones last and the most widespread at the very end.
 
 Candidates never form all pairs of a group.  Sets that are equal are one node.
 In every signature's bucket each node meets the bucket's smallest; each node is
@@ -109,15 +110,24 @@ class Bands:
         return both * (self.den - self.num) // (self.den + self.num)
 
 
-def signatures(shingles: np.ndarray, common: np.ndarray, bands: Bands, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """All signatures of one set; ``common`` (sorted) are the widespread shingles."""
-    at = np.searchsorted(common, shingles)
-    known = (common[np.minimum(at, len(common) - 1)] == shingles) if len(common) else np.zeros(len(shingles), bool)
-    rare, out = shingles[~known], []
-    for band, high in bands.tags(len(shingles), bounds):
-        k = bands.allowed(2 * high)
-        first_level = max(1, -(-(k + k // 4 + 2) // 2))
-        subsets = np.uint64(2 * first_level)
+@dataclass(frozen=True)
+class Widespread:
+    """Hashes of widespread shingles in ascending order, and the rank of each by its count."""
+
+    hashes: np.ndarray
+    ranks: np.ndarray
+
+
+def signatures(shingles: np.ndarray, common: Widespread, bands: Bands, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """All signatures of one set."""
+    at = np.minimum(np.searchsorted(common.hashes, shingles), max(0, len(common.hashes) - 1))
+    known = common.hashes[at] == shingles if len(common.hashes) else np.zeros(len(shingles), bool)
+    rare, size, out = shingles[~known], len(shingles), []
+    for band, high in bands.tags(size, bounds):
+        # Partners are at most ``high`` and size / similarity large; the subsets' number is the band's.
+        k = bands.allowed(size + min(high, size * bands.den // bands.num))
+        widest = bands.allowed(2 * high)
+        subsets = np.uint64(2 * max(1, -(-(widest + widest // 4 + 2) // 2)))
         # A subset of one of the two second-level partitions of a first-level one.
         where = mix(rare + np.uint64(band)) % subsets
         content = np.zeros(int(subsets), np.uint64)
@@ -127,7 +137,10 @@ def signatures(shingles: np.ndarray, common: np.ndarray, bands: Bands, bounds: l
             some = filled[: k + 1]
             out.append(mix(content[some] + mix(some.astype(np.uint64) + np.uint64(band << 40))))
         else:
-            ranked = np.concatenate([rare, shingles[known]])[: k + 1]
+            # Similar sets share all but so many of their shingles, so one of the first of them in any fixed order.
+            least = size - -(-size * bands.num // bands.den) + 1
+            often = shingles[known][np.argsort(common.ranks[at[known]], kind="stable")]
+            ranked = np.concatenate([rare, often])[: min(k + 1, least)]
             out.append(mix(ranked ^ np.uint64((band << 40) + 1)))
             # Sets with enough subsets may still be similar: they are found through these, if not through the others.
             if len(filled):
@@ -403,7 +416,7 @@ def _unsettled(multi: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed, "sig", "left_semi").select("sig", "node", "comp")
 
 
-def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n: int = N, common_least: int = 24, common_most: int = 200_000) -> DataFrame:
+def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n: int = N, common_least: int = 8, common_most: int = 200_000) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (smallest doc id linked) and its set's node.
 
     ``common_least`` is the count within one task's run of texts from which a
@@ -414,8 +427,9 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
     profile = materialize(docs.select("doc_id", "text").mapInArrow(_profile(common_least, n), "kind int, id long, n long, node long"), "profile")
     members = profile.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     top = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(common_most)
-    common = np.sort(np.array([r["id"] for r in top.select("id").collect()], np.int64).view(np.uint64))
-    shared = spark.sparkContext.broadcast(common)
+    found = np.array([r["id"] for r in top.orderBy("c", "id").select("id").collect()], np.int64).view(np.uint64)
+    order = np.argsort(found)
+    shared = spark.sparkContext.broadcast(Widespread(found[order], order))
     sigs = docs.select("text").mapInArrow(_emit(shared, bands, n), "sig long, node long")
     dealt = sigs.repartition("sig").sortWithinPartitions("sig", "node")
     multi = materialize(dealt.mapInArrow(_centred, "sig long, node long, centre long"), "buckets")
