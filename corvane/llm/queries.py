@@ -74,8 +74,8 @@ def op2_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_score
 
-    docs = _table(spark, sf_dir, "documents")
-    return lm_score.score(docs, lm_score.train(docs, lm_score.target_rows(docs, _table(spark, sf_dir, "labels"))))
+    docs = lm_score.with_target(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return lm_score.score(docs, lm_score.train(docs, docs.in_target))
 
 
 QUERIES = {

@@ -2,6 +2,7 @@
 
 import gzip
 import random
+from collections import Counter
 
 import brute
 import duckdb
@@ -248,6 +249,45 @@ def test_cross_entropy_difference(spark, odd, none):
     assert lm_score.score(odd, empty).where("isnan(difference)").count() == 0
 
 
+@pytest.mark.parametrize("seeds", (1, 2))
+def test_cross_entropy_counts_are_exact_beyond_any_table(spark, monkeypatch, seeds):
+    """More words and bigrams than the fixed tables of 32,768 words and 2^20 buckets could tell apart."""
+    dice = random.Random(5)
+    rows = [(k, " ".join(f"w{dice.randrange(60_000)}" for _ in range(60))) for k in range(4_000)]
+    if seeds == 2:
+        # Two words of one hash under the first seed.
+        rows = rows[:50]
+        whole = lm_score.word_hash
+        one, two = (rows[0][1].split()[k].encode() for k in (0, 1))
+        monkeypatch.setattr(lm_score, "word_hash", lambda w, seed: whole(one if w == two and seed == 0 else w, seed))
+    good = {k for k, _ in rows if k % 3 == 0}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    target = docs.where("doc_id % 3 = 0").select("text") if seeds == 1 else F.col("doc_id") % 3 == 0
+    tables, write = [], lm_score.materialize
+    monkeypatch.setattr(lm_score, "materialize", lambda df, name: tables.append(name) or write(df, name))
+
+    def counted(some):
+        one, two = Counter(), Counter()
+        for t in some:
+            x = t.split()
+            one.update(x)
+            two.update(zip([None, *x], x))
+        return one, two, len(some)
+
+    models = [counted([t for k, t in rows if k in good]), counted([t for _, t in rows])]
+    size = len(models[1][0]) + 1
+    got = {r["doc_id"]: r for r in lm_score.score(docs, lm_score.train(docs, target)).collect()}
+    assert len(got) == len(rows) and tables.count("counts") == seeds
+    for k, t in rows:
+        x = t.split()
+        for (one, two, n), column in zip(models, ("target_loss", "background_loss")):
+            total, words = 0.0, one.total()
+            for a, b in zip([None, *x], x):
+                single, history = (one[b] + 1) / (words + size), n if a is None else one[a]
+                total -= np.log(lm_score.MIX * two[a, b] / history + (1 - lm_score.MIX) * single if history else single)
+            assert got[k][column] == pytest.approx(total / len(x), abs=1e-9)
+
+
 WARC = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
