@@ -133,12 +133,20 @@ def q12_10_stats(spark, sf_dir):
     return browse.vault_stats(g.documents(spark, sf_dir), g.edges(spark, sf_dir))
 
 
-def q10_7_duplicates(spark, sf_dir):
+def _duplicates(spark, sf_dir, which):
     docs = g.documents(spark, sf_dir)
-    wanted = docs.select(F.col("source_content_hash").alias("hash")).unionByName(docs.where("n < 50").select(F.sha2("id", 256).alias("hash")))
+    wanted = docs.select(F.col("source_content_hash").alias("hash")).unionByName(docs.where(which).select(F.sha2("id", 256).alias("hash")))
     return browse.by_hashes(docs, wanted, ("active", "completed"))
 
 
+def q10_7_duplicates(spark, sf_dir):
+    return _duplicates(spark, sf_dir, "n < 50")
+
+
+def q10_7_duplicates_all(spark, sf_dir):
+    return _duplicates(spark, sf_dir, "true")
+
+
 def q12_12_ids_by_path(spark, sf_dir):
     return browse.ids_by_path(g.documents(spark, sf_dir))
 

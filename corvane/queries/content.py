@@ -92,22 +92,38 @@ def q7_8_hybrid(spark, sf_dir):
     return found.select("document_id", "title", "lifecycle_status", F.round("score", 6).alias("score"), "rank")
 
 
-def q18_3_relevance(spark, sf_dir):
-    docs = _light(spark, sf_dir).where("n < 400")
+def _relevance(spark, sf_dir, which):
+    docs = _light(spark, sf_dir).where(which)
     ranking = docs.select(F.concat(F.lit("q"), (F.col("n") % 20).cast("string")).alias("query"), F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 7 % 101, "n")).alias("rank"))
     judged = docs.where("n % 7 = 0 or n % 11 = 0").select(F.concat(F.lit("q"), (F.col("n") % 20).cast("string")).alias("query"), F.col("id").alias("document_id"), F.when(F.col("n") % 7 == 0, 2).otherwise(1).alias("grade"))
     return evaluation.relevance(ranking, judged, 5)
 
 
-def q18_1_overlap(spark, sf_dir):
-    docs = _light(spark, sf_dir).where("n < 400")
+def q18_3_relevance(spark, sf_dir):
+    return _relevance(spark, sf_dir, "n < 400")
+
+
+def q18_3_relevance_all(spark, sf_dir):
+    return _relevance(spark, sf_dir, "true")
+
+
+def _overlap(spark, sf_dir, which):
+    docs = _light(spark, sf_dir).where(which)
     key = (F.col("n") % 20).alias("query")
-    one = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 7 % 101, "n")).alias("rank")))
-    two = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 5 % 89, "n")).alias("rank")))
+    one = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 7 % 101, "n")).alias("rank")).where("rank <= 5"))
+    two = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 5 % 89, "n")).alias("rank")).where("rank <= 5"))
     both = one.join(two.withColumnRenamed("documents", "other"), "query")
     return both.select("query", evaluation.overlap_at_k(F.col("documents"), F.col("other"), 5).alias("overlap"))
 
 
+def q18_1_overlap(spark, sf_dir):
+    return _overlap(spark, sf_dir, "n < 400")
+
+
+def q18_1_overlap_all(spark, sf_dir):
+    return _overlap(spark, sf_dir, "true")
+
+
 def q18_9_latency(spark, sf_dir):
     return evaluation.latency(g.table(spark, sf_dir, "events"), "event_type", "value")
 
@@ -117,20 +133,36 @@ def q11_9_timing_windows(spark, sf_dir):
     return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("most")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "most")
 
 
-def q10_1_lifecycle(spark, sf_dir):
+def _lifecycle(spark, sf_dir, which):
     docs = _light(spark, sf_dir)
     action = F.element_at(F.array(*[F.lit(a) for a in ("archive", "reactivate", "supersede", "vanish")]), (F.col("n") % 4 + 1).cast("int"))
-    requests = docs.where("n < 150").select("id", action.alias("action")).unionByName(spark.createDataFrame([("nobody", "archive")], "id string, action string"))
+    requests = docs.where(which).select("id", action.alias("action")).unionByName(spark.createDataFrame([("nobody", "archive")], "id string, action string"))
     return lifecycle.set_lifecycle(docs, requests, lifecycle.transitions(spark))
 
 
-def q10_16_patch_tags(spark, sf_dir):
+def q10_1_lifecycle(spark, sf_dir):
+    return _lifecycle(spark, sf_dir, "n < 150")
+
+
+def q10_1_lifecycle_all(spark, sf_dir):
+    return _lifecycle(spark, sf_dir, "true")
+
+
+def _patch_tags(spark, sf_dir, which):
     docs = _light(spark, sf_dir)
-    patches = docs.where("n < 120").select("id", F.when(F.col("n") % 3 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("new"))).alias("add"), F.when(F.col("n") % 2 == 0, F.array(F.concat(F.lit("pv"), (F.col("n") % 12).cast("string")))).otherwise(F.array(F.lit("none"))).alias("remove"))
+    patches = docs.where(which).select("id", F.when(F.col("n") % 3 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("new"))).alias("add"), F.when(F.col("n") % 2 == 0, F.array(F.concat(F.lit("pv"), (F.col("n") % 12).cast("string")))).otherwise(F.array(F.lit("none"))).alias("remove"))
     out = lifecycle.patch_tags(docs, patches)
     return out.select("id", F.array_join("tags", ",").alias("tags"), "error")
 
 
+def q10_16_patch_tags(spark, sf_dir):
+    return _patch_tags(spark, sf_dir, "n < 120")
+
+
+def q10_16_patch_tags_all(spark, sf_dir):
+    return _patch_tags(spark, sf_dir, "true")
+
+
 def q10_4_unique(spark, sf_dir):
     return lifecycle.unique_collisions(_light(spark, sf_dir), g.edges(spark, sf_dir), "report", "sev")
 
@@ -154,12 +186,20 @@ def q2_8_tombstone(spark, sf_dir):
     return lifecycle.tombstone(edges, family, "v2").where("valid_until_version is not null").select("id", "valid_until_version")
 
 
-def q8_13_validate_links(spark, sf_dir):
-    docs = _light(spark, sf_dir).where("n < 300")
+def _validate_links(spark, sf_dir, which):
+    docs = _light(spark, sf_dir).where(which)
     links = docs.select(F.col("id").alias("source_id"), g.ident(F.col("n") - F.when(F.col("n") % 5 == 0, 0).when(F.col("n") % 5 == 1, 100000).otherwise(1)).alias("target_id"), F.when(F.col("n") % 13 == 0, "likes").otherwise("supersedes").alias("edge_type"))
     return lifecycle.validate_links(links, _light(spark, sf_dir), g.edges(spark, sf_dir), list(g.POLICIES))
 
 
+def q8_13_validate_links(spark, sf_dir):
+    return _validate_links(spark, sf_dir, "n < 300")
+
+
+def q8_13_validate_links_all(spark, sf_dir):
+    return _validate_links(spark, sf_dir, "true")
+
+
 def _items(spark, sf_dir):
     return _light(spark, sf_dir).select("id", F.concat(F.lit("T"), F.floor(F.col("n") / 4).cast("string")).alias("title"), F.lit("p").alias("project"), "doc_type", F.when(F.col("n") % 4 != 0, F.concat(F.lit("v"), (10 - F.col("n") % 4).cast("string"), F.lit(".1"))).alias("version"), (F.col("n") % 3 == 0).alias("is_new"), "n")
 
@@ -181,13 +221,21 @@ def q17_4_mentions(spark, sf_dir):
     return inference.mention_edges(texts, targets, r"(REF-\d+)", ("active", "completed"))
 
 
-def q17_5_reconcile(spark, sf_dir):
+def _reconcile(spark, sf_dir, which):
     edges = g.edges(spark, sf_dir)
-    planned = edges.where("edge_type = 'references' and cast(substring(source_id, 2) as int) % 3 = 0").select("source_id", "target_id").unionByName(_light(spark, sf_dir).where("n < 20").select(F.col("id").alias("source_id"), F.col("id").alias("target_id")))
+    planned = edges.where("edge_type = 'references' and cast(substring(source_id, 2) as int) % 3 = 0").select("source_id", "target_id").unionByName(_light(spark, sf_dir).where(which).select(F.col("id").alias("source_id"), F.col("id").alias("target_id")))
     gone, fresh = inference.reconcile(edges, planned)
     return gone.select("source_id", "target_id", F.lit("delete").alias("what")).unionByName(fresh.select("source_id", "target_id", F.lit("create").alias("what")))
 
 
+def q17_5_reconcile(spark, sf_dir):
+    return _reconcile(spark, sf_dir, "n < 20")
+
+
+def q17_5_reconcile_all(spark, sf_dir):
+    return _reconcile(spark, sf_dir, "true")
+
+
 def q17_8_source_audit(spark, sf_dir):
     docs = _light(spark, sf_dir)
     files = docs.where("n % 6 != 5").select(F.col("source_path").alias("path"), F.when(F.col("n") % 6 == 4, F.lit("x")).otherwise(F.col("source_content_hash")).alias("hash"), (F.col("n") % 6 == 1).alias("is_symlink"), (F.col("n") % 6 < 3).alias("out_of_root"))

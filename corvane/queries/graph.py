@@ -22,11 +22,21 @@ def q8_1_traverse(spark, sf_dir):
     return graph.traverse(edges, _seeds(docs), "outbound", depth=3)
 
 
+def q8_1_traverse_all(spark, sf_dir):
+    docs, edges = _both(spark, sf_dir)
+    return graph.traverse(edges, docs.select("id"), "outbound", depth=3)
+
+
 def q8_1_traverse_both(spark, sf_dir):
     docs, edges = _both(spark, sf_dir)
     return graph.traverse(edges, _seeds(docs), "both", "supersedes", depth=3)
 
 
+def q8_1_traverse_both_all(spark, sf_dir):
+    docs, edges = _both(spark, sf_dir)
+    return graph.traverse(edges, docs.select("id"), "both", "supersedes", depth=3)
+
+
 def q8_2_lineage(spark, sf_dir):
     return graph.lineage(*_both(spark, sf_dir))
 
@@ -53,6 +63,11 @@ def q8_7_nodes(spark, sf_dir):
     return graph.nodes(graph.traverse(edges, _seeds(docs), "outbound", depth=3))
 
 
+def q8_7_nodes_all(spark, sf_dir):
+    docs, edges = _both(spark, sf_dir)
+    return graph.nodes(graph.traverse(edges, docs.select("id"), "outbound", depth=3))
+
+
 def q8_12_preconditions(spark, sf_dir):
     return graph.preconditions(*_both(spark, sf_dir), ("active", "completed"))
 

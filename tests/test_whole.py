@@ -1,0 +1,36 @@
+"""Queries over all documents, against the SQL form of their narrower namesakes without its filter."""
+
+import duckdb
+import pytest
+from conftest import DATA
+from test_oracle import TABLES, plain
+
+from corvane import registry
+
+SF = f"{DATA}/sf0.01"
+FILTERS = {
+    "q18_3_relevance": " WHERE n < 400", "q18_1_overlap": " WHERE n < 400", "q10_1_lifecycle": " WHERE n < 150", "q10_16_patch_tags": " WHERE n < 120", "q8_13_validate_links": " WHERE n < 300",
+    "q17_5_reconcile": " WHERE n < 20", "q10_7_duplicates": " WHERE n < 50", "q8_1_traverse": " WHERE n % 50 = 3", "q8_1_traverse_both": " WHERE n % 50 = 3", "q8_7_nodes": " WHERE n % 50 = 3",
+}
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    c.execute("SET TimeZone='UTC'")
+    for t in TABLES:
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    return c
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_all_documents(spark, duck, name):
+    narrow = registry.ORACLE[name]
+    assert FILTERS[name] in narrow
+    found = duck.execute(narrow.replace(FILTERS[name], ""))
+    columns = [d[0] for d in found.description]
+    want = sorted(tuple(map(plain, r)) for r in found.fetchall())
+    df = registry.QUERIES[f"{name}_all"](spark, SF)
+    assert sorted(columns) == sorted(df.columns)
+    assert sorted(tuple(map(plain, (r[c] for c in columns))) for r in df.collect()) == want
+    assert want != sorted(tuple(map(plain, r)) for r in duck.execute(narrow).fetchall())
