@@ -1,4 +1,4 @@
-"""Exact top-k BM25 search with an inverted index and block-max dynamic pruning.
+"""Exact top-k BM25 search with an inverted index, MaxScore and a block-max filter.
 
 Each task builds inverted indexes of the documents it scans: postings by term,
 with the largest term part of every list and of every block of ``BLOCK``
@@ -7,8 +7,8 @@ document frequencies and lengths are summed over all shards, so every shard rank
 with global statistics and their top lists merge exactly.
 
 A query on a shard takes its terms by falling upper bound and adds up their lists
-until the bounds of the rest cannot lift a new document over the k-th best sum (the
-WAND pivot).  From there only documents that can still reach it are looked at:
+until the bounds of the rest cannot lift a new document over the k-th best sum
+(MaxScore, term at a time, in place of block-max WAND's cursors and pivot).  From there only documents that can still reach it are looked at:
 the block maxima of the remaining terms bound each of them, most drop out, and the
 others are completed by lookups.  The final scores are summed again in one fixed
 term order, rounded to ``DIGITS`` and ranked by score, then id, so pruning never
