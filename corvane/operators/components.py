@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.lineage import materialize
+from ..plans.lineage import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,17 +27,20 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 
     Large-star and small-star steps alternate until nothing changes, which takes
-    about log(n) rounds of aggregations and joins on narrow rows.  A hub's
-    neighbours are aggregated before the shuffle and never gathered.
+    about log(n) rounds of aggregations and joins on narrow rows; a round writes
+    its table once, and the one before goes.  A hub's neighbours are aggregated
+    before the shuffle and never gathered; its rows, joined with one row, may be
+    split by Spark's skew join.
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
-    state = materialize(pairs, "components")
+    state = materialize(_star(_star(pairs, True), False), "components")
     before = None
     while True:
-        state = materialize(_star(_star(state, True), False), "components")
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
+        if now == before or not now[0]:
             break
-        before = now
+        before, last = now, state
+        state = materialize(_star(_star(state, True), False), "components")
+        discard(last)
     members = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())
