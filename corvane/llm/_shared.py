@@ -14,9 +14,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from ..plans.lineage import fresh_path, materialize, shared_dir
+from ..plans.lineage import discard, fresh_path, materialize, shared_dir
 
-__all__ = ["fresh_path", "materialize", "shared_dir"]
+__all__ = ["discard", "fresh_path", "materialize", "shared_dir"]
+
+
+def release() -> None:
+    """Hand unused memory back at the end of a task: Python workers are used again by later ones."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def filesystem(uri: str):

@@ -2,48 +2,51 @@
 
 Sets of sizes in one band (and those just below it that may still be similar to
 one in it) share a Hamming bound ``k``: similar sets differ in at most ``k``
-shingles.  The shingle domain is dealt by hash to first-level partitions, each of
-two second-level ones, and the subsets of all but one second-level partition of
-every first-level one are enumerated: a subset's content is a signature.  Similar
-sets differ in at most ``k`` subsets, so of the first ``k + 1`` subsets that are
-not empty, one is the same in both: only these are emitted.  For each set ``k``
-is the bound for its own size and the largest partner it can have.
+shingles.  The shingle domain is dealt by hash to first-level partitions of three
+second-level ones each.  Of ``k // 2 + 1`` first-level partitions one at least holds
+one difference or none, so two of its three second-level partitions are the same
+in both sets: the three subsets of two are enumerated, and a subset's content is
+a signature.  For each set ``k`` is the bound for its own size and the largest
+partner it can have, and first-level partitions in which fewer than two second-
+level ones are filled do not count.
 
 Shingles that very many documents share would make signatures common.  They are
 found over all documents (each task counts its own, the counts are summed) and
-dealt to no partition, which keeps the guarantee for every set with more than
-``k`` non-empty subsets.  Pairs of sets without that many are found by a second
-set of signatures, emitted by such sets only: their first ``k + 1`` single
-shingles, widespread ones last and the most widespread at the very end.
-
-Candidates never form all pairs of a group.  Sets that are equal are one node.
-In every signature's bucket each node meets the bucket's smallest; each node is
-verified against its most frequent such centre; components are built.  Only in
-buckets that still span several components are nodes of different components
-paired: first each node with the nearest of every other component, at last all
-whose parity sketches do not already rule them out.  All pairs are verified on
-the sets of 64-bit shingle hashes before they count.
+dealt to no partition.  A set that has too few usable partitions left emits the
+signatures of all its shingles too, and if even those are too few (very small
+sets), subsets of one shingle each.
+
+Candidates are never all pairs of a group.  Equal sets are one node, and signatures
+shared by the same nodes one bucket.  First each node meets the four first nodes of
+its buckets; the nearest that its parity sketch does not rule out is verified on the
+sets, and components are built.  Only in buckets that still span several components
+do nodes of different ones meet, in tiles of bounded size: first the nearest pair of
+each two components, at last, where that pair was not similar, the others that the
+sketches do not rule out.  All links are verified on the sets of 64-bit shingle hashes.
 
 Documents without words have no shingles and link with nothing; those of fewer
-than five words have one; null texts are empty; repeated doc ids are one document
-per row and share their component by id.
+than five words have one; null texts are empty.  Repeated ids are a document per
+row; a row without an id links as any other, takes its component's smallest id
+and has none where the component has none.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.components import connected_components
-from ._shared import materialize, slices
+from ._shared import discard, materialize, ranges, release, slices
 from ._words import WordColumn
 
 N = 5
-SKETCH_BITS = 2048
+SKETCH_BITS = 512
 _M = np.uint64(0x9E3779B97F4A7C15)
 _ROOT = np.uint64(0xD6E8FEB86659FD93)
 
@@ -101,10 +104,6 @@ class Bands:
             low = high + 1
         return out
 
-    def tags(self, size: int, bounds: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """(band, largest size there) for which a set of this size makes signatures."""
-        return [(k, high) for k, (low, high) in enumerate(bounds) if self.num * low <= self.den * size and size <= high]
-
     def allowed(self, both: int) -> int:
         """The most shingles in which similar sets of ``both`` shingles together differ."""
         return both * (self.den - self.num) // (self.den + self.num)
@@ -117,46 +116,129 @@ class Widespread:
     hashes: np.ndarray
     ranks: np.ndarray
 
+    def find(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it widespread, where in ``hashes``) of each shingle."""
+        if not len(self.hashes):
+            return np.zeros(len(shingles), bool), np.zeros(len(shingles), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, shingles), len(self.hashes) - 1)
+        return self.hashes[at] == shingles, at
+
+
+#: Second-level partitions of a first-level one, and how many of them a signature leaves out.
+SECOND, LEFT_OUT = 3, 1
+_SUBSETS = list(itertools.combinations(range(SECOND), SECOND - LEFT_OUT))
+
+
+@dataclass
+class Tags:
+    """The (set, band) combinations of some sets: what each must be enumerated for."""
+
+    owner: np.ndarray
+    band: np.ndarray
+    bound: np.ndarray
+    firsts: np.ndarray
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, bands: Bands, bounds: list[tuple[int, int]]) -> "Tags":
+        found = []
+        for band, (low, high) in enumerate(bounds):
+            own = np.flatnonzero((bands.num * low <= bands.den * sizes) & (sizes <= high) & (sizes > 0))
+            if not len(own):
+                continue
+            # Partners are at most ``high`` and size / similarity large; the number of partitions is the band's.
+            bound = bands.allowed(sizes[own] + np.minimum(high, sizes[own] * bands.den // bands.num))
+            own, bound = own[bound > 0], bound[bound > 0]  # sets that may differ in nothing are equal, and so one node
+            least = bands.allowed(2 * high) // (LEFT_OUT + 1) + 1
+            found.append((own, np.full(len(own), band), bound, np.full(len(own), least + least // 8 + 1)))
+        return cls(*(np.concatenate(x).astype(np.int64) if found else np.zeros(0, np.int64) for x in (zip(*found) if found else ((),) * 4)))
+
+    @property
+    def needed(self) -> np.ndarray:
+        """Of so many first-level partitions one at least holds no more than ``LEFT_OUT`` differences."""
+        return self.bound // (LEFT_OUT + 1) + 1
+
+    def only(self, chosen: np.ndarray) -> "Tags":
+        return Tags(self.owner[chosen], self.band[chosen], self.bound[chosen], self.firsts[chosen])
 
-def signatures(shingles: np.ndarray, common: Widespread, bands: Bands, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """All signatures of one set."""
-    at = np.minimum(np.searchsorted(common.hashes, shingles), max(0, len(common.hashes) - 1))
-    known = common.hashes[at] == shingles if len(common.hashes) else np.zeros(len(shingles), bool)
-    rare, size, out = shingles[~known], len(shingles), []
-    for band, high in bands.tags(size, bounds):
-        # Partners are at most ``high`` and size / similarity large; the subsets' number is the band's.
-        k = bands.allowed(size + min(high, size * bands.den // bands.num))
-        widest = bands.allowed(2 * high)
-        subsets = np.uint64(2 * max(1, -(-(widest + widest // 4 + 2) // 2)))
-        # A subset of one of the two second-level partitions of a first-level one.
-        where = mix(rare + np.uint64(band)) % subsets
-        content = np.zeros(int(subsets), np.uint64)
-        np.add.at(content, where.astype(np.int64), mix(rare ^ _ROOT))
-        filled = np.flatnonzero(np.bincount(where.astype(np.int64), minlength=int(subsets)))
-        if len(filled) > k:
-            some = filled[: k + 1]
-            out.append(mix(content[some] + mix(some.astype(np.uint64) + np.uint64(band << 40))))
-        else:
-            # Similar sets share all but so many of their shingles, so one of the first of them in any fixed order.
-            least = size - -(-size * bands.num // bands.den) + 1
-            often = shingles[known][np.argsort(common.ranks[at[known]], kind="stable")]
-            ranked = np.concatenate([rare, often])[: min(k + 1, least)]
-            out.append(mix(ranked ^ np.uint64((band << 40) + 1)))
-            # Sets with enough subsets may still be similar: they are found through these, if not through the others.
-            if len(filled):
-                out.append(mix(content[filled] + mix(filled.astype(np.uint64) + np.uint64(band << 40))))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+def enumerated(shingles: np.ndarray, sizes: np.ndarray, tags: Tags, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, tag of each, usable first-level partitions of each tag) of sets in a row.
+
+    A signature is the content of two of the three second-level partitions of one
+    first-level partition.  A partition with two that are not empty is usable; a
+    tag emits every content that is not empty up to its last needed usable one.
+    """
+    starts = np.cumsum(sizes) - sizes
+    length = sizes[tags.owner]
+    element = shingles[ranges(starts[tags.owner], length)]
+    tag = np.repeat(np.arange(len(length)), length)
+    base = np.cumsum(tags.firsts) - tags.firsts
+    total = int(tags.firsts.sum())
+    place = mix(element + tags.band[tag].astype(np.uint64) * np.uint64(2) + np.uint64(kind))
+    cell = (base[tag] + (place % tags.firsts[tag].astype(np.uint64)).astype(np.int64)) * SECOND + ((place >> np.uint64(40)) % np.uint64(SECOND)).astype(np.int64)
+    content = np.zeros(total * SECOND, np.uint64)
+    np.add.at(content, cell, mix(element ^ _ROOT))
+    filled = (np.bincount(cell, minlength=total * SECOND) > 0).reshape(total, SECOND)
+    content = content.reshape(total, SECOND)
+    usable = filled.sum(1) > LEFT_OUT
+    owner = np.repeat(np.arange(len(length)), tags.firsts)
+    running = np.concatenate([[0], np.cumsum(usable)])
+    before = running[:-1] - running[base][owner]
+    wanted = before < tags.needed[owner]
+    position = np.arange(total) - base[owner]
+    sigs, of = [], []
+    for number, subset in enumerate(_SUBSETS):
+        at = np.flatnonzero(wanted & filled[:, list(subset)].any(1))
+        where = (position[at] * 16 + number * 2 + kind).astype(np.uint64) + (tags.band[owner[at]].astype(np.uint64) << np.uint64(48))
+        joint = mix(where)
+        for column in subset:
+            joint = mix(joint ^ mix(content[at, column] + np.uint64(column + 1)))
+        sigs.append(joint)
+        of.append(owner[at])
+    counts = running[base + tags.firsts] - running[base] if len(base) else np.zeros(0, np.int64)
+    return np.concatenate(sigs), np.concatenate(of), counts
+
+
+def signatures(sets: list[np.ndarray], common: Widespread, bands: Bands, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All signatures of some sets, and the number of the set that each belongs to."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tags = Tags.of(sizes, bands, bounds)
+    if not len(tags.owner):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    every = np.concatenate(sets)
+    known, at = common.find(every)
+    rare_sizes = np.bincount(np.repeat(np.arange(len(sets)), sizes)[~known], minlength=len(sets))
+    sig, of, usable = enumerated(every[~known], rare_sizes, tags, 0)
+    out = [(sig, tags.owner[of])]
+    short = tags.only(np.flatnonzero(usable < tags.needed))
+    if len(short.owner):
+        # Too few usable partitions without the widespread shingles: once more with all of them.
+        sig, of, usable = enumerated(every, sizes, short, 1)
+        out.append((sig, short.owner[of]))
+        starts = np.cumsum(sizes) - sizes
+        for tag in np.flatnonzero(usable < short.needed).tolist():
+            # Too few in any case: subsets of one shingle each, as many as make one of them shared.
+            owner, bound = int(short.owner[tag]), int(short.bound[tag])
+            own = slice(starts[owner], starts[owner] + sizes[owner])
+            often = every[own][known[own]][np.argsort(common.ranks[at[own][known[own]]], kind="stable")] if len(common.ranks) else every[:0]
+            least = len(sets[owner]) - -(-len(sets[owner]) * bands.num // bands.den) + 1
+            ranked = np.concatenate([every[own][~known[own]], often])[: min(bound + 1, least)]
+            out.append((mix(ranked ^ np.uint64((int(short.band[tag]) << 40) + 1)), np.full(len(ranked), owner)))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-_DOC = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64())])
+_DOC = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary())])
+_DOC_SQL = "kind int, id long, n long, node long, sketch binary"
+#: Nodes that a task remembers, and shingles that it counts at once.
+_REMEMBERED, _COUNTED = 200_000, 2_000_000
 
 
 def _profile(least: int, n: int):
-    """Rows of documents (kind 0: doc id, set size, node) and of widespread shingles (kind 1: hash, count in this task)."""
+    """Rows of documents (kind 0: doc id, set size, node, sketch) and of widespread shingles (kind 1: hash, count in this task)."""
 
     def run(batches):
         seen: set[int] = set()
@@ -167,7 +249,7 @@ def _profile(least: int, n: int):
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             often = counts >= least
             k = int(often.sum())
-            return pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(_signed(values[often])), pa.array(counts[often].astype(np.int64)), pa.array(np.zeros(k, np.int64))], schema=_DOC)
+            return pa.record_batch([pa.array(np.ones(k, np.int32)), pa.array(_signed(values[often])), pa.array(counts[often].astype(np.int64)), pa.array(np.zeros(k, np.int64)), pa.nulls(k, pa.binary())], schema=_DOC)
 
         for batch in slices(batches, 1):
             sets = shingle_sets(batch.column(1), n)
@@ -177,14 +259,16 @@ def _profile(least: int, n: int):
                     held.append(s)
                     size += len(s)
             seen.update(nodes)
-            if len(seen) > 500_000:
+            if len(seen) > _REMEMBERED:
                 seen.clear()
-            yield pa.record_batch([pa.array(np.zeros(len(sets), np.int32)), batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64())], schema=_DOC)
-            if size > 4_000_000:
+            columns = [np.zeros(len(sets), np.int32), batch.column(0), [len(s) for s in sets], nodes, [sketch_of(s) for s in sets]]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _DOC.types)], schema=_DOC)
+            if size > _COUNTED:
                 yield widespread()
                 held, size = [], 0
         if held:
             yield widespread()
+        release()
 
     return run
 
@@ -195,75 +279,229 @@ def _emit(shared, bands: Bands, n: int):
     def run(batches):
         common, bounds = shared.value, bands.bounds()
         seen: set[int] = set()
-        for batch in slices(batches, 0):
-            sigs, nodes = [], []
+        for batch in slices(batches, 0, 1_000_000):
+            sets, nodes = [], []
             for s in shingle_sets(batch.column(0), n):
                 node = node_of(s)
                 if len(s) and node not in seen:
                     seen.add(node)
-                    got = signatures(s, common, bands, bounds)
-                    sigs.append(got)
-                    nodes.append(np.full(len(got), node, np.int64))
-            if len(seen) > 500_000:
+                    sets.append(s)
+                    nodes.append(node)
+            if len(seen) > _REMEMBERED:
                 seen.clear()
-            if sigs:
-                yield pa.record_batch([pa.array(_signed(np.concatenate(sigs))), pa.array(np.concatenate(nodes))], schema=schema)
+            if sets:
+                sig, of = signatures(sets, common, bands, bounds)
+                if len(sig):
+                    yield pa.record_batch([pa.array(_signed(sig)), pa.array(np.array(nodes, np.int64)[of])], schema=schema)
+        release()
 
     return run
 
 
-def _centred(batches):
-    """Rows (sig, node, centre) of the buckets with several nodes, from rows sorted by (sig, node)."""
-    schema = pa.schema([("sig", pa.int64()), ("node", pa.int64()), ("centre", pa.int64())])
-    pending: tuple[int, int] | None = None  # a bucket's only node so far
-    last: tuple[int, int, int] | None = None  # (sig, latest node, centre) of the bucket at the end of a batch
-    for batch in batches:
-        if not batch.num_rows:
+_OPEN = 65_536
+
+
+def _buckets(batches):
+    """Rows (bucket, node) of the signatures that several nodes share, from rows sorted by (sig, node).
+
+    Signatures shared by the very same nodes are one bucket, named by those nodes;
+    one of more than ``_OPEN`` nodes keeps the name of its signature and streams by.
+    """
+    schema = pa.schema([("bucket", pa.int64()), ("node", pa.int64())])
+    sig, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    streamed: int | None = None
+
+    def rows(bucket, nodes):
+        return pa.record_batch([pa.array(bucket), pa.array(nodes)], schema=schema)
+
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            sig, node = np.concatenate([sig, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+        if not len(sig):
             continue
-        sig, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-        if last and sig[0] == last[0] and node[0] == last[1]:
-            fresh[0] = False
         sig, node = sig[fresh], node[fresh]
-        if not len(sig):
-            continue
-        head = np.concatenate([[True], sig[1:] != sig[:-1]])
-        group = np.cumsum(head) - 1
-        first = node[head]
-        carried = last is not None and sig[0] == last[0]
-        if carried:
-            first = first.copy()
-            first[0] = last[2]
-        centre = first[group]
-        size = np.bincount(group)
-        many = size[group] > 1
-        if carried:
-            many |= group == 0
-        out_sig, out_node, out_centre = [sig[many]], [node[many]], [centre[many]]
-        if carried and pending:
-            out_sig.append(np.array([pending[0]]))
-            out_node.append(np.array([pending[1]]))
-            out_centre.append(np.array([pending[1]]))
-        # The bucket at the end may go on in the next batch.
-        alone = size[-1] == 1 and not (carried and len(size) == 1)
-        pending = (int(sig[-1]), int(node[-1])) if alone else None
-        last = int(sig[-1]), int(node[-1]), int(centre[-1])
-        if sum(map(len, out_sig)):
-            yield pa.record_batch([pa.array(np.concatenate(x)) for x in (out_sig, out_node, out_centre)], schema=schema)
-
-
-_SET = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("short", pa.binary()), ("sketch", pa.binary()), ("shingles", pa.binary())])
+        starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        sizes = np.diff(np.append(starts, len(sig)))
+        done = len(starts) if batch is None else len(starts) - 1
+        if streamed is not None and sig[0] == streamed:
+            # More of a bucket that is too large to be held; the latest node stays, to tell repetitions.
+            upto = sizes[0] if done else sizes[0] - 1
+            if upto > 1 or (upto and done):
+                yield rows(np.full(upto, streamed), node[:upto])
+            if not done:
+                sig, node = sig[upto:], node[upto:]
+                continue
+            starts, sizes, done = starts[1:], sizes[1:], done - 1
+            streamed = None
+            if not len(starts):
+                sig, node = sig[:0], node[:0]
+                continue
+        keep = np.flatnonzero(sizes[:done] > 1)
+        if len(keep):
+            name = np.add.reduceat(mix(node.view(np.uint64)), starts)[keep] ^ mix(sizes[keep].astype(np.uint64))
+            name, first = np.unique(mix(name), return_index=True)
+            keep = keep[first]
+            yield rows(np.repeat(_signed(name), sizes[keep]), node[ranges(starts[keep], sizes[keep])])
+        low = starts[done] if done < len(starts) else len(sig)
+        sig, node = sig[low:], node[low:]
+        if len(sig) > _OPEN:
+            streamed = int(sig[0])
+            yield rows(sig[:-1], node[:-1])
+            sig, node = sig[-1:], node[-1:]
+    release()
 
 
 def sketch_of(shingles: np.ndarray) -> bytes:
-    """Parities of the shingle counts of ``SKETCH_BITS`` cells.  Two sketches differ in no more bits than the sets in shingles."""
-    counts = np.bincount((shingles >> np.uint64(17)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS)
-    return np.packbits(counts & 1).tobytes()
+    """Parities of the shingle counts of cells, at least as many cells as shingles.
+
+    Two sketches, folded to the length of the shorter, differ in no more bits than
+    the sets in shingles.
+    """
+    bits = max(SKETCH_BITS, 1 << max(0, len(shingles) - 1).bit_length())
+    counts = np.bincount(((shingles >> np.uint64(17)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1, bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of several lengths: a longer one is folded to the length of the other."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.lengths = np.array([len(s) for s in sketches], np.int64)
+        #: By length: the sketches of at least that length, folded to it, and the place of each among them.
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        rows, table = np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
+        for size in sorted(set(self.lengths.tolist()), reverse=True):
+            while len(rows) and table.shape[1] * 8 > size:
+                half = table.shape[1] // 2
+                table = table[:, :half] ^ table[:, half:]
+            own = np.flatnonzero(self.lengths == size)
+            mine = np.frombuffer(b"".join(sketches[k] for k in own.tolist()), np.uint64).reshape(len(own), -1)
+            rows, table = np.concatenate([rows, own]), np.concatenate([table, mine]) if len(rows) else mine
+            place = np.zeros(len(sketches), np.int64)
+            place[rows] = np.arange(len(rows))
+            self.at[size] = place, table
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits in which the sketches x and y differ."""
+        out = np.zeros(len(x), np.int64)
+        shorter = np.minimum(self.lengths[x], self.lengths[y])
+        for size, (place, table) in self.at.items():
+            own = np.flatnonzero(shorter == size)
+            step = max(1, 8_000_000 // size)
+            for low in range(0, len(own), step):
+                some = own[low : low + step]
+                out[some] = np.bitwise_count(table[place[x[some]]] ^ table[place[y[some]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def likely(bands: Bands, x: np.ndarray, y: np.ndarray, sizes: np.ndarray, sketches: Sketches) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (x, y) that sizes and sketches do not rule out, and how far apart their sketches are."""
+    fits = (sizes[x] * bands.num <= sizes[y] * bands.den) & (sizes[y] * bands.num <= sizes[x] * bands.den)
+    x, y = x[fits], y[fits]
+    far = sketches.apart(x, y)
+    fits = far * (bands.den + bands.num) <= (sizes[x] + sizes[y]) * (bands.den - bands.num)
+    return x[fits], y[fits], far[fits]
+
+
+#: The nodes of a bucket that all others meet first, and the most rows of a bucket in one tile.
+CENTRES, TILE = 4, 1_024
+
+
+def _to_centres(bands: Bands):
+    """(a, b, far): each node with the nearest of its bucket's first nodes, from rows sorted by bucket and a hash."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("far", pa.int64())])
+
+    def run(batches):
+        carried: pa.Table | None = None  # the first rows of the bucket at the end of the batch before
+        for batch in batches:
+            for low in range(0, batch.num_rows, 50_000):
+                part = batch.slice(low, 50_000)
+                old = len(carried) if carried is not None else 0
+                table = pa.Table.from_batches([part]) if carried is None else pa.concat_tables([carried, pa.Table.from_batches([part])])
+                bucket, node, size = (table.column(c).to_numpy() for c in ("bucket", "node", "n"))
+                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                group = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(bucket))))
+                rank = np.arange(len(bucket)) - starts[group]
+                x = np.concatenate([np.flatnonzero((rank > k) & (np.arange(len(rank)) >= old)) for k in range(CENTRES)])
+                y = np.concatenate([starts[group[(rank > k) & (np.arange(len(rank)) >= old)]] + k for k in range(CENTRES)])
+                x, y, far = likely(bands, x, y, size, Sketches(table.column("sketch").to_pylist()))
+                order = np.lexsort((y, far, x))
+                first = order[np.concatenate([[True], x[order][1:] != x[order][:-1]])] if len(order) else order
+                if len(first):
+                    yield pa.record_batch([pa.array(node[x[first]]), pa.array(node[y[first]]), pa.array(far[first])], schema=schema)
+                carried = table.slice(int(starts[-1]), CENTRES)
+        release()
+
+    return run
+
 
+_ACROSS = pa.schema([("ca", pa.int64()), ("cb", pa.int64()), ("far", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("more", pa.int32())])
 
-def folded(sketch: bytes) -> bytes:
-    """A quarter of a sketch's bits: cells that share one add up their parities."""
-    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint8).reshape(4, -1), axis=0).tobytes()
+
+def _across(bands: Bands, every: bool):
+    """Likely pairs of nodes of different components, from rows sorted by bucket and tile pair.
+
+    Of two components only the nearest pair of a tile is given, and if there are
+    ``more``; ``every`` gives all.
+    """
+
+    def pairs(table, starts, sizes):
+        node, comp, tile, low, high, n = (table.column(c).to_numpy() for c in ("node", "comp", "tile", "low", "high", "n"))
+        rank = ranges(np.zeros(len(sizes), np.int64), sizes)
+        begin = np.repeat(starts, sizes)
+        x, y = np.repeat(np.arange(len(rank)), rank), ranges(begin, rank)
+        fits = (comp[x] != comp[y]) & ((low[x] == high[x]) | (tile[x] != tile[y]))
+        x, y, far = likely(bands, x[fits], y[fits], n, Sketches(table.column("sketch").to_pylist()))
+        turn = comp[x] > comp[y]
+        x, y = np.where(turn, y, x), np.where(turn, x, y)
+        ca, cb, a, b = comp[x], comp[y], node[x], node[y]
+        more = np.zeros(len(ca), np.int32)
+        order = np.lexsort((b, a, far, cb, ca))
+        ca, cb, far, a, b = (v[order] for v in (ca, cb, far, a, b))
+        if len(ca):
+            new = np.concatenate([[True], (ca[1:] != ca[:-1]) | (cb[1:] != cb[:-1]) | (every & ((a[1:] != a[:-1]) | (b[1:] != b[:-1])))])
+            head = np.flatnonzero(new)
+            last = np.append(head[1:], len(ca)) - 1
+            more = ((a[last] != a[head]) | (b[last] != b[head])).astype(np.int32)
+            ca, cb, far, a, b = (v[head] for v in (ca, cb, far, a, b))
+        return pa.record_batch([pa.array(v) for v in (ca, cb, far, a, b, more)], schema=_ACROSS)
+
+    def run(batches):
+        rest: pa.Table | None = None
+        for batch in itertools.chain(batches, [None]):
+            parts = [] if rest is None else [rest]
+            table = pa.concat_tables(parts + ([] if batch is None else [pa.Table.from_batches([batch])])) if parts or batch is not None else None
+            if table is None or not len(table):
+                continue
+            table = table.combine_chunks()
+            keys = [table.column(c).to_numpy() for c in ("bucket", "low", "high")]
+            new = np.zeros(len(table), bool)
+            new[0] = True
+            for k in keys:
+                new[1:] |= k[1:] != k[:-1]
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(table))
+            if batch is not None:
+                rest = table.slice(int(starts[-1]))
+                starts, ends = starts[:-1], ends[:-1]
+            work = np.cumsum((ends - starts) ** 2)
+            at = 0
+            while at < len(starts):  # groups of about a million pairs at a time, one group at least
+                upto = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + 2_000_000, "right")))
+                low, high = int(starts[at]), int(ends[upto - 1])
+                found = pairs(table.slice(low, high - low), starts[at:upto] - low, ends[at:upto] - starts[at:upto])
+                if found.num_rows:
+                    yield found
+                at = upto
+        release()
+
+    return run
+
+
+_SET = pa.schema([("doc_id", pa.int64()), ("node", pa.int64()), ("shingles", pa.binary())])
 
 
 def _slot(ids: np.ndarray, bits: int) -> np.ndarray:
@@ -281,7 +519,7 @@ def _marks(bits: int):
 
 
 def marks(ids: DataFrame, most_bits: int = 1 << 27):
-    """A broadcast bit map of ids, of 16 bits an id and 16 MB at most: it only spares rows a join, which decides."""
+    """A broadcast bit map of ids (not null), of 16 bits an id and 16 MB at most: it only spares rows a join, which decides."""
     bits = min(most_bits, max(1 << 16, 1 << (16 * ids.count()).bit_length()))
     total = np.zeros(bits // 8, np.uint8)
     for row in ids.coalesce(8).mapInArrow(_marks(bits), "bits binary").toLocalIterator():
@@ -290,41 +528,23 @@ def marks(ids: DataFrame, most_bits: int = 1 << 27):
 
 
 def _sets(shared, n: int):
+    """(doc_id, node, shingles) of the rows whose id is marked or null."""
+
     def run(batches):
         bits, packed = shared.value
         for batch in slices(batches, 1):
-            at = _slot(batch.column(0).fill_null(-1).to_numpy(), bits)
-            batch = batch.filter(pa.array((packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            at = _slot(batch.column(0).fill_null(0).to_numpy(), bits)
+            wanted = (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) | np.asarray(batch.column(0).is_null())
+            batch = batch.filter(pa.array(wanted))
             if batch.num_rows:
                 sets = shingle_sets(batch.column(1), n)
-                sketches = [sketch_of(s) for s in sets]
-                columns = [batch.column(0), [node_of(s) for s in sets], [folded(x) for x in sketches], sketches, [s.tobytes() for s in sets]]
+                columns = [batch.column(0), [node_of(s) for s in sets], [s.tobytes() for s in sets]]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SET.types)], schema=_SET)
+        release()
 
     return run
 
 
-def _plausible(bands: Bands):
-    """Pairs (a, b) whose sketches and sizes do not rule them out."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
-            both = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
-            yield batch.select(["a", "b"]).filter(pa.array(far * (bands.den + bands.num) <= both * (bands.den - bands.num)))
-
-    return run
-
-
-def plausible(pairs: DataFrame, sets: DataFrame, bands: Bands) -> DataFrame:
-    small = sets.select("node", "sketch", F.octet_length("shingles").alias("n"))
-    side = lambda x: small.select(F.col("node").alias(x), F.col("sketch").alias(f"sketch_{x}"), (F.col("n") / 8).cast("long").alias(f"n_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_plausible(bands), "a long, b long")
-
-
 def _verify(bands: Bands):
     def run(batches):
         for batch in batches:
@@ -352,79 +572,29 @@ def verified(pairs: DataFrame, sets: DataFrame, bands: Bands, heavy: int = 500)
     return both.select("a", "b", "shingles", "other").mapInArrow(_verify(bands), "a long, b long")
 
 
-def _cross(bands: Bands, nearest: bool):
-    """Pairs of different components in one bucket that short sketches allow, from rows sorted by sig.
+def _tiled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that span several components, dealt by bucket and pair of tiles.
 
-    ``nearest``: of each node and other component only the pair of the closest
-    sketches; ``more`` then says whether there are others.
+    A bucket of more than ``TILE`` rows is split by hash into tiles, and each pair
+    of tiles is a unit of its own.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("more", pa.int64())])
-
-    def pairs(node, comp, sketch, n):
-        out = []
-        for low in range(0, len(node), 256):
-            i = slice(low, low + 256)
-            found = []
-            for start in range(0, len(node), 256):
-                j = slice(start, start + 256)
-                x, y = np.nonzero((comp[i, None] != comp[None, j]) & (n[i, None] * bands.num <= n[None, j] * bands.den) & (n[None, j] * bands.num <= n[i, None] * bands.den))
-                x, y = x + low, y + start
-                far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
-                fits = far * (bands.den + bands.num) <= (n[x] + n[y]) * (bands.den - bands.num)
-                found.append(np.stack([x[fits], y[fits], far[fits]], 1))
-            got = np.concatenate(found)
-            more = np.zeros(len(got), np.int64)
-            if nearest and len(got):
-                got = got[np.lexsort((got[:, 1], got[:, 2], comp[got[:, 1]], got[:, 0]))]
-                head = np.flatnonzero(np.concatenate([[True], (np.diff(got[:, 0]) != 0) | (np.diff(comp[got[:, 1]]) != 0)]))
-                more = (np.diff(np.append(head, len(got))) > 1).astype(np.int64)
-                got = got[head]
-            a, b = node[got[:, 0]], node[got[:, 1]]
-            out.append(np.stack([np.minimum(a, b), np.maximum(a, b), more], 1))
-        return np.unique(np.concatenate(out), axis=0)
-
-    def run(batches):
-        rest = None
-        for batch in (*batches, None):
-            table = [rest, batch] if rest is not None and batch is not None else [rest if batch is None else batch]
-            if table == [None]:
-                return
-            whole = pa.Table.from_batches(table).combine_chunks()
-            if not len(whole):
-                continue
-            sig = whole.column(0).to_numpy()
-            starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            ends = np.append(starts[1:], len(sig))
-            if batch is not None:
-                rest = whole.slice(starts[-1]).to_batches()[0]
-                starts, ends = starts[:-1], ends[:-1]
-            node, comp = whole.column(1).to_numpy(), whole.column(2).to_numpy()
-            sketch = np.frombuffer(b"".join(whole.column(3).to_pylist()), np.uint64).reshape(len(whole), -1)
-            size = whole.column(4).to_numpy()
-            found = [pairs(node[a:b], comp[a:b], sketch[a:b], size[a:b]) for a, b in zip(starts, ends)]
-            if found:
-                got = np.unique(np.concatenate(found), axis=0)
-                yield pa.record_batch([pa.array(got[:, k]) for k in range(3)], schema=schema)
-
-    return run
-
-
-def _unsettled(multi: DataFrame, labels: DataFrame) -> DataFrame:
-    """(sig, node, comp) of the buckets whose nodes are of several components."""
-    named = multi.select("sig", "node").join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = named.groupBy("sig").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("sig")
-    return named.join(mixed, "sig", "left_semi").select("sig", "node", "comp")
+    named = rows.join(labels.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = named.groupBy("bucket").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).where("one < other")
+    left = named.join(mixed.select("bucket", "tiles"), "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    met = left.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    keyed = met.select("bucket", F.least("tile", "with").alias("low"), F.greatest("tile", "with").alias("high"), "tile", "node", "comp", "n", "sketch")
+    return keyed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
 
 
 def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n: int = N, common_least: int = 8, common_most: int = 200_000) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest doc id linked) and its set's node.
+    """Per document: doc_id, n_shingles, component_id (smallest doc id linked), its set's node and component (a node).
 
     ``common_least`` is the count within one task's run of texts from which a
     shingle is widespread; at most ``common_most`` of them are set aside (they
     only change how many candidates there are, never the result).
     """
     spark, bands = docs.sparkSession, Bands(*similarity)
-    profile = materialize(docs.select("doc_id", "text").mapInArrow(_profile(common_least, n), "kind int, id long, n long, node long"), "profile")
+    profile = materialize(docs.select("doc_id", "text").mapInArrow(_profile(common_least, n), _DOC_SQL), "profile")
     members = profile.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node")
     top = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "id").limit(common_most)
     found = np.array([r["id"] for r in top.orderBy("c", "id").select("id").collect()], np.int64).view(np.uint64)
@@ -432,40 +602,80 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
     shared = spark.sparkContext.broadcast(Widespread(found[order], order))
     sigs = docs.select("text").mapInArrow(_emit(shared, bands, n), "sig long, node long")
     dealt = sigs.repartition("sig").sortWithinPartitions("sig", "node")
-    multi = materialize(dealt.mapInArrow(_centred, "sig long, node long, centre long"), "buckets")
-
-    needed = multi.select("node").distinct()
-    where = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(needed, "node", "left_semi")
-    where = materialize(where, "needed")
-    made = docs.select("doc_id", "text").mapInArrow(_sets(marks(where.select("doc_id")), n), "doc_id long, node long, short binary, sketch binary, shingles binary")
-    sets = materialize(made.join(where, ["doc_id", "node"], "left_semi").select("node", "short", "sketch", "shingles"), "sets")
-
-    met = multi.where("node != centre").groupBy("node", "centre").count()
-    first = met.groupBy("node").agg(F.max(F.struct("count", F.expr("-centre").alias("low"), "centre")).alias("m")).select(F.col("node").alias("a"), F.col("m.centre").alias("b"))
-    edges = materialize(verified(plausible(first, sets, bands), sets, bands), "edges")
-    for nearest in (True, False):
-        labels = materialize(connected_components(edges, "a", "b"), "labels")
-        left = _unsettled(multi, labels).join(sets.select("node", "short", (F.octet_length("shingles") / 8).cast("long").alias("n")), "node").select("sig", "node", "comp", "short", "n")
-        pairs = left.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_cross(bands, nearest), "a long, b long, more long")
-        pairs = materialize(pairs.groupBy("a", "b").agg(F.max("more").alias("more")), "pairs")
-        edges = materialize(edges.unionByName(verified(plausible(pairs.select("a", "b"), sets, bands), sets, bands)), "edges")
+    buckets = materialize(dealt.mapInArrow(_buckets, "bucket long, node long"), "buckets")
+    shared.unpersist()
+
+    sketched = profile.where("kind = 0").select("node", "n", "sketch").dropDuplicates(["node"])
+    rows = materialize(buckets.distinct().join(sketched, "node"), "bucket-rows")
+    discard(buckets)
+    needed = rows.select("node").distinct()
+    # Of equal sets the row of the smallest id stands for all; a null is it only where there is no other.
+    where = materialize(members.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "needed")
+    chosen = marks(where.where("doc_id is not null").select("doc_id"))
+    made = docs.select("doc_id", "text").mapInArrow(_sets(chosen, n), "doc_id long, node long, shingles binary")
+    here = made.join(where.withColumnRenamed("doc_id", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    sets = materialize(here.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    chosen.unpersist()
+
+    order = [F.col("bucket"), F.xxhash64("node"), F.col("node")]
+    near = rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_to_centres(bands), "a long, b long, far long")
+    first = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", "m.b")
+    edges = materialize(verified(first, sets, bands), "edges")
+    for every in (False, True):
+        labels = connected_components(edges, "a", "b")
+        met = _tiled(rows, labels).mapInArrow(_across(bands, every), "ca long, cb long, far long, a long, b long, more int")
+        one = F.struct("far", "a", "b")
+        if every:
+            pairs = met.select("a", "b", F.lit(0).alias("more")).distinct()
+        else:
+            best = met.groupBy("ca", "cb").agg(F.min(one).alias("m"), F.max(one).alias("w"), F.max("more").alias("more"))
+            pairs = best.select("m.a", "m.b", F.when(F.col("m") != F.col("w"), 1).otherwise(F.col("more")).alias("more"))
+        pairs = materialize(pairs, "pairs")
+        edges = materialize(edges.unionByName(verified(pairs.select("a", "b"), sets, bands)), "edges")
         if pairs.where("more > 0").isEmpty():
             break
     labels = connected_components(edges, "a", "b")
     grouped = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = grouped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    classes = materialize(named.join(least, "component").select("node", "component_id"), "classes")
+    classes = materialize(named.join(least, "component").select("node", "component", "component_id"), "classes")
+    discard(rows, sets, where)
     out = members.join(classes, "node", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "component")
+
+
+def _nodes(n: int, at: int):
+    """The rows with the node of their text behind them."""
+
+    def run(batches):
+        for batch in slices(batches, at):
+            nodes = pa.array([node_of(s) for s in shingle_sets(batch.column(at), n)], pa.int64())
+            yield pa.record_batch([*batch.columns, nodes], names=[*batch.schema.names, "_node_of"])
+
+    return run
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component (its smallest id) and all without shingles, with all their columns.
+    """One document of each component (that of the smallest id) and all without shingles, with all their columns.
 
-    Repeated rows of one id and text are one; rows without an id stay as they are.
+    Of rows that share that id, and in components without any id, the first by all
+    columns in turn stays.
     """
     found = join_components(docs)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return kept.unionByName(docs.where("doc_id is null"))
+    alone = found.groupBy("doc_id").agg(F.count("*").alias("rows")).where("doc_id is not null and rows = 1").select("doc_id")
+    best = found.where("doc_id = component_id").select("doc_id").join(alone, "doc_id", "left_semi")
+    kept = docs.join(best, "doc_id", "left_semi").select(*docs.columns)
+    # Rows without an id of their own: told apart by their sets.
+    names = {"doc_id": "_id", "node": "_node", "component": "_component", "component_id": "_least", "n_shingles": "_n"}
+    odd = found.join(alone, "doc_id", "left_anti").select(*(F.col(c).alias(x) for c, x in names.items())).distinct()
+    some = odd.count()
+    if not some:
+        return kept
+    ids = odd.select("_id").distinct()
+    ids = F.broadcast(ids) if some < 1_000_000 else ids
+    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
+    keyed = rows.mapInArrow(_nodes(N, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("_node_of", T.LongType())]))
+    named = keyed.join(odd, (F.col("_node_of") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("doc_id").eqNullSafe(F.col("_least")) | (F.col("_n") == 0))
+    turn = Window.partitionBy("_component").orderBy(*docs.columns)
+    firsts = named.where("_n > 0").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1")
+    return kept.unionByName(firsts.select(*docs.columns)).unionByName(named.where("_n = 0").select(*docs.columns))

@@ -146,19 +146,45 @@ GROUPS = ("doc_id", "n_shingles", "component_id")
 
 
 def test_jaccard_groups(spark, odd, none, rows):
-    some = [r for r in ODD if r[0] is not None]
-    assert brute.collected(jaccard_join.join_components(odd.where("doc_id is not null")), *GROUPS) == brute.components(some)
+    assert brute.collected(jaccard_join.join_components(odd), *GROUPS) == brute.components(ODD)
     assert jaccard_join.join_components(none).count() == 0
     assert brute.collected(llm.op6_partenum_jaccard(spark, SF), *GROUPS) == brute.components(rows)
 
 
+def test_jaccard_links_rows_without_an_id(spark):
+    base = " ".join(brute.PROSE * 3)
+    rows = [(1, base), (2, "something else altogether in here"), (None, base + " word"), (None, base + " word"), (3, base + " word more"), (4, None), (None, "x y z"), (None, "x y z")]
+    docs = brute.documents(spark, rows)
+    got = brute.collected(jaccard_join.join_components(docs), *GROUPS)
+    assert got == brute.components(rows) and [g[2] for g in got if g[0] is None].count(1) == 2
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in jaccard_join.keep_one(docs).collect()))
+    assert kept == [(0, "x y z"), (1, base), (2, rows[1][1]), (4, "")]
+
+
 def test_jaccard_keeps_one(odd):
     kept = jaccard_join.keep_one(odd)
     assert kept.columns == odd.columns
-    ids = sorted(r[0] for r in kept.select("doc_id").collect() if r[0] is not None)
-    want = brute.components([r for r in ODD if r[0] is not None])
-    assert ids == sorted({i for i, _, c in want if i == c})
-    assert kept.where("doc_id is null").count() == 2
+    got = [(r["doc_id"], r["text"]) for r in kept.collect()]
+    want = [(i, t) for (i, t), (_, n, c) in ((r, next(w for w in brute.components(ODD) if w[0] == r[0] and w[1] == len(brute.shingles(r[1])))) for r in ODD) if n == 0 or i == c]
+    assert brute.in_order(got) == brute.in_order([x for k, x in enumerate(want) if x[1] is None or not brute.shingles(x[1]) or x not in want[:k]])
+
+
+def test_jaccard_family_beyond_a_tile(spark, monkeypatch):
+    """Thousands of near copies whose similarities lie on both sides of the bound, in several tiles; links stay linear."""
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(90)]
+    rows = []
+    for k in range(700):
+        copy = list(base)
+        for at in rng.sample(range(90), rng.choice((0, 1, 1, 2, 3))):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        rows.append((k, " ".join(copy)))
+    monkeypatch.setattr(jaccard_join, "TILE", 64)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    met, verified = [], jaccard_join.verified
+    monkeypatch.setattr(jaccard_join, "verified", lambda pairs, *x: met.append(pairs.count()) or verified(pairs, *x))
+    assert brute.collected(jaccard_join.join_components(docs), *GROUPS) == brute.components(rows)
+    assert sum(met) < 10 * len(rows)
 
 
 @pytest.mark.parametrize("common", [3, 24, 1_000_000])
