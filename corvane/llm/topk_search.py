@@ -1,4 +1,4 @@
-"""Exact top-k BM25 search with an inverted index, MaxScore and a block-max filter.
+"""Exact top-k BM25 search: an inverted index with block-max WAND pruning, by shards.
 
 Each task builds inverted indexes of the documents it scans: postings by term,
 with the largest term part of every list and of every block of ``BLOCK``
@@ -6,17 +6,24 @@ documents.  Index files and the term counts of all shards go to the shared folde
 document frequencies and lengths are summed over all shards, so every shard ranks
 with global statistics and their top lists merge exactly.
 
-A query on a shard takes its terms by falling upper bound and adds up their lists
-until the bounds of the rest cannot lift a new document over the k-th best sum
-(MaxScore, term at a time, in place of block-max WAND's cursors and pivot).  From there only documents that can still reach it are looked at:
-the block maxima of the remaining terms bound each of them, most drop out, and the
-others are completed by lookups.  The final scores are summed again in one fixed
+A block of queries goes through the shards of a group in turn, and each query takes
+its k-th best score so far along as its threshold.  In a shard its lists stand by
+falling upper bound.  The pivot is the first list from which on all bounds together
+stay under the threshold: a document without a list before the pivot cannot enter.
+The maxima of a document block over all lists bound its documents: blocks under the
+threshold are skipped and their postings never read.  In the blocks that are left
+the lists before the pivot are added up, many postings at a time in place of one
+cursor step after the other; documents that can reach the threshold by their sum and
+the block maxima of the lists behind the pivot are scored in full, best sums first,
+which raises the threshold for the rest.  Full scores are summed in one fixed
 term order, rounded to ``DIGITS`` and ranked by score, then id, so pruning never
 changes a result.
 
-A query is the set of distinct words of a text.  Null and wordless texts are
-indexed as empty and match nothing; a query without words has no rows; repeated
-ids are ranked per row.
+A query is the set of distinct words of a text; rows of one query id are one query of
+all their words.  Null and wordless texts are indexed as empty and match nothing; a
+query without words has no rows; rows of one document id are ranked each.  A word is
+known by its 64-bit hash: two words that shared one (a chance of about 1e-8 among a
+million words) would be one term.
 """
 
 from __future__ import annotations
@@ -29,14 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, materialize, read_file, slices, write_file
+from ._shared import fresh_path, materialize, ranges, read_file, release, slices, write_file
 from ._words import WordColumn
 
 K1, B = 1.2, 0.75
-BLOCK = 64
+BLOCK = 32
 SHARD_DOCS = 20_000
 SHARD_BYTES = 64_000_000
-QUERY_BLOCK = 64
+QUERY_BLOCK = 32
 DIGITS = 6
 _SLACK = 2e-6
 
@@ -98,66 +105,100 @@ class Shard:
         block = self.docs // BLOCK
         fresh = np.concatenate([[True], block[1:] != block[:-1]]) if len(block) else np.zeros(0, bool)
         fresh[self.starts[:-1]] = True
-        heads = np.flatnonzero(fresh)
-        self.block_of = block[heads]
-        self.block_most = np.maximum.reduceat(self.part, heads) if len(heads) else np.zeros(0)
-        self.block_starts = np.searchsorted(heads, self.starts)
+        self.heads = np.flatnonzero(fresh)
+        self.block_of = block[self.heads]
+        self.block_most = np.maximum.reduceat(self.part, self.heads) if len(self.heads) else np.zeros(0)
+        self.block_starts = np.searchsorted(self.heads, self.starts)
+        self.heads = np.append(self.heads, len(self.docs))
         self.blocks = (len(self.doc_ids) + BLOCK - 1) // BLOCK
+        # The same postings by document, to score one in full.
+        self.by_doc = np.argsort(self.docs.astype(np.uint16) if len(self.doc_ids) <= 1 << 16 else self.docs, kind="stable")
+        self.term_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))[self.by_doc]
+        self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.doc_ids)))])
+        self.weight = np.zeros(n)
+        self.skipped = self.scored = 0
         return self
 
-    def search(self, terms: np.ndarray, idf: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(document numbers, rounded scores): the top ``k`` here by score, then document id."""
-        at = np.searchsorted(self.terms, terms)
-        here = np.flatnonzero((at < len(self.terms)) & (self.terms[np.minimum(at, max(0, len(self.terms) - 1))] == terms)) if len(self.terms) else np.zeros(0, int)
-        if not len(here):
-            return np.zeros(0, np.int64), np.zeros(0)
+    def full(self, docs: np.ndarray) -> np.ndarray:
+        """Whole scores of documents, by the weights set for the query."""
+        sizes = self.doc_starts[docs + 1] - self.doc_starts[docs]
+        at = ranges(self.doc_starts[docs], sizes)
+        return np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weight[self.term_of[at]] * self.part[self.by_doc[at]], len(docs))
+
+    def _entries(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The (list, block) entries of some lists, and the place of each one's list among them."""
+        sizes = self.block_starts[lists + 1] - self.block_starts[lists]
+        return ranges(self.block_starts[lists], sizes), np.repeat(np.arange(len(lists)), sizes)
+
+    def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """(document numbers, rounded scores): the top ``k`` here by score, then document id.
+
+        Documents that score less than ``floor`` need not be found.
+        """
+        none = np.zeros(0, np.int64), np.zeros(0)
+        if not len(self.terms) or not len(terms):
+            return none
+        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        here = np.flatnonzero(self.terms[at] == terms)
         lists, weight = at[here], idf[here]
         bound = weight * self.most[lists]
         order = np.argsort(-bound, kind="stable")
-        rest = np.append(np.cumsum(bound[order][::-1])[::-1], 0.0)
+        lists, weight, bound = lists[order], weight[order], bound[order]
+        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
+        if rest[0] + _SLACK < floor or not len(lists):
+            self.skipped += self.blocks
+            return none
+        entries, of = self._entries(lists)
+        most, where = weight[of] * self.block_most[entries], self.block_of[entries]
+        limit = np.bincount(where, most, self.blocks)
+        postings = np.cumsum(self.starts[lists + 1] - self.starts[lists])
         acc = np.zeros(len(self.doc_ids))
-        floor, done, seen = 0.0, 0, 0
-        while done < len(order):
-            t = order[done]
-            a, b = self.starts[lists[t]], self.starts[lists[t] + 1]
-            acc[self.docs[a:b]] += weight[t] * self.part[a:b]
-            done += 1
-            seen += b - a
-            if seen >= len(acc) // 4 or done == len(order):
-                seen = 0
-                floor = float(np.partition(acc, -k)[-k]) if len(acc) >= k else 0.0
-                if rest[done] + _SLACK < floor:
+        edges = np.arange(0, len(acc), BLOCK)
+        done, step, share, live = 0, 20_000, 1.0, limit + _SLACK >= floor
+        self.skipped += int((~live).sum())
+        while True:
+            # Up to the pivot, then up to where the rest may add a small part of the threshold only.
+            pivot = int(np.searchsorted(-rest, _SLACK - share * floor, "right")) if floor > 0 else len(lists)
+            if done >= min(pivot, len(lists)):
+                if share < 1 or done == len(lists):
                     break
-        left = order[done:]
-        candidates = np.flatnonzero(acc + rest[done] + _SLACK >= floor) if floor > 0 else np.flatnonzero(acc > 0)
-        if len(left) and len(candidates):
-            limit = np.zeros(self.blocks)
-            for t in left:
-                a, b = self.block_starts[lists[t]], self.block_starts[lists[t] + 1]
-                limit[self.block_of[a:b]] += weight[t] * self.block_most[a:b]
-            candidates = candidates[acc[candidates] + limit[candidates // BLOCK] + _SLACK >= floor]
-            for n, t in enumerate(left, done):
-                a, b = self.starts[lists[t]], self.starts[lists[t] + 1]
-                docs = self.docs[a:b]
-                i = np.searchsorted(docs, candidates)
-                ok = docs[np.minimum(i, len(docs) - 1)] == candidates
-                acc[candidates[ok]] += weight[t] * self.part[a:b][i[ok]]
-                if len(candidates) > k:
-                    floor = max(floor, float(np.partition(acc[candidates], -k)[-k]))
-                    candidates = candidates[acc[candidates] + rest[n + 1] + _SLACK >= floor]
-        elif not len(left) and len(candidates) > k:
-            candidates = candidates[acc[candidates] + _SLACK >= floor]
-        # Sum again in the order of the terms, the same in every shard.
-        final = np.zeros(len(candidates))
-        for t in range(len(lists)):
-            a, b = self.starts[lists[t]], self.starts[lists[t] + 1]
-            docs = self.docs[a:b]
-            i = np.minimum(np.searchsorted(docs, candidates), len(docs) - 1)
-            final += np.where(docs[i] == candidates, weight[t] * self.part[a:b][i], 0.0)
-        final = np.round(final, DIGITS)
-        best = np.lexsort((self.doc_ids[candidates], -final))[:k]
+                share = 0.2
+                continue
+            # Without a threshold yet, a few of the best lists give one.
+            upto = min(pivot, len(lists)) if floor > 0 else max(done + 1, int(np.searchsorted(postings, step, "right")))
+            some = np.flatnonzero((of >= done) & (of < upto) & live[where])
+            sizes = self.heads[entries[some] + 1] - self.heads[entries[some]]
+            read = ranges(self.heads[entries[some]], sizes)
+            acc += np.bincount(self.docs[read], np.repeat(weight[of[some]], sizes) * self.part[read], len(acc))
+            done, step = upto, 4 * step
+            if len(acc) >= k:
+                floor = max(floor, float(np.partition(acc, -k)[-k]))
+            behind = of >= done
+            more = np.bincount(where[behind], most[behind], self.blocks)
+            live = np.maximum.reduceat(acc, edges) + more + _SLACK >= floor
+        reach = acc + more[np.arange(len(acc)) // BLOCK] + _SLACK
+        live = np.flatnonzero((acc > 0) & (reach >= floor))
+        live = live[np.argsort(-reach[live], kind="stable")]
+        self.weight[lists] = weight
+        found, scores, at, step = [], [], 0, 64
+        best = np.zeros(0)
+        while at < len(live) and reach[live[at]] >= floor:
+            some = live[at : at + step]
+            got = self.full(some)
+            found.append(some)
+            scores.append(got)
+            best = np.sort(np.concatenate([best, got]))[-k:]
+            if len(best) == k:
+                floor = max(floor, float(best[0]))
+            at, step = at + step, 4 * step
+        self.weight[lists] = 0
+        self.scored += sum(map(len, found))
+        if not found:
+            return none
+        docs, final = np.concatenate(found), np.round(np.concatenate(scores), DIGITS)
+        best = np.lexsort((self.doc_ids[docs], -final))[:k]
         best = best[final[best] > 0]
-        return candidates[best], final[best]
+        return docs[best], final[best]
 
 
 _BUILT = pa.schema([("kind", pa.int32()), ("path", pa.string()), ("term", pa.int64()), ("n", pa.int64()), ("words", pa.int64())])
@@ -227,25 +268,49 @@ def _block_writer(folder: str):
 
 
 def _searcher(mean_length: float, k: int):
+    """The best documents of each query over the shards of a group, one shard after the other."""
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
+    class Block:
+        """Queries and their best documents so far."""
+
+        def __init__(self, path: str):
+            with np.load(io.BytesIO(read_file(path))) as z:
+                self.ids, sizes, terms, idf = (z[n] for n in ("ids", "sizes", "terms", "idf"))
+            edges = np.cumsum(sizes)[:-1]
+            self.terms, self.idf = np.split(terms, edges), np.split(idf, edges)
+            self.docs, self.scores = [np.zeros(0, np.int64)] * len(sizes), [np.zeros(0)] * len(sizes)
+
+        def meet(self, shard: Shard) -> None:
+            for q in range(len(self.ids)):
+                known = self.scores[q]
+                docs, scores = shard.search(self.terms[q], self.idf[q], k, float(known[-1]) if len(known) == k else 0.0)
+                if len(docs):
+                    docs, scores = np.concatenate([self.docs[q], shard.doc_ids[docs]]), np.concatenate([known, scores])
+                    best = np.lexsort((docs, -scores))[:k]
+                    self.docs[q], self.scores[q] = docs[best], scores[best]
+
+        def rows(self) -> pa.RecordBatch:
+            d, s = np.concatenate(self.docs), np.concatenate(self.scores)
+            return pa.record_batch([pa.array(np.repeat(self.ids, [len(x) for x in self.docs])), pa.array(d, mask=d == -(2**63)), pa.array(s)], schema=schema)
+
     def run(batches):
+        blocks: dict[tuple[str, int], Block] = {}
         opened: tuple[str, Shard] | None = None
         for batch in batches:
-            for path, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, name, group in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "g"))):
+                if (name, group) not in blocks:
+                    # Rows come by group and block: the one before is complete.
+                    for done in blocks.values():
+                        yield done.rows()
+                    blocks = {(name, group): Block(name)}
                 if not opened or opened[0] != path:
                     opened = None
                     opened = path, Shard.from_bytes(read_file(path)).weigh(mean_length)
-                shard, out = opened[1], []
-                with np.load(io.BytesIO(read_file(block))) as z:
-                    ids, sizes, terms, idf = (z[n] for n in ("ids", "sizes", "terms", "idf"))
-                at = 0
-                for query, size in zip(ids, sizes.tolist()):
-                    docs, scores = shard.search(terms[at : at + size], idf[at : at + size], k)
-                    at += size
-                    out.append((np.full(len(docs), query), shard.doc_ids[docs], scores))
-                q, d, s = (np.concatenate(x) for x in zip(*out))
-                yield pa.record_batch([pa.array(q), pa.array(d, mask=d == -(2**63)), pa.array(s)], schema=schema)
+                blocks[name, group].meet(opened[1])
+        for done in blocks.values():
+            yield done.rows()
+        release()
 
     return run
 
@@ -253,7 +318,8 @@ def _searcher(mean_length: float, k: int):
 def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None) -> DataFrame:
     """Top ``k`` documents of every query (query_id, text): query_id, rank, doc_id, score.
 
-    Queries go in blocks: each work unit is one index file with one block of queries.
+    Queries go in blocks and shards in groups: each work unit is one block with one
+    group, and there are as many groups as keep all tasks busy.
     """
     spark = index.sparkSession
     shards = index.where("kind = 0").select("path", "n", "words")
@@ -261,17 +327,17 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     frequency = index.where("kind = 1").groupBy("term").agg(F.sum("n").alias("df"))
-    terms = queries.select("query_id", "text").mapInArrow(_query_terms, "query_id long, term long")
+    terms = queries.select("query_id", "text").mapInArrow(_query_terms, "query_id long, term long").distinct()
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = terms.join(frequency, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("t"))
-    # A query's terms are at most the distinct words of one text.
+    # A query's terms are at most the distinct words of its text.
     full = wanted.groupBy("query_id").agg(F.collect_list("t").alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
     blocks = materialize(full.mapInArrow(_block_writer(fresh_path(spark, "bm25-queries")), "block string"), "bm25-blocks")
-    tasks = parts or spark.sparkContext.defaultParallelism * 4
-    groups = max(1, min(math.ceil(tasks / files), 1_000))
-    grouped = blocks.withColumn("g", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
-    spread = shards.select("path", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    units = spread.join(grouped, "g").repartition(files * groups, "path", "g").sortWithinPartitions("path", "block")
-    found = units.select("path", "block").mapInArrow(_searcher(words / total, k), "query_id long, doc_id long, score double")
+    n = max(1, blocks.count())
+    groups = max(1, min(files, math.ceil((parts or spark.sparkContext.defaultParallelism * 3) / n)))
+    # Shards are files of many thousand documents: one row each.
+    grouped = shards.select("path", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).alias("g"))
+    units = grouped.join(blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "g").repartition(n * groups, "block", "g").sortWithinPartitions("g", "block", "path")
+    found = units.select("path", "block", "g").mapInArrow(_searcher(words / total, k), "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
