@@ -6,6 +6,10 @@ interpolation, and differ only in their counts.  The score of a document is its
 mean loss per word under the target model less that under the background model:
 low values are like the target.
 
+A document that is one of those counted is scored without its own counts (leave one
+out), under the background as under the target: it is judged by the others, so
+only texts that occur again, whole or in part, are well known to a model.
+
 All counts are exact and cover all documents; nothing of them is held in one
 place.  Tasks cut their rows into shards of about ``SHARD`` words, write a shard's
 words and its distinct words and bigrams to the shared folder.  Those are added up
@@ -30,11 +34,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, materialize, read_file, slices, write_file
+from ._shared import discard, fresh_path, materialize, read_file, release, slices, write_file
 from ._words import WordColumn
 
 MIX = 0.6
-SHARD = 4_000_000
+SHARD = 3_000_000
+#: Words that are scored at once, a document at least.
+STEP = 300_000
 #: Bytes of text behind one part of the counts.
 PART_BYTES = 16_000_000
 #: In place of hashes: words outside the vocabulary, the start of a text, and the first half of a single word's key.
@@ -150,7 +156,8 @@ def _emit(folder: str, scored: bool, background: bool, parts: int, seed: int, vo
             name = None
             if scored:
                 docs = pa.chunked_array(keys, pa.int64()).combine_chunks()
-                name = write_file(folder, "words", ".bin", pickle.dumps((docs, counts, _packed(hashes), _packed(every.astype(np.int32)))))
+                chosen = np.concatenate(targets)
+                name = write_file(folder, "words", ".bin", pickle.dumps((docs, counts, chosen, _packed(hashes), _packed(every.astype(np.int32)))))
             data, ends = [], [0]
             for p in range(parts):
                 at = shard.keys_of(p)
@@ -229,7 +236,7 @@ def _add_up(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(list(v), t) for v, t in zip(zip(*rows), types)], names=names)
 
 
-def losses(single: np.ndarray, history: np.ndarray, pair: np.ndarray, total: int, size: int) -> np.ndarray:
+def losses(single: np.ndarray, history: np.ndarray, pair: np.ndarray, total: np.ndarray, size: int) -> np.ndarray:
     """Loss in nats of words by their own count, that of the word before and that of both: bigram and unigram chances, mixed."""
     alone = (single + 1) / (total + size)
     chance = np.where(history > 0, MIX * pair / np.maximum(history, 1) + (1 - MIX) * alone, alone)
@@ -239,20 +246,47 @@ def losses(single: np.ndarray, history: np.ndarray, pair: np.ndarray, total: int
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("difference", pa.float64())])
 
 
-def _score(parts: int, size: int, totals: dict[str, int]):
+def _occurrences(of: np.ndarray, what: np.ndarray) -> np.ndarray:
+    """How often each token's ``what`` occurs in its document."""
+    _, at, counts = np.unique(of * (int(what.max()) + 1) + what, return_inverse=True, return_counts=True)
+    return counts[at]
+
+
+def _score(parts: int, size: int, totals: dict[str, int], leave_out: bool):
     def run(table: pa.Table) -> pa.Table:
-        docs, counts, hashes, ids = pickle.loads(read_file(table.column("shard")[0].as_py()))
+        docs, counts, chosen, hashes, ids = pickle.loads(read_file(table.column("shard")[0].as_py()))
         hashes, ids = _unpacked(hashes, np.uint64), _unpacked(ids, np.int32).astype(np.int64)
         shard = Shard(hashes, ids, counts, parts)
-        of = np.repeat(np.arange(len(counts)), counts)
-        means = []
+        known = {}
         for model in ("target", "background"):
-            n = np.zeros(len(shard.n), np.int64)
+            known[model] = n = np.zeros(len(shard.n), np.int64)
             for p, data in zip(table.column("part").to_pylist(), table.column(model).to_pylist()):
                 n[shard.keys_of(p)] = _unpacked(data, np.int64)
-            each = losses(n[shard.word], n[shard.before], n[len(hashes) :], totals[model], size)
-            means.append(np.bincount(of, each[shard.pair_of], len(counts)) / np.maximum(counts, 1))
-        return pa.table([docs, pa.array(counts), pa.array(means[0]), pa.array(means[1]), pa.array(means[0] - means[1])], schema=_SCHEMA)
+        ends = np.cumsum(counts)
+        means = {model: np.zeros(len(counts)) for model in known}
+        low = 0
+        while low < len(counts):
+            start = int(ends[low] - counts[low])
+            high = max(low + 1, int(np.searchsorted(ends, start + STEP, "right")))
+            some, stop = slice(low, high), int(ends[high - 1])
+            low = high
+            if stop == start:
+                continue
+            pair, sizes = shard.pair_of[start:stop], counts[some]
+            of = np.repeat(np.arange(len(sizes)), sizes)
+            own_word, own_pair = _occurrences(of, shard.word[pair]), _occurrences(of, pair)
+            first = (ends[some] - sizes - start)[sizes > 0]
+            own_history = np.concatenate([[1], own_word[:-1]])
+            own_history[first] = 1
+            for model, n in known.items():
+                # The document's own counts, where it is one of the model's.
+                own = (np.ones(len(sizes), bool) if model == "background" else chosen[some]) & leave_out
+                take, total = own[of], totals[model] - np.where(own, sizes, 0)
+                each = losses(n[shard.word[pair]] - own_word * take, n[shard.before[pair]] - own_history * take, n[len(hashes) + pair] - own_pair * take, total[of], size)
+                means[model][some] = np.bincount(of, each, len(sizes)) / np.maximum(sizes, 1)
+        target, background = means["target"], means["background"]
+        release()
+        return pa.table([docs, pa.array(counts), pa.array(target), pa.array(background), pa.array(target - background)], schema=_SCHEMA)
 
     return run
 
@@ -290,10 +324,19 @@ def score(docs: DataFrame, models: Models) -> DataFrame:
         raise RuntimeError("words share hashes under every seed")
     totals = {"target": found["target_words"], "background": found["background_words"]}
     back = counted.where("shard is not null").select("shard", "part", "background", "target").repartition(parts, "shard")
-    return back.groupBy("shard").applyInArrow(_score(parts, found["distinct"] + 1, totals), "doc_id long, n_words long, target_loss double, background_loss double, difference double")
+    return back.groupBy("shard").applyInArrow(_score(parts, found["distinct"] + 1, totals, same), "doc_id long, n_words long, target_loss double, background_loss double, difference double")
+
+
+#: Up to so many ids of good documents go to all tasks; a long each.
+BROADCAST_IDS = 8_000_000
 
 
 def with_target(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """All documents, with ``in_target`` for those labelled good."""
+    """All documents, with ``in_target`` for those labelled good.
+
+    The ids of the good ones are broadcast where their number has been counted as at
+    most ``BROADCAST_IDS``; more are joined by a shuffle.
+    """
     good = labels.where("quality = 1").select("doc_id").distinct().withColumn("in_target", F.lit(True))
-    return docs.select("doc_id", "text").join(good, "doc_id", "left")
+    few = good.count() <= BROADCAST_IDS
+    return docs.select("doc_id", "text").join(F.broadcast(good) if few else good, "doc_id", "left")

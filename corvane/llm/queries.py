@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,7 +76,9 @@ def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_score
 
     docs = lm_score.with_target(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return lm_score.score(docs, lm_score.train(docs, docs.in_target))
+    found = lm_score.score(docs, lm_score.train(docs, docs.in_target))
+    # Sums of logarithms differ in their last digits with the order of adding.
+    return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")))
 
 
 QUERIES = {
@@ -106,4 +109,67 @@ ORACLE: dict[str, str] = {
             GROUP BY 1, 2)
         SELECT query_id, rank, doc_id, score
         FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10""",
+    "op8_cross_entropy_difference": f"""
+        WITH d AS (SELECT doc_id, {_SQL_WORDS} AS ws, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS t FROM documents),
+        k AS (SELECT doc_id, t, unnest(ws) AS w, unnest(list_concat([''], ws[1:len(ws) - 1])) AS h FROM d WHERE len(ws) > 0),
+        one AS (
+            SELECT w, count(*) AS b, count(*) FILTER (t) AS g FROM k GROUP BY w
+            UNION ALL SELECT '', count(*), count(*) FILTER (t) FROM d WHERE len(ws) > 0),
+        two AS (SELECT h, w, count(*) AS b, count(*) FILTER (t) AS g FROM k GROUP BY h, w),
+        mine AS (SELECT doc_id, w, count(*) AS c FROM k GROUP BY doc_id, w UNION ALL SELECT doc_id, '', 1 FROM d WHERE len(ws) > 0),
+        pair AS (SELECT doc_id, h, w, count(*) AS c FROM k GROUP BY doc_id, h, w),
+        tot AS (SELECT count(*) AS b, count(*) FILTER (t) AS g, count(DISTINCT w) + 1 AS v FROM k),
+        x AS (
+            SELECT p.doc_id, p.c, v, two.b - p.c AS pb, two.g - p.c * t::INT AS pg, sw.b - mw.c AS sb, sw.g - mw.c * t::INT AS sg,
+                sh.b - mh.c AS hb, sh.g - mh.c * t::INT AS hg, tot.b - len(ws) AS tb, tot.g - len(ws) * t::INT AS tg
+            FROM pair p JOIN d USING (doc_id) JOIN two USING (h, w) JOIN one sw ON sw.w = p.w JOIN one sh ON sh.w = p.h
+            JOIN mine mw ON mw.doc_id = p.doc_id AND mw.w = p.w JOIN mine mh ON mh.doc_id = p.doc_id AND mh.w = p.h, tot),
+        l AS (
+            SELECT doc_id, sum(c * -ln(CASE WHEN hg > 0 THEN 0.6 * pg / hg + 0.4 * (sg + 1) / (tg + v) ELSE (sg + 1) / (tg + v) END)) AS g,
+                sum(c * -ln(CASE WHEN hb > 0 THEN 0.6 * pb / hb + 0.4 * (sb + 1) / (tb + v) ELSE (sb + 1) / (tb + v) END)) AS b
+            FROM x GROUP BY doc_id)
+        SELECT d.doc_id, len(ws) AS n_words, round(coalesce(g / len(ws), 0), 6) AS target_loss, round(coalesce(b / len(ws), 0), 6) AS background_loss,
+            round(coalesce(g / len(ws) - b / len(ws), 0), 6) AS difference
+        FROM d LEFT JOIN l USING (doc_id)""",
+    "op4_fm_index_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
+        i AS (SELECT CAST(item_id AS VARCHAR) AS item, {_SQL_WORDS} AS ws FROM benchmark),
+        win AS (
+            SELECT DISTINCT item, m, array_to_string(ws[p:p + m - 1], ' ') AS s
+            FROM (SELECT item, ws, least(len(ws), 13) AS m, unnest(range(1, greatest(len(ws) - 11, 2))) AS p FROM i WHERE len(ws) > 0)),
+        place AS (
+            SELECT doc_id, m, p, array_to_string(ws[p:p + m - 1], ' ') AS s
+            FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(ws) >= m)),
+        found AS (SELECT doc_id, m, p, item FROM place JOIN win USING (m, s)),
+        hit AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM (SELECT DISTINCT doc_id, p, m FROM found)) GROUP BY doc_id),
+        items AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+        SELECT d.doc_id, len(ws) AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+            coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op6_partenum_jaccard": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, hash(array_to_string(ws[p:p + 4], ' ')) AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS p FROM d WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        e AS (
+            SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY 1, 2)
+            JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * c >= 80 * (u.n + v.n - c)),
+        r AS (SELECT DISTINCT a, a AS b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, m), d.doc_id) AS component_id
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM r GROUP BY a) USING (doc_id)""",
+    "op9_warc_capture_index": """
+        WITH p AS (
+            SELECT page_id, strlen(coalesce(html, '')) AS size, sha1(coalesce(html, '')) AS h, coalesce(html, '') AS body,
+                count(*) OVER (PARTITION BY coalesce(html, '')) AS copies, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+            FROM pages),
+        bits AS (
+            SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(h, i, 1))]), '') AS b
+            FROM p)
+        SELECT page_id, size AS payload_bytes,
+            array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + list_sum(list_transform(range(0, 5), lambda k: CAST(substr(b, 5 * j + k + 1, 1) AS INTEGER) * (16 >> k))) AS BIGINT), 1)), '') AS payload_digest,
+            CASE WHEN copies > 1 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN copies > 1 AND page_id <> last THEN last END AS refers_to
+        FROM bits""",
 }

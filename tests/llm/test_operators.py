@@ -306,14 +306,29 @@ def test_cross_entropy_counts_are_exact_beyond_any_table(spark, monkeypatch, see
     assert len(got) == len(rows) and tables.count("counts") == seeds
     for k, t in rows:
         x = t.split()
-        for (one, two, n), column in zip(models, ("target_loss", "background_loss")):
-            total, words = 0.0, one.total()
+        own = counted([t])
+        # A document's own counts are left out: always of the background, of the target where it is told which are target.
+        for (one, two, n), column, out in zip(models, ("target_loss", "background_loss"), (seeds == 2 and k in good, True)):
+            total, words = 0.0, one.total() - out * len(x)
             for a, b in zip([None, *x], x):
-                single, history = (one[b] + 1) / (words + size), n if a is None else one[a]
-                total -= np.log(lm_score.MIX * two[a, b] / history + (1 - lm_score.MIX) * single if history else single)
+                history = n - out if a is None else one[a] - out * own[0][a]
+                single = (one[b] - out * own[0][b] + 1) / (words + size)
+                total -= np.log(lm_score.MIX * (two[a, b] - out * own[1][a, b]) / history + (1 - lm_score.MIX) * single if history else single)
             assert got[k][column] == pytest.approx(total / len(x), abs=1e-9)
 
 
+def test_cross_entropy_tells_repeated_texts_apart(spark):
+    """A text that occurs twice is known to the background without its own counts; one that occurs once is not."""
+    dice = random.Random(6)
+    fresh = lambda: " ".join(f"w{dice.randrange(3_000)}" for _ in range(80))
+    rows = [(k, fresh()) for k in range(300)]
+    rows += [(1_000 + k, rows[k][1]) for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    got = {r["doc_id"]: r["difference"] for r in lm_score.score(docs, lm_score.train(docs, F.col("doc_id") % 3 == 200)).collect()}
+    twice = [d for k, d in got.items() if k < 20 or k >= 1_000]
+    assert min(twice) > max(d for k, d in got.items() if 20 <= k < 1_000)
+
+
 WARC = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -402,6 +417,9 @@ def test_search(spark, odd, none, rows):
     got = sorted(tuple(r) for r in topk_search.search(index, queries, k=4).collect())
     want = brute.bm25(docs, asked, 4)
     assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
+    # Rows of one query id are one query of all their words.
+    twice = spark.createDataFrame([(1, "fox"), (1, "river fox"), (1, "fox river"), (9, None)], "query_id long, text string")
+    assert sorted(tuple(r)[1:] for r in topk_search.search(index, twice, k=4).collect()) == [g[1:] for g in got if g[0] == 1]
     assert topk_search.search(topk_search.build(none), queries).count() == 0
     assert topk_search.search(index, queries.where("false")).count() == 0
 
@@ -413,3 +431,29 @@ def test_pruned_search_is_exact(spark, rows):
     want = brute.bm25(rows, asked)
     assert [g[3] for g in got] == pytest.approx([w[3] for w in want], abs=2e-6)
     assert sum(g[:3] == w[:3] for g, w in zip(got, want)) >= 0.98 * len(want)  # ties in the last digit may swap
+
+
+def test_search_skips_blocks(rows):
+    """With a threshold, whole blocks stay unread and few documents are scored; the result stays that of all scores."""
+    import pyarrow as pa
+
+    docs = [(i, t) for i, t in rows for _ in range(1)] + [(10_000 + k, f"zebra quagga {k} " * 3) for k in range(40)]
+    term, text, count, words = topk_search.term_sets(pa.array([t for _, t in docs], pa.string()))
+    shard = topk_search.Shard.build([(np.array([i for i, _ in docs]), term, text, count, words)]).weigh(float(np.mean(words)))
+    df = np.diff(shard.starts)
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5))
+    for query in (len(docs) - 1, 3, 70):
+        own = np.flatnonzero(np.isin(shard.terms, term[text == query]))
+        whole = np.zeros(len(docs))
+        for t in own:
+            at = slice(shard.starts[t], shard.starts[t + 1])
+            whole[shard.docs[at]] += idf[t] * shard.part[at]
+        whole = np.round(whole, topk_search.DIGITS)
+        want = np.lexsort((shard.doc_ids, -whole))[:10]
+        for floor in (0.0, whole[want[-1]]):
+            shard.skipped = shard.scored = 0
+            found, scores = shard.search(shard.terms[own], idf[own], 10, floor)
+            assert found.tolist() == want.tolist() and scores == pytest.approx(whole[want])
+            assert shard.scored < len(docs)
+            if query == len(docs) - 1 and floor:
+                assert shard.skipped >= len(rows) // topk_search.BLOCK - 1
