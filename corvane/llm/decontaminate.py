@@ -1,16 +1,19 @@
 """Benchmark decontamination with an FM-index per training shard.
 
-Each task groups the documents it scans into shards of about a million words and
+Each task cuts the documents it scans into shards of at most ``SHARD_WORDS`` words and
 builds, per shard, a word-level FM-index: suffix order by prefix doubling, the
 Burrows-Wheeler transform in a wavelet matrix, and suffix positions sampled at
 every ``SAMPLE``-th text position.  All benchmark windows are searched backwards
 together through wavelet ranks; occurrences are located by walking to the nearest
-sample, and the hit word spans of a document are merged.  No document leaves its
-task, so the operator needs no shuffle.
+sample, and the hit word spans of a document are merged.  A text longer than a shard
+is cut into parts that overlap by a window less one word, so a shard's size, and the
+memory of its index, has a bound whatever the texts are.  No document leaves its
+task, so the operator needs no shuffle of documents.
 
-The windows of the benchmark go to the tasks by broadcast, in blocks of at most
-``BLOCK_WORDS`` words each; a larger benchmark is searched block after block and
-the marks of all blocks are merged, so its size is not limited by memory.
+The windows of the benchmark are built by Spark, distinct with their items, and
+written by hash as block files of about ``BLOCK_BYTES`` of benchmark text to the shared
+folder.  A task holds one block at a time beside its shard's index, and the
+marks of all blocks are merged, so neither the driver nor a task holds the benchmark.
 
 Null and wordless texts have no words, no hits and are not contaminated; an item
 of fewer than ``window`` words (but not none) is one window; repeated item ids
@@ -20,18 +23,22 @@ pool their windows; a null item id marks words but is not listed.
 from __future__ import annotations
 
 import hashlib
+import math
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ._shared import ranges, slices
+from ._shared import fresh_path, materialize, ranges, read_file, release, slices, write_file
 from ._words import WordColumn, words
 
 WINDOW = 13
 SAMPLE = 8
-SHARD_WORDS = 1_000_000
-BLOCK_WORDS = 4_000_000
+SHARD_WORDS = 500_000
+BLOCK_BYTES = 16_000_000
 
 
 class WaveletMatrix:
@@ -114,14 +121,14 @@ class FMIndex:
         self.vocabulary = dict(zip(vocabulary, range(len(vocabulary))))
         # Separators take the smallest numbers; the last one is the smallest of all.
         d = len(sizes)
-        text = np.empty(len(numbers) + d, np.int64)
+        text = np.empty(len(numbers) + d, np.int32)
         body = np.ones(len(text), bool)
         ends = np.cumsum(sizes + 1) - 1
         body[ends] = False
         text[ends] = np.arange(d - 1, -1, -1)
         text[body] = numbers + d
         self.separators, self.starts, self.n = d, ends - sizes, len(text)
-        order = suffix_order(text)
+        order = suffix_order(text).astype(np.int32)
         sigma = d + len(self.vocabulary)
         # All separators are one symbol of the transform: patterns never hold one.
         bwt = np.maximum(text[order - 1] - d + 1, 0)
@@ -133,7 +140,7 @@ class FMIndex:
         first = np.zeros(self.n, bool)
         first[self.starts] = True
         self.marked |= first[order]
-        self.sampled_before = np.concatenate([[0], np.cumsum(self.marked)])
+        self.sampled_before = np.concatenate([[0], np.cumsum(self.marked)]).astype(np.int32)
         self.samples = order[self.marked]
 
     def symbols(self, vocabulary: list[bytes]) -> np.ndarray:
@@ -165,26 +172,22 @@ class FMIndex:
             rows[todo] = self.before[c] + self.matrix.rank(c, rows[todo])
             steps[todo] += 1
             todo = todo[~self.marked[rows[todo]]]
-        return self.samples[self.sampled_before[rows]] + steps
+        return self.samples[self.sampled_before[rows]].astype(np.int64) + steps
 
 
 class Phrases:
-    """Distinct windows of one block of benchmark items."""
+    """Distinct windows of one block of the benchmark, each with its items."""
 
-    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
+    def __init__(self, windows: list[tuple[list[bytes], list[str]]], window: int):
         self.window = window
         number: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set] = {}
-        for item_id, ws in items:
-            ids = [number.setdefault(w, len(number)) for w in ws]
-            for k in range(max(1, len(ids) - window + 1)) if ids else ():
-                found.setdefault(tuple(ids[k : k + window]), set()).add(item_id)
+        rows = [[number.setdefault(w, len(number)) for w in ws] for ws, _ in windows]
         self.vocabulary = list(number)
-        self.lengths = np.array([len(t) for t in found], np.int64)
-        self.rows = np.zeros((len(found), window), np.int64)
-        for k, t in enumerate(found):
+        self.lengths = np.array([len(t) for t in rows], np.int64)
+        self.rows = np.zeros((len(rows), window), np.int32)
+        for k, t in enumerate(rows):
             self.rows[k, window - len(t) :] = t
-        self.items = [sorted(i for i in x if i is not None) for x in found.values()]
+        self.items = [items for _, items in windows]
 
     def hits(self, index: FMIndex):
         """Occurrences in one shard: text position, length, document and window of each."""
@@ -201,26 +204,71 @@ class Phrases:
         return place, self.lengths[which], doc, which
 
 
-def scan_shard(texts: pa.Array, blocks: list[Phrases]):
+def parts(sizes: np.ndarray, most: int, overlap: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Shards: lists of (document, first word, end) of at most ``most`` words together."""
+    held, used = [], 0
+    for d, n in enumerate(sizes.tolist()):
+        low = 0
+        while n:
+            if used >= most - overlap:
+                yield held
+                held, used = [], 0
+            high = min(n, low + most - used)
+            held.append((d, low, high))
+            used += high - low
+            if high == n:
+                break
+            low = max(low + 1, high - overlap)
+    if held:
+        yield held
+
+
+class Blocks:
+    """The block files, of which one is in memory."""
+
+    def __init__(self, paths: list[str]):
+        self.paths, self.open = paths, (None, None)
+
+    def __iter__(self) -> Iterator[Phrases]:
+        # The one that is open comes first.
+        for path in sorted(self.paths, key=lambda p: p != self.open[0]):
+            if path != self.open[0]:
+                self.open = None, None
+                self.open = path, pickle.loads(read_file(path))
+            yield self.open[1]
+
+
+def scan_shard(texts: pa.Array, blocks, window: int, shard_words: int):
     """Per document: number of words, merged hit word spans and the set of items that occur."""
     column = WordColumn(texts)
-    sizes = column.counts
-    index = FMIndex(*column.numbered(), sizes)
-    marks = np.zeros(index.n + 1, np.int32)
+    sizes, first = column.counts, column.edges[:-1]
+    vocabulary, numbers = column.numbered()
+    numbers = numbers.astype(np.int32)
+    marks = np.zeros(len(numbers) + 1, np.int32)
     seen: list[set] = [set() for _ in sizes]
-    for block in blocks:
-        place, length, doc, which = block.hits(index)
-        np.add.at(marks, place, 1)
-        np.add.at(marks, place + length, -1)
-        for d, w in set(zip(doc.tolist(), which.tolist())):
-            seen[d].update(block.items[w])
+    for shard in parts(sizes, max(shard_words, 2 * window), window - 1):
+        owner, low, high = (np.array(x, np.int64) for x in zip(*shard))
+        begin = first[owner] + low
+        whole = (high - low).sum() == len(numbers)  # the parts of one shard never overlap
+        index = FMIndex(vocabulary, numbers if whole else numbers[ranges(begin, high - low)], high - low)
+        for block in blocks:
+            place, length, part, which = block.hits(index)
+            at = begin[part] + place - index.starts[part]
+            np.add.at(marks, at, 1)
+            np.add.at(marks, at + length, -1)
+            for d, w in set(zip(owner[part].tolist(), which.tolist())):
+                seen[d].update(block.items[w])
+        del index
     cover = np.cumsum(marks[:-1]) > 0
-    edge = np.diff(np.concatenate([[0], cover.view(np.int8), [0]]))
-    begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    owner = np.searchsorted(index.starts, begins, "right") - 1
+    # Spans end with their document.
+    last = np.zeros(len(cover), bool)
+    last[(first + sizes - 1)[sizes > 0]] = True
+    begins = np.flatnonzero(cover & np.concatenate([[True], ~cover[:-1] | last[:-1]])) if len(cover) else np.zeros(0, np.int64)
+    ends = np.flatnonzero(cover & np.concatenate([~cover[1:] | last[:-1], [True]])) + 1 if len(cover) else begins
+    owner = np.searchsorted(first, begins, "right") - 1
     removal: list[list[tuple[int, int]]] = [[] for _ in sizes]
     for d, b, e in zip(owner.tolist(), begins.tolist(), ends.tolist()):
-        removal[d].append((b - int(index.starts[d]), e - int(index.starts[d])))
+        removal[d].append((b - int(first[d]), e - int(first[d])))
     return sizes, removal, seen
 
 
@@ -231,30 +279,18 @@ _SCHEMA = pa.schema([
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<array<long>>"
 
 
-def _shards(batches, text: int, shard_words: int):
-    """Tables of consecutive rows that hold about ``shard_words`` words."""
-    held, size = [], 0
-    for part in slices(batches, text, 7 * shard_words):
-        held.append(part)
-        size += part.column(text).nbytes
-        if size >= 7 * shard_words:
-            yield pa.Table.from_batches(held)
-            held, size = [], 0
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _scanner(blocks, shard_words: int, share: int):
+def _scanner(paths: list[str], window: int, shard_words: int, share: int):
     def scan(batches):
-        loaded = [b.value for b in blocks]
-        for table in _shards(batches, 1, shard_words):
-            sizes, removal, seen = scan_shard(table.column(1).combine_chunks(), loaded)
+        blocks = Blocks(paths)
+        for part in slices(batches, 1, 7 * shard_words):
+            sizes, removal, seen = scan_shard(part.column(1), blocks, window, shard_words)
             hit = hit_words(removal)
             names = [sorted(x) for x in seen]
             digests = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in names]
             contaminated = (hit > 0) & (share * hit >= sizes)
-            columns = [table.column(0).combine_chunks(), sizes, hit, [len(x) for x in names], digests, contaminated, names, [[list(s) for s in x] for x in removal]]
+            columns = [part.column(0), sizes, hit, [len(x) for x in names], digests, contaminated, names, [[list(s) for s in x] for x in removal]]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SCHEMA.types)], schema=_SCHEMA)
+        release()
 
     return scan
 
@@ -263,40 +299,70 @@ def hit_words(removal: list[list[tuple[int, int]]]) -> np.ndarray:
     return np.array([sum(e - b for b, e in spans) for spans in removal], np.int64)
 
 
-def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> list:
-    """Broadcast the benchmark's windows in blocks of bounded size, read one row at a time."""
-    context, blocks, held, size = benchmark.sparkSession.sparkContext, [], [], 0
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        ws = words((row[1] or "").encode())
-        held.append((None if row[0] is None else str(row[0]), ws))
-        size += len(ws)
-        if size >= block_words:
-            blocks.append(context.broadcast(Phrases(held, window)))
-            held, size = [], 0
-    if held:
-        blocks.append(context.broadcast(Phrases(held, window)))
-    return blocks
+def _windows(window: int):
+    """(window's words, item) of every item's windows."""
+    schema = pa.schema([("words", pa.binary()), ("item", pa.string())])
+
+    def run(batches):
+        for batch in slices(batches, 1):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ws = words((text or "").encode())
+                for low in range(0, max(1, len(ws) - window + 1) if ws else 0, 10_000):
+                    some = [b" ".join(ws[k : k + window]) for k in range(low, min(low + 10_000, max(1, len(ws) - window + 1)))]
+                    yield pa.record_batch([pa.array(some, pa.binary()), pa.array([item] * len(some), pa.string())], schema=schema)
+
+    return run
+
+
+def _writer(folder: str, window: int):
+    """One block file of the windows of a partition, sorted by their words; a row with its path."""
+
+    def run(batches):
+        windows: list[tuple[list[bytes], list[str]]] = []
+        last = None
+        for batch in batches:
+            for key, item in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if key != last:
+                    windows.append((key.split(), []))
+                    last = key
+                if item is not None:
+                    windows[-1][1].append(item)
+        if windows:
+            yield pa.record_batch([[write_file(folder, "block", ".bin", pickle.dumps(Phrases(windows, window)))]], names=["path"])
+
+    return run
+
+
+def phrase_blocks(benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> list[str]:
+    """Write the benchmark's distinct windows as block files; their paths, one for each ``block_bytes`` of its text."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(size / block_bytes))
+    found = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").mapInArrow(_windows(window), "words binary, item string").distinct()
+    dealt = found.repartition(blocks, "words").sortWithinPartitions("words", "item")
+    written = materialize(dealt.mapInArrow(_writer(fresh_path(benchmark.sparkSession, "phrases"), window), "path string"), "phrase-blocks")
+    return [r["path"] for r in written.collect()]
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document: words, hit words, items, contamination and the merged spans of words to remove.
 
     A document is contaminated if it has a hit word and ``share`` times its hit
     words reach its words (20: at least 5 percent).
     """
-    blocks = phrase_blocks(benchmark, window)
-    return docs.select("doc_id", "text").mapInArrow(_scanner(blocks, shard_words, share), RESULT)
+    paths = phrase_blocks(benchmark, window, block_bytes)
+    return docs.select("doc_id", "text").mapInArrow(_scanner(paths, window, shard_words, share), RESULT)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20, shard_words: int = SHARD_WORDS) -> DataFrame:
     """The documents that are not contaminated, with all their columns, in one pass."""
-    blocks, at = phrase_blocks(benchmark, window), docs.columns.index("text")
+    paths, at = phrase_blocks(benchmark, window), docs.columns.index("text")
 
     def keep(batches):
-        loaded = [b.value for b in blocks]
-        for table in _shards(batches, at, shard_words):
-            sizes, removal, _ = scan_shard(table.column(at).combine_chunks(), loaded)
+        blocks = Blocks(paths)
+        for part in slices(batches, at, 7 * shard_words):
+            sizes, removal, _ = scan_shard(part.column(at), blocks, window, shard_words)
             hit = hit_words(removal)
-            yield from table.filter(pa.array((hit == 0) | (share * hit < sizes))).to_batches()
+            yield part.filter(pa.array((hit == 0) | (share * hit < sizes)))
+        release()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -112,6 +112,21 @@ def test_decontamination(spark, odd, none, rows):
     assert brute.collected(llm.op4_fm_index_decontamination(spark, SF), *CONTAMINATION) == want and any(r[-1] for r in want)
 
 
+def test_decontamination_of_very_long_texts_by_several_blocks(spark):
+    """A text of many shards, windows across their borders, and a benchmark of several block files."""
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(5_000)}" for _ in range(300_000)]
+    items = [(str(k), " ".join(long[at : at + 30])) for k, at in enumerate((0, 980, 995, 1_990, 150_000, 299_970))]
+    items += [(f"x{k}", " ".join(f"y{rng.randrange(5_000)}" for _ in range(40))) for k in range(200)] + [("short", "y1 y2"), ("one", long[77])]
+    rows = [(1, " ".join(long)), (2, " ".join(long[985:1_040])), (3, "y1 y2 " * 5), (4, items[10][1] + " z " + items[11][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    assert len(decontaminate.phrase_blocks(bench, block_bytes=4_000)) > 3
+    want = brute.contamination(rows, items)
+    for words in (1_000, 70_000, 500_000):
+        assert brute.collected(decontaminate.find(docs, bench, shard_words=words, block_bytes=4_000), *CONTAMINATION) == want
+
+
 def test_fm_index_finds_all_places():
     rng = np.random.default_rng(2)
     sizes = np.array([0, 3, 200, 1, 0, 500])
