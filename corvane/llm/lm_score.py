@@ -38,7 +38,7 @@ from ._shared import discard, fresh_path, materialize, read_file, release, slice
 from ._words import WordColumn
 
 MIX = 0.6
-SHARD = 3_000_000
+SHARD = 4_000_000
 #: Words that are scored at once, a document at least.
 STEP = 300_000
 #: Bytes of text behind one part of the counts.
