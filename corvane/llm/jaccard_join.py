@@ -528,17 +528,24 @@ def marks(ids: DataFrame, most_bits: int = 1 << 27):
 
 
 def _sets(shared, n: int):
-    """(doc_id, node, shingles) of the rows whose id is marked or null."""
+    """(doc_id, node, shingles) of the rows whose id is marked or null; a task gives one set of rows without an id once."""
 
     def run(batches):
         bits, packed = shared.value
+        nameless: set[int] = set()
         for batch in slices(batches, 1):
             at = _slot(batch.column(0).fill_null(0).to_numpy(), bits)
             wanted = (packed[at >> 3] >> (7 - (at & 7)) & 1).astype(bool) | np.asarray(batch.column(0).is_null())
             batch = batch.filter(pa.array(wanted))
             if batch.num_rows:
                 sets = shingle_sets(batch.column(1), n)
-                columns = [batch.column(0), [node_of(s) for s in sets], [s.tobytes() for s in sets]]
+                nodes, fresh = [node_of(s) for s in sets], []
+                for k, i in enumerate(batch.column(0).to_pylist()):
+                    if i is not None or nodes[k] not in nameless:
+                        fresh.append(k)
+                    if i is None and len(nameless) < _REMEMBERED:
+                        nameless.add(nodes[k])
+                columns = [batch.column(0).take(pa.array(fresh, pa.int64())), [nodes[k] for k in fresh], [sets[k].tobytes() for k in fresh]]
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, _SET.types)], schema=_SET)
         release()
 
@@ -561,14 +568,23 @@ def _verify(bands: Bands):
     return run
 
 
+#: Rows of ids up to which a table, once counted, goes to all tasks; more are joined by a shuffle.
+_FEW = 1_000_000
+
+
 def verified(pairs: DataFrame, sets: DataFrame, bands: Bands, heavy: int = 500) -> DataFrame:
-    """The pairs (a, b) that are similar.  A node with more than ``heavy`` partners is copied to several tasks."""
+    """The pairs (a, b) of a written table that are similar.
+
+    Few pairs are broadcast, so that of the sets only those in a pair are shuffled.
+    A node with more than ``heavy`` partners is copied to several tasks.
+    """
+    small = F.broadcast if pairs.count() <= _FEW else lambda df: df
     loads = pairs.groupBy("b").agg(F.ceil(F.count("*") / heavy).cast("int").alias("parts"))
-    full = sets.select("node", "shingles")
-    one = pairs.join(full.withColumnRenamed("node", "a"), "a")
-    salted = one.join(loads, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    other = full.withColumnRenamed("node", "b").join(loads, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    both = salted.join(other.select("b", "salt", F.col("shingles").alias("other")), ["b", "salt"])
+    salted = pairs.join(loads, "b").withColumn("salt", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
+    one = sets.withColumnRenamed("node", "a").join(small(salted), "a")
+    other = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")).join(small(loads), "b")
+    dealt = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    both = one.join(dealt.hint("shuffle_merge"), ["b", "salt"])
     return both.select("a", "b", "shingles", "other").mapInArrow(_verify(bands), "a long, b long")
 
 
@@ -613,13 +629,18 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
     where = materialize(members.join(needed, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "needed")
     chosen = marks(where.where("doc_id is not null").select("doc_id"))
     made = docs.select("doc_id", "text").mapInArrow(_sets(chosen, n), "doc_id long, node long, shingles binary")
-    here = made.join(where.withColumnRenamed("doc_id", "least"), "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = materialize(here.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    nodes = where.count()
+    least = where.withColumnRenamed("doc_id", "least")
+    here = made.join(F.broadcast(least) if nodes <= _FEW else least, "node").where(F.col("doc_id").eqNullSafe(F.col("least")))
+    sets = materialize(here.select("node", "shingles"), "sets")
+    if sets.count() > nodes:  # rows of one id and text, or of one text without an id
+        again, sets = sets, materialize(sets.dropDuplicates(["node"]), "sets")
+        discard(again)
     chosen.unpersist()
 
     order = [F.col("bucket"), F.xxhash64("node"), F.col("node")]
     near = rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_to_centres(bands), "a long, b long, far long")
-    first = near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", "m.b")
+    first = materialize(near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", "m.b"), "pairs")
     edges = materialize(verified(first, sets, bands), "edges")
     for every in (False, True):
         labels = connected_components(edges, "a", "b")
