@@ -1,16 +1,16 @@
 """Best-fit packing of token sequences, in bulk-synchronous rounds.
 
-Encoding cuts documents into pieces of at most ``capacity`` ids and, inside each
-task, joins short pieces to bundles of at most a sixteenth of the capacity, so a
-sequence holds few items.  Items over half the capacity open a sequence each.
-Then rounds follow.  Each range-sorts all gaps and unplaced items by size
-(descending, a hash breaking ties, so one common size spreads over many tasks)
-and sweeps every range: gaps are pushed, each item takes the last gap pushed,
-which is its successor, the smallest one left that holds it.  What a range cannot
-match itself is matched across ranges by rank: a table of counts per range fixes
-which ranks of left gaps go to which ranks of left items.  Gaps shrink, and the
-next round starts; when gaps cannot hold what is left, the largest items open as
-many sequences as their sum needs at least.
+Encoding cuts documents into pieces of at most ``capacity`` ids, the items to pack.
+Those over half the capacity open a sequence each.  Then rounds follow.  Each
+range-sorts all gaps and unplaced items by size (descending, a hash breaking ties,
+so one common size spreads over many tasks) and sweeps every range: gaps are
+pushed, each item takes the last gap pushed, which is its successor, the smallest
+one left that holds it.  What a range cannot match itself is matched across ranges
+by rank: a table of counts per range fixes which ranks of left gaps go to which
+ranks of left items.  Gaps shrink, and the next round starts; when gaps cannot hold
+what is left, the largest items open as many sequences as their sum needs at least
+(of items of one size those of the smallest hashes, found by counting hash ranges).
+A gap takes one item a round, so there are about as many rounds as items in a sequence.
 
 Null and empty texts are one piece that holds the end id alone.  Repeated
 documents are packed once per row; an empty table gives no rows.
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import materialize, slices
+from ._shared import discard, materialize, release, slices
 from ._tokens import encoder, file_of
 
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 2048
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long, item_at long, item_size long"
-_PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "item", "item_at", "item_size")])
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, item long"
+_PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "item")])
 
 
 def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,16 +47,11 @@ def with_end(ids: np.ndarray, counts: np.ndarray, end_id: int) -> tuple[np.ndarr
 
 
 def _encoder(path: str, end_id: int, capacity: int):
-    short = capacity // 16
-
     def encode(batches):
         from pyspark import TaskContext
 
         tok = encoder(path)
         number = TaskContext.get().partitionId() << 36
-        bundle: list[tuple] = []
-        filled = 0
-
         for batch in slices(batches, 1):
             ids, bounds = with_end(*tok.encode_column(batch.column(1)), end_id)
             raw = memoryview(ids.astype("<u4").tobytes())
@@ -64,21 +59,11 @@ def _encoder(path: str, end_id: int, capacity: int):
             for doc_id, low, high in zip(batch.column(0).to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
                 for k, a in enumerate(range(low, high, capacity)):
                     n = min(capacity, high - a)
-                    row = (doc_id, k, a - low, n, zlib.crc32(raw[4 * a : 4 * (a + n)]))
-                    if n > short:
-                        rows.append((*row, number, 0, n))
-                        number += 1
-                        continue
-                    if filled + n > short:
-                        rows += [(*r, number, at, filled) for r, at in bundle]
-                        number, bundle, filled = number + 1, [], 0
-                    bundle.append((row, filled))
-                    filled += n
+                    rows.append((doc_id, k, a - low, n, zlib.crc32(raw[4 * a : 4 * (a + n)]), number))
+                    number += 1
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _PIECES_ARROW.types)], schema=_PIECES_ARROW)
-        if bundle:
-            rows = [(*r, number, at, filled) for r, at in bundle]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), _PIECES_ARROW.types)], schema=_PIECES_ARROW)
+        release()
 
     return encode
 
@@ -90,7 +75,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capa
 
 _SWEPT = "what int, id long, size long, part int, rank long, bin long, gap long"
 _SWEPT_ARROW = pa.schema([("what", pa.int32()), ("id", pa.int64()), ("size", pa.int64()), ("part", pa.int32()), ("rank", pa.int64()), ("bin", pa.int64()), ("gap", pa.int64())])
-GAP, ITEM, PLACED = 0, 1, 2
+GAP, ITEM, PLACED, OPENED = 0, 1, 2, 3
 
 
 def _sweep(batches):
@@ -154,8 +139,8 @@ def carry(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int,
     return out
 
 
-def one_round(state: DataFrame) -> DataFrame:
-    """Give every gap one item at most; the state after it, with the items placed just now.
+def one_round(state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Give every gap one item at most; the state after it with the items placed just now, and a table it reads.
 
     ``state`` has the rows (what, id, size) of gaps (id: their sequence) and items.
     """
@@ -180,45 +165,63 @@ def one_round(state: DataFrame) -> DataFrame:
         F.col("kind").alias("what"), F.when(F.col("kind") == GAP, F.col("bin")).otherwise(F.col("id")).alias("id"),
         F.when(F.col("kind") == GAP, F.col("gap") - F.col("size")).otherwise(F.col("size")).alias("size"), "bin", "gap",
     )
-    return after.unionByName(free).where((F.col("what") != GAP) | (F.col("size") > 0))
-
-
-#: Up to this many new sequences the items that open them are found by rank of a hash, beyond it by its share.
-_BY_RANK = 10_000
+    return after.unionByName(free).where((F.col("what") != GAP) | (F.col("size") > 0)), swept
 
 
 def _hash(turn: int) -> F.Column:
     return F.xxhash64("id", F.lit(turn))
 
 
+#: Bits of a hash that one count tells apart.
+_BITS = 12
+
+
+def nth_hash(items: DataFrame, wanted: int) -> int:
+    """The ``wanted``-th smallest hash (column h) by counts of hash ranges: 4,096 rows a step, five steps at most."""
+    low = 0  # of the range that holds it, in unsigned hashes
+    for used in range(0, 64, _BITS):
+        shift = max(0, 64 - used - _BITS)
+        unsigned = F.col("h").bitwiseXOR(F.lit(-(2**63)))
+        inside = items if not used else items.where(F.shiftrightunsigned(unsigned, 64 - used) == low >> (64 - used))
+        counts = inside.groupBy((F.shiftrightunsigned(unsigned, shift) % 2**_BITS if shift + _BITS < 64 else F.shiftrightunsigned(unsigned, shift)).alias("r")).count().collect()
+        for r, n in sorted((row["r"] % 2**_BITS, row["count"]) for row in counts):
+            if wanted <= n:
+                low |= r << shift
+                if wanted == n:  # the whole range
+                    return low + (1 << shift) - 1 - 2**63
+                break
+            wanted -= n
+    return low - 2**63
+
+
 def _opens(after: DataFrame, sizes: dict[int, int], wanted: int, turn: int) -> tuple[int, int]:
     """(size, hash) such that ``wanted`` items are larger, or of that size with no greater hash."""
     for size in sorted(sizes, reverse=True):
-        count = sizes[size]
-        if wanted == count:
+        if wanted == sizes[size]:
             return size, 2**63 - 1
-        if wanted < count and wanted <= _BY_RANK:
-            some = after.where((F.col("what") == ITEM) & (F.col("size") == size)).select(_hash(turn).alias("h"))
-            return size, some.orderBy("h").limit(wanted).agg(F.max("h")).first()[0]
-        if wanted < count:
-            return size, 2**64 * wanted // count - 2**63
-        wanted -= count
+        if wanted < sizes[size]:
+            return size, nth_hash(after.where((F.col("what") == ITEM) & (F.col("size") == size)).select(_hash(turn).alias("h")), wanted)
+        wanted -= sizes[size]
     return 0, 2**63 - 1
 
 
 def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(item, bin, bin_at) for every item (item, item_size)."""
+    spark = items.sparkSession
     state = items.select(F.lit(ITEM).alias("what"), F.col("item").alias("id"), F.col("item_size").alias("size"))
-    done: list[DataFrame] = []
+    rounds: list[DataFrame] = []
     cut, most, turn = capacity // 2, -(2**63), 0
     while True:  # a round places an item or opens a sequence
         # Items above the cut (and some of those at it) open a sequence each; what remains fills gaps.
         own = (F.col("what") == ITEM) & ((F.col("size") > cut) | ((F.col("size") == cut) & (_hash(turn) <= most)))
-        done.append(state.where(own).select(F.col("id").alias("item"), F.col("id").alias("bin"), F.lit(0).cast("long").alias("bin_at")))
-        state = state.select(F.when(own, GAP).otherwise(F.col("what")).alias("what"), "id", F.when(own, capacity - F.col("size")).otherwise(F.col("size")).alias("size")).where("size > 0")
-        after = materialize(one_round(state), "round")
-        done.append(after.where(F.col("what") == PLACED).select(F.col("id").alias("item"), "bin", (capacity - F.col("gap")).alias("bin_at")))
-        # At most three kinds of ``capacity`` sizes each.
+        opened = state.where(own).select(F.lit(OPENED).alias("what"), "id", "size", F.col("id").alias("bin"), F.lit(capacity).cast("long").alias("gap"))
+        ready = state.select(F.when(own, GAP).otherwise(F.col("what")).alias("what"), "id", F.when(own, capacity - F.col("size")).otherwise(F.col("size")).alias("size")).where("size > 0")
+        done, swept = one_round(ready)
+        # One table a round: what was placed or opened in it, and the state after it.
+        after = materialize(done.unionByName(opened), "round")
+        discard(swept)
+        rounds.append(after)
+        # At most four kinds of ``capacity`` sizes each.
         tally = after.groupBy("what", "size").count().collect()
         sizes = {r["size"]: r["count"] for r in tally if r["what"] == ITEM}
         if not sizes:
@@ -232,15 +235,13 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         turn += 1
         cut, most = _opens(after, sizes, missing, turn) if missing > 0 else (capacity, -(2**63))
         state = after.where((F.col("what") == ITEM) | ((F.col("what") == GAP) & (F.col("size") >= least))).select("what", "id", "size")
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    paths = sorted({f.rpartition("/")[0] for r in rounds for f in r.inputFiles()})
+    every = spark.read.schema(rounds[0].schema).parquet(*paths) if paths else rounds[0]
+    return every.where(F.col("what") >= PLACED).select(F.col("id").alias("item"), "bin", (capacity - F.col("gap")).alias("bin_at"))
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id and its offset there."""
     cut = materialize(pieces(docs, vocabulary, end_id, capacity), "pieces")
-    items = cut.where("item_at = 0").select("item", "item_size")
-    placed = place(items, capacity)
-    return cut.join(placed, "item").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), (F.col("bin_at") + F.col("item_at")).alias("offset"))
+    placed = place(cut.select("item", F.col("length").alias("item_size")), capacity)
+    return cut.join(placed, "item").select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("bin_at").alias("offset"))
