@@ -2,18 +2,21 @@
 
 Documents are range-sorted by id and encoded where they land.  Each task groups
 consecutive documents into shards; in every shard frequent neighbouring id pairs
-are replaced by nonterminals, most frequent first, many pairs to a round (a pair
-never crosses a document's end).  A shard file holds the rules, the expansion
-length of every symbol, the remaining symbols and the documents' bounds, so any
-slice of any document decodes without touching its neighbours.
-
-File layout (little-endian): the magic ``RPG1``, five u64 (documents, symbols,
-rules, first nonterminal, tokens), then doc ids (i64; a null id is the smallest
-i64), document bounds in tokens (u64) and in symbols (u64), rules (2 x u16
-each), expansion length of each rule (u32), symbols (u16).
-
-Null texts are empty; repeated doc ids keep one entry per row (ordered by text);
-an empty table gives no shard and no row; very long documents are one entry.
+are replaced by nonterminals, the most frequent first, many pairs to a round (a pair
+never crosses a document's end), until no pair occurs ``least`` times.  A shard file
+holds the rules, the expansion length of every symbol, the remaining symbols and the
+documents' bounds, so any slice of any document decodes without touching its
+neighbours.
+
+File layout (little-endian): the magic ``RPG2``, six u64 (documents, symbols,
+rules, first nonterminal, tokens, bytes of a symbol), then doc ids (i64; a null id is
+the smallest i64), document bounds in tokens (u64) and in symbols (u64), expansion
+length of each rule (u32), rules (two symbols each), symbols.  A symbol takes two,
+three or four bytes, as the shard's largest one needs.
+
+Null texts are empty; repeated doc ids keep one entry per row (ordered by a hash of
+the text, then the text, so that rows of one id or without an id may lie in many
+tasks); an empty table gives no shard and no row; very long documents are one entry.
 """
 
 from __future__ import annotations
@@ -27,69 +30,98 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import fresh_path, materialize, ranges, read_file, slices, write_file
+from ._shared import fresh_path, materialize, ranges, read_file, release, slices, write_file
 from ._tokens import encoder, file_of
 
 VOCABULARY = "byte_bpe_50k.json"
 NULL_ID = -(2**63)
-_HASH = np.uint32(2654435761)
-_SLOTS = 18
+_HASH = np.uint64(0x9E3779B97F4A7C15)
+#: Bits of the slots that first tell rare pairs from others.
+_SLOTS = 22
 
 
-def compress(ids: np.ndarray, bounds: np.ndarray, first: int = 50257, rounds: int = 3, per_round: int = 5000, least: int = 16):
+def _pairs(seq: np.ndarray, bounds: np.ndarray, fresh: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct pairs, counts, and the place of each position's pair among them with the position) of frequent pairs.
+
+    Positions are those inside a document with a symbol of at least ``fresh``.
+    """
+    hit = np.ones(len(seq) - 1, bool) if not fresh else (seq[:-1] >= fresh) | (seq[1:] >= fresh)
+    ends = bounds[1:-1]
+    hit[ends[(ends > 0) & (ends < len(seq))] - 1] = False
+    at = np.flatnonzero(hit)
+    key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
+    if len(at) > 1 << 16:
+        slot = (key * _HASH >> np.uint64(64 - _SLOTS)).astype(np.int32)
+        often = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= least
+        at, key = at[often], key[often]
+    pairs, place, counts = np.unique(key, return_inverse=True, return_counts=True)
+    return pairs, counts, np.stack([at, place])
+
+
+def compress(ids: np.ndarray, bounds: np.ndarray, first: int = 50257, least: int = 16):
     """(rules, symbols, bounds in symbols) of ids in documents ``bounds[i]:bounds[i+1]``.
 
-    Pairs are counted over the whole shard in every round; up to ``per_round`` of
-    those seen at least ``least`` times become nonterminals, and where two chosen
-    pairs overlap the more frequent one is replaced.  Symbols stay below 65,536.
+    A round counts pairs and replaces all of those above a threshold; where two
+    chosen pairs overlap the more frequent one is replaced, in a run of one pair
+    every other.  The threshold falls from an eighth of the most frequent pair's
+    count to ``least``.  From then on only pairs with a symbol of the round before are
+    counted, for no other can have become frequent, and once more all at the end.
     """
-    seq, bounds = ids.astype(np.uint16), bounds.astype(np.int64)
+    if len(ids) and int(ids.max()) >= first:
+        raise ValueError(f"an id of {int(ids.max())} does not lie below the first nonterminal, {first}")
+    seq, bounds = ids.astype(np.uint32), bounds.astype(np.int64)
     rules: list[np.ndarray] = []
-    size = first
-    for _ in range(rounds):
-        room = min(per_round, 65_536 - size)
-        if len(seq) < 2 or room <= 0:
-            break
-        key = seq[:-1].astype(np.uint32) << np.uint32(16) | seq[1:]
-        inside = np.ones(len(seq), bool)
-        edge = bounds[1:-1]
-        inside[edge[(edge > 0) & (edge < len(seq))] - 1] = False
-        inside = inside[:-1]
-        slot = (key * _HASH) >> np.uint32(32 - _SLOTS)
-        bucket = np.bincount(slot, minlength=1 << _SLOTS)
-        floor = max(least, int(np.partition(bucket, -room)[-room]))
-        often = np.sort(key[(bucket[slot] >= floor) & inside])
-        if not len(often):
-            break
-        start = np.flatnonzero(np.concatenate([[True], often[1:] != often[:-1]]))
-        count = np.diff(np.concatenate([start, [len(often)]]))
-        pairs = often[start]
-        best = np.argsort(-count, kind="stable")[:room]
-        best = best[count[best] >= least]
-        if not len(best):
+    size, fresh, floor = first, 0, 0
+    while len(seq) > 1:
+        pairs, counts, (at, place) = _pairs(seq, bounds, fresh, least)
+        top = int(counts.max()) if len(counts) else 0
+        if top < least:
+            if not fresh:
+                break
+            fresh = 0
+            continue
+        floor = max(least, min(top // 8, floor // 8 if floor else top))
+        # Rank 0 is the most frequent pair.
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(pairs), np.int64)
+        rank[order] = np.arange(len(pairs))
+        chosen = counts[place] >= floor
+        at, r = at[chosen], rank[place[chosen]]
+        index = np.arange(len(at))
+        beside = np.concatenate([[False], at[1:] == at[:-1] + 1])
+        same = beside & np.concatenate([[False], r[1:] == r[:-1]])
+        start = np.maximum.accumulate(np.where(same, 0, index))
+        after = np.concatenate([~beside[1:] | (r[:-1] <= r[1:]), [True]])
+        before = ~beside | same | np.concatenate([[True], r[1:] < r[:-1]])
+        wins = ((index - start) % 2 == 0) & before & after
+        at, r = at[wins], r[wins]
+        # Pairs that lost most places to others stay as they are.
+        won = np.bincount(r, minlength=len(pairs))
+        kept = np.flatnonzero(won >= max(2, least // 4))
+        if not len(kept):  # cannot be: the best pair wins at half its places at least
             break
-        chosen = pairs[best]
-        taken, one = np.unique((chosen * _HASH) >> np.uint32(32 - _SLOTS), return_index=True)
-        chosen = chosen[np.sort(one)]
-        table = np.full(1 << _SLOTS, len(chosen), np.uint16)
-        table[(chosen * _HASH) >> np.uint32(32 - _SLOTS)] = np.arange(len(chosen), dtype=np.uint16)
-        rank = table[slot]
-        none = np.uint16(len(chosen))
-        hit = rank < none
-        hit[hit] = (chosen[rank[hit]] == key[hit]) & inside[hit]
-        rank = np.where(hit, rank, none)
-        wins = hit.copy()
-        wins[1:] &= rank[1:] < rank[:-1]
-        wins[:-1] &= (rank[:-1] <= rank[1:]) | ~hit[1:]
-        where = np.flatnonzero(wins)
-        seq[where] = (size + rank[where]).astype(np.uint16)
+        new = np.full(len(pairs), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        at, r = at[new[r] >= 0], new[r[new[r] >= 0]]
+        seq[at] = (size + r).astype(np.uint32)
         keep = np.ones(len(seq), bool)
-        keep[where + 1] = False
-        gone = np.concatenate([[0], np.cumsum(~keep)])
-        seq, bounds = seq[keep], bounds - gone[bounds]
-        rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], 1).astype(np.uint16))
-        size += len(chosen)
-    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint16)), seq, bounds
+        keep[at + 1] = False
+        seq, bounds = seq[keep], bounds - np.searchsorted(at + 1, bounds, "left")
+        made = pairs[order[kept]]
+        rules.append(np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        fresh = size if floor == least else 0
+        size += len(kept)
+    return (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)), seq, bounds
+
+
+def _narrow(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype("<u4").reshape(-1, 1).view(np.uint8)[:, :width]).tobytes()
+
+
+def _widened(data: bytes, count: int, at: int, width: int) -> np.ndarray:
+    out = np.zeros((count, 4), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8, count * width, at).reshape(count, width)
+    return out.view("<u4").ravel()
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
@@ -118,28 +150,31 @@ class Shard:
         return cls(doc_ids, bounds, symbol_bounds, rules, expansion_lengths(rules, first), symbols, first)
 
     def to_bytes(self) -> bytes:
-        head = b"RPG1" + struct.pack("<5Q", len(self.doc_ids), len(self.symbols), len(self.rules), self.first, int(self.token_bounds[-1]))
-        parts = (self.doc_ids.astype("<i8"), self.token_bounds.astype("<u8"), self.symbol_bounds.astype("<u8"), self.rules.astype("<u2"), self.lengths[self.first :].astype("<u4"), self.symbols.astype("<u2"))
-        return head + b"".join(p.tobytes() for p in parts)
+        top = self.first + len(self.rules)
+        width = 2 if top <= 1 << 16 else 3 if top <= 1 << 24 else 4
+        head = b"RPG2" + struct.pack("<6Q", len(self.doc_ids), len(self.symbols), len(self.rules), self.first, int(self.token_bounds[-1]), width)
+        parts = (self.doc_ids.astype("<i8"), self.token_bounds.astype("<u8"), self.symbol_bounds.astype("<u8"), self.lengths[self.first :].astype("<u4"))
+        return head + b"".join(p.tobytes() for p in parts) + _narrow(self.rules, width) + _narrow(self.symbols, width)
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "Shard":
-        if data[:4] != b"RPG1":
+        if data[:4] != b"RPG2":
             raise ValueError("not a Re-Pair shard")
-        docs, symbols, rules, first, _ = struct.unpack_from("<5Q", data, 4)
-        at, got = 44, []
-        for kind, count in (("<i8", docs), ("<u8", docs + 1), ("<u8", docs + 1), ("<u2", 2 * rules), ("<u4", rules), ("<u2", symbols)):
+        docs, symbols, rules, first, _, width = struct.unpack_from("<6Q", data, 4)
+        at, got = 52, []
+        for kind, count in (("<i8", docs), ("<u8", docs + 1), ("<u8", docs + 1), ("<u4", rules)):
             got.append(np.frombuffer(data, kind, count, at))
             at += got[-1].nbytes
-        lengths = np.concatenate([np.ones(first, np.int64), got[4].astype(np.int64)])
-        return cls(got[0], got[1].astype(np.int64), got[2].astype(np.int64), got[3].reshape(-1, 2), lengths, got[5], first)
+        lengths = np.concatenate([np.ones(first, np.int64), got[3].astype(np.int64)])
+        own = _widened(data, 2 * rules, at, width).reshape(-1, 2)
+        return cls(got[0], got[1].astype(np.int64), got[2].astype(np.int64), own, lengths, _widened(data, symbols, at + 2 * rules * width, width), first)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """All rules written out in full, in a row, and where each starts."""
         if not hasattr(self, "_table"):
             size = self.lengths[self.first :]
             starts = np.concatenate([np.arange(self.first), self.first + np.cumsum(size) - size]).astype(np.int64)
-            flat = np.empty(self.first + int(size.sum()), np.uint16)
+            flat = np.empty(self.first + int(size.sum()), np.uint32)
             flat[: self.first] = np.arange(self.first)
             for k, (a, b) in enumerate(self.rules.tolist()):
                 at, m, n = starts[self.first + k], self.lengths[a], self.lengths[b]
@@ -150,7 +185,7 @@ class Shard:
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
         flat, starts = self.table()
-        return flat[ranges(starts[symbols], self.lengths[symbols])].astype(np.uint32)
+        return flat[ranges(starts[symbols], self.lengths[symbols])]
 
     def document(self, k: int, low: int = 0, high: int | None = None) -> np.ndarray:
         """Ids ``low:high`` of the k-th document, expanding only the symbols that cover them."""
@@ -195,6 +230,7 @@ def _writer(path: str, end_id: int, folder: str, shard_tokens: int):
                 yield flush()
         if held:
             yield flush()
+        release()
 
     return write
 
@@ -211,7 +247,7 @@ def write(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, shard
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     shards = materialize(rows.mapInArrow(_writer(file_of(VOCABULARY, vocabulary), end_id, folder, shard_tokens), _MANIFEST), "token-manifest")
     # One row per shard: a few thousand even for very large tables, so one task may sum them up.
     before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import xxhash
 from tokenizers import Tokenizer
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,7 +79,8 @@ def licences(rows):
 
 def token_digests(rows):
     out, start = [], 0
-    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+    order = lambda r: (r[0] is not None, r[0] or 0, (xxhash.xxh64_intdigest(r[1] or "", 42) + 2**63) % 2**64, r[1] or "")
+    for i, t in sorted(rows, key=order):
         x = ids("byte_bpe_50k.json", t)
         out.append((i, start, len(x), crc(x)))
         start += len(x)

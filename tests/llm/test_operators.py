@@ -93,6 +93,22 @@ def test_repair_round_trip_and_random_access():
             assert (shard.document(k, low, high) == d[low:high]).all()
 
 
+def test_repair_repeats_until_no_pair_is_frequent():
+    """Long repeats, runs of one id and more rules than two bytes can name; ids beyond the first nonterminal are refused."""
+    rng = np.random.default_rng(5)
+    passage = rng.integers(0, 40_000, 500)
+    wide = np.concatenate([np.repeat(np.stack([np.arange(18_000) * 2, np.arange(18_000) * 2 + 1], 1), 16, axis=0).reshape(-1)])
+    for docs, first in (([np.concatenate([passage, rng.integers(0, 40_000, 7)]) for _ in range(40)], 50_257), ([np.zeros(9_999, int), np.tile([1, 2], 800)], 50_257), ([wide], 50_257)):
+        flat, bounds = np.concatenate(docs).astype(np.uint32), np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        shard = repair_store.Shard.from_bytes(repair_store.Shard.of(np.arange(len(docs)), flat, bounds, first).to_bytes())
+        assert (shard.expand(shard.symbols) == flat).all()
+        pairs = Counter(p for low, high in zip(shard.symbol_bounds[:-1], shard.symbol_bounds[1:]) for p in zip(shard.symbols[low:high].tolist(), shard.symbols[low + 1 : high].tolist()))
+        assert max(pairs.values(), default=0) < 16
+    assert len(shard.rules) >= 18_000  # more than two bytes can name
+    with pytest.raises(ValueError):
+        repair_store.compress(np.array([7, 70_000]), np.array([0, 2]), 50_257)
+
+
 CONTAMINATION = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
@@ -424,6 +440,15 @@ def test_placing_ties(spark, sizes):
     assert len(used) <= 1.02 * brute.best_fit_bins(sizes, 2048) + 1
 
 
+@pytest.mark.parametrize("wanted", [1, 2, 700, 2_999, 3_000])
+def test_the_hash_of_a_rank(spark, wanted):
+    rng = np.random.default_rng(4)
+    values = np.concatenate([rng.integers(-(2**63), 2**63 - 1, 2_990), np.arange(2**40, 2**40 + 10)])
+    items = spark.createDataFrame([(int(v),) for v in values], "h long")
+    found = packing.nth_hash(items, wanted)
+    assert (values <= found).sum() == wanted
+
+
 def test_search(spark, odd, none, rows):
     docs = [r for r in ODD if r[0] is not None]
     asked = [(1, "fox river"), (2, None), (3, "absentword"), (4, " ".join(brute.PROSE)), (5, "two three rights")]
