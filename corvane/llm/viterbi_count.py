@@ -7,13 +7,20 @@ position and a later one replaces an earlier one only if its score is greater.
 A character that no piece covers costs the lowest piece score less 10; with byte
 fallback it counts one piece per UTF-8 byte, else a run of such characters is one.
 
-Text is prepared as the tokenizer does: spaces become the mark U+2581, one mark is
-prepended, and every mark starts a new word, within which the best path is found.
-So the count of a text is the sum over its words, and each distinct word is
-solved once per worker.
-
-Null texts are empty and count 0.  The vocabulary is that of the public piece file
-(pieces and scores), read once per worker.
+The pieces are those of a public piece file, read once per worker.  That file is of a
+BPE model and has merge ranks where a unigram model has log probabilities, so a piece's
+probability is taken from its rank by Zipf's law: it is proportional to 1 / rank.
+The counts are those of this unigram model (as the ``tokenizers`` library's Unigram
+gives them), not of the file's own BPE merges.  Control, unknown and byte pieces are
+no text: ``<s>`` or ``<0x41>`` written in a text is counted by its characters.
+
+Text is prepared as the tokenizer does: spaces become the mark U+2581 and one mark is
+prepended.  No piece has a mark behind another character, so a text is solved in
+words that start where a mark follows a non-mark (a run of marks stays whole), and
+each distinct short word is solved once per worker.  A word needs memory for its text
+and for as many positions as the longest piece has characters.
+
+Null texts are empty and count 0; repeated rows are counted each.
 """
 
 from __future__ import annotations
@@ -27,17 +34,19 @@ from ._tokens import file_of
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
-#: Words that a worker remembers; later ones are solved anew in each batch that has them.
-_MOST_WORDS = 400_000
+#: Words that a worker remembers, of at most so many bytes; others are solved anew in each batch that has them.
+_MOST_WORDS, _LONGEST_WORD = 400_000, 100
 _COUNTERS: dict[str, "Counter"] = {}
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
-    """(piece, score) in id order, from a sentencepiece model file."""
+    """(piece, log probability) of the text pieces, in id order, which is that of their ranks, from a sentencepiece model file."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return [(sp.id_to_piece(k), float(sp.get_score(k))) for k in range(sp.get_piece_size())]
+    pieces = [sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k))]
+    scores = -np.log(np.arange(1, len(pieces) + 1))
+    return list(zip(pieces, (scores - np.log(np.exp(scores).sum())).tolist()))
 
 
 class Counter:
@@ -47,8 +56,11 @@ class Counter:
         self.automaton = ahocorasick.Automaton()
         for piece, score in pieces:
             if piece:
+                if MARK in piece.lstrip(MARK):
+                    raise ValueError(f"the piece {piece!r} has a mark inside")
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
+        self.longest = max(len(p) for p, _ in pieces)
         self.unknown = min(s for _, s in pieces) - 10.0
         self.singles = {p for p, _ in pieces if len(p) == 1}
         self.byte_fallback = byte_fallback
@@ -56,24 +68,29 @@ class Counter:
 
     def word(self, text: str) -> tuple[int, float]:
         """(pieces, score) of the best path over one word."""
-        n = len(text)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for last, (size, score) in self.automaton.iter(text):
-            ends[last].append((size, score))
-        best, count, run = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        for last in range(n):
+        ring = self.longest + 1
+        best, count, run = [0.0] * ring, [0] * ring, [False] * ring
+        matches = iter(self.automaton.iter(text))
+        end, piece = next(matches, (-1, None))
+        for last, character in enumerate(text):
+            here = []
+            while end == last:
+                here.append(piece)
+                end, piece = next(matches, (-1, None))
+            if character not in self.singles:
+                here.append((1, None))
             top, pieces, was_run = None, 0, False
-            if text[last] not in self.singles:
-                ends[last].append((1, None))
             # Longest first: the tokenizer meets the matches by start position.
-            for size, score in sorted(ends[last], key=lambda m: -m[0]):
-                at = last + 1 - size
+            for size, score in sorted(here, key=lambda m: -m[0]):
+                at = (last + 1 - size) % ring
                 total = best[at] + (self.unknown if score is None else score)
                 if top is None or total > top:
                     top, was_run = total, score is None
-                    pieces = count[at] + (1 if score is not None else len(text[last].encode()) if self.byte_fallback else not run[at])
-            best[last + 1], count[last + 1], run[last + 1] = top, int(pieces), was_run
-        return count[n], best[n]
+                    pieces = count[at] + (1 if score is not None else len(character.encode()) if self.byte_fallback else not run[at])
+            at = (last + 1) % ring
+            best[at], count[at], run[at] = top, int(pieces), was_run
+        at = len(text) % ring
+        return count[at], best[at]
 
     def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(pieces, score) of each text."""
@@ -81,14 +98,17 @@ class Counter:
         n = len(offsets) - 1
         if not len(raw):
             return np.zeros(n, np.int64), np.zeros(n)
-        # Words end before a space or a mark that the text itself holds.
-        start = raw == 0x20
+        # A word starts at a space, or at a mark that the text itself holds, behind anything else.
+        mark = raw == 0x20
         own = np.flatnonzero((raw[:-2] == 0xE2) & (raw[1:-1] == 0x96) & (raw[2:] == 0x81)) if len(raw) > 2 else np.zeros(0, int)
-        start[own] = True
+        mark[own] = True
+        behind = np.zeros(len(raw), bool)  # is the character before a mark
+        behind[1:] = raw[:-1] == 0x20
+        behind[own[own + 3 < len(raw)] + 3] = True
         heads = offsets[:-1][np.diff(offsets) > 0]
         head = np.zeros(len(raw), bool)
         head[heads] = True
-        first = np.flatnonzero(start | head)
+        first = np.flatnonzero((mark & ~behind) | head)
         bounds = np.append(first, len(raw)).astype(np.int32)
         pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
         words = pieces.dictionary.to_pylist()
@@ -97,7 +117,7 @@ class Counter:
         counts = np.array([c for c, _ in found], np.int64)[numbers]
         totals = np.array([s for _, s in found])[numbers]
         # A text that does not start with a mark gets one.
-        lead = np.flatnonzero(head[first] & ~start[first])
+        lead = np.flatnonzero(head[first] & ~mark[first])
         for k in lead.tolist():
             counts[k], totals[k] = self._solved(b" " + words[numbers[k]])
         at = np.searchsorted(first, offsets)
@@ -108,7 +128,7 @@ class Counter:
         got = self.known.get(word)
         if got is None:
             got = self.word(word.decode().replace(" ", MARK))
-            if len(self.known) < _MOST_WORDS:
+            if len(word) <= _LONGEST_WORD and len(self.known) < _MOST_WORDS:
                 self.known[word] = got
         return got
 

@@ -157,22 +157,40 @@ def test_fm_index_finds_all_places():
 
 
 def test_counts_equal_the_unigram_tokenizer(odd, none, rows):
-    """The tokenizers library's own unigram model, on the same pieces and scores."""
-    from tokenizers import Tokenizer, models, pre_tokenizers
+    """The tokenizers library's own unigram model, on the same pieces and probabilities, over whole texts without a split."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, normalizers
 
     pieces = viterbi_count.vocabulary(brute.public_tokenizers.path(viterbi_count.VOCABULARY))
-    plain = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
-    plain.pre_tokenizer = pre_tokenizers.Metaspace(prepend_scheme="always")
-    texts = [t for _, t in ODD if t] + [t for _, t in rows if t]
+    assert sum(np.exp(s) for _, s in pieces) == pytest.approx(1)
+    least = min(s for _, s in pieces)
+    plain = Tokenizer(models.Unigram([("<unk>", least), *((f"<0x{k:02X}>", least) for k in range(256)), *pieces], unk_id=0, byte_fallback=True))
+    plain.normalizer = normalizers.Replace(" ", viterbi_count.MARK)
+    whole = lambda t: t if t[0] in " " + viterbi_count.MARK else " " + t
+    texts = [t for _, t in ODD if t] + [t for _, t in rows if t] + ["  two  spaces   three", " " * 50, "x" + " " * 17 + "y▁▁ ▁z", "\t\n  \n", "ab" * 3_000]
     tool = viterbi_count.Counter(pieces)
-    import pyarrow as pa
-
     got, _ = tool.column(pa.array(texts, pa.string()))
-    assert got.tolist() == [len(plain.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert got.tolist() == [len(plain.encode(whole(t), add_special_tokens=False).ids) for t in texts]
+    assert tool.word("▁" * 16)[0] == 1
+    # Control and byte pieces are text like any other.
+    assert tool.word("▁<s>")[0] > 1 and tool.word("▁<0x41>")[0] > 1
     counted = {r["doc_id"]: r["n_tokens"] for r in viterbi_count.count(odd).collect()}
     assert counted[1] == 0 and counted[2] == 0 and viterbi_count.count(none).count() == 0
 
 
+def test_counts_of_a_very_long_word(spark):
+    """Memory stays with the text's own size; the path is that of the parts between certain cuts."""
+    import tracemalloc
+
+    tool = viterbi_count.counter(brute.public_tokenizers.path(viterbi_count.VOCABULARY))
+    one, _ = tool.word("abcde漢" * 1_000)
+    tracemalloc.start()
+    many, _ = tool.word("abcde漢" * 10_000)
+    assert tracemalloc.get_traced_memory()[1] < 3_000_000
+    tracemalloc.stop()
+    assert 9 * one < many < 11 * one
+
+
 GROUPS = ("doc_id", "n_shingles", "component_id")
 
 
