@@ -179,3 +179,59 @@ def bm25(rows, queries, k=10):
                 scored.append((-round(total, 6), i))
         out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scored)[:k], 1)]
     return sorted(out)
+
+
+def quality_scores(rows, labels, block=1024, per_class=6_000):
+    """Scores of the compression classifier by plain loops: rows (doc_id, text), labels (doc_id, quality)."""
+    import zstandard
+
+    level, size = 3, 65_536
+    hashed = lambda i: (xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42) + 2**63) % 2**64
+    known = [(i, q) for i, q in labels if i is not None and q in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    texts = {0: [], 1: []}
+    chosen = {q: sorted((i for i, x in known if x == q), key=lambda i: (hashed(i), i))[:per_class] for q in (0, 1)}
+    for q in (0, 1):
+        for i in chosen[q]:
+            texts[q] += sorted((t or "").encode() for k, t in rows if k == i)
+    cut = {q: max(1, len(texts[q]) * 7 // 10) for q in texts}
+
+    def tool(samples):
+        try:
+            d = zstandard.train_dictionary(min(size, max(4096, sum(map(len, samples)) // 8)), samples)
+        except zstandard.ZstdError:
+            d = zstandard.ZstdCompressionDict(b"\n".join(samples)[:size] or b"\n" * 8)
+        return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d.as_bytes()), write_content_size=False, write_dict_id=False)
+
+    good, bad = tool(texts[1][: cut[1]]), tool(texts[0][: cut[0]])
+
+    def look(text):
+        a, b, n = [], [], []
+        for k in range(0, max(1, len(text)), block):
+            part = text[k : k + block]
+            a.append(len(good.compress(part)))
+            b.append(len(bad.compress(part)))
+            n.append(len(part) + 1)
+        return [
+            (sum(b) - sum(a)) / (sum(a) + sum(b)), min((y - x) / (x + y) for x, y in zip(a, b)), math.log(sum(a) / sum(n)), math.log(sum(b) / sum(n)),
+            math.log(min(x / z for x, z in zip(a, n))), math.log(min(y / z for y, z in zip(b, n))), math.log(sum(n)),
+        ]
+
+    rest = [(look(t), q) for q in (1, 0) for t in texts[q][cut[q] :]]
+    x, y = np.array([f for f, _ in rest]), np.array([float(q) for _, q in rest])
+    share = sum(q for _, q in known) / len(known)
+    weight = np.array([share / y.mean() if q else (1 - share) / (1 - y.mean()) for q in y])
+    mean, spread = x.mean(0), x.std(0) + 1e-6
+
+    def wide(f):
+        z = [min(6.0, max(-6.0, v)) for v in (np.array(f) - mean) / spread]
+        return [1.0, *z, *(z[i] * z[j] for i in range(len(z)) for j in range(i, len(z)))]
+
+    d = np.array([wide(f) for f in x])
+    w = np.zeros(d.shape[1])
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
+        step = np.linalg.solve(d.T @ (d * (weight * p * (1 - p))[:, None]) + np.eye(len(w)), d.T @ (weight * (p - y)) + w)
+        w = w - step
+        if np.abs(step).max() < 1e-6:
+            break
+    return {i: 1 / (1 + math.exp(-min(30, max(-30, float(np.dot(wide(look((t or "").encode())), w)))))) for i, t in rows}

@@ -271,6 +271,23 @@ def test_quality_on_held_out_rows(spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) for r in got)
 
 
+def test_quality_equals_a_plain_version(spark, rows):
+    labels = duckdb.sql(f"SELECT doc_id, quality FROM '{SF}/labels.parquet'").fetchall()
+    want = brute.quality_scores(rows, labels)
+    got = llm.op7_compression_quality(spark, SF).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-9) and r["predicted"] == (r["score"] >= 0.3)
+        assert r["held_out"] == (brute.zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_quality_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word and word " * 400_000), (2, None)], "doc_id long, text string")
+    sample = [b"plain good prose about rivers and trees %d" % k for k in range(60)], [b"zzz qqq %d ### !!!" % (k * k) for k in range(60)]
+    got = quality.classify(docs, quality.fit(*sample, 0.5)).collect()
+    assert len(got) == 2 and all(0 <= r["score"] <= 1 for r in got)
+
+
 def test_quality_edges(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 0), (5, None, 0), (99, 0, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
     model = quality.train(odd, labels)
