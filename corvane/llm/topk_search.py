@@ -40,12 +40,14 @@ from ._shared import fresh_path, materialize, ranges, read_file, release, slices
 from ._words import WordColumn
 
 K1, B = 1.2, 0.75
-BLOCK = 32
+BLOCK = 64
 SHARD_DOCS = 20_000
 SHARD_BYTES = 64_000_000
-QUERY_BLOCK = 32
+QUERY_BLOCK = 64
 DIGITS = 6
 _SLACK = 2e-6
+#: The part of the threshold that counts as small.
+_SMALL = 0.1
 
 
 def term_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -63,6 +65,26 @@ def term_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return hashes[order][key // max(1, len(w.counts))], key % max(1, len(w.counts)), count, w.counts
 
 
+def alike(some_terms: np.ndarray, some_docs: np.ndarray, some: int, terms: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
+    """A new number of each of ``n`` documents, by which those with the same common terms stand together.
+
+    Blocks of like documents have tight maxima.  The common terms are those of the
+    first batch; they only change the layout, never a result.
+    """
+    found, counts = np.unique(some_terms, return_counts=True)
+    split = counts * np.maximum(some - counts, 0)
+    chosen = np.sort(found[np.argsort(-split, kind="stable")[:64]])
+    at = np.minimum(np.searchsorted(chosen, terms), max(0, len(chosen) - 1))
+    own = np.flatnonzero(chosen[at] == terms) if len(chosen) else np.zeros(0, np.int64)
+    bits = np.zeros((n, max(1, len(chosen))), bool)
+    bits[docs[own], at[own]] = True
+    weight = np.argsort(np.argsort(-split[np.searchsorted(found, chosen)], kind="stable")) if len(chosen) else np.zeros(1, np.int64)
+    order = np.lexsort(bits[:, np.argsort(weight)].T[::-1])
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    return place
+
+
 class Shard:
     """Postings of some documents."""
 
@@ -79,10 +101,12 @@ class Shard:
             counts.append(count)
             base += len(ids)
         term, doc, count = np.concatenate(terms), np.concatenate(docs), np.concatenate(counts)
+        place = alike(terms[0], docs[0], len(parts[0][0]), term, doc, base)
+        doc, number = place[doc], np.argsort(place, kind="stable")
         order = np.lexsort((doc, term))
         term = term[order]
         first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]])) if len(term) else np.zeros(0, np.int64)
-        return cls(np.concatenate([p[0] for p in parts]), np.concatenate([p[4] for p in parts]), term[first], np.append(first, len(term)), doc[order].astype(np.int32), count[order].astype(np.int32))
+        return cls(np.concatenate([p[0] for p in parts])[number], np.concatenate([p[4] for p in parts])[number], term[first], np.append(first, len(term)), doc[order].astype(np.int32), count[order].astype(np.int32))
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
@@ -112,8 +136,9 @@ class Shard:
         self.heads = np.append(self.heads, len(self.docs))
         self.blocks = (len(self.doc_ids) + BLOCK - 1) // BLOCK
         # The same postings by document, to score one in full.
-        self.by_doc = np.argsort(self.docs.astype(np.uint16) if len(self.doc_ids) <= 1 << 16 else self.docs, kind="stable")
-        self.term_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))[self.by_doc]
+        by_doc = np.argsort(self.docs.astype(np.uint16) if len(self.doc_ids) <= 1 << 16 else self.docs, kind="stable")
+        self.term_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))[by_doc]
+        self.part_of = self.part[by_doc]
         self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.doc_ids)))])
         self.weight = np.zeros(n)
         self.skipped = self.scored = 0
@@ -123,7 +148,7 @@ class Shard:
         """Whole scores of documents, by the weights set for the query."""
         sizes = self.doc_starts[docs + 1] - self.doc_starts[docs]
         at = ranges(self.doc_starts[docs], sizes)
-        return np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weight[self.term_of[at]] * self.part[self.by_doc[at]], len(docs))
+        return np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weight[self.term_of[at]] * self.part_of[at], len(docs))
 
     def _entries(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The (list, block) entries of some lists, and the place of each one's list among them."""
@@ -148,9 +173,12 @@ class Shard:
         if rest[0] + _SLACK < floor or not len(lists):
             self.skipped += self.blocks
             return none
-        entries, of = self._entries(lists)
+        # The last lists, which may add a small part of the threshold only, are bounded by their sum.
+        cut = int(np.searchsorted(-rest, _SLACK - _SMALL * floor, "right")) if floor > 0 else len(lists)
+        cut = min(cut, len(lists))
+        entries, of = self._entries(lists[:cut])
         most, where = weight[of] * self.block_most[entries], self.block_of[entries]
-        limit = np.bincount(where, most, self.blocks)
+        limit = np.bincount(where, most, self.blocks) + rest[cut]
         postings = np.cumsum(self.starts[lists + 1] - self.starts[lists])
         acc = np.zeros(len(self.doc_ids))
         edges = np.arange(0, len(acc), BLOCK)
@@ -158,23 +186,23 @@ class Shard:
         self.skipped += int((~live).sum())
         while True:
             # Up to the pivot, then up to where the rest may add a small part of the threshold only.
-            pivot = int(np.searchsorted(-rest, _SLACK - share * floor, "right")) if floor > 0 else len(lists)
-            if done >= min(pivot, len(lists)):
-                if share < 1 or done == len(lists):
+            pivot = min(cut, int(np.searchsorted(-rest, _SLACK - share * floor, "right"))) if floor > 0 else cut
+            if done >= pivot:
+                if share < 1 or done == cut:
                     break
-                share = 0.2
+                share = _SMALL
                 continue
             # Without a threshold yet, a few of the best lists give one.
-            upto = min(pivot, len(lists)) if floor > 0 else max(done + 1, int(np.searchsorted(postings, step, "right")))
-            some = np.flatnonzero((of >= done) & (of < upto) & live[where])
+            upto = pivot if floor > 0 else max(done + 1, int(np.searchsorted(postings, step, "right")))
+            low, high = np.searchsorted(of, [done, upto])
+            some = low + np.flatnonzero(live[where[low:high]])
             sizes = self.heads[entries[some] + 1] - self.heads[entries[some]]
             read = ranges(self.heads[entries[some]], sizes)
             acc += np.bincount(self.docs[read], np.repeat(weight[of[some]], sizes) * self.part[read], len(acc))
             done, step = upto, 4 * step
-            if len(acc) >= k:
+            if len(acc) >= k and share == 1:
                 floor = max(floor, float(np.partition(acc, -k)[-k]))
-            behind = of >= done
-            more = np.bincount(where[behind], most[behind], self.blocks)
+            more = np.bincount(where[high:], most[high:], self.blocks) + rest[cut]
             live = np.maximum.reduceat(acc, edges) + more + _SLACK >= floor
         reach = acc + more[np.arange(len(acc)) // BLOCK] + _SLACK
         live = np.flatnonzero((acc > 0) & (reach >= floor))
@@ -332,6 +360,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     wanted = terms.join(frequency, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("t"))
     # A query's terms are at most the distinct words of its text.
     full = wanted.groupBy("query_id").agg(F.collect_list("t").alias("t")).select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"))
+    full = full.repartition(max(1, math.ceil(queries.count() / QUERY_BLOCK)))
     blocks = materialize(full.mapInArrow(_block_writer(fresh_path(spark, "bm25-queries")), "block string"), "bm25-blocks")
     n = max(1, blocks.count())
     groups = max(1, min(files, math.ceil((parts or spark.sparkContext.defaultParallelism * 3) / n)))
