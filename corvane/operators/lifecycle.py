@@ -31,12 +31,13 @@ def transitions(spark: SparkSession, rows: Iterable[tuple] = TRANSITIONS) -> Dat
 def set_lifecycle(docs: DataFrame, requests: DataFrame, table: DataFrame) -> DataFrame:
     """Outcome of each request (id, action): the new state, or why not.
 
-    Errors: not_found, unknown_action, invalid_transition.
+    Errors: not_found, unknown_action, invalid_transition (a document without a state has no transition).
     """
     table = F.broadcast(table)  # the configured transitions, a handful
     known = F.broadcast(table.select("action").distinct().withColumn("known", F.lit(True)))
-    rows = requests.join(docs.select("id", "lifecycle_status"), "id", "left").join(known, "action", "left").join(table, (F.col("lifecycle_status") == table.from_state) & (requests.action == table.action), "left")
-    error = F.when(F.col("lifecycle_status").isNull(), "not_found").when(F.col("known").isNull(), "unknown_action").when(F.col("to_state").isNull(), "invalid_transition")
+    held = docs.select("id", "lifecycle_status", F.lit(True).alias("held"))
+    rows = requests.join(held, "id", "left").join(known, "action", "left").join(table, (F.col("lifecycle_status") == table.from_state) & (requests.action == table.action), "left")
+    error = F.when(F.col("held").isNull(), "not_found").when(F.col("known").isNull(), "unknown_action").when(F.col("to_state").isNull(), "invalid_transition")
     return rows.select("id", requests.action, "lifecycle_status", "to_state", F.coalesce("creates_edge", F.lit(False)).alias("creates_edge"), error.alias("error"))
 
 
@@ -85,7 +86,8 @@ def insert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> tuple[DataF
 
     Null parts of a key never match, as in SQL.
     """
-    first = rows.dropDuplicates(list(key))
+    whole = " and ".join(f"`{k}` is not null" for k in key)
+    first = rows.where(whole).groupBy(*key).agg(F.min(F.struct(*rows.columns)).alias("m")).select("m.*").unionByName(rows.where(f"not ({whole})"))
     held = table.select(*key).distinct().withColumn("held", F.lit(True))
     outcome = first.join(held, list(key), "left").select(*rows.columns, F.col("held").isNull().alias("created"))
     return table.unionByName(outcome.where("created").drop("created"), allowMissingColumns=True), outcome
