@@ -133,20 +133,12 @@ def q12_10_stats(spark, sf_dir):
     return browse.vault_stats(g.documents(spark, sf_dir), g.edges(spark, sf_dir))
 
 
-def _duplicates(spark, sf_dir, which):
+def q10_7_duplicates(spark, sf_dir):
     docs = g.documents(spark, sf_dir)
-    wanted = docs.select(F.col("source_content_hash").alias("hash")).unionByName(docs.where(which).select(F.sha2("id", 256).alias("hash")))
+    wanted = docs.select(F.col("source_content_hash").alias("hash")).unionByName(docs.select(F.sha2("id", 256).alias("hash")))
     return browse.by_hashes(docs, wanted, ("active", "completed"))
 
 
-def q10_7_duplicates(spark, sf_dir):
-    return _duplicates(spark, sf_dir, "n < 50")
-
-
-def q10_7_duplicates_all(spark, sf_dir):
-    return _duplicates(spark, sf_dir, "true")
-
-
 def q12_12_ids_by_path(spark, sf_dir):
     return browse.ids_by_path(g.documents(spark, sf_dir))
 
@@ -212,7 +204,7 @@ ORACLE = {
         unnest([CAST(documents AS VARCHAR), last_ingestion_at, CAST(failed AS VARCHAR), CAST(abstraction_skipped AS VARCHAR), CAST(pending_metadata AS VARCHAR), CAST(edges AS VARCHAR), CAST(retractions AS VARCHAR)]) AS value FROM s, x""", D, E),
     "q10_7_duplicates": with_tables("""a AS (SELECT source_content_hash AS hash, id, lifecycle_status, 0 AS arm FROM d UNION ALL SELECT stored_content_hash, id, lifecycle_status, 1 FROM d),
       b AS (SELECT hash, id FROM (SELECT *, row_number() OVER (PARTITION BY hash ORDER BY lifecycle_status NOT IN ('active', 'completed'), arm, id) AS r FROM a) WHERE r = 1),
-      h AS (SELECT source_content_hash AS hash FROM d UNION SELECT sha256(id) FROM d WHERE n < 50)
+      h AS (SELECT source_content_hash AS hash FROM d UNION SELECT sha256(id) FROM d)
       SELECT hash, b.id IS NOT NULL AS exists, b.id AS document_id FROM h LEFT JOIN b USING (hash)""", D),
     "q12_12_ids_by_path": with_tables("SELECT source_path, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM d GROUP BY 1", D),
     "q3_7_metadata_changes": with_tables("""a AS (SELECT id, CASE WHEN n % 5 = 0 THEN 'archived' ELSE lifecycle_status END AS l, lifecycle_status AS l0, CASE WHEN n % 3 <> 1 THEN document_date END AS t, document_date AS t0 FROM d)

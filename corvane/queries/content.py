@@ -92,38 +92,22 @@ def q7_8_hybrid(spark, sf_dir):
     return found.select("document_id", "title", "lifecycle_status", F.round("score", 6).alias("score"), "rank")
 
 
-def _relevance(spark, sf_dir, which):
-    docs = _light(spark, sf_dir).where(which)
-    ranking = docs.select(F.concat(F.lit("q"), (F.col("n") % 20).cast("string")).alias("query"), F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 7 % 101, "n")).alias("rank"))
-    judged = docs.where("n % 7 = 0 or n % 11 = 0").select(F.concat(F.lit("q"), (F.col("n") % 20).cast("string")).alias("query"), F.col("id").alias("document_id"), F.when(F.col("n") % 7 == 0, 2).otherwise(1).alias("grade"))
-    return evaluation.relevance(ranking, judged, 5)
-
-
 def q18_3_relevance(spark, sf_dir):
-    return _relevance(spark, sf_dir, "n < 400")
-
-
-def q18_3_relevance_all(spark, sf_dir):
-    return _relevance(spark, sf_dir, "true")
+    docs = _light(spark, sf_dir)
+    ranking = docs.select(F.concat(F.lit("q"), F.floor(F.col("n") / 20).cast("string")).alias("query"), F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.floor(F.col("n") / 20)).orderBy(F.col("n") * 7 % 101, "n")).alias("rank"))
+    judged = docs.where("n % 7 = 0 or n % 11 = 0").select(F.concat(F.lit("q"), F.floor(F.col("n") / 20).cast("string")).alias("query"), F.col("id").alias("document_id"), F.when(F.col("n") % 7 == 0, 2).otherwise(1).alias("grade"))
+    return evaluation.relevance(ranking, judged, 5)
 
 
-def _overlap(spark, sf_dir, which):
-    docs = _light(spark, sf_dir).where(which)
-    key = (F.col("n") % 20).alias("query")
-    one = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 7 % 101, "n")).alias("rank")).where("rank <= 5"))
-    two = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.col("n") % 20).orderBy(F.col("n") * 5 % 89, "n")).alias("rank")).where("rank <= 5"))
+def q18_1_overlap(spark, sf_dir):
+    docs = _light(spark, sf_dir)
+    key = F.floor(F.col("n") / 20).alias("query")
+    one = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.floor(F.col("n") / 20)).orderBy(F.col("n") * 7 % 101, "n")).alias("rank")).where("rank <= 5"))
+    two = evaluation.lists(docs.select(key, F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.floor(F.col("n") / 20)).orderBy(F.col("n") * 5 % 89, "n")).alias("rank")).where("rank <= 5"))
     both = one.join(two.withColumnRenamed("documents", "other"), "query")
     return both.select("query", evaluation.overlap_at_k(F.col("documents"), F.col("other"), 5).alias("overlap"))
 
 
-def q18_1_overlap(spark, sf_dir):
-    return _overlap(spark, sf_dir, "n < 400")
-
-
-def q18_1_overlap_all(spark, sf_dir):
-    return _overlap(spark, sf_dir, "true")
-
-
 def q18_9_latency(spark, sf_dir):
     return evaluation.latency(g.table(spark, sf_dir, "events"), "event_type", "value")
 
@@ -133,36 +117,20 @@ def q11_9_timing_windows(spark, sf_dir):
     return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("most")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "most")
 
 
-def _lifecycle(spark, sf_dir, which):
+def q10_1_lifecycle(spark, sf_dir):
     docs = _light(spark, sf_dir)
     action = F.element_at(F.array(*[F.lit(a) for a in ("archive", "reactivate", "supersede", "vanish")]), (F.col("n") % 4 + 1).cast("int"))
-    requests = docs.where(which).select("id", action.alias("action")).unionByName(spark.createDataFrame([("nobody", "archive")], "id string, action string"))
+    requests = docs.select("id", action.alias("action")).unionByName(spark.createDataFrame([("nobody", "archive")], "id string, action string"))
     return lifecycle.set_lifecycle(docs, requests, lifecycle.transitions(spark))
 
 
-def q10_1_lifecycle(spark, sf_dir):
-    return _lifecycle(spark, sf_dir, "n < 150")
-
-
-def q10_1_lifecycle_all(spark, sf_dir):
-    return _lifecycle(spark, sf_dir, "true")
-
-
-def _patch_tags(spark, sf_dir, which):
+def q10_16_patch_tags(spark, sf_dir):
     docs = _light(spark, sf_dir)
-    patches = docs.where(which).select("id", F.when(F.col("n") % 3 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("new"))).alias("add"), F.when(F.col("n") % 2 == 0, F.array(F.concat(F.lit("pv"), (F.col("n") % 12).cast("string")))).otherwise(F.array(F.lit("none"))).alias("remove"))
+    patches = docs.select("id", F.when(F.col("n") % 3 == 0, F.array(F.lit("en"))).otherwise(F.array(F.lit("new"))).alias("add"), F.when(F.col("n") % 2 == 0, F.array(F.concat(F.lit("pv"), (F.col("n") % 12).cast("string")))).otherwise(F.array(F.lit("none"))).alias("remove"))
     out = lifecycle.patch_tags(docs, patches)
     return out.select("id", F.array_join("tags", ",").alias("tags"), "error")
 
 
-def q10_16_patch_tags(spark, sf_dir):
-    return _patch_tags(spark, sf_dir, "n < 120")
-
-
-def q10_16_patch_tags_all(spark, sf_dir):
-    return _patch_tags(spark, sf_dir, "true")
-
-
 def q10_4_unique(spark, sf_dir):
     return lifecycle.unique_collisions(_light(spark, sf_dir), g.edges(spark, sf_dir), "report", "sev")
 
@@ -176,7 +144,7 @@ def q2_4_insert_edges(spark, sf_dir):
 
 def q2_9_remove(spark, sf_dir):
     docs, edges, rows = _light(spark, sf_dir), g.edges(spark, sf_dir), g.passages(spark, sf_dir)
-    left, links, parts = lifecycle.remove_documents(docs.where("n % 10 = 0").select("id"), docs, edges, rows)
+    left, links, parts = lifecycle.remove_documents(docs.where("pipeline_status = 'failed'").select("id"), docs, edges, rows)
     return left.select("id", F.lit("document").alias("what")).unionByName(links.select("id", F.lit("edge").alias("what"))).unionByName(parts.groupBy(F.col("document_id").alias("id")).agg(F.lit("passages").alias("what")))
 
 
@@ -186,20 +154,12 @@ def q2_8_tombstone(spark, sf_dir):
     return lifecycle.tombstone(edges, family, "v2").where("valid_until_version is not null").select("id", "valid_until_version")
 
 
-def _validate_links(spark, sf_dir, which):
-    docs = _light(spark, sf_dir).where(which)
+def q8_13_validate_links(spark, sf_dir):
+    docs = _light(spark, sf_dir)
     links = docs.select(F.col("id").alias("source_id"), g.ident(F.col("n") - F.when(F.col("n") % 5 == 0, 0).when(F.col("n") % 5 == 1, 100000).otherwise(1)).alias("target_id"), F.when(F.col("n") % 13 == 0, "likes").otherwise("supersedes").alias("edge_type"))
     return lifecycle.validate_links(links, _light(spark, sf_dir), g.edges(spark, sf_dir), list(g.POLICIES))
 
 
-def q8_13_validate_links(spark, sf_dir):
-    return _validate_links(spark, sf_dir, "n < 300")
-
-
-def q8_13_validate_links_all(spark, sf_dir):
-    return _validate_links(spark, sf_dir, "true")
-
-
 def _items(spark, sf_dir):
     return _light(spark, sf_dir).select("id", F.concat(F.lit("T"), F.floor(F.col("n") / 4).cast("string")).alias("title"), F.lit("p").alias("project"), "doc_type", F.when(F.col("n") % 4 != 0, F.concat(F.lit("v"), (10 - F.col("n") % 4).cast("string"), F.lit(".1"))).alias("version"), (F.col("n") % 3 == 0).alias("is_new"), "n")
 
@@ -221,21 +181,13 @@ def q17_4_mentions(spark, sf_dir):
     return inference.mention_edges(texts, targets, r"(REF-\d+)", ("active", "completed"))
 
 
-def _reconcile(spark, sf_dir, which):
+def q17_5_reconcile(spark, sf_dir):
     edges = g.edges(spark, sf_dir)
-    planned = edges.where("edge_type = 'references' and cast(substring(source_id, 2) as int) % 3 = 0").select("source_id", "target_id").unionByName(_light(spark, sf_dir).where(which).select(F.col("id").alias("source_id"), F.col("id").alias("target_id")))
+    planned = edges.where("edge_type = 'references' and cast(substring(source_id, 2) as int) % 3 = 0").select("source_id", "target_id").unionByName(_light(spark, sf_dir).select(F.col("id").alias("source_id"), F.col("id").alias("target_id")))
     gone, fresh = inference.reconcile(edges, planned)
     return gone.select("source_id", "target_id", F.lit("delete").alias("what")).unionByName(fresh.select("source_id", "target_id", F.lit("create").alias("what")))
 
 
-def q17_5_reconcile(spark, sf_dir):
-    return _reconcile(spark, sf_dir, "n < 20")
-
-
-def q17_5_reconcile_all(spark, sf_dir):
-    return _reconcile(spark, sf_dir, "true")
-
-
 def q17_8_source_audit(spark, sf_dir):
     docs = _light(spark, sf_dir)
     files = docs.where("n % 6 != 5").select(F.col("source_path").alias("path"), F.when(F.col("n") % 6 == 4, F.lit("x")).otherwise(F.col("source_content_hash")).alias("hash"), (F.col("n") % 6 == 1).alias("is_symlink"), (F.col("n") % 6 < 3).alias("out_of_root"))
@@ -284,7 +236,7 @@ def _rrf(cut, limit):
   fu AS (SELECT * FROM (SELECT document_id, score, CAST(row_number() OVER (ORDER BY score DESC, first, document_id) AS INTEGER) AS rank FROM f1) WHERE rank <= {limit})"""
 
 
-_R = "r AS (SELECT n % 20 AS q, id, n, row_number() OVER (PARTITION BY n % 20 ORDER BY n * 7 % 101, n) AS r1, row_number() OVER (PARTITION BY n % 20 ORDER BY n * 5 % 89, n) AS r2 FROM d WHERE n < 400)"
+_R = "r AS (SELECT n // 20 AS q, id, n, row_number() OVER (PARTITION BY n // 20 ORDER BY n * 7 % 101, n) AS r1, row_number() OVER (PARTITION BY n // 20 ORDER BY n * 5 % 89, n) AS r2 FROM d)"
 
 ORACLE = {
     "q12_13_headings": with_tables("SELECT document_id, heading_path, min(chunk_index) AS first_chunk, count(*) AS passages FROM p GROUP BY 1, 2", P),
@@ -321,21 +273,21 @@ ORACLE = {
     "q11_9_timing_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(max(value), 6) AS most FROM events GROUP BY 1, 2",
     "q10_1_lifecycle": with_tables("""tr(f, a, t, c) AS (VALUES ('(new)', 'ingest', 'active', FALSE), ('active', 'supersede', 'archived', TRUE), ('active', 'archive', 'archived', FALSE), ('active', 'complete', 'completed', FALSE), ('completed', 'archive', 'archived', FALSE),
         ('archived', 'reactivate', 'active', FALSE), ('active', 'relocate', 'relocated', FALSE), ('completed', 'relocate', 'relocated', FALSE)),
-      q AS (SELECT id, ['archive', 'reactivate', 'supersede', 'vanish'][n % 4 + 1] AS action, lifecycle_status FROM d WHERE n < 150 UNION ALL SELECT 'nobody', 'archive', NULL)
+      q AS (SELECT id, ['archive', 'reactivate', 'supersede', 'vanish'][n % 4 + 1] AS action, lifecycle_status FROM d UNION ALL SELECT 'nobody', 'archive', NULL)
       SELECT id, action, lifecycle_status, t AS to_state, coalesce(c, FALSE) AS creates_edge, CASE WHEN lifecycle_status IS NULL THEN 'not_found' WHEN action NOT IN (SELECT a FROM tr) THEN 'unknown_action' WHEN t IS NULL THEN 'invalid_transition' END AS error
       FROM q LEFT JOIN tr ON f = lifecycle_status AND a = action""", D),
-    "q10_16_patch_tags": with_tables("""q AS (SELECT id, n, tags, CASE WHEN n % 3 = 0 THEN 'en' ELSE 'new' END AS ad, CASE WHEN n % 2 = 0 THEN 'pv' || n % 12 ELSE 'none' END AS rm FROM d WHERE n < 120),
+    "q10_16_patch_tags": with_tables("""q AS (SELECT id, n, tags, CASE WHEN n % 3 = 0 THEN 'en' ELSE 'new' END AS ad, CASE WHEN n % 2 = 0 THEN 'pv' || n % 12 ELSE 'none' END AS rm FROM d),
       e AS (SELECT *, CASE WHEN NOT list_contains(tags, rm) THEN 'remove_absent' WHEN list_contains(tags, ad) AND ad <> rm THEN 'add_present' END AS error FROM q)
       SELECT id, array_to_string(CASE WHEN error IS NULL THEN list_append(list_filter(tags, lambda x: x <> rm), ad) ELSE tags END, ',') AS tags, error FROM e""", D),
     "q10_4_unique": with_tables("""h AS (SELECT id, CASE WHEN n % 6 = 1 THEN (n % 4) || '.0' WHEN n % 6 = 3 THEN '[' || n % 4 || ',"x"]' WHEN n % 6 IN (0, 2) THEN CAST(n % 4 AS VARCHAR) END AS value FROM d WHERE doc_type = 'report' AND id NOT IN (SELECT target_id FROM e WHERE edge_type = 'supersedes'))
       SELECT value, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM h WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) > 1""", D, E),
     "q2_4_insert_edges": with_tables("SELECT id, NOT EXISTS (SELECT 1 FROM e WHERE edge_type = 'supersedes' AND e.source_id = d.id AND e.target_id = 'd' || lpad(CAST(greatest(d.n - 1, 0) AS VARCHAR), 8, '0')) AS created FROM d", D, E),
-    "q2_9_remove": with_tables("""x AS (SELECT id FROM d WHERE n % 10 = 0)
-      SELECT id, 'document' AS what FROM d WHERE n % 10 <> 0 UNION ALL SELECT id, 'edge' FROM e WHERE source_id NOT IN (SELECT id FROM x) AND (target_id IS NULL OR target_id NOT IN (SELECT id FROM x))
+    "q2_9_remove": with_tables("""x AS (SELECT id FROM d WHERE pipeline_status = 'failed')
+      SELECT id, 'document' AS what FROM d WHERE pipeline_status <> 'failed' UNION ALL SELECT id, 'edge' FROM e WHERE source_id NOT IN (SELECT id FROM x) AND (target_id IS NULL OR target_id NOT IN (SELECT id FROM x))
       UNION ALL SELECT DISTINCT document_id, 'passages' FROM p WHERE document_id NOT IN (SELECT id FROM x)""", D, E, P),
     "q2_8_tombstone": with_tables("""fam AS (SELECT 'd00000043' AS a UNION SELECT target_id FROM fam JOIN e ON source_id = a WHERE edge_type = 'supersedes')
       SELECT id, coalesce(valid_until_version, 'v2') AS valid_until_version FROM e WHERE valid_until_version IS NOT NULL OR (resolution_policy <> 'none' AND (source_id IN (SELECT a FROM fam) OR target_id IN (SELECT a FROM fam)))""", E),
-    "q8_13_validate_links": with_tables("""l AS (SELECT id AS source_id, 'd' || lpad(CAST(n - CASE WHEN n % 5 = 0 THEN 0 WHEN n % 5 = 1 THEN 100000 ELSE 1 END AS VARCHAR), 8, '0') AS target_id, CASE WHEN n % 13 = 0 THEN 'likes' ELSE 'supersedes' END AS edge_type FROM d WHERE n < 300)
+    "q8_13_validate_links": with_tables("""l AS (SELECT id AS source_id, 'd' || lpad(CAST(n - CASE WHEN n % 5 = 0 THEN 0 WHEN n % 5 = 1 THEN 100000 ELSE 1 END AS VARCHAR), 8, '0') AS target_id, CASE WHEN n % 13 = 0 THEN 'likes' ELSE 'supersedes' END AS edge_type FROM d)
       SELECT source_id, target_id, edge_type, CASE WHEN edge_type = 'likes' THEN 'unknown_type' WHEN source_id = target_id THEN 'self_edge' WHEN target_id NOT IN (SELECT id FROM d) THEN 'target_not_found'
         WHEN EXISTS (SELECT 1 FROM e WHERE e.source_id = l.source_id AND e.target_id = l.target_id AND e.edge_type = l.edge_type) THEN 'already_exists' END AS error FROM l""", D, E),
     "q17_1_version_chains": with_tables("""i AS (SELECT id, n // 4 AS gr, doc_type, CASE WHEN n % 4 <> 0 THEN 10 - n % 4 ELSE -1 END AS ver, n % 3 = 0 AS new FROM d),
@@ -349,8 +301,8 @@ ORACLE = {
       SELECT DISTINCT a.id AS source_id, b.id AS target_id, 2 AS tier FROM c a JOIN c b USING (code) WHERE a.doc_type IN ('note', 'memo') AND b.doc_type NOT IN ('note', 'memo') AND (a.new OR b.new)""", D),
     "q17_4_mentions": with_tables("""b AS (SELECT k, id FROM (SELECT n % 50 AS k, id, row_number() OVER (PARTITION BY n % 50 ORDER BY lifecycle_status NOT IN ('active', 'completed'), updated_at DESC, id) AS r FROM d) WHERE r = 1),
       m AS (SELECT id, unnest([n * 3 % 50, n % 50]) AS k FROM d) SELECT DISTINCT m.id AS source_id, b.id AS target_id FROM m JOIN b USING (k) WHERE m.id <> b.id""", D),
-    "q17_5_reconcile": with_tables("""pl AS (SELECT source_id, target_id FROM e WHERE edge_type = 'references' AND CAST(substr(source_id, 2) AS INTEGER) % 3 = 0 UNION ALL SELECT id, id FROM d WHERE n < 20)
-      SELECT source_id, target_id, 'delete' AS what FROM e WHERE edge_type = 'references' AND rationale LIKE 'inferred:%' AND CAST(substr(source_id, 2) AS INTEGER) % 3 <> 0 UNION ALL SELECT id, id, 'create' FROM d WHERE n < 20""", D, E),
+    "q17_5_reconcile": with_tables("""pl AS (SELECT source_id, target_id FROM e WHERE edge_type = 'references' AND CAST(substr(source_id, 2) AS INTEGER) % 3 = 0 UNION ALL SELECT id, id FROM d)
+      SELECT source_id, target_id, 'delete' AS what FROM e WHERE edge_type = 'references' AND rationale LIKE 'inferred:%' AND CAST(substr(source_id, 2) AS INTEGER) % 3 <> 0 UNION ALL SELECT id, id, 'create' FROM d""", D, E),
     "q17_8_source_audit": with_tables("SELECT id, CASE n % 6 WHEN 0 THEN 'out_of_root' WHEN 1 THEN 'symlinked' WHEN 2 THEN 'out_of_root' WHEN 3 THEN 'healthy' WHEN 4 THEN 'hash_mismatch' ELSE 'missing' END AS verdict FROM d", D),
     "q17_22_paths": with_tables("SELECT id, source_path AS before, replace(source_path, '/./', '/') AS after, CAST(0 AS BIGINT) AS others FROM d WHERE source_path LIKE '%/./%'", D),
     "q17_11_purge": with_tables("""x AS (SELECT source_id AS id FROM e WHERE edge_type = 'derived_from' UNION SELECT target_id FROM e WHERE edge_type = 'derived_from')

@@ -13,26 +13,12 @@ def _both(spark, sf_dir):
     return g.documents(spark, sf_dir).drop("text", "semantic_abstract"), g.edges(spark, sf_dir)
 
 
-def _seeds(docs):
-    return docs.where("n % 50 = 3").select("id")
-
-
 def q8_1_traverse(spark, sf_dir):
-    docs, edges = _both(spark, sf_dir)
-    return graph.traverse(edges, _seeds(docs), "outbound", depth=3)
-
-
-def q8_1_traverse_all(spark, sf_dir):
     docs, edges = _both(spark, sf_dir)
     return graph.traverse(edges, docs.select("id"), "outbound", depth=3)
 
 
 def q8_1_traverse_both(spark, sf_dir):
-    docs, edges = _both(spark, sf_dir)
-    return graph.traverse(edges, _seeds(docs), "both", "supersedes", depth=3)
-
-
-def q8_1_traverse_both_all(spark, sf_dir):
     docs, edges = _both(spark, sf_dir)
     return graph.traverse(edges, docs.select("id"), "both", "supersedes", depth=3)
 
@@ -59,11 +45,6 @@ def q8_6_resolved_traverse(spark, sf_dir):
 
 
 def q8_7_nodes(spark, sf_dir):
-    docs, edges = _both(spark, sf_dir)
-    return graph.nodes(graph.traverse(edges, _seeds(docs), "outbound", depth=3))
-
-
-def q8_7_nodes_all(spark, sf_dir):
     docs, edges = _both(spark, sf_dir)
     return graph.nodes(graph.traverse(edges, docs.select("id"), "outbound", depth=3))
 
@@ -93,7 +74,7 @@ QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q") and cal
 _WALK = """w AS (
     SELECT s.id AS start_id, st.id, st.from_id, st.to_id, st.edge_type, 1 AS depth, st.to_id = s.id AS closes, [s.id, st.to_id] AS path FROM seeds s JOIN steps st ON st.from_id = s.id
     UNION ALL SELECT w.start_id, st.id, st.from_id, st.to_id, st.edge_type, depth + 1, list_contains(w.path, st.to_id), list_append(w.path, st.to_id) FROM w JOIN steps st ON st.from_id = w.to_id WHERE NOT w.closes AND depth < 3)"""
-_SEEDS = "seeds AS (SELECT id FROM d WHERE n % 50 = 3)"
+_SEEDS = "seeds AS (SELECT id FROM d)"
 _OUT = "steps AS (SELECT id, source_id AS from_id, target_id AS to_id, edge_type FROM e WHERE target_id IS NOT NULL)"
 _SUP = "sup AS (SELECT source_id, target_id FROM e WHERE edge_type = 'supersedes')"
 _FAM = "fam AS (SELECT id, id AS ancestor FROM d UNION SELECT fam.id, sup.target_id FROM fam JOIN sup ON sup.source_id = fam.ancestor)"
