@@ -207,3 +207,28 @@ def drift_summary(found: DataFrame) -> DataFrame:
     """Counts of every verdict but ``current``, zeros included."""
     names = found.sparkSession.createDataFrame([(v,) for v in DRIFT_VERDICTS], "verdict string")
     return F.broadcast(names).join(found.groupBy("verdict").count(), "verdict", "left").select("verdict", F.coalesce("count", F.lit(0)).alias("edges"))
+
+
+def resolution_trace(docs: DataFrame, edges: DataFrame, seeds: DataFrame, direction: str = "outbound", edge_type: str | None = None, depth: int = 1) -> DataFrame:
+    """What resolution did to each visited edge: start_id, id, event (anchor_hit, anchor_miss, retracts_applied or tombstone_applied).
+
+    An edge that the anchors let through may have a second event.
+    """
+    family = materialize(lineage(docs, edges), "family")
+    visits = first_visits(traverse(edges, seeds, direction, edge_type, depth)).select("start_id", "id", "depth")
+    rows = visits.join(edges, "id")
+    hit = materialize(passes_anchors(rows, family), "anchored")
+    kept = without_retracted(hit, edges, family)
+    key = ["start_id", "id"]
+    event = lambda df, name: df.select(*key, F.lit(name).alias("event"))
+    return (
+        event(hit, "anchor_hit").unionByName(event(rows.join(hit.select(*key), key, "left_anti"), "anchor_miss")).unionByName(event(hit.join(kept.select(*key), key, "left_anti"), "retracts_applied"))
+        .unionByName(event(kept.join(without_tombstoned(kept, family).select(*key), key, "left_anti"), "tombstone_applied"))
+    )
+
+
+def capped(rows: DataFrame, most: int, *keys) -> DataFrame:
+    """The first ``most`` rows by the keys, each with whether there were more: one row beyond the cap is looked at."""
+    numbered = rows.orderBy(*keys).limit(most + 1).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
+    truncated = F.max("rank").over(Window.partitionBy()) > most
+    return numbered.withColumn("truncated", truncated).where(F.col("rank") <= most)
