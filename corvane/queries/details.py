@@ -199,9 +199,9 @@ ORACLE = {
     "q4_14_scopes": with_tables("""SELECT 'all' AS scope, count(*) AS documents FROM d UNION ALL SELECT 'authoritative', count(*) FILTER (authority_scope <> '') FROM d
       UNION ALL SELECT 'filtered', count(*) FILTER (doc_type = 'note' AND TRUE) FROM d""", D),
     "q4_16_threshold": with_tables("SELECT id, CASE WHEN pipeline_status <> 'failed' THEN n % 100 / 100.0 END AS score FROM d WHERE pipeline_status = 'failed' OR n % 100 >= 35", D),
-    "q4_8_resolved": with_tables("""w AS (SELECT created_by AS key, created_by_name AS name, CAST(created_at AS TIMESTAMP) AS at FROM d UNION ALL SELECT last_modified_by, last_modified_by_name, CAST(updated_at AS TIMESTAMP) FROM d
+    "q4_8_resolved": with_tables("""w AS (SELECT created_by AS key, created_by_name AS name, CAST(created_at AS TIMESTAMP) AS stamp FROM d UNION ALL SELECT last_modified_by, last_modified_by_name, CAST(updated_at AS TIMESTAMP) FROM d
         UNION ALL SELECT created_by, created_by_name, CAST(created_at AS TIMESTAMP) FROM e),
-      l AS (SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY at DESC, name DESC) AS k FROM w WHERE name IS NOT NULL) SELECT key FROM l WHERE k = 1 AND (lower(name) = 'user 3' OR key = 'user 3')""", D, E),
+      l AS (SELECT key, name, row_number() OVER (PARTITION BY key ORDER BY stamp DESC, name DESC) AS k FROM w WHERE name IS NOT NULL) SELECT key FROM l WHERE k = 1 AND (lower(name) = 'user 3' OR key = 'user 3')""", D, E),
     "q8_17_resolution_trace": with_tables(f"""{_SUP}, {_FAM},
       gone AS (SELECT fam.id AS start_id, x.retracted_edge_id AS eid FROM e x JOIN fam ON fam.ancestor = coalesce(x.source_valid_from_version, x.source_id) WHERE x.edge_type = 'retracts'),
       v AS (
