@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .queries import catalog, changes, content, details, files, graph, keyword
+from .queries import catalog, changes, content, details, files, graph, keyword, upkeep
 
-_MODULES = (catalog, content, graph, changes, keyword, details, files)
+_MODULES = (catalog, content, graph, changes, keyword, details, files, upkeep)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
 FLAGSHIP = content.q7_8_hybrid
