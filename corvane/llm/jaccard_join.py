@@ -554,7 +554,8 @@ def _sets(shared, n: int):
 
 def _verify(bands: Bands):
     def run(batches):
-        for batch in batches:
+        # A few sets at a time are Python objects; they may be long.
+        for batch in slices(batches, 2, 4_000_000):
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
