@@ -1 +1 @@
-
+"""Structured Streaming forms of intake and timing."""
