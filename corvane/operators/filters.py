@@ -12,7 +12,12 @@ from ..functions.jsonkeys import element_keys, json_type, typed_key
 
 SCALARS = ("doc_type", "project", "lifecycle_status", "pipeline_status", "source_type")
 PROVENANCE = ("created_by", "last_modified_by", "created_client", "last_modified_client", "created_by_name", "last_modified_by_name")
-NON_CANONICAL_PATH = r"(^|/)[.](/|$)|//|/$"
+
+
+def not_plain(path: Column) -> Column:
+    """Does a path have a part that names no folder or file: a lone dot, or nothing (but before a leading slash)."""
+    parts = F.split(path, "/")
+    return F.exists(parts, lambda p: p == ".") | F.exists(F.slice(parts, 2, F.size(parts)), lambda p: p == "")
 
 
 def default_visible(filters: dict | None = None) -> Column:

@@ -74,11 +74,12 @@ def patch_tags(docs: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def unique_collisions(docs: DataFrame, edges: DataFrame, doc_type: str, field: str) -> DataFrame:
-    """Values of a metadata field that several chain heads of one type share: value, ids, n."""
+    """Chain heads of one type that share a value of a metadata field with another: value, id, n (heads of that value)."""
     superseded = edges.where("edge_type = 'supersedes'").select(F.col("target_id").alias("id")).distinct()
     heads = docs.where(F.col("doc_type") == doc_type).join(superseded, "id", "left_anti")
-    value = F.get_json_object("tier3", f"$.{field}")
-    return heads.where(value.isNotNull()).groupBy(value.alias("value")).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("ids"), F.count("*").alias("n")).where("n > 1")
+    held = heads.select(F.get_json_object("tier3", f"$.{field}").alias("value"), "id").where("value is not null")
+    shared = held.groupBy("value").agg(F.count("*").alias("n")).where("n > 1")
+    return held.join(shared, "value").select("value", "id", "n")
 
 
 def insert(table: DataFrame, rows: DataFrame, key: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -45,12 +45,12 @@ def ranked(rows: DataFrame, limit: int, *keys: Column) -> DataFrame:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity as plain column expressions; NULL for a zero vector or other lengths."""
+    """Cosine similarity as plain column expressions; 0 for a zero vector or other lengths, NULL without a vector."""
     d = lambda x: x.cast("double")
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: d(x) * d(y)), F.lit(0.0), lambda s, x: s + x)
     norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + d(x) * d(x)))
     size = norm(a) * norm(b)
-    return F.when((F.size(a) == F.size(b)) & (size > 0), dot / size)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when((F.size(a) == F.size(b)) & (size > 0), dot / size).otherwise(0.0))
 
 
 def vector_search(vectors: DataFrame, query: Sequence[float], limit: int = 10, arm_limit: int | None = None) -> DataFrame:

@@ -93,7 +93,7 @@ def q4_17_substring(spark, sf_dir):
 
 
 def q4_18_non_canonical(spark, sf_dir):
-    return g.documents(spark, sf_dir).where(F.col("source_path").rlike(filters.NON_CANONICAL_PATH)).select("id", "source_path")
+    return g.documents(spark, sf_dir).where(filters.not_plain(F.col("source_path"))).select("id", "source_path")
 
 
 def q4_19_heading_prefix(spark, sf_dir):

@@ -40,7 +40,11 @@ def q13_5_read_section(spark, sf_dir):
 
 def q13_2_split_passages(spark, sf_dir):
     pieces = passages.split_lines(_light(spark, sf_dir).select(F.col("id").alias("document_id"), "text"), 1000)
-    return pieces.groupBy("document_id").agg(F.count("*").alias("pieces"), F.max(F.length("text")).alias("longest"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), "")).alias("digest")).select("document_id", (F.col("longest") <= 1000).alias("bounded"), "digest")
+    # No piece could have taken any of the next one in.
+    after = F.lead(F.length("text")).over(Window.partitionBy("document_id").orderBy("piece"))
+    rows = pieces.withColumn("full", F.coalesce(F.length("text") + after > 1000, F.lit(True)))
+    whole = F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"]), ""))
+    return rows.groupBy("document_id").agg((F.max(F.length("text")) <= 1000).alias("bounded"), F.min("full").alias("full"), (F.min(F.length("text")) > 0).alias("filled"), whole.alias("digest"))
 
 
 def q12_15_storage(spark, sf_dir):
@@ -86,6 +90,12 @@ def q7_5_metadata_matches(spark, sf_dir):
     return search.metadata_matches(_light(spark, sf_dir), "src1")
 
 
+def q7_5_boosted(spark, sf_dir):
+    """The fused hits lifted by titles and tags that hold the query."""
+    hits = q7_3_fusion(spark, sf_dir).select("document_id", "score")
+    return search.boost_metadata(hits, search.metadata_matches(_light(spark, sf_dir), "src1")).select("document_id", F.round("score", 9).alias("score"))
+
+
 def q7_8_hybrid(spark, sf_dir):
     docs = _light(spark, sf_dir)
     found = search.hybrid_search(docs, g.passages(spark, sf_dir), g.vectors(spark, sf_dir), _query_vector(spark, sf_dir), TERMS, AS_OF)
@@ -243,7 +253,7 @@ ORACLE = {
     "q13_3_sections": with_tables(f"{_SECT} SELECT document_id, section, first_chunk, passages, md5(text) AS digest FROM s", P),
     "q13_6_document_text": with_tables(f"{_SECT} SELECT document_id, count(*) AS sections, md5(string_agg(text, chr(10) || chr(10) ORDER BY section)) AS digest FROM s GROUP BY 1", P),
     "q13_5_read_section": with_tables(f"{_SECT} SELECT section, heading_path, md5(text) AS digest FROM s WHERE document_id = 'd00000010' AND starts_with(heading_path, 'Src10-fr_PartNo0 > ')", P),
-    "q13_2_split_passages": with_tables("SELECT id AS document_id, TRUE AS bounded, md5(text) AS digest FROM d WHERE text <> ''", D),
+    "q13_2_split_passages": with_tables("SELECT id AS document_id, TRUE AS bounded, TRUE AS \"full\", TRUE AS filled, md5(text) AS digest FROM d WHERE text <> ''", D),
     "q12_15_storage": with_tables("SELECT count(*) AS rows, count(DISTINCT document_id) AS documents, count(*) FILTER (length(content) < 200) AS small_fragments, CAST(sum(strlen(content)) AS BIGINT) AS bytes FROM p", P),
     "q6_9_folding": with_tables("SELECT id, replace(replace(replace(title, '-', ' '), '_', ' '), 'PartNo', 'PartNo') AS folded FROM d", D),
     "q13_7_structure": with_tables("SELECT document_id, chunk_index, string_split(heading_path, ' > ')[2] AS structure FROM p", P),
@@ -258,6 +268,12 @@ ORACLE = {
     "q7_5_metadata_matches": with_tables("""m AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN title ILIKE '%src1%' THEN 0 ELSE 1 END, CASE WHEN source_path ILIKE '%src1%' THEN 0 ELSE 1 END, CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END,
           coalesce(document_date, substr(source_modified_at, 1, 10)) IS NULL, coalesce(document_date, substr(source_modified_at, 1, 10)) DESC NULLS LAST, id) - 1 AS place FROM d WHERE title ILIKE '%src1%' OR array_to_string(tags, ' ') ILIKE '%src1%')
       SELECT id AS document_id, CAST(place AS INTEGER) AS place FROM m WHERE place < 100""", D),
+    "q7_5_boosted": with_tables(f"""{_KEY}, {_vec(60, 60)}, {_rrf(60, 30)},
+      m AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN title ILIKE '%src1%' THEN 0 ELSE 1 END, CASE WHEN source_path ILIKE '%src1%' THEN 0 ELSE 1 END, CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END,
+          coalesce(document_date, substr(source_modified_at, 1, 10)) IS NULL, coalesce(document_date, substr(source_modified_at, 1, 10)) DESC NULLS LAST, id) - 1 AS place FROM d WHERE title ILIKE '%src1%' OR array_to_string(tags, ' ') ILIKE '%src1%'),
+      h AS (SELECT document_id, round(score, 9) AS score FROM fu)
+      SELECT coalesce(document_id, id) AS document_id, round(CASE WHEN place IS NOT NULL THEN (SELECT max(score) FROM h) + 0.1 - 0.001 * place ELSE score END, 9) AS score
+      FROM h FULL JOIN (SELECT * FROM m WHERE place < 100) ON document_id = id""", D, P, V),
     "q7_8_hybrid": with_tables(f"""{_KEY}, {_vec(150, 150)}, {_rrf(150, 50)},
       vis AS (SELECT * FROM d WHERE pipeline_status <> 'failed' OR projection_scope IN ('limited', 'complete')),
       b AS (SELECT fu.document_id, fu.score * CASE WHEN a.id IS NOT NULL THEN 1.3 ELSE 1 END AS score FROM fu JOIN vis ON vis.id = fu.document_id LEFT JOIN (SELECT id FROM vis WHERE contains(lower(semantic_abstract), 'the that')
@@ -280,7 +296,7 @@ ORACLE = {
       e AS (SELECT *, CASE WHEN NOT list_contains(tags, rm) THEN 'remove_absent' WHEN list_contains(tags, ad) AND ad <> rm THEN 'add_present' END AS error FROM q)
       SELECT id, array_to_string(CASE WHEN error IS NULL THEN list_append(list_filter(tags, lambda x: x <> rm), ad) ELSE tags END, ',') AS tags, error FROM e""", D),
     "q10_4_unique": with_tables("""h AS (SELECT id, CASE WHEN n % 6 = 1 THEN (n % 4) || '.0' WHEN n % 6 = 3 THEN '[' || n % 4 || ',"x"]' WHEN n % 6 IN (0, 2) THEN CAST(n % 4 AS VARCHAR) END AS value FROM d WHERE doc_type = 'report' AND id NOT IN (SELECT target_id FROM e WHERE edge_type = 'supersedes'))
-      SELECT value, string_agg(id, ',' ORDER BY id) AS ids, count(*) AS n FROM h WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) > 1""", D, E),
+      SELECT value, id, n FROM (SELECT value, id, count(*) OVER (PARTITION BY value) AS n FROM h WHERE value IS NOT NULL) WHERE n > 1""", D, E),
     "q2_4_insert_edges": with_tables("SELECT id, NOT EXISTS (SELECT 1 FROM e WHERE edge_type = 'supersedes' AND e.source_id = d.id AND e.target_id = 'd' || lpad(CAST(greatest(d.n - 1, 0) AS VARCHAR), 8, '0')) AS created FROM d", D, E),
     "q2_9_remove": with_tables("""x AS (SELECT id FROM d WHERE pipeline_status = 'failed')
       SELECT id, 'document' AS what FROM d WHERE pipeline_status <> 'failed' UNION ALL SELECT id, 'edge' FROM e WHERE source_id NOT IN (SELECT id FROM x) AND (target_id IS NULL OR target_id NOT IN (SELECT id FROM x))
