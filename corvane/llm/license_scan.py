@@ -45,9 +45,28 @@ NOTICES = (
     Notice("mozilla public license", "mpl", 2),
     Notice("creative commons attribution", "cc", 2),
     Notice("licensed under cc by", "cc-by", 1),
+    Notice("gnu lesser general public license", "lgpl", 3),
+    Notice("gnu affero general public license", "agpl", 3),
+    Notice("boost software license", "bsl", 2),
+    Notice("eclipse public license", "epl", 2),
+    Notice("sil open font license", "ofl", 2),
+    Notice("creative commons zero", "cc0", 2),
+    Notice("free and unencumbered software released into the public domain", "unlicense", 5),
 )
 
 
+def notices_from(table: DataFrame, most: int = 10_000) -> tuple[Notice, ...]:
+    """Notices of a table (phrase, label, edits, base), at most ``most``: they go to every task with the automaton.
+
+    Phrases are brought to lower-case words with a space between; those without words are left out.
+    """
+    rows = table.select("phrase", "label", "edits", "base").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} notices")
+    plain = [(b" ".join(words((r["phrase"] or "").encode())).decode(), r) for r in rows]
+    return tuple(sorted((Notice(p, r["label"], r["edits"] or 0, bool(r["base"])) for p, r in plain if p), key=lambda n: (n.phrase, n.label)))
+
+
 def seeds(notice: Notice) -> list[tuple[str, int]]:
     """(piece, its place in the phrase): one piece more than the edits allowed."""
     text, parts = notice.phrase, notice.edits + 1

@@ -15,7 +15,7 @@ and unpacked once for a run of keys in it), and the found captures are read from
 the archives by byte range, neighbouring ranges in one read.
 
 Null html is an empty payload, a null url an empty key; every row is a record,
-repeated page ids included (a capture is told apart by its page id and place); an
+repeated page ids included: rows that share a payload's largest page id are all responses (a capture is told apart by its page id and place); an
 empty table gives no archives and no rows.
 """
 

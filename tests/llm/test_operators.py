@@ -70,6 +70,17 @@ def test_seeds_find_every_notice_within_its_edits(seed):
         assert notice.label in {f[0] for f in license_scan.scan_text(text.encode())[2]}, text
 
 
+def test_notices_from_a_table(spark):
+    table = spark.createDataFrame([("House Rules, Apply", "house", 2, True), ("...", "none", 0, False), (None, "none", 0, False)], "phrase string, label string, edits int, base boolean")
+    notices = license_scan.notices_from(table)
+    assert [n.phrase for n in notices] == ["house rules apply"]
+    docs = spark.createDataFrame([(1, "here house-rules apply."), (2, "hous rule apply")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_base"], r["first_word"], r["labels"]) for r in license_scan.scan(docs, notices).collect()}
+    assert got == {1: (1, 1, "house"), 2: (0, None, "house")}
+    with pytest.raises(ValueError):
+        license_scan.notices_from(table, most=1)
+
+
 DIGEST = ("doc_id", "start", "n_tokens", "ids_crc32")
 
 
