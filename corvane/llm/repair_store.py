@@ -40,22 +40,28 @@ _HASH = np.uint64(0x9E3779B97F4A7C15)
 _SLOTS = 22
 
 
-def _pairs(seq: np.ndarray, bounds: np.ndarray, fresh: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct pairs, counts, and the place of each position's pair among them with the position) of frequent pairs.
+def _pairs(seq: np.ndarray, bounds: np.ndarray, fresh: int, least: int, floor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(distinct pairs, counts, positions with the place of their pair among them, threshold) of the pairs that may reach the threshold.
 
-    Positions are those inside a document with a symbol of at least ``fresh``.
+    Positions are those inside a document with a symbol of at least ``fresh``.  The
+    threshold is an eighth of the last one, ``floor``, or of the highest count, and ``least``
+    at least.
     """
     hit = np.ones(len(seq) - 1, bool) if not fresh else (seq[:-1] >= fresh) | (seq[1:] >= fresh)
     ends = bounds[1:-1]
     hit[ends[(ends > 0) & (ends < len(seq))] - 1] = False
     at = np.flatnonzero(hit)
     key = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
+    next_ = least
     if len(at) > 1 << 16:
+        # Slot counts bound the pairs' counts: most pairs are told to be rare without being sorted.
         slot = (key * _HASH >> np.uint64(64 - _SLOTS)).astype(np.int32)
-        often = np.bincount(slot, minlength=1 << _SLOTS)[slot] >= least
+        slots = np.bincount(slot, minlength=1 << _SLOTS)
+        next_ = max(least, min(int(slots.max()) // 8, floor // 8 if floor else len(at)))
+        often = slots[slot] >= next_
         at, key = at[often], key[often]
     pairs, place, counts = np.unique(key, return_inverse=True, return_counts=True)
-    return pairs, counts, np.stack([at, place])
+    return pairs, counts, np.stack([at, place]), next_
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, first: int = 50257, least: int = 16):
@@ -73,14 +79,13 @@ def compress(ids: np.ndarray, bounds: np.ndarray, first: int = 50257, least: int
     rules: list[np.ndarray] = []
     size, fresh, floor = first, 0, 0
     while len(seq) > 1:
-        pairs, counts, (at, place) = _pairs(seq, bounds, fresh, least)
+        pairs, counts, (at, place), floor = _pairs(seq, bounds, fresh, least, floor)
         top = int(counts.max()) if len(counts) else 0
-        if top < least:
-            if not fresh:
+        if top < floor:
+            if floor == least and not fresh:
                 break
-            fresh = 0
+            fresh = 0  # all pairs once more, or against a lower threshold
             continue
-        floor = max(least, min(top // 8, floor // 8 if floor else top))
         # Rank 0 is the most frequent pair.
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(pairs), np.int64)
