@@ -65,7 +65,7 @@ def test_fusion_scores(spark):
 
 def test_cosine_of_odd_vectors(spark):
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
-    assert [r[0] for r in rows.select(search.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, None, None]
+    assert [r[0] for r in rows.select(search.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0]
 
 
 def test_cycles_and_forks(spark):
