@@ -51,7 +51,7 @@ def q9_5_browse_page(spark, sf_dir):
 
 
 def q9_3_browse_tier3(spark, sf_dir):
-    docs = g.documents(spark, sf_dir).where("n % 6 in (0, 1, 4, 5)")
+    docs = g.documents(spark, sf_dir).where("""tier3 not like '%"sev":"%' and tier3 not like '%"sev":[%'""")  # numbers and what has none
     return browse.browse(docs, limit=100, sort_by="tier3:sev", order="desc").select("id", "rank")
 
 
@@ -170,11 +170,11 @@ ORACLE = {
     "q12_3_facets_tier3": with_tables(
         _FACET.format(arms="""SELECT 'tier3:owner' AS field, tier3 ->> '$.owner' AS value FROM d UNION ALL
           SELECT 'tier3:sev', CAST(n % 4 AS VARCHAR) FROM d WHERE n % 6 < 4 UNION ALL SELECT 'tier3:sev', 'x' FROM d WHERE n % 6 = 3""", most=10**9), D),
-    "q12_3_absent": with_tables("SELECT unnest(['sev', 'owner']) AS field, unnest([(SELECT count(*) FROM d WHERE n % 6 > 3), (SELECT count(*) FROM d WHERE n % 6 <> 0)]) AS absent_count", D),
+    "q12_3_absent": with_tables("SELECT unnest(['sev', 'owner']) AS field, unnest([(SELECT count(*) FROM d WHERE tier3 ->> '$.sev' IS NULL), (SELECT count(*) FROM d WHERE tier3 ->> '$.owner' IS NULL)]) AS absent_count", D),
     "q9_1_browse_default": _sql_page("CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END, document_date IS NULL, document_date DESC NULLS LAST, id"),
     "q9_2_browse_date": _sql_page("document_date IS NULL, document_date ASC NULLS LAST, id"),
     "q9_5_browse_page": _sql_page("title DESC NULLS FIRST, id", "doc_type = 'report' AND lifecycle_status <> 'archived'", 20, 40),
-    "q9_3_browse_tier3": with_tables("""s AS (SELECT id, CASE WHEN n % 6 IN (0, 1) THEN n % 4 END AS v FROM d WHERE n % 6 IN (0, 1, 4, 5))
+    "q9_3_browse_tier3": with_tables("""s AS (SELECT id, CAST(tier3 ->> '$.sev' AS DOUBLE) AS v FROM d WHERE coalesce(json_type(tier3, '$.sev'), 'NULL') NOT IN ('VARCHAR', 'ARRAY'))
       SELECT id, CAST(rank AS INTEGER) AS rank FROM (SELECT id, row_number() OVER (ORDER BY v IS NULL, v DESC NULLS LAST, id) AS rank FROM s) WHERE rank <= 100""", D),
     "q4_1_default_visible": with_tables("SELECT id, pipeline_status, projection_scope FROM d WHERE pipeline_status <> 'failed' OR projection_scope IN ('limited', 'complete')", D),
     "q4_3_authoritative": with_tables("SELECT id, authority_scope FROM d WHERE authority_scope IS NOT NULL AND authority_scope <> ''", D),
@@ -182,8 +182,8 @@ ORACLE = {
     "q4_7_provenance": with_tables("SELECT id, created_by FROM d WHERE created_by IN ('u1', 'u3') AND created_by_name IS NULL", D),
     "q4_9_tier3_number": with_tables(f"SELECT id, tier3 FROM d WHERE {_SEV} IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND TRY_CAST(tier3 ->> '$.sev' AS DOUBLE) = 1", D),
     "q4_9_tier3_text": with_tables("SELECT id, tier3 FROM d WHERE tier3 ->> '$.sev' = '2'", D),
-    "q4_10_tier3_none": with_tables("SELECT id, doc_type FROM d WHERE doc_type IN ('report', 'note') AND n % 6 <> 3", D),
-    "q4_10_tier3_contains": with_tables("SELECT id, tier3 FROM d WHERE n % 6 = 3 AND n % 4 = 3", D),
+    "q4_10_tier3_none": with_tables("SELECT id, doc_type FROM d WHERE doc_type IN ('report', 'note') AND NOT coalesce(json_contains(tier3 -> '$.sev', '\"x\"'), FALSE)", D),
+    "q4_10_tier3_contains": with_tables("SELECT id, tier3 FROM d WHERE json_type(tier3, '$.sev') = 'ARRAY' AND json_contains(tier3 -> '$.sev', '3') AND json_contains(tier3 -> '$.sev', '\"x\"')", D),
     "q4_17_substring": with_tables("SELECT id, title FROM d WHERE title ILIKE '%EN\\_part%' ESCAPE '\\'", D),
     "q4_18_non_canonical": with_tables("SELECT id, source_path FROM d WHERE regexp_matches(source_path, '(^|/)[.](/|$)|//|/$')", D),
     "q4_19_heading_prefix": with_tables("SELECT document_id, chunk_index, heading_path FROM p WHERE heading_path = 'Src0-en_PartNo0' OR starts_with(heading_path, 'Src0-en_PartNo0 > ')", P),

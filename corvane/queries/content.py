@@ -214,12 +214,13 @@ def q17_11_purge(spark, sf_dir):
 
 
 def q17_12_discovery(spark, sf_dir):
-    facts = _light(spark, sf_dir).select(F.col("project").alias("region"), F.col("doc_type").alias("field"), F.concat(F.lit("fact "), (F.col("n") % 37).cast("string")).alias("text"))
-    return inference.discovery_selection(facts, 5)
+    """Lines of all documents as facts, by document type and section."""
+    lines = g.passages(spark, sf_dir).join(_light(spark, sf_dir).select(F.col("id").alias("document_id"), F.col("doc_type").alias("region")), "document_id")
+    return inference.discovery_selection(lines.select("region", F.col("section_index").cast("string").alias("field"), F.col("content").alias("text")), 5)
 
 
 def q17_15_failures(spark, sf_dir):
-    return inference.failure_rates(g.table(spark, sf_dir, "events").where("event_type in ('error', 'click')").select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("cause")))
+    return inference.failure_rates(g.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("cause")))
 
 
 QUERIES = {k: v for k, v in list(globals().items()) if k.startswith("q") and callable(v)}
@@ -295,7 +296,7 @@ ORACLE = {
     "q10_16_patch_tags": with_tables("""q AS (SELECT id, n, tags, CASE WHEN n % 3 = 0 THEN 'en' ELSE 'new' END AS ad, CASE WHEN n % 2 = 0 THEN 'pv' || n % 12 ELSE 'none' END AS rm FROM d),
       e AS (SELECT *, CASE WHEN NOT list_contains(tags, rm) THEN 'remove_absent' WHEN list_contains(tags, ad) AND ad <> rm THEN 'add_present' END AS error FROM q)
       SELECT id, array_to_string(CASE WHEN error IS NULL THEN list_append(list_filter(tags, lambda x: x <> rm), ad) ELSE tags END, ',') AS tags, error FROM e""", D),
-    "q10_4_unique": with_tables("""h AS (SELECT id, CASE WHEN n % 6 = 1 THEN (n % 4) || '.0' WHEN n % 6 = 3 THEN '[' || n % 4 || ',"x"]' WHEN n % 6 IN (0, 2) THEN CAST(n % 4 AS VARCHAR) END AS value FROM d WHERE doc_type = 'report' AND id NOT IN (SELECT target_id FROM e WHERE edge_type = 'supersedes'))
+    "q10_4_unique": with_tables("""h AS (SELECT id, tier3 ->> '$.sev' AS value FROM d WHERE doc_type = 'report' AND id NOT IN (SELECT target_id FROM e WHERE edge_type = 'supersedes'))
       SELECT value, id, n FROM (SELECT value, id, count(*) OVER (PARTITION BY value) AS n FROM h WHERE value IS NOT NULL) WHERE n > 1""", D, E),
     "q2_4_insert_edges": with_tables("SELECT id, NOT EXISTS (SELECT 1 FROM e WHERE edge_type = 'supersedes' AND e.source_id = d.id AND e.target_id = 'd' || lpad(CAST(greatest(d.n - 1, 0) AS VARCHAR), 8, '0')) AS created FROM d", D, E),
     "q2_9_remove": with_tables("""x AS (SELECT id FROM d WHERE pipeline_status = 'failed')
@@ -323,8 +324,8 @@ ORACLE = {
     "q17_22_paths": with_tables("SELECT id, source_path AS before, replace(source_path, '/./', '/') AS after, CAST(0 AS BIGINT) AS others FROM d WHERE source_path LIKE '%/./%'", D),
     "q17_11_purge": with_tables("""x AS (SELECT source_id AS id FROM e WHERE edge_type = 'derived_from' UNION SELECT target_id FROM e WHERE edge_type = 'derived_from')
       SELECT id, CASE WHEN id IN (SELECT id FROM x) THEN 'pending_staging_edge' WHEN lifecycle_status NOT IN ('archived', 'completed') THEN 'non_terminal_status' END AS refusal FROM d WHERE created_at >= '2024-01-02T00:00:00' AND created_at < '2024-01-20T00:00:00'""", D, E),
-    "q17_12_discovery": with_tables("""f AS (SELECT project AS region, doc_type AS field, 'fact ' || n % 37 AS text, count(*) AS copies FROM d GROUP BY ALL)
-      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY region, field ORDER BY sha256(text), text) AS INTEGER) AS turn FROM f) WHERE turn <= 5""", D),
-    "q17_15_failures": """WITH c AS (SELECT event_type AS kind, user_id AS cause, count(*) AS n FROM events WHERE event_type IN ('error', 'click') GROUP BY ALL)
+    "q17_12_discovery": with_tables("""f AS (SELECT doc_type AS region, CAST(section_index AS VARCHAR) AS field, content AS text, count(*) AS copies FROM p JOIN d ON d.id = document_id GROUP BY ALL)
+      SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY region, field ORDER BY sha256(text), text) AS INTEGER) AS turn FROM f) WHERE turn <= 5""", D, P),
+    "q17_15_failures": """WITH c AS (SELECT event_type AS kind, user_id AS cause, count(*) AS n FROM events GROUP BY ALL)
       SELECT kind, CAST(sum(n) AS BIGINT) AS failures, count(*) AS causes, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 9) AS recurrence FROM c GROUP BY 1""",
 }
