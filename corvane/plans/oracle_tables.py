@@ -22,7 +22,7 @@ D = """d AS (
     'u' || doc_id % 7 AS created_by, CASE WHEN doc_id % 3 <> 0 THEN 'User ' || doc_id % 7 END AS created_by_name,
     'u' || doc_id % 11 AS last_modified_by, CASE WHEN doc_id % 4 <> 0 THEN 'Editor ' || doc_id % 11 END AS last_modified_by_name,
     strftime(TIMESTAMP '2024-01-01' + to_minutes(doc_id * 37 % 100000 + doc_id % 500), '%Y-%m-%dT%H:%M:%S') AS updated_at,
-    doc_id % 3 = 0 AS metadata_confirmed, substr(text, 1, 200) AS semantic_abstract, text
+    doc_id % 3 = 0 AS metadata_confirmed, string_split(text, chr(10))[1] AS semantic_abstract, text
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 E = """e0 AS (SELECT doc_id AS n, (SELECT count(*) FROM documents) AS t FROM documents),

@@ -48,7 +48,7 @@ def iso(minutes: Column) -> Column:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document of the corpus with graph metadata."""
+    """One row per document of the corpus with graph metadata; its first line stands as its abstract."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     n, sev = F.col("doc_id"), (F.col("doc_id") % 4).cast("string")
     joined = docs.join(labels, "doc_id", "left")
@@ -73,7 +73,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("source_content_hash"), F.sha2(F.concat("text", F.lit("\n")), 256).alias("stored_content_hash"),
         iso(n * 37 % 100_000).alias("created_at"), F.concat(F.lit("u"), (n % 7).cast("string")).alias("created_by"), F.when(n % 3 != 0, name).alias("created_by_name"),
         F.concat(F.lit("u"), (n % 11).cast("string")).alias("last_modified_by"), F.when(n % 4 != 0, F.concat(F.lit("Editor "), (n % 11).cast("string"))).alias("last_modified_by_name"),
-        iso(n * 37 % 100_000 + n % 500).alias("updated_at"), (n % 3 == 0).alias("metadata_confirmed"), F.substring("text", 1, 200).alias("semantic_abstract"),
+        iso(n * 37 % 100_000 + n % 500).alias("updated_at"), (n % 3 == 0).alias("metadata_confirmed"), F.get(F.split("text", "\n"), F.lit(0)).alias("semantic_abstract"),
         F.col("text"),
     )
 
