@@ -16,6 +16,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_for_query
+
 #: Words without meaning of their own in a query (fixed values).
 STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split())
 #: Weights of a hit in a passage and in a document's surface, and the sum of 1/j^2 (fixed values).
@@ -92,6 +94,14 @@ def forms(query: str) -> tuple[str, str | None]:
     return query, folded if folded != query and parse(folded).branches else None
 
 
+def query_terms(text: Column) -> tuple[Column, Column]:
+    """The sorted lexemes of many plain queries, and those of their folded forms without stop words; NULL where folding changes nothing."""
+    folded = fold_for_query(text)
+    sorted_ = lambda lex: F.array_join(F.array_sort(F.array_distinct(lex)), " ")
+    kept = F.filter(lexemes(folded), lambda w: ~w.isin(*sorted(STOP_WORDS)))
+    return sorted_(lexemes(text)), F.when((folded != text) & (F.size(kept) > 0), sorted_(kept))
+
+
 def held(padded: Column, operand: tuple[str, ...]) -> Column:
     """Does a text, as its lexemes with a space around each, hold a lexeme or the lexemes of a phrase next to each other."""
     return padded.contains(" " + " ".join(operand) + " ")

@@ -17,10 +17,9 @@ def _search(spark, sf_dir, text):
 
 
 def q6_1_query_forms(spark, sf_dir):
-    """Every title as a query: its operands, and those of its folded form."""
-    titles = [r["title"] for r in g.documents(spark, sf_dir).select("title").distinct().orderBy("title").limit(100).collect()]  # a list of queries
-    rows = [(t, " ".join(keyword.parse(t).required), None if (f := keyword.forms(t)[1]) is None else " ".join(keyword.parse(f).required)) for t in titles]
-    return spark.createDataFrame(rows, "query string, operands string, folded string")
+    """Every title as a query: its lexemes, and those of its folded form."""
+    operands, folded = keyword.query_terms(F.col("title"))
+    return g.documents(spark, sf_dir).select(F.col("title").alias("query"), operands.alias("operands"), folded.alias("folded")).distinct()
 
 
 def q6_4_across_document(spark, sf_dir):
@@ -90,6 +89,7 @@ _SCORED = f"""{_DOCS}, s AS (
 b AS (SELECT document_id, max(score) FILTER (any_ OR chunk_index IS NULL) AS score, min([-score, chunk_index]) FILTER (any_ AND chunk_index IS NOT NULL) AS best FROM s GROUP BY 1)"""
 
 ORACLE = {
+    "q6_1_query_forms": with_tables(f"SELECT DISTINCT title AS query, array_to_string(list_sort(list_distinct({_LEX.format('title')})), ' ') AS operands, array_to_string(list_sort(list_distinct({_LEX.format('title')})), ' ') AS folded FROM d", D),
     "q6_4_across_document": with_tables(f"{_DOCS} SELECT * FROM hit", D, P),
     "q6_4_phrases": with_tables(f"""{_UNITS}, h AS (
       SELECT document_id, count(*) FILTER (chunk_index IS NOT NULL AND ({_has("of the")} OR {_has("from")} OR {_has("en la")})) AS matched_passages, bool_or({_has("of the")}) AND bool_or({_has("from")}) OR bool_or({_has("en la")}) AS ok FROM t GROUP BY 1)
