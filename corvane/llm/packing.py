@@ -116,6 +116,22 @@ def _sweep(batches):
             yield pa.record_batch([pa.array(c) for c in columns], schema=_SWEPT_ARROW)
 
 
+def _left(batches):
+    """(part, what, n) of the rows that one task reads."""
+    schema = pa.schema([("part", pa.int32()), ("what", pa.int32()), ("n", pa.int64())])
+    counts: dict[tuple[int, int], int] = {}
+    for batch in batches:
+        key, n = np.unique(batch.column(0).to_numpy().astype(np.int64) * 4 + batch.column(1).to_numpy(), return_counts=True)
+        for k, c in zip(key.tolist(), n.tolist()):
+            counts[k >> 2, k & 3] = counts.get((k >> 2, k & 3), 0) + c
+    if counts:
+        yield pa.record_batch([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+
+
+#: Gaps handed over between ranges, counted, up to which they are broadcast; more are joined by a shuffle.
+_FEW = 200_000
+
+
 def carry(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
     """Intervals (item range, first rank, count, gap range, last gap rank) across ranges.
 
@@ -147,8 +163,12 @@ def one_round(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = [F.desc("size"), F.asc("what"), F.asc("h")]
     dealt = state.withColumn("h", F.xxhash64("id")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     swept = materialize(dealt.select("what", "id", "size").mapInArrow(_sweep, _SWEPT), "swept")
-    left = swept.where(F.col("what") < PLACED).groupBy("part", "what").count().collect()  # two rows per task at most
-    lines = carry({(r["part"], r["what"]): r["count"] for r in left}) or [(-1, 0, 0, -1, -1)]
+    # Each task of the next scan counts what it reads: about two rows a range reach the driver.
+    counts: dict[tuple[int, int], int] = {}
+    for r in swept.where(F.col("what") < PLACED).select("part", "what").mapInArrow(_left, "part int, what int, n long").collect():
+        counts[r["part"], r["what"]] = counts.get((r["part"], r["what"]), 0) + r["n"]
+    lines = carry(counts) or [(-1, 0, 0, -1, -1)]
+    matched = sum(line[2] for line in lines)
     plan = state.sparkSession.createDataFrame(lines, "to_part int, first long, n long, from_part int, last long")
     plan = F.broadcast(plan.coalesce(1))  # a few rows per task
     rank = F.col("rank")
@@ -157,7 +177,8 @@ def one_round(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     offers = swept.where(F.col("what") == GAP).join(plan, (F.col("part") == F.col("from_part")) & (rank <= F.col("last")) & (rank > F.col("last") - F.col("n")), "left")
     free = offers.where("from_part is null").select("what", "id", "size", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("gap"))
     offers = offers.where("from_part is not null").select("from_part", rank.alias("from_rank"), F.col("id").alias("bin"), F.col("size").alias("gap"))
-    across = wants.join(offers, ["from_part", "from_rank"], "left").select(F.when(F.col("bin").isNull(), ITEM).otherwise(PLACED).alias("what"), "id", "size", "bin", "gap")
+    # The gaps that are handed over are as many as the lines say; few go to all tasks.
+    across = wants.join(F.broadcast(offers) if matched <= _FEW else offers, ["from_part", "from_rank"], "left").select(F.when(F.col("bin").isNull(), ITEM).otherwise(PLACED).alias("what"), "id", "size", "bin", "gap")
     found = swept.where(F.col("what") == PLACED).select("what", "id", "size", "bin", "gap").unionByName(across)
     # A placed item also leaves a smaller gap.
     rest = F.when(F.col("what") == PLACED, F.array(F.lit(PLACED), F.lit(GAP))).otherwise(F.array(F.col("what")))
