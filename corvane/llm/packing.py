@@ -129,7 +129,7 @@ def _left(batches):
 
 
 #: Gaps handed over between ranges, counted, up to which they are broadcast; more are joined by a shuffle.
-_FEW = 200_000
+_FEW = 20_000
 
 
 def carry(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
