@@ -486,6 +486,17 @@ def test_placing_ties(spark, sizes):
     assert len(used) <= 1.02 * brute.best_fit_bins(sizes, 2048) + 1
 
 
+def test_placing_by_shuffle(spark, monkeypatch):
+    """Gaps handed over between ranges by a shuffle, as where they are many."""
+    monkeypatch.setattr(packing, "_FEW", -1)
+    sizes = list(range(1, 2049, 9))
+    got = packing.place(spark.createDataFrame(list(enumerate(sizes)), "item long, item_size long").repartition(3)).collect()
+    used = Counter()
+    for r in got:
+        used[r["bin"]] += sizes[r["item"]]
+    assert len(got) == len(sizes) and max(used.values()) <= 2048 and len(used) <= 1.02 * brute.best_fit_bins(sizes, 2048) + 1
+
+
 @pytest.mark.parametrize("wanted", [1, 2, 700, 2_999, 3_000])
 def test_the_hash_of_a_rank(spark, wanted):
     rng = np.random.default_rng(4)
