@@ -9,7 +9,7 @@ from ..functions import text as t
 from ..operators import browse, changes, evaluation, filters, graph, inference, lifecycle
 from ..plans.oracle_tables import D, E, P, with_tables
 from ..sources import graph_tables as g
-from .graph import _FAM, _SUP
+from .graph import _COMP, _FAM, _SUP
 
 
 def q1_15_point_lookups(spark, sf_dir):
@@ -190,6 +190,10 @@ _RANKS = """r AS (SELECT tags[2] AS query, id, row_number() OVER (PARTITION BY t
 _OVER = f"{_RANKS}, o AS (SELECT query, round(count(*) FILTER (r1 <= 10 AND r2 <= 10) / 10.0, 9) AS overlap FROM r GROUP BY query)"
 
 ORACLE = {
+    "q3_2_edge_counts": with_tables("SELECT source_id AS start_id, target_id AS document_id, edge_type, count(DISTINCT e.id) AS edges FROM e JOIN d ON d.id = source_id WHERE target_id IS NOT NULL GROUP BY ALL", D, E),
+    "q8_18_head_first": with_tables(f"""{_SUP}, {_FAM}, {_COMP}, l AS (SELECT id, count(*) AS level FROM fam GROUP BY 1),
+      o AS (SELECT chain, id, row_number() OVER (PARTITION BY chain ORDER BY level, id) - 1 AS position, count(*) OVER (PARTITION BY chain) AS length FROM comp JOIN l USING (id))
+      SELECT id, chain, length - 1 - position AS depth, row_number() OVER (PARTITION BY chain ORDER BY length - 1 - position, id) AS turn FROM o""", D, E),
     "q1_15_point_lookups": with_tables("SELECT e.id AS edge_id, d.id, title, lifecycle_status FROM e JOIN d ON d.id = e.source_id", D, E),
     "q3_3_hydration": with_tables("SELECT source_id AS start_id, target_id AS document_id, title, 1 AS depth, count(*) AS edge_count FROM e JOIN d ON d.id = target_id GROUP BY ALL", D, E),
     "q3_5_excerpts": with_tables("SELECT document_id, chunk_index, substr(content, 1, 80) AS content, length(content) > 80 AS cut FROM p", P),
