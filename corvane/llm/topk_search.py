@@ -43,7 +43,7 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_DOCS = 20_000
 SHARD_BYTES = 64_000_000
-QUERY_BLOCK = 64
+QUERY_BLOCK = 512
 DIGITS = 6
 _SLACK = 2e-6
 #: The part of the threshold that counts as small.
