@@ -81,7 +81,29 @@ def op8_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "difference")))
 
 
+def op11_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import apportion
+
+    return apportion.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_ball_tree_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ball_tree
+
+    return ball_tree.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_harmonic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import run_detection
+
+    found = run_detection.detect(_table(spark, sf_dir, "documents"), run_detection.repeat_tail)
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
+    "op11_sainte_lague_mix": op11_sainte_lague_mix,
+    "op12_ball_tree_clusters": op12_ball_tree_clusters,
+    "op13_harmonic_runs": op13_harmonic_runs,
     "op2_block_max_wand": op2_block_max_wand,
     "op8_cross_entropy_difference": op8_cross_entropy_difference,
     "op6_partenum_jaccard": op6_partenum_jaccard,
@@ -97,7 +119,81 @@ QUERIES = {
 #: Words of a text, as SQL: lower-case A-Z, runs of digits, letters and anything beyond ASCII.
 _SQL_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+def _lloyd_sql(rounds: int = 10, k: int = 8) -> str:
+    """Lloyd's rounds written out one after the other: c0 the start, a<i> the assignment to c<i>, c<i+1> its means."""
+    near = "SELECT vec_id, x, arg_min(j, (d, j)) AS j, min(d) AS d FROM (SELECT v.vec_id, v.x, c.j, list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) AS d FROM v, {} c) GROUP BY vec_id, x"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"a{i} AS MATERIALIZED ({near.format(f'c{i}')})")
+        steps.append(f"""m{i} AS MATERIALIZED (
+            SELECT j, list(CAST(floor(s / n) AS BIGINT) ORDER BY p) AS x
+            FROM (SELECT j, p, CAST(sum(x[p]) AS BIGINT) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS p) GROUP BY j, p) GROUP BY j)""")
+        steps.append(f"c{i + 1} AS MATERIALIZED (SELECT j, coalesce(m{i}.x, c{i}.x) AS x FROM c{i} LEFT JOIN m{i} USING (j))")
+    return f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1024) AS BIGINT)) AS x FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+        c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY h) - 1 AS j, x FROM (SELECT sha256('3:' || vec_id) AS h, x FROM v ORDER BY h LIMIT {k})),
+        {", ".join(steps)},
+        z AS MATERIALIZED ({near.format(f"c{rounds}")})
+        SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(c.x, ',')) AS centroid_sha256
+        FROM z JOIN c{rounds} c USING (j)"""
+
+
 ORACLE: dict[str, str] = {
+    "op12_ball_tree_clusters": _lloyd_sql(),
+    "op11_sainte_lague_mix": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
+        s0 AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS number FROM d GROUP BY source),
+        s1 AS (SELECT *, [3, 1, 2][number % 3 + 1] AS weight, 2.0::DOUBLE * source_size AS cap FROM s0),
+        s2 AS (
+            SELECT *, row_number() OVER o AS place, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights, sum(source_size) OVER () AS whole
+            FROM s1 WINDOW o AS (ORDER BY cap / weight, number)),
+        s3 AS (SELECT *, (1.5::DOUBLE * whole - before) / weights AS level FROM s2),
+        s4 AS (SELECT *, min(place) FILTER (cap > weight * level) OVER () AS open FROM s3),
+        s5 AS (SELECT *, max(level) FILTER (place = open) OVER () AS rise FROM s4),
+        s6 AS (SELECT source, source_size, number, CASE WHEN open IS NULL OR place < open THEN cap ELSE weight * rise END AS target FROM s5),
+        house AS (SELECT CAST(floor(sum(target) / 256 + 0.5) AS BIGINT) AS seats FROM s6),
+        quotients AS (
+            SELECT number, row_number() OVER (ORDER BY target / (2 * k - 1) DESC, number) AS place
+            FROM (SELECT number, target, unnest(range(1, CAST(ceil(target / 256) AS BIGINT) + 8)) AS k FROM s6 WHERE target > 0)),
+        won AS (SELECT number, count(*) AS seats FROM quotients, house WHERE place <= house.seats GROUP BY number),
+        s AS (
+            SELECT s6.*, coalesce(won.seats, 0) AS seats, CAST(floor(target + 0.5) AS BIGINT) AS goal, greatest(1, CAST(ceil(source_size / 262144) AS BIGINT)) AS shards
+            FROM s6 LEFT JOIN won USING (number)),
+        w AS (
+            SELECT doc_id, size, key, s.* EXCLUDE (source), CAST('0x' || substr(key, 1, 8) AS BIGINT) % shards AS shard
+            FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+        cell AS (SELECT number, shard, seats, goal, CAST(sum(size) AS BIGINT) AS words FROM w WHERE size > 0 GROUP BY ALL),
+        cell_quotients AS (
+            SELECT number, shard, seats, row_number() OVER (PARTITION BY number ORDER BY words / (2 * k - 1) DESC, shard) AS place
+            FROM (SELECT number, shard, seats, words, unnest(range(1, seats + 1)) AS k FROM cell)),
+        cell_won AS (SELECT number, shard, count(*) AS own FROM cell_quotients WHERE place <= seats GROUP BY ALL),
+        cut AS (
+            SELECT number, shard, words, goal, least(coalesce(own, 0) * 256, words * 2) AS take, goal - sum(least(coalesce(own, 0) * 256, words * 2)) OVER (PARTITION BY number) AS rest
+            FROM cell LEFT JOIN cell_won USING (number, shard)),
+        room AS (SELECT *, CASE WHEN rest > 0 THEN words * 2 - take ELSE take END AS room FROM cut),
+        quota AS (
+            SELECT number, shard, words, CAST(take + sign(rest) * least(room, greatest(abs(rest) - coalesce(sum(room) OVER (PARTITION BY number ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0)) AS BIGINT) AS take
+            FROM room),
+        block AS (
+            SELECT number, shard, take // words AS whole, take % words AS more, b, least(256, words - 256 * b) AS length, md5('mix:' || number || ':' || shard || ':' || b) AS pick
+            FROM (SELECT *, unnest(range(0, (words - 1) // 256 + 1)) AS b FROM quota)),
+        part AS (
+            SELECT number, shard, whole, b * 256 AS begin, greatest(0, least(length, more - coalesce(sum(length) OVER (PARTITION BY number, shard ORDER BY length < 256, pick, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) AS t
+            FROM block),
+        placed AS (
+            SELECT *, coalesce(sum(size) OVER (PARTITION BY number, shard ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, row_number() OVER () AS r FROM w WHERE size > 0)
+        SELECT any_value(doc_id) AS doc_id, any_value(size) AS size, any_value(source_size) AS source_size, any_value(target) AS target,
+            CAST(any_value(whole) * any_value(size) + sum(greatest(0, least(a + size, begin + t) - greatest(a, begin))) AS BIGINT) AS taken
+        FROM placed JOIN part ON placed.number = part.number AND placed.shard = part.shard AND begin < a + size AND begin + 256 > a GROUP BY r
+        UNION ALL SELECT doc_id, size, source_size, target, 0 FROM w WHERE size = 0""",
     "op2_block_max_wand": f"""
         WITH w AS (SELECT doc_id, {_SQL_WORDS} AS ws FROM documents),
         g AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -235,3 +236,84 @@ def quality_scores(rows, labels, block=1024, per_class=6_000):
         if np.abs(step).max() < 1e-6:
             break
     return {i: 1 / (1 + math.exp(-min(30, max(-30, float(np.dot(wide(look((t or "").encode())), w)))))) for i, t in rows}
+
+
+def apportioned(weights, house):
+    """Sainte-Laguë seat by seat: the highest quotient gets the next one, ties to the earlier party."""
+    seats = [0] * len(weights)
+    for _ in range(house):
+        best = max(range(len(weights)), key=lambda k: (weights[k] / (2 * seats[k] + 1), -k))
+        seats[best] += 1
+    return seats
+
+
+def source_targets(sizes, weights=(3, 1, 2), share=1.5, most=2):
+    """{source: target}: deal out, cap, deal the excess out again until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, open_, out = share * sum(sizes.values()), set(names), {}
+    while open_:
+        whole = sum(weight[s] for s in open_)
+        above = [s for s in open_ if weight[s] * left / whole >= most * sizes[s]]
+        if not above:
+            return out | {s: weight[s] * left / whole for s in open_}
+        for s in above:
+            out[s] = float(most * sizes[s])
+        left -= sum(out[s] for s in above)
+        open_ -= set(above)
+    return out
+
+
+def lloyd(rows, k=8, rounds=10):
+    """Rounds of nearest centroids and floored means in Python's integers."""
+    kept = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if v is not None and len(v) == 64 and all(x is not None and math.isfinite(x) for x in v)]
+    order = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"3:{'' if r[0] is None else r[0]}".encode()).hexdigest(), r[1]))
+    cents = [v for _, v in order[:k]]
+    near = lambda v: min((sum((a - b) ** 2 for a, b in zip(v, c)), j) for j, c in enumerate(cents))
+    for _ in range(rounds):
+        groups = defaultdict(list)
+        for _, v in kept:
+            groups[near(v)[1]].append(v)
+        for j, g in groups.items():
+            cents[j] = [sum(c) // len(g) for c in zip(*g)]
+    found = [(i, *near(v)) for i, v in kept]
+    inertia = Counter()
+    for _, d, j in found:
+        inertia[j] += d
+    return in_order((i, j, d, inertia[j], sum(inertia.values()), hashlib.sha256(",".join(map(str, cents[j])).encode()).hexdigest()) for i, d, j in found)
+
+
+def all_runs(ws, least=6, periods=4):
+    """Runs by looking at every period and place."""
+    found = {}
+    for p in range(1, len(ws) // periods + 1):
+        i = 0
+        while i + p < len(ws):
+            if ws[i] != ws[i + p]:
+                i += 1
+                continue
+            j = i
+            while j + p < len(ws) and ws[j] == ws[j + p]:
+                j += 1
+            if j + p - i >= max(least, periods * p):
+                found.setdefault((i, j + p - i), p)
+            i = j
+    return sorted((s, n, p) for (s, n), p in found.items())
+
+
+def run_digests(rows, rewrite=True):
+    out = []
+    for i, t in rows:
+        ws = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        h = zlib.crc32(str(i).encode()) if i is not None else 1
+        if rewrite and h % 10 == 0 and ws:
+            g, n = h // 10, len(ws)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            ws = [w if k < a else ws[a + (k - a) % p] for k, w in enumerate(ws)]
+        runs = all_runs(ws)
+        dropped = {k for s, n, p in runs for k in range(s + p, s + n)}
+        best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out.append((i, len(runs), *(best or (None, None, None)), best and 1000 * best[1] // best[2], sha("".join(f"{s},{n},{p}\n" for s, n, p in runs)), sha(" ".join(w for k, w in enumerate(ws) if k not in dropped))))
+    return in_order(out)
