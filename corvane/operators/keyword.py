@@ -177,23 +177,6 @@ def keyword_search(passages: DataFrame, surfaces_: DataFrame, text: str, visible
     return found.where((F.col("whole") if single else across) | F.col("folded")).select("document_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.col("best.chunk_index").alias("chunk_index"), "matched_passages")
 
 
-def over_fetch(limit: int, filtered: str) -> int:
-    """How many documents a page needs before boosts and filters: by whether none, pushed or mixed filters stand."""
-    return limit * {"none": 5, "pushdown": 3, "mixed": 10}[filtered]
-
-
-def keyword_mode(docs: DataFrame, passages: DataFrame, text: str, visible: Column, limit: int = 10, filtered: str = "pushdown") -> DataFrame:
-    """A page of documents for a query, by score, then id; ``*`` lists all that the filter lets through."""
-    kept = docs.where(visible)
-    if text.strip() == "*":
-        rows = kept.select(F.col("id").alias("document_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("int").alias("chunk_index"), F.lit(0).cast("long").alias("matched_passages"))
-        keys = [F.asc("document_id")]
-    else:
-        rows = keyword_search(passages, surfaces(kept), text, kept.select(F.col("id").alias("document_id")))
-        rows, keys = rows.orderBy(F.desc("score"), "document_id").limit(over_fetch(limit, filtered)), [F.desc("score"), F.asc("document_id")]
-    return rows.orderBy(*keys).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*keys)))
-
-
 def advice(text: str, found: int) -> list[str]:
     """Why an empty result may be empty, by the shape of the query; nothing for results that are not."""
     if found:

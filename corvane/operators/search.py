@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from .browse import salience_order
 from .filters import contains_text
+from .keyword_index import KeywordIndex
+from .keyword_index import search as index_search
 from .passages import section_key
+from .vector_index import VectorIndex
+from .vector_index import search as vector_search_many
 
 RRF_K = 60
 BOOST_CUT = 100
@@ -63,12 +67,29 @@ def vector_search(vectors: DataFrame, query: Sequence[float], limit: int = 10, a
     q = F.array(*[F.lit(float(x)) for x in query])
     scored = vectors.withColumn("score", F.round(cosine(F.col("embedding"), q), 6)).where("score is not null and not isnan(score)").select("document_id", "chunk_index", "is_surface", "authored", "score")
     keys = [F.desc("score"), F.asc("document_id"), F.asc("chunk_index")]
-    arms = scored.where("not is_surface").orderBy(*keys).limit(arm).unionByName(scored.where("is_surface and authored").orderBy(*keys).limit(arm))
+    return _by_document(scored.where("not is_surface").orderBy(*keys).limit(arm).unionByName(scored.where("is_surface and authored").orderBy(*keys).limit(arm)), limit)
+
+
+def _by_document(arms: DataFrame, limit: int) -> DataFrame:
+    """Rows of both arms (document_id, chunk_index, is_surface, score) as documents: best score, nearest passage."""
     passage = F.when(~F.col("is_surface"), F.struct((-F.col("score")).alias("s"), "chunk_index"))
     found = arms.groupBy("document_id").agg(F.max("score").alias("score"), F.min(passage).alias("p"), F.count_if(~F.col("is_surface")).alias("matched_passages"))
     return ranked(found.select("document_id", "score", F.col("p.chunk_index").alias("chunk_index"), "matched_passages", F.col("p").isNull().alias("is_document_surface")), limit)
 
 
+def vector_hits(passages: VectorIndex, surfaces: VectorIndex, vectors: DataFrame, query: Sequence[float], limit: int = 10, arm_limit: int | None = None, probes: int = 16, exact: bool = True) -> DataFrame:
+    """``vector_search`` from an index of the passages' vectors and one of the authored surfaces'.
+
+    Each arm takes its rows from the lists near the query, and with ``exact`` from all
+    that could hold a nearer one; what the rows belong to is joined by ``vec_id``.
+    """
+    spark, arm = vectors.sparkSession, arm_limit or limit
+    asked = spark.createDataFrame([(0, [float(x) for x in query])], "vec_id long, embedding array<double>")
+    near = [vector_search_many(index, asked, arm, probes, exact).select("vec_id", "score") for index in (passages, surfaces)]
+    keys = vectors.select("vec_id", "document_id", "chunk_index", "is_surface")
+    return _by_document(near[0].unionByName(near[1]).join(keys, "vec_id"), limit)
+
+
 def reciprocal_rank_fusion(lists: Sequence[DataFrame], limit: int = 10, k: int = RRF_K) -> DataFrame:
     """Fuse ranked lists (document_id, rank from 1): each adds 1 / (k + best rank); ties by first appearance."""
     arms = [one.groupBy("document_id").agg(F.min("rank").alias("rank")).withColumn("arm", F.lit(n)) for n, one in enumerate(lists)]
@@ -110,17 +131,21 @@ def rerank_salience(hits: DataFrame, docs: DataFrame, as_of: str, weight: float
     return rows.withColumn("score", F.round(F.col("score") * (1 + gain), 9)).select("document_id", "title", "lifecycle_status", "score")
 
 
-def hybrid_search(docs: DataFrame, passages: DataFrame, vectors: DataFrame, query: Sequence[float], terms: Sequence[str], as_of: str, limit: int = 10, over_fetch: int = 5) -> DataFrame:
-    """Vector and keyword arms, fused, boosted by metadata and abstract, re-ranked and paged.
+def keyword_hits(index: KeywordIndex, text: str, limit: int, visible: DataFrame | None = None) -> DataFrame:
+    """The keyword arm: the first documents of keyword mode by score, then id, numbered."""
+    return ranked(index_search(index, text, visible).withColumn("score", F.round("score", 9)), limit)
+
+
+def hybrid_search(docs: DataFrame, arms: Callable[[int], Sequence[DataFrame]], text: str, as_of: str, limit: int = 10, over_fetch: int = 5) -> DataFrame:
+    """Ranked arms (vector, keyword), fused, boosted by metadata and abstract, re-ranked and paged.
 
-    Each arm is cut at limit x over-fetch x 3 before fusion, the fused list at
-    limit x over-fetch; nothing is collected before the page.
+    ``arms`` gives the ranked lists (document_id, rank) for a cut, which is
+    limit x over-fetch x 3; the fused list is cut at limit x over-fetch.  Nothing is
+    collected before the page.
     """
     fetch = limit * over_fetch
-    text = " ".join(terms)
-    arms = [vector_search(vectors, query, fetch * 3), keyword_search(passages, terms, fetch * 3)]
     visible = docs.where((F.col("pipeline_status") != "failed") | F.col("projection_scope").isin("limited", "complete"))
-    hits = reciprocal_rank_fusion(arms, fetch).join(visible.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+    hits = reciprocal_rank_fusion(arms(fetch * 3), fetch).join(visible.select(F.col("id").alias("document_id")), "document_id", "left_semi")
     boosted = boost_abstracts(boost_metadata(hits, metadata_matches(visible, text)), visible, text)
     scored = rerank_salience(boosted, visible, as_of)
     return ranked(scored, limit, F.when(F.col("lifecycle_status") == "active", 0).otherwise(1), F.desc("score"), F.asc("document_id"))

@@ -9,6 +9,8 @@ from ..functions import text as t
 from ..operators import evaluation, graph, inference, lifecycle, passages, search
 from ..plans.oracle_tables import D, E, P, V, with_tables
 from ..sources import graph_tables as g
+from . import _indexes
+from .keyword import keyword_arm
 
 TERMS = ("the", "that")
 AS_OF = "2025-01-01T00:00:00"
@@ -77,12 +79,21 @@ def q6_12_keyword(spark, sf_dir):
     return search.keyword_search(g.passages(spark, sf_dir), TERMS, 25).select("document_id", F.round("score", 9).alias("score"), "chunk_index", "matched_sections", "matched_passages", "rank")
 
 
+def _vector_hits(spark, sf_dir, limit, arm=None):
+    return search.vector_hits(_indexes.passage_vectors(spark, sf_dir), _indexes.surface_vectors(spark, sf_dir), g.vectors(spark, sf_dir), _query_vector(spark, sf_dir), limit, arm)
+
+
 def q7_1_vector(spark, sf_dir):
+    return _vector_hits(spark, sf_dir, 20, 60)
+
+
+def q7_1_vector_scan(spark, sf_dir):
+    """The same search without an index."""
     return search.vector_search(g.vectors(spark, sf_dir), _query_vector(spark, sf_dir), 20, 60)
 
 
 def q7_3_fusion(spark, sf_dir):
-    arms = [search.vector_search(g.vectors(spark, sf_dir), _query_vector(spark, sf_dir), 60), search.keyword_search(g.passages(spark, sf_dir), TERMS, 60)]
+    arms = [_vector_hits(spark, sf_dir, 60), search.keyword_search(g.passages(spark, sf_dir), TERMS, 60)]
     return search.reciprocal_rank_fusion(arms, 30).select("document_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -96,12 +107,22 @@ def q7_5_boosted(spark, sf_dir):
     return search.boost_metadata(hits, search.metadata_matches(_light(spark, sf_dir), "src1")).select("document_id", F.round("score", 9).alias("score"))
 
 
-def q7_8_hybrid(spark, sf_dir):
-    docs = _light(spark, sf_dir)
-    found = search.hybrid_search(docs, g.passages(spark, sf_dir), g.vectors(spark, sf_dir), _query_vector(spark, sf_dir), TERMS, AS_OF)
+def _hybrid(spark, sf_dir, text):
+    docs, index = _light(spark, sf_dir), _indexes.keywords(spark, sf_dir)
+    found = search.hybrid_search(docs, lambda cut: [_vector_hits(spark, sf_dir, cut), search.keyword_hits(index, text, cut)], text, AS_OF)
     return found.select("document_id", "title", "lifecycle_status", F.round("score", 6).alias("score"), "rank")
 
 
+def q7_8_hybrid(spark, sf_dir):
+    """A text that titles and tags hold: the metadata boost lifts them."""
+    return _hybrid(spark, sf_dir, "src1")
+
+
+def q7_8_hybrid_abstracts(spark, sf_dir):
+    """A word of the texts: the abstract boost lifts documents that start with it."""
+    return _hybrid(spark, sf_dir, "from")
+
+
 def q18_3_relevance(spark, sf_dir):
     docs = _light(spark, sf_dir)
     ranking = docs.select(F.concat(F.lit("q"), F.floor(F.col("n") / 20).cast("string")).alias("query"), F.col("id").alias("document_id"), F.row_number().over(Window.partitionBy(F.floor(F.col("n") / 20)).orderBy(F.col("n") * 7 % 101, "n")).alias("rank"))
@@ -265,6 +286,7 @@ ORACLE = {
       SELECT CASE WHEN v IS NULL OR v = '' THEN 'null' ELSE kind END AS kind, count(*) AS n FROM x GROUP BY 1""", D),
     "q6_12_keyword": with_tables(f"{_KEY} SELECT document_id, score, chunk_index, matched_sections, matched_passages, rank FROM kw WHERE rank <= 25", P),
     "q7_1_vector": with_tables(f"{_vec(60, 20)} SELECT document_id, score, chunk_index, matched_passages, is_document_surface, rank FROM vr", V),
+    "q7_1_vector_scan": with_tables(f"{_vec(60, 20)} SELECT document_id, score, chunk_index, matched_passages, is_document_surface, rank FROM vr", V),
     "q7_3_fusion": with_tables(f"{_KEY}, {_vec(60, 60)}, {_rrf(60, 30)} SELECT document_id, round(score, 9) AS score, rank FROM fu", P, V),
     "q7_5_metadata_matches": with_tables("""m AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN title ILIKE '%src1%' THEN 0 ELSE 1 END, CASE WHEN source_path ILIKE '%src1%' THEN 0 ELSE 1 END, CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END,
           coalesce(document_date, substr(source_modified_at, 1, 10)) IS NULL, coalesce(document_date, substr(source_modified_at, 1, 10)) DESC NULLS LAST, id) - 1 AS place FROM d WHERE title ILIKE '%src1%' OR array_to_string(tags, ' ') ILIKE '%src1%')
@@ -275,12 +297,17 @@ ORACLE = {
       h AS (SELECT document_id, round(score, 9) AS score FROM fu)
       SELECT coalesce(document_id, id) AS document_id, round(CASE WHEN place IS NOT NULL THEN (SELECT max(score) FROM h) + 0.1 - 0.001 * place ELSE score END, 9) AS score
       FROM h FULL JOIN (SELECT * FROM m WHERE place < 100) ON document_id = id""", D, P, V),
-    "q7_8_hybrid": with_tables(f"""{_KEY}, {_vec(150, 150)}, {_rrf(150, 50)},
+    **{name: with_tables(f"""{keyword_arm(text)}, {_vec(150, 150)}, {_rrf(150, 50)},
       vis AS (SELECT * FROM d WHERE pipeline_status <> 'failed' OR projection_scope IN ('limited', 'complete')),
-      b AS (SELECT fu.document_id, fu.score * CASE WHEN a.id IS NOT NULL THEN 1.3 ELSE 1 END AS score FROM fu JOIN vis ON vis.id = fu.document_id LEFT JOIN (SELECT id FROM vis WHERE contains(lower(semantic_abstract), 'the that')
-          ORDER BY CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END, document_date IS NULL, document_date DESC NULLS LAST, id LIMIT 100) a ON a.id = fu.document_id),
+      m AS (SELECT id, row_number() OVER (ORDER BY CASE WHEN title ILIKE '%{text}%' THEN 0 ELSE 1 END, CASE WHEN source_path ILIKE '%{text}%' THEN 0 ELSE 1 END, CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END,
+          coalesce(document_date, substr(source_modified_at, 1, 10)) IS NULL, coalesce(document_date, substr(source_modified_at, 1, 10)) DESC NULLS LAST, id) - 1 AS place FROM vis WHERE title ILIKE '%{text}%' OR array_to_string(tags, ' ') ILIKE '%{text}%'),
+      h AS (SELECT fu.document_id, fu.score FROM fu JOIN vis ON vis.id = fu.document_id),
+      bm AS (SELECT coalesce(h.document_id, m.id) AS document_id, CASE WHEN place IS NOT NULL THEN coalesce((SELECT max(score) FROM h) + 0.1, 1) - 0.001 * place ELSE score END AS score FROM h FULL JOIN (SELECT * FROM m WHERE place < 100) m ON h.document_id = m.id),
+      b AS (SELECT bm.document_id, bm.score * CASE WHEN a.id IS NOT NULL THEN 1.3 ELSE 1 END AS score FROM bm LEFT JOIN (SELECT id FROM vis WHERE contains(lower(semantic_abstract), '{text}')
+          ORDER BY CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END, document_date IS NULL, document_date DESC NULLS LAST, id LIMIT 100) a ON a.id = bm.document_id),
       z AS (SELECT document_id, title, lifecycle_status, round(score * (1 + coalesce(0.1 * exp(-greatest(date_diff('second', CAST(coalesce(document_date, substr(source_modified_at, 1, 10)) AS TIMESTAMP), TIMESTAMP '2025-01-01') / 86400.0, 0) * ln(2) / 365), 0)), 9) AS score FROM b JOIN vis ON vis.id = document_id)
-      SELECT document_id, title, lifecycle_status, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END, score DESC, document_id) AS INTEGER) AS rank FROM z) WHERE rank <= 10""", D, P, V),
+      SELECT document_id, title, lifecycle_status, round(score, 6) AS score, rank FROM (SELECT *, CAST(row_number() OVER (ORDER BY CASE WHEN lifecycle_status = 'active' THEN 0 ELSE 1 END, score DESC, document_id) AS INTEGER) AS rank FROM z) WHERE rank <= 10""", D, P, V)
+      for name, text in (("q7_8_hybrid", "src1"), ("q7_8_hybrid_abstracts", "from"))},
     "q18_3_relevance": with_tables(f"""{_R}, j AS (SELECT q, id, CASE WHEN n % 7 = 0 THEN 2 ELSE 1 END AS grade, CASE WHEN r1 <= 5 THEN r1 END AS rk FROM r WHERE n % 7 = 0 OR n % 11 = 0),
       i AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY grade DESC, id) AS place FROM j)
       SELECT 'q' || q AS query, round(coalesce(sum(grade / log2(rk + 1)) / sum(CASE WHEN place <= 5 THEN grade / log2(place + 1) END), 0), 9) AS ndcg, round(coalesce(1.0 / min(rk), 0), 9) AS reciprocal_rank, CAST(min(rk) IS NOT NULL AS INTEGER) AS success FROM i GROUP BY q""", D),

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, keyword
+from ..operators import filters, keyword, keyword_index
 from ..plans.oracle_tables import D, P, with_tables
 from ..sources import graph_tables as g
+from . import _indexes
 
 ACROSS, PHRASES, NEGATED, FOLDED = "fox from are OR thor inti", '"of the" from OR "en la"', 'from -thor OR "de la"', "PartNo0-src10 OR zzzz"
 
 
 def _search(spark, sf_dir, text):
-    found = keyword.keyword_search(g.passages(spark, sf_dir), keyword.surfaces(g.documents(spark, sf_dir)), text)
-    return found.withColumn("score", F.round("score", 9))
+    return keyword_index.search(_indexes.keywords(spark, sf_dir), text).withColumn("score", F.round("score", 9))
 
 
 def q6_1_query_forms(spark, sf_dir):
@@ -43,24 +43,40 @@ def q6_8_provenance(spark, sf_dir):
     return _search(spark, sf_dir, FOLDED).select("document_id", "score")
 
 
+def q6_6_ranking_scan(spark, sf_dir):
+    """The same search by a scan of all texts, as it is for tables without an index."""
+    found = keyword.keyword_search(g.passages(spark, sf_dir), keyword.surfaces(g.documents(spark, sf_dir)), ACROSS)
+    return found.select("document_id", F.round("score", 9).alias("score"), "chunk_index")
+
+
 def q6_10_keyword_mode(spark, sf_dir):
     visible = filters.document_filter({"exclude_lifecycle": ["completed"]}, exclude_failed=True)
-    page = keyword.keyword_mode(g.documents(spark, sf_dir), g.passages(spark, sf_dir), ACROSS, visible, 25)
+    page = keyword_index.keyword_mode(g.documents(spark, sf_dir), _indexes.keywords(spark, sf_dir), ACROSS, visible, 25)
     return page.select("document_id", F.round("score", 9).alias("score"), "rank")
 
 
 def q6_10_list_all(spark, sf_dir):
     visible = filters.document_filter({"exclude_lifecycle": ["completed"]}, exclude_failed=True)
-    return keyword.keyword_mode(g.documents(spark, sf_dir), g.passages(spark, sf_dir), "*", visible, 2**31 - 1).select("document_id", "rank")
+    return keyword_index.keyword_mode(g.documents(spark, sf_dir), None, "*", visible, 2**31 - 1).select("document_id", "rank")
 
 
 def q6_11_advice(spark, sf_dir):
     texts = ["the of", "-fox", '"no such phrase"', "absentword nosuchword", "fox -absent", "absentword", "from"]
-    passages, surfaces = g.passages(spark, sf_dir), keyword.surfaces(g.documents(spark, sf_dir))
-    rows = [(t, line) for t in texts for line in keyword.advice(t, 0 if t != "from" else keyword.keyword_search(passages, surfaces, t).count())]
+    index = _indexes.keywords(spark, sf_dir)
+    rows = [(t, line) for t in texts for line in keyword.advice(t, keyword_index.search(index, t).count())]
     return spark.createDataFrame(rows, "query string, advice string")
 
 
+def q7_10_title_ranks(spark, sf_dir):
+    """Where every active document stands for its own title, however it is typed, with passages addressed and relative to it."""
+    titles = g.documents(spark, sf_dir).where("lifecycle_status = 'active'").select(F.col("id").alias("document_id"), "title")
+    return keyword_index.title_ranks({"before": _indexes.addressed_keywords(spark, sf_dir), "after": _indexes.structured_keywords(spark, sf_dir)}, titles)
+
+
+def q18_13_title_rank_summary(spark, sf_dir):
+    return keyword_index.title_rank_summary(q7_10_title_ranks(spark, sf_dir))
+
+
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q") and callable(f)}
 
 _CASES = " ".join(f"WHEN regexp_matches(w, '{pattern}') THEN " + ("w" if put is None else f"regexp_replace(w, '{pattern}', '\\1{put}')") for pattern, put in keyword.PLURALS)
@@ -88,7 +104,39 @@ _SCORED = f"""{_DOCS}, s AS (
   SELECT document_id, chunk_index, CASE WHEN chunk_index IS NULL THEN {_rank(_OPS, 1.0)} ELSE {_rank(_OPS, 0.1)} END AS score, {" OR ".join(_has(o) for o in _OPS)} AS any_ FROM t),
 b AS (SELECT document_id, max(score) FILTER (any_ OR chunk_index IS NULL) AS score, min([-score, chunk_index]) FILTER (any_ AND chunk_index IS NOT NULL) AS best FROM s GROUP BY 1)"""
 
+
+
+def keyword_arm(term):
+    """The keyword arm of a fusion for one word, as SQL."""
+    return f"""{_UNITS}, kw0 AS (SELECT document_id, chunk_index, {_has(term)} AS hit, CASE WHEN chunk_index IS NULL THEN {_rank((term,), "1.0")} ELSE {_rank((term,), "0.1")} END AS sc FROM t),
+  kw AS (SELECT document_id, CAST(row_number() OVER (ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM (SELECT document_id, round(max(sc) FILTER (hit OR chunk_index IS NULL), 9) AS score FROM kw0 GROUP BY 1 HAVING bool_or(hit)))"""
+
+
+#: Titles are Src<number>-<language>_PartNo<digit>: as typed, a phrase of three lexemes; with separators folded, three words.
+_TITLE_RANKS = f"""su AS (SELECT id AS document_id, concat_ws(' ', title, array_to_string(tags, ' '), regexp_extract(source_path, '([^/]*)[.]md$', 1)) AS m, semantic_abstract AS o FROM d),
+tu AS (
+  SELECT a.arm, document_id, chunk_index, {_LEX.format("CASE WHEN arm = 'before' THEN heading_path ELSE string_split(heading_path, ' > ')[2] END || ' ' || content")} AS lex, lex AS wide FROM p, (VALUES ('before'), ('after')) a(arm)
+  UNION ALL SELECT a.arm, document_id, NULL, {_LEX.format("m")}, {_LEX.format("concat_ws(' ', m, o)")} FROM su, (VALUES ('before'), ('after')) a(arm)),
+ti AS MATERIALIZED (SELECT DISTINCT title, {_LEX.format("title")} AS q FROM d WHERE lifecycle_status = 'active'),
+tt AS MATERIALIZED (SELECT *, ' ' || array_to_string(lex, ' ') || ' ' AS pad FROM tu),
+th AS MATERIALIZED (
+  SELECT title, arm, document_id, chunk_index, contains(pad, ' ' || array_to_string(q, ' ') || ' ') AS phrase, contains(pad, ' ' || q[1] || ' ') AS x, contains(pad, ' ' || q[2] || ' ') AS y, contains(pad, ' ' || q[3] || ' ') AS z,
+    CASE WHEN chunk_index IS NULL THEN 1.0 ELSE 0.1 END * list_sum(list_transform(q, lambda l: coalesce(list_sum(list_transform(range(1, len(list_filter(wide, lambda w: w = l)) + 1), lambda j: 1.0 / (j * j))), 0))) / 1.64493406685 / 3 AS sc
+  FROM tt JOIN ti ON list_has_any(wide, q)),
+tf AS (
+  SELECT title, arm, document_id, TRUE AS folded, round(max(sc) FILTER (x OR y OR z OR chunk_index IS NULL), 9) AS score FROM th GROUP BY ALL HAVING bool_or(x) AND bool_or(y) AND bool_or(z)
+  UNION ALL
+  SELECT title, arm, document_id, FALSE, round(max(sc) FILTER (phrase OR chunk_index IS NULL), 9) FROM th GROUP BY ALL HAVING bool_or(phrase) OR bool_or(x AND y AND z AND chunk_index IS NULL)),
+tk AS (SELECT *, row_number() OVER (PARTITION BY arm, title, folded ORDER BY score DESC, document_id) AS rank FROM tf),
+tr AS (
+  SELECT a.arm, r.rendering, d.id AS document_id, CAST(CASE WHEN tk.rank <= 20 THEN tk.rank END AS INTEGER) AS rank
+  FROM d CROSS JOIN (VALUES ('before'), ('after')) a(arm) CROSS JOIN (VALUES ('verbatim', FALSE), ('lowercase', FALSE), ('uppercase', FALSE), ('separators folded', TRUE)) r(rendering, folded)
+  LEFT JOIN tk ON tk.arm = a.arm AND tk.title = d.title AND tk.folded = r.folded AND tk.document_id = d.id WHERE d.lifecycle_status = 'active')"""
+
 ORACLE = {
+    "q7_10_title_ranks": with_tables(f"{_TITLE_RANKS} SELECT * FROM tr", D, P),
+    "q18_13_title_rank_summary": with_tables(f"{_TITLE_RANKS} SELECT arm, rendering, count(*) AS eligible, count(*) FILTER (rank = 1) AS rank_1, count(rank) AS recalled FROM tr GROUP BY 1, 2", D, P),
+    "q6_6_ranking_scan": with_tables(f"{_SCORED} SELECT document_id, round(score, 9) AS score, CAST(best[2] AS INTEGER) AS chunk_index FROM hit JOIN b USING (document_id)", D, P),
     "q6_1_query_forms": with_tables(f"SELECT DISTINCT title AS query, array_to_string(list_sort(list_distinct({_LEX.format('title')})), ' ') AS operands, array_to_string(list_sort(list_distinct({_LEX.format('title')})), ' ') AS folded FROM d", D),
     "q6_4_across_document": with_tables(f"{_DOCS} SELECT * FROM hit", D, P),
     "q6_4_phrases": with_tables(f"""{_UNITS}, h AS (
@@ -102,6 +150,11 @@ ORACLE = {
     "q6_10_keyword_mode": with_tables(f"""{_SCORED}, v AS (SELECT id FROM d WHERE lifecycle_status <> 'completed' AND (pipeline_status <> 'failed' OR projection_scope IN ('limited', 'complete')))
       SELECT document_id, round(score, 9) AS score, CAST(row_number() OVER (ORDER BY score DESC, document_id) AS INTEGER) AS rank FROM hit JOIN b USING (document_id) WHERE document_id IN (SELECT id FROM v) ORDER BY rank LIMIT 25""", D, P),
     "q6_10_list_all": with_tables("""SELECT id AS document_id, CAST(row_number() OVER (ORDER BY id) AS INTEGER) AS rank FROM d WHERE lifecycle_status <> 'completed' AND (pipeline_status <> 'failed' OR projection_scope IN ('limited', 'complete'))""", D),
-    "q6_11_advice": """SELECT * FROM (VALUES ('the of', 'only common words: the of'), ('-fox', 'only exclusions'), ('"no such phrase"', 'a phrase must stand in one passage'),
-      ('absentword nosuchword', 'every word must occur; OR allows any'), ('fox -absent', 'exclusions hold the whole query to one passage')) t(query, advice)""",
+    "q6_11_advice": with_tables(f"""{_UNITS}, ad(query, advice, found) AS (
+      SELECT 'the of', 'only common words: the of', FALSE
+      UNION ALL SELECT '-fox', 'only exclusions', EXISTS (SELECT 1 FROM t WHERE NOT {_has("fox")})
+      UNION ALL SELECT '"no such phrase"', 'a phrase must stand in one passage', EXISTS (SELECT 1 FROM t WHERE {_has("no such phrase")})
+      UNION ALL SELECT 'absentword nosuchword', 'every word must occur; OR allows any', EXISTS (SELECT 1 FROM t WHERE {_has("absentword")} OR {_has("nosuchword")})
+      UNION ALL SELECT 'fox -absent', 'exclusions hold the whole query to one passage', EXISTS (SELECT 1 FROM t WHERE {_has("fox")} AND NOT {_has("absent")}))
+      SELECT query, advice FROM ad WHERE NOT found""", D, P),
 }

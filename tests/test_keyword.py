@@ -2,7 +2,7 @@
 
 import pytest
 
-from corvane.operators import keyword
+from corvane.operators import keyword, keyword_index
 
 PASSAGES = [
     ("a", 0, "The quick brown fox."), ("a", 1, "It jumps over lazy dogs."), ("b", 0, "A lazy dog sleeps; the brown bear too."), ("c", 0, "Quick foxes, brown classes"), ("c", 1, "policies of the bus"),
@@ -37,6 +37,56 @@ def test_scores(tables):
     assert got["a"]["matched_passages"] == 2
 
 
+@pytest.fixture(scope="module")
+def index(tables):
+    return keyword_index.build(*tables)
+
+
+@pytest.mark.parametrize(
+    "query",
+    ["quick dog", "fox", '"brown fox"', '"quick brown"', "fox OR bear", "brown -fox", "-brown", '-"lazy dog"', "red team", "ant-hill", "the of", "policy", '"dogs sleep"', '"dog jumps"', 'fox OR "lazy dog" -sleep', "planB", "plan b", "nothing", "-nothing", "", 'fox -"quick brown"'],
+)
+def test_index_gives_what_a_scan_gives(tables, index, query):
+    """Matches, scores, best passages and counts, with a limit on documents and without."""
+    shown = lambda df: sorted((r["document_id"], round(r["score"], 9), r["chunk_index"] if query[:1] != "-" else None, r["matched_passages"]) for r in df.collect())
+    assert shown(keyword_index.search(index, query)) == shown(keyword.keyword_search(*tables, query))
+    some = tables[1].where("document_id <> 'a'").select("document_id")
+    assert shown(keyword_index.search(index, query, some)) == shown(keyword.keyword_search(*tables, query, some))
+
+
+def test_many_queries_in_one_plan(spark, tables, index):
+    texts = ["quick dog", "red-team", "fox", "planB", "the", "brown", "absent fox", "Ant hill", "brown bear too", "", None]
+    found = keyword_index.search_many(index, spark.createDataFrame([(t,) for t in [*texts, "fox"]], "text string"), 2).collect()
+    got = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        got.setdefault(r["text"], []).append((r["document_id"], r["score"], r["rank"]))
+    for text in texts:
+        one = sorted(keyword.keyword_search(*tables, text or "").collect(), key=lambda r: (-round(r["score"], 9), r["document_id"]))[:2]
+        assert got.get(text, []) == [(r["document_id"], round(r["score"], 9), k + 1) for k, r in enumerate(one)], text
+
+
+def test_index_of_nothing(spark, tables):
+    empty = keyword_index.build(*(t.limit(0) for t in tables))
+    assert keyword_index.search(empty, "fox").count() == 0 and keyword_index.search(empty, "-fox").count() == 0
+    assert keyword_index.search_many(empty, spark.createDataFrame([("fox",)], "text string"), 3).count() == 0
+
+
+def test_a_search_reads_only_its_lexemes(index):
+    """The lexemes of a query reach the scan; no text is read."""
+    plan = keyword_index.search(index, "quick dog")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(lexeme, [dog,quick])" in plan.replace("IsNotNull(lexeme), ", "") or "In(lexeme" in plan
+    assert "content" not in plan
+
+
+def test_title_ranks(spark, index):
+    titles = spark.createDataFrame([("a", "Notes"), ("b", "red-team PlanB"), ("c", "quick notes"), ("d", "Ant hill"), ("x", "quick notes"), ("y", None)], "document_id string, title string")
+    got = {(r["rendering"], r["document_id"]): r["rank"] for r in keyword_index.title_ranks({"now": index}, titles, 1).collect()}
+    assert got["verbatim", "d"] == 1 and got["uppercase", "d"] == 1 and got["compound", "d"] == 1  # antHill folds to ant Hill
+    assert got["verbatim", "c"] == 1 and got["verbatim", "x"] is None and ("verbatim", "y") not in got and ("compound", "a") not in got
+    summary = {r["rendering"]: (r["eligible"], r["rank_1"], r["recalled"]) for r in keyword_index.title_rank_summary(keyword_index.title_ranks({"now": index}, titles, 5)).collect()}
+    assert summary["compound"][0] == 3 and summary["verbatim"][0] == 5
+
+
 def test_parse_and_advice():
     q = keyword.parse('the "state of" plan OR -draft notes')
     assert q.branches == [[("state", "of"), ("plan",)], [("note",)]] and q.excluded == [("draft",)] and q.dropped == ["the"]
