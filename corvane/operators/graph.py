@@ -101,19 +101,6 @@ def chain_heads(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes"
     return every.join(out, "chain", "left").select("chain", F.coalesce("heads", F.lit(0).cast("long")).alias("heads"), "head_id", "head_hash")
 
 
-def chain_positions(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes", named: DataFrame | None = None) -> DataFrame:
-    """(chain, id, position, length), oldest first, of chains with an acyclic order.
-
-    The level of a document is the number of ancestors in its lineage; ties go by id.
-    """
-    named = chains(docs, edges, edge_type) if named is None else named
-    level = lineage(docs, edges, edge_type).groupBy("id").agg(F.count("*").alias("level"))
-    rows = named.join(level, "id")
-    order = Window.partitionBy("chain").orderBy("level", "id")
-    whole = Window.partitionBy("chain")
-    return rows.select("chain", "id", (F.row_number().over(order) - 1).alias("position"), F.count("*").over(whole).alias("length"))
-
-
 def passes_anchors(rows: DataFrame, family: DataFrame) -> DataFrame:
     """Edges that their resolution policy lets through; ``family`` is (id, ancestor).
 

@@ -6,10 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import browse, changes, evaluation, filters, graph, inference, lifecycle
+from ..operators import browse, chain_order, changes, evaluation, filters, graph, inference, lifecycle
 from ..plans.oracle_tables import D, E, P, with_tables
 from ..sources import graph_tables as g
-from .graph import _COMP, _FAM, _SUP
+from .graph import _BREADTH, _COMP, _FAM, _SHAPE, _SUP
 
 
 def q1_15_point_lookups(spark, sf_dir):
@@ -68,10 +68,10 @@ def q8_17_resolution_trace(spark, sf_dir):
 
 
 def q8_18_head_first(spark, sf_dir):
+    """Every document with its turn in the purge of its chain, by position from the newest."""
     docs, edges = g.documents(spark, sf_dir).drop("text", "semantic_abstract"), g.edges(spark, sf_dir)
-    placed = graph.chain_positions(docs, edges)
-    positions = placed.select("id", "chain", (F.col("length") - 1 - F.col("position")).alias("depth"))
-    return changes.head_first(docs, positions)
+    placed = chain_order.chain_order(docs, edges)
+    return changes.head_first(docs, placed.select("id", "chain", (F.col("length") - 1 - F.col("position")).alias("depth")))
 
 
 def q9_9_row_cap(spark, sf_dir):
@@ -191,9 +191,8 @@ _OVER = f"{_RANKS}, o AS (SELECT query, round(count(*) FILTER (r1 <= 10 AND r2 <
 
 ORACLE = {
     "q3_2_edge_counts": with_tables("SELECT source_id AS start_id, target_id AS document_id, edge_type, count(DISTINCT e.id) AS edges FROM e JOIN d ON d.id = source_id WHERE target_id IS NOT NULL GROUP BY ALL", D, E),
-    "q8_18_head_first": with_tables(f"""{_SUP}, {_FAM}, {_COMP}, l AS (SELECT id, count(*) AS level FROM fam GROUP BY 1),
-      o AS (SELECT chain, id, row_number() OVER (PARTITION BY chain ORDER BY level, id) - 1 AS position, count(*) OVER (PARTITION BY chain) AS length FROM comp JOIN l USING (id))
-      SELECT id, chain, length - 1 - position AS depth, row_number() OVER (PARTITION BY chain ORDER BY length - 1 - position, id) AS turn FROM o""", D, E),
+    "q8_18_head_first": with_tables(f"""{_SUP}, {_COMP}, {_SHAPE}, starts AS (SELECT chain AS walk, coalesce(root, least) AS id FROM shape WHERE roots = 0 UNION ALL SELECT chain, id FROM degree WHERE newer = 0), {_BREADTH}
+      SELECT id, walk AS chain, place AS depth, place + 1 AS turn FROM o""", D, E),
     "q1_15_point_lookups": with_tables("SELECT e.id AS edge_id, d.id, title, lifecycle_status FROM e JOIN d ON d.id = e.source_id", D, E),
     "q3_3_hydration": with_tables("SELECT source_id AS start_id, target_id AS document_id, title, 1 AS depth, count(*) AS edge_count FROM e JOIN d ON d.id = target_id GROUP BY ALL", D, E),
     "q3_5_excerpts": with_tables("SELECT document_id, chunk_index, substr(content, 1, 80) AS content, length(content) > 80 AS cut FROM p", P),

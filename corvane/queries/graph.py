@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import graph
+from ..operators import chain_order, graph
 from ..plans.oracle_tables import D, E, with_tables
 from ..sources import graph_tables as g
 
 
+TERMINAL = ("abstraction_complete", "abstraction_skipped")
+
+
 def _both(spark, sf_dir):
     return g.documents(spark, sf_dir).drop("text", "semantic_abstract"), g.edges(spark, sf_dir)
 
@@ -36,7 +39,27 @@ def q8_4_chain_heads(spark, sf_dir):
 
 
 def q8_5_chain_positions(spark, sf_dir):
-    return graph.chain_positions(*_both(spark, sf_dir))
+    return chain_order.chain_order(*_both(spark, sf_dir))
+
+
+def q8_5_chain_answers(spark, sf_dir):
+    """Every document asks for its chain and the first three of it."""
+    docs, edges = _both(spark, sf_dir)
+    found = chain_order.chain_answers(docs, edges, docs, limit=3)
+    return found.withColumn("available_edge_types", F.array_join("available_edge_types", ",")).withColumn("page", F.array_join("page", ","))
+
+
+def q8_18_purge_order(spark, sf_dir):
+    """All chains from their heads, branched ones as well; derivation edges stand as pending ones."""
+    docs, edges = _both(spark, sf_dir)
+    heads = docs.join(edges.where("edge_type = 'supersedes'").select(F.col("target_id").alias("id")), "id", "left_anti").select(F.col("id").alias("head_id"))
+    return chain_order.purge_order(docs, edges, heads, edges.where("edge_type = 'derived_from'"), TERMINAL, allow_branched=True)
+
+
+def q17_11_purge_chain(spark, sf_dir):
+    """Every document is named as a head; what is none, or heads a branched chain, is refused."""
+    docs, edges = _both(spark, sf_dir)
+    return chain_order.purge_order(docs, edges, docs.select(F.col("id").alias("head_id")), edges.where("edge_type = 'sync_target'"), TERMINAL)
 
 
 def q8_6_resolved_traverse(spark, sf_dir):
@@ -85,14 +108,38 @@ _DRIFT = """v AS (SELECT e.id, e.source_id, e.target_id, CASE WHEN heads <> 1 TH
     WHEN head_id <> e.target_id THEN 'chain_advanced_no_content_change' ELSE 'current' END AS verdict
   FROM e JOIN comp ON comp.id = e.target_id JOIN heads USING (chain) JOIN d ON d.id = e.target_id WHERE e.edge_type IN ('sync_target', 'derived_from') AND valid_until_version IS NULL)"""
 
+_SHAPE = """pairs AS (SELECT DISTINCT source_id AS s, target_id AS t FROM sup WHERE source_id <> target_id),
+  degree AS (SELECT id, chain, (SELECT count(*) FROM pairs WHERE t = id) AS newer, (SELECT count(*) FROM pairs WHERE s = id) AS older FROM comp),
+  shape AS (SELECT chain, count(*) FILTER (newer = 0) AS roots, max(newer) <= 1 AND max(older) <= 1 AS is_linear, min(id) FILTER (newer = 0) AS root, min(id) AS least FROM degree GROUP BY 1)"""
+#: Breadth first: by the shortest paths, those by their ids.
+_BREADTH = """path AS (SELECT walk, id, [id] AS way FROM starts UNION ALL SELECT walk, t, list_append(way, t) FROM path JOIN pairs ON s = id WHERE NOT list_contains(way, t)),
+  o AS (SELECT walk, id, row_number() OVER (PARTITION BY walk ORDER BY len(way), way) - 1 AS place, count(*) OVER (PARTITION BY walk) AS length FROM (SELECT walk, id, min([CAST(len(way) AS VARCHAR)] || way) AS w, w[2:] AS way FROM path GROUP BY 1, 2))"""
+#: Depth first in chains without cycles below their head: by the smallest path.
+_PURGE = """way AS (SELECT id AS head_id, chain, id, [id] AS way FROM degree WHERE newer = 0 UNION ALL SELECT head_id, chain, t, list_append(way, t) FROM way JOIN pairs ON s = id WHERE NOT list_contains(way, t)),
+  best AS (SELECT head_id, chain, id, min(way) AS way FROM way GROUP BY 1, 2, 3),
+  every AS (SELECT h.id AS head_id, h.chain, c.id, way FROM degree h JOIN comp c ON c.chain = h.chain LEFT JOIN best b ON b.head_id = h.id AND b.id = c.id WHERE h.newer = 0),
+  staged AS (SELECT source_id AS id FROM e WHERE edge_type = '{}' UNION SELECT target_id FROM e WHERE edge_type = '{}'),
+  judged AS (SELECT head_id, every.chain, every.id, row_number() OVER (PARTITION BY head_id ORDER BY way IS NULL, way, every.id) - 1 AS turn, CASE WHEN every.id IN (SELECT id FROM staged) THEN 'pending_staging_edge' WHEN pipeline_status NOT LIKE 'abstraction%' THEN 'non_terminal_status' END AS cause FROM every JOIN d ON d.id = every.id)"""
+
 ORACLE = {
     "q8_1_traverse": with_tables(f"{_SEEDS}, {_OUT}, {_WALK} SELECT start_id, id, from_id, to_id, edge_type, depth, closes FROM w", D, E),
     "q8_1_traverse_both": with_tables(f"{_SEEDS}, {_SUP}, steps AS (SELECT id, source_id AS from_id, target_id AS to_id, edge_type FROM e WHERE edge_type = 'supersedes' UNION ALL SELECT id, target_id, source_id, edge_type FROM e WHERE edge_type = 'supersedes'), {_WALK} SELECT start_id, id, from_id, to_id, edge_type, depth, closes FROM w", D, E),
     "q8_2_lineage": with_tables(f"{_SUP}, {_FAM} SELECT id, ancestor FROM fam", D, E),
     "q8_3_chains": with_tables(f"{_SUP}, {_COMP} SELECT id, chain FROM comp", D, E),
     "q8_4_chain_heads": with_tables(f"{_SUP}, {_COMP}, {_HEADS} SELECT chain, heads, head_id, head_hash FROM heads", D, E),
-    "q8_5_chain_positions": with_tables(f"""{_SUP}, {_FAM}, {_COMP}, l AS (SELECT id, count(*) AS level FROM fam GROUP BY 1)
-      SELECT chain, id, CAST(row_number() OVER (PARTITION BY chain ORDER BY level, id) - 1 AS INTEGER) AS position, count(*) OVER (PARTITION BY chain) AS length FROM comp JOIN l USING (id)""", D, E),
+    "q8_5_chain_positions": with_tables(f"""{_SUP}, {_COMP}, {_SHAPE}, starts AS (SELECT chain AS walk, coalesce(root, least) AS id FROM shape WHERE roots = 0 UNION ALL SELECT chain, id FROM degree WHERE newer = 0), {_BREADTH}
+      SELECT walk AS chain, o.id, length - 1 - place AS position, length, is_linear FROM o JOIN shape ON chain = walk""", D, E),
+    "q8_5_chain_answers": with_tables(f"""{_SUP}, {_COMP}, {_SHAPE}, starts AS (SELECT id AS walk, id FROM comp JOIN shape USING (chain) WHERE roots = 0 UNION ALL SELECT chain, id FROM degree WHERE newer = 0), {_BREADTH},
+      who AS (SELECT comp.id AS asked, CASE WHEN roots = 0 THEN comp.id ELSE chain END AS walk, is_linear FROM comp JOIN shape USING (chain)),
+      kinds AS (SELECT id, string_agg(DISTINCT edge_type, ',' ORDER BY edge_type) AS types FROM (SELECT source_id AS id, edge_type FROM e UNION ALL SELECT target_id, edge_type FROM e) GROUP BY 1)
+      SELECT asked AS id, coalesce(max(length - 1 - place) FILTER (o.id = asked), 0) AS query_position, arg_min(o.id, place) AS head_id, arg_max(o.id, place) AS tail_id, max(length) AS total_length, any_value(is_linear) AS is_linear,
+        CASE WHEN max(length) = 1 THEN coalesce(any_value(types), '') END AS available_edge_types, coalesce(string_agg(o.id, ',' ORDER BY place DESC) FILTER (length - 1 - place < 3), '') AS page
+      FROM who JOIN o USING (walk) LEFT JOIN kinds ON kinds.id = asked GROUP BY asked""", D, E),
+    "q8_18_purge_order": with_tables(f"""{_SUP}, {_COMP}, {_SHAPE}, {_PURGE.replace("{}", "derived_from")}
+      SELECT head_id, id, turn, cause, CASE WHEN max(cause) OVER (PARTITION BY head_id) IS NOT NULL THEN 'members' END AS refusal FROM judged""", D, E),
+    "q17_11_purge_chain": with_tables(f"""{_SUP}, {_COMP}, {_SHAPE}, {_PURGE.replace("{}", "sync_target")}
+      SELECT head_id, j.id, turn, cause, CASE WHEN max(cause) OVER (PARTITION BY head_id) IS NOT NULL THEN 'members' END AS refusal FROM judged j JOIN shape USING (chain) WHERE is_linear
+      UNION ALL SELECT id, NULL, NULL, NULL, CASE WHEN newer > 0 THEN 'not_head' ELSE 'branched' END FROM degree JOIN shape USING (chain) WHERE newer > 0 OR NOT is_linear""", D, E),
     "q8_6_resolved_traverse": with_tables(f"""{_SUP}, {_FAM},
       gone AS (SELECT fam.id AS start_id, x.retracted_edge_id AS eid FROM e x JOIN fam ON fam.ancestor = coalesce(x.source_valid_from_version, x.source_id) WHERE x.edge_type = 'retracts')
       SELECT e.source_id AS start_id, e.id, e.edge_type, 1 AS depth FROM e WHERE target_id IS NOT NULL AND CASE resolution_policy WHEN 'none' THEN TRUE
