@@ -14,6 +14,7 @@ INEXACT = ("to", "or", "than", "least", "most", "about", "approximately", "rough
 _UNITS = dict(zip("one two three four five six seven eight nine".split(), range(1, 10)))
 _TEENS = dict(zip("ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split(), range(10, 20)))
 _TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split(), range(20, 100, 10)))
+#: What may stand between the end of a sentence and the space after it (a fixed value).
 _CLOSERS = "[\"'\\)\\]”]*"
 
 
@@ -59,49 +60,118 @@ def without_glosses(abstract: Column, glosses: Column) -> Column:
     return F.aggregate(glosses, abstract, lambda text, g: F.replace(F.replace(text, F.concat(g["acronym"], F.lit(" ("), g["expansion"], F.lit(")")), g["acronym"]), F.concat(g["expansion"], F.lit(" ("), g["acronym"], F.lit(")")), g["acronym"]))
 
 
+def _words(table: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+
+
 def _value(word: Column) -> Column:
-    """The number that a token says: digits, or a number word up to ninety-nine."""
+    """The number that a token says alone: digits, or a number word up to ninety-nine."""
     table = {**_UNITS, **_TEENS, **_TENS, **{f"{t}-{u}": a + b for t, a in _TENS.items() for u, b in _UNITS.items()}}
-    words = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
-    return F.coalesce(word.try_cast("int"), F.element_at(words, word))
+    return F.coalesce(word.try_cast("int"), F.element_at(_words(table), word))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def numbers_at(tokens: Column) -> Column:
+    """For each token the (value, first) of the number, up to 999, that ends with it, or NULL; ``first`` is the place of its first token.
+
+    ``six hundred and twenty-one``, ``six hundred``, ``twenty one`` and ``621`` are numbers.
+    """
+    number = lambda value, first: F.struct(value.cast("int").alias("value"), first.cast("int").alias("first"))
+
+    def ends(units: Column, small: Column) -> Column:
+        def one(w: Column, i: Column) -> Column:
+            here = F.get(small, i)
+            before = here["first"] - 1
+            unit = lambda k: F.get(units, k)
+            joined, plain = (F.get(tokens, before) == "and") & (F.get(tokens, before - 1) == "hundred"), F.get(tokens, before) == "hundred"
+            words = ~w.rlike("^[0-9]+$")
+            return (
+                F.when((w == "hundred") & unit(i - 1).isNotNull(), number(100 * unit(i - 1), i - 1)).when(words & joined & unit(before - 2).isNotNull(), number(here["value"] + 100 * unit(before - 2), before - 2))
+                .when(words & plain & unit(before - 1).isNotNull(), number(here["value"] + 100 * unit(before - 1), before - 1)).otherwise(here)
+            )
+
+        return F.transform(tokens, one)
+
+    def small(units: Column) -> Column:
+        tens = lambda i: F.element_at(_words(_TENS), F.coalesce(F.get(tokens, i), F.lit("")))
+        return F.transform(tokens, lambda w, i: F.when(tens(i - 1).isNotNull() & F.get(units, i).isNotNull(), number(tens(i - 1) + F.get(units, i), i - 1)).when(_value(w).isNotNull(), number(_value(w), i)))
+
+    return _let(F.transform(tokens, lambda w: F.element_at(_words(_UNITS), w)), lambda units: _let(small(units), lambda some: ends(units, some)))
 
 
 def turn_claims(abstract: Column, source: Column) -> Column:
     """Array of (surface, value, derived, attested) of exact turn counts that the source's turn headings contradict, or that it never says.
 
     A source without turn headings makes no claim false; a claim behind another number or
-    a word like ``about`` is not exact, and ``one turns`` is a verb.
+    a word like ``about`` is not exact, and ``one turns`` is a verb.  Numbers go to 999.
     """
-    tokens = F.filter(F.transform(F.split(F.lower(abstract), r"\s+"), lambda w: F.regexp_replace(w, r"^['\"().,;:!?\[\]]+|['\"().,;:!?\[\]]+$", "")), lambda w: w != "")
+    strip = lambda c: F.filter(F.transform(F.split(F.lower(c), r"\s+"), lambda w: F.regexp_replace(w, r"^['\"().,;:!?\[\]]+|['\"().,;:!?\[\]]+$", "")), lambda w: w != "")
     derived = F.size(F.regexp_extract_all(source, F.lit(r"(?im)^\s{0,3}#{1,6}\s+(turn)\s+\d+\b"), 1))
-    said = F.array_compact(F.transform(F.split(F.lower(source), r"[^\w-]+"), _value))
-    at = F.filter(F.sequence(F.lit(1), F.size(tokens) - 1), lambda k: F.get(tokens, k).isin("turn", "turns"))
-    number = lambda k: _value(F.get(tokens, k - 1))
-    exact = lambda k: F.coalesce(_value(F.get(tokens, k - 2)).isNull() & ~F.get(tokens, k - 2).isin(*INEXACT), F.lit(True)) & ((number(k) == 1) == (F.get(tokens, k) == "turn"))
-    claims = F.transform(F.filter(at, lambda k: number(k).isNotNull() & exact(k)), lambda k: F.struct(F.concat_ws(" ", F.get(tokens, k - 1), F.get(tokens, k)).alias("surface"), number(k).alias("value"), derived.alias("derived"), F.array_contains(said, number(k)).alias("attested")))
-    return F.when((derived > 0) & (F.size(tokens) > 1), F.array_distinct(F.filter(claims, lambda c: (c["value"] != derived) | ~c["attested"]))).otherwise(F.filter(claims, lambda c: F.lit(False)))
+    spoken = F.filter(F.split(F.lower(source), r"[^\w-]+"), lambda w: w != "")
+    said = F.transform(F.array_compact(_let(spoken, numbers_at)), lambda x: x["value"])
+
+    def claims(tokens: Column, numbers: Column, said: Column) -> Column:
+        def claim(w: Column, k: Column) -> Column:
+            own = F.get(numbers, k - 1)
+            before = own["first"] - 1
+            exact = F.coalesce(F.get(numbers, before).isNull() & ~F.get(tokens, before).isin(*INEXACT), F.lit(True)) & ((own["value"] == 1) == (w == "turn"))
+            surface = F.array_join(F.slice(tokens, own["first"] + 1, k - own["first"] + 1), " ")
+            made = F.struct(surface.alias("surface"), own["value"].alias("value"), derived.alias("derived"), F.array_contains(said, own["value"]).alias("attested"))
+            return F.when(w.isin("turn", "turns") & own.isNotNull() & exact & ((own["value"] != derived) | ~F.array_contains(said, own["value"])), made)
+
+        return F.array_distinct(F.array_compact(F.transform(tokens, claim)))
+
+    found = _let(strip(abstract), lambda tokens: _let(numbers_at(tokens), lambda numbers: _let(said, lambda known: claims(tokens, numbers, known))))
+    none = F.array().cast("array<struct<surface: string, value: int, derived: int, attested: boolean>>")
+    return F.when(derived > 0, F.coalesce(found, none)).otherwise(none)
 
 
-#: Subjects and verbs of an opener that only says what type a document is (fixed values).
-SUBJECTS, VERBS, BREAKS = ("document", "file", "text", "page", "note"), ("is", "describes", "presents", "provides", "contains", "outlines", "details"), ("about", "for", "that", "which", "of", "on")
+#: Subjects of an opener that only says what type a document is, its verbs (some with ``as``), words that end what the
+#: verb says, the marks at a word's edges, and types that are also spelled out (fixed values).
+SUBJECTS = ("document", "text", "file")
+VERBS, VERBS_AS = ("is", "constitutes", "represents", "describes"), ("serves", "acts", "functions")
+BREAKS = ("of", "for", "to", "in", "on", "at", "by", "with", "from", "about", "across", "between", "within", "and", "or")
+EDGES = r"'\"().,;:!?\[\]“”‘’"
+SPELLED = {"adr": "architecture decision record"}
 
 
 def type_opener(abstract: Column, doc_type: Column, window: int = 6) -> Column:
-    """(verb, surface) where the first sentence says ``This document is a <type>``; NULL otherwise.
+    """(verb, surface) where the first sentence classifies: ``This document is a <type>``; NULL otherwise.
 
-    The type's words must start within ``window`` words of the verb, with no
-    connecting word between; a number may follow the last one behind a hyphen.
+    Its subject is this or the document, text or file; one of the verbs follows somewhere,
+    and the type's words start within ``window`` words of it with no connecting word
+    before them.  A number may follow the last of them behind a hyphen.
     """
     first = F.regexp_extract(F.trim(abstract), r"(?s)^(.*?)([.!?](\s|$)|$)", 1)
-    phrase = F.regexp_replace(F.lower(doc_type), "_+", " ")
-    opener = rf"(?i)^this\s+(?:{'|'.join(SUBJECTS)})\s+({'|'.join(VERBS)})\s+(.*)$"
-    verb, rest = F.lower(F.regexp_extract(first, opener, 1)), F.lower(F.regexp_extract(first, opener, 2))
-    words = F.transform(F.split(rest, r"\s+"), lambda w: F.regexp_replace(w, r"^\W+|\W+$", ""))
-    n = F.size(F.split(phrase, " "))
-    same = lambda k: F.regexp_replace(F.array_join(F.slice(words, k, n), " "), r"-\d+$", "") == phrase
-    broken = F.coalesce(F.array_min(F.filter(F.transform(words, lambda w, k: F.when(w.isin(*BREAKS), k + 1)), lambda k: k.isNotNull())), F.lit(10_000))
-    place = F.array_min(F.filter(F.sequence(F.lit(1), F.lit(window)), lambda k: (k <= F.size(words)) & same(k) & (k < broken)))
-    return F.when((verb != "") & doc_type.isNotNull() & place.isNotNull(), F.struct(verb.alias("verb"), F.array_join(F.slice(words, place, n), " ").alias("surface")))
+    said = F.filter(F.transform(F.split(first, r"\s+"), lambda w: F.regexp_replace(w, rf"^[{EDGES}]+|[{EDGES}]+$", "")), lambda w: w != "")
+    low = F.transform(said, F.lower)
+    word = lambda k: F.get(low, k)
+    phrase = F.regexp_replace(F.regexp_replace(F.lower(doc_type), "_+", " "), "^ | $", "")
+    spelled = F.element_at(F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair]), F.lower(doc_type))
+
+    def stands(k: Column, words: Column) -> Column:
+        n = F.size(F.split(words, " "))
+        return (k + n <= F.size(low)) & (F.regexp_replace(F.array_join(F.slice(low, k + 1, n), " "), r"-\d+$", "") == words)
+
+    def complement(start: Column) -> Column:
+        """(first word, words) of the type after a verb that ends before ``start``."""
+        near = F.filter(F.sequence(start, start + window - 1), lambda k: k < F.size(low))
+        ends = F.coalesce(F.array_min(F.filter(near, lambda k: word(k).isin(*BREAKS))), F.lit(1 << 30))
+        fits = lambda words: F.array_min(F.filter(near, lambda k: (k < ends) & stands(k, words)))
+        own, other = fits(phrase), fits(spelled)
+        return F.when(own.isNotNull() & (other.isNull() | (own <= other)), F.struct(own.alias("k"), F.size(F.split(phrase, " ")).alias("n"))).when(other.isNotNull(), F.struct(other.alias("k"), F.size(F.split(spelled, " ")).alias("n")))
+
+    pair = lambda k: word(k).isin(*VERBS_AS) & (word(k + 1) == "as")
+    verbs = F.filter(F.sequence(F.lit(2), F.greatest(F.size(low) - 1, F.lit(2))), lambda k: F.coalesce(word(k).isin(*VERBS) | pair(k), F.lit(False)))
+    after = lambda k: F.when(F.coalesce(pair(k), F.lit(False)), k + 2).otherwise(k + 1)
+    found = F.transform(verbs, lambda k: F.struct(F.array_join(F.slice(low, k + 1, after(k) - k), " ").alias("verb"), complement(after(k)).alias("c")))
+    hit = F.get(F.filter(found, lambda f: f["c"].isNotNull()), F.lit(0))
+    frame = word(F.lit(0)).isin("this", "the") & word(F.lit(1)).isin(*SUBJECTS)
+    return F.when(frame & (phrase != "") & hit.isNotNull(), F.struct(hit["verb"].alias("verb"), F.array_join(F.slice(said, hit["c"]["k"] + 1, hit["c"]["n"]), " ").alias("surface")))
 
 
 def unsupported_identifiers(text: Column, evidence: Column) -> Column:

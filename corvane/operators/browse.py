@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,6 +124,21 @@ def nearest_names(names: DataFrame, wanted: str, most: int = 3) -> DataFrame:
     return some.orderBy("distance", "name").limit(most)
 
 
+def nearest_names_by_ratio(names: DataFrame, wanted: str, most: int = 3) -> DataFrame:
+    """The display names most alike by the share of characters in their longest common blocks, found one inside the other; ties by name.
+
+    Distinct names are compared in Arrow batches, and only the first ``most`` of each task leave it.
+    """
+
+    @F.pandas_udf("double")
+    def ratio(column: pd.Series) -> pd.Series:
+        folded = wanted.casefold()
+        return column.map(lambda name: SequenceMatcher(None, folded, name.casefold()).ratio()).astype("float64")
+
+    some = names.where("name is not null").select("name").distinct().withColumn("ratio", ratio("name"))
+    return some.orderBy(F.desc("ratio"), "name").limit(most)
+
+
 def by_hashes(docs: DataFrame, hashes: DataFrame, surviving: Sequence[str]) -> DataFrame:
     """For every wanted hash: whether a document holds it, and the preferred one.
 

@@ -125,6 +125,10 @@ def q12_9_principals(spark, sf_dir):
     return browse.principal_names(g.documents(spark, sf_dir), g.edges(spark, sf_dir))
 
 
+def q4_8_nearest_by_ratio(spark, sf_dir):
+    return browse.nearest_names_by_ratio(browse.principal_names(g.documents(spark, sf_dir), g.edges(spark, sf_dir)), "Usr 3")
+
+
 def q4_8_nearest_names(spark, sf_dir):
     return browse.nearest_names(browse.principal_names(g.documents(spark, sf_dir), g.edges(spark, sf_dir)), "Usr 3")
 

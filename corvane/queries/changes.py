@@ -70,11 +70,11 @@ def q2_7_supersede(spark, sf_dir):
 
 
 def q2_10_replace_passages(spark, sf_dir):
-    """Passages of English documents are replaced by upper-case ones without their last."""
+    """Passages of English documents are replaced by ones with a mark at their end, without their last."""
     passages, docs = g.passages(spark, sf_dir), g.documents(spark, sf_dir).where("doc_type = 'report'").select(F.col("id").alias("document_id"))
     own = passages.join(docs, "document_id", "left_semi")
     last = own.groupBy("document_id").agg(F.max("chunk_index").alias("last"))
-    incoming = own.join(last, "document_id").where("chunk_index < last or chunk_index = 0").withColumn("content", F.upper("content"))
+    incoming = own.join(last, "document_id").where("chunk_index < last or chunk_index = 0").withColumn("content", F.concat("content", F.lit(" #2")))
     return changes.replace_passages(passages, incoming).select("document_id", "chunk_index", F.md5("content").alias("digest"))
 
 
@@ -166,7 +166,7 @@ ORACLE = {
           l.predecessor_id IS NULL AND d.id NOT IN (SELECT target_id FROM e WHERE edge_type = 'supersedes') AS is_chain_head, (SELECT count(*) FROM m WHERE m.id = d.id) AS supersedes
         FROM d LEFT JOIN l ON l.predecessor_id = d.id""", D, E),
     "q2_10_replace_passages": with_tables("""r AS (SELECT p.*, doc_type, max(chunk_index) OVER (PARTITION BY document_id) AS last FROM p JOIN d ON d.id = document_id)
-        SELECT document_id, chunk_index, md5(CASE WHEN doc_type = 'report' THEN upper(content) ELSE content END) AS digest FROM r WHERE doc_type <> 'report' OR chunk_index < last OR chunk_index = 0""", D, P),
+        SELECT document_id, chunk_index, md5(CASE WHEN doc_type = 'report' THEN content || ' #2' ELSE content END) AS digest FROM r WHERE doc_type <> 'report' OR chunk_index < last OR chunk_index = 0""", D, P),
     "q2_11_upsert_surfaces": with_tables("""SELECT id AS document_id, title, CASE WHEN document_date IS NOT NULL THEN array_to_string(tags, ' ') END AS tags FROM d
         WHERE document_date IS NOT NULL OR pipeline_status <> 'failed'""", D),
     "q2_13_filter_sync": with_tables("""SELECT doc_type, lifecycle_status, project, count(*) AS passages, count(DISTINCT document_id) AS documents FROM p JOIN d ON d.id = document_id GROUP BY ALL""", D, P),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import evaluation, graph, inference, lifecycle, passages, search
+from ..operators import evaluation, graph, inference, lifecycle, passages, search, selection
 from ..plans.oracle_tables import D, E, P, V, with_tables
 from ..sources import graph_tables as g
 from . import _indexes
@@ -240,6 +240,20 @@ def q17_12_discovery(spark, sf_dir):
     return inference.discovery_selection(lines.select("region", F.col("section_index").cast("string").alias("field"), F.col("content").alias("text")), 5)
 
 
+def q17_12_selection(spark, sf_dir):
+    """Each document's lines as facts, grouped by section: at most 6 excerpts and 90 words of a document."""
+    lines = g.passages(spark, sf_dir).select(F.col("document_id").alias("source"), "heading_path", F.col("chunk_index").alias("place"), F.col("content").alias("text"), F.regexp_count("content", F.lit("[^ ]+")).alias("tokens"))
+    found = selection.select_evidence(lines.withColumnRenamed("heading_path", "region").withColumn("field", F.lit("line")), 6, 90)
+    return found.select("source", "region", "place", "tokens", "repetitions", F.md5("text").alias("digest"), F.array_join("limits", ",").alias("limits"))
+
+
+def q17_15_resolved_hashes(spark, sf_dir):
+    """Abbreviations of four to seven characters of the content hashes, among all of them, and some that are none."""
+    docs = _light(spark, sf_dir)
+    short = docs.select(F.expr("CASE WHEN n % 9 = 8 THEN 'zz' || n ELSE substring(source_content_hash, 1, int(3 + n % 5)) END").alias("abbreviation"))
+    return selection.resolve_abbreviations(short, docs.select(F.col("source_content_hash").alias("hash")))
+
+
 def q17_15_failures(spark, sf_dir):
     return inference.failure_rates(g.table(spark, sf_dir, "events").select(F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("cause")))
 
@@ -353,6 +367,26 @@ ORACLE = {
       SELECT id, CASE WHEN id IN (SELECT id FROM x) THEN 'pending_staging_edge' WHEN lifecycle_status NOT IN ('archived', 'completed') THEN 'non_terminal_status' END AS refusal FROM d WHERE created_at >= '2024-01-02T00:00:00' AND created_at < '2024-01-20T00:00:00'""", D, E),
     "q17_12_discovery": with_tables("""f AS (SELECT doc_type AS region, CAST(section_index AS VARCHAR) AS field, content AS text, count(*) AS copies FROM p JOIN d ON d.id = document_id GROUP BY ALL)
       SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY region, field ORDER BY sha256(text), text) AS INTEGER) AS turn FROM f) WHERE turn <= 5""", D, P),
+    "q17_15_resolved_hashes": with_tables("""a AS (SELECT DISTINCT CASE WHEN n % 9 = 8 THEN 'zz' || n ELSE substr(source_content_hash, 1, 3 + n % 5) END AS abbreviation FROM d), h AS (SELECT DISTINCT source_content_hash AS hash FROM d),
+      m AS (SELECT abbreviation, count(hash) AS matches, min(hash) AS one FROM a LEFT JOIN h ON length(abbreviation) >= 4 AND starts_with(hash, abbreviation) GROUP BY 1)
+      SELECT abbreviation, CASE WHEN length(abbreviation) < 4 THEN 'too_short' WHEN matches = 1 THEN 'resolved' WHEN matches > 1 THEN 'ambiguous' ELSE 'unknown' END AS status, CASE WHEN matches = 1 THEN one END AS hash, matches FROM m""", D),
+    "q17_12_selection": with_tables("""f AS (SELECT document_id AS source, content AS text, min(chunk_index) AS place, arg_min(heading_path, chunk_index) AS region, len(regexp_extract_all(content, '[^ ]+')) AS tokens, count(*) AS repetitions FROM p WHERE trim(content) <> '' GROUP BY 1, 2),
+      a AS (SELECT *, row_number() OVER (PARTITION BY source, region ORDER BY place, text) - 1 AS pos, count(*) OVER (PARTITION BY source, region) AS size, count(*) OVER (PARTITION BY source) <= 6 AND sum(tokens) OVER (PARTITION BY source) <= 90 AS fits FROM f),
+      s AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY pos, region) AS slot FROM a WHERE NOT fits),
+      gr AS (SELECT source, region, count(*) FILTER (slot <= 6) AS slots, any_value(size) AS size, 90 // (count(*) OVER (PARTITION BY source)) AS share FROM s GROUP BY 1, 2),
+      ch AS (SELECT source, region, share, CASE WHEN slots >= size THEN i WHEN slots = 1 THEN size // 2 ELSE i * (size - 1) // (slots - 1) END AS pos, i FROM (SELECT *, unnest(range(0, slots)) AS i FROM gr WHERE slots > 0)),
+      q AS (SELECT ch.*, tokens, row_number() OVER (PARTITION BY source, region ORDER BY pos) AS k FROM ch JOIN a USING (source, region, pos)),
+      own AS (
+        SELECT source, region, pos, k, tokens, tokens <= share AS kept, CASE WHEN tokens <= share THEN tokens ELSE 0 END AS spent FROM q WHERE k = 1
+        UNION ALL SELECT q.source, q.region, q.pos, q.k, q.tokens, q.tokens <= share - spent, spent + CASE WHEN q.tokens <= share - spent THEN q.tokens ELSE 0 END FROM own JOIN q ON q.source = own.source AND q.region = own.region AND q.k = own.k + 1),
+      rest AS (SELECT source, 90 - coalesce(sum(tokens) FILTER (kept), 0) AS budget FROM own GROUP BY 1),
+      pend AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY region, pos) AS j FROM own JOIN rest USING (source) WHERE NOT kept),
+      more AS (
+        SELECT source, region, pos, j, tokens <= budget AS kept, budget - CASE WHEN tokens <= budget THEN tokens ELSE 0 END AS budget FROM pend WHERE j = 1
+        UNION ALL SELECT p2.source, p2.region, p2.pos, p2.j, p2.tokens <= more.budget, more.budget - CASE WHEN p2.tokens <= more.budget THEN p2.tokens ELSE 0 END FROM more JOIN pend p2 ON p2.source = more.source AND p2.j = more.j + 1),
+      sel AS (SELECT source, region, pos FROM own WHERE kept UNION ALL SELECT source, region, pos FROM more WHERE kept)
+      SELECT source, region, place, tokens, repetitions, md5(text) AS digest, '' AS limits FROM a WHERE fits
+      UNION ALL SELECT source, region, place, tokens, repetitions, md5(text), 'selection_budget' FROM a JOIN sel USING (source, region, pos)""", P),
     "q17_15_failures": """WITH c AS (SELECT event_type AS kind, user_id AS cause, count(*) AS n FROM events GROUP BY ALL)
       SELECT kind, CAST(sum(n) AS BIGINT) AS failures, count(*) AS causes, round(sum(CASE WHEN n > 1 THEN n ELSE 0 END) / sum(n), 9) AS recurrence FROM c GROUP BY 1""",
 }

@@ -61,9 +61,9 @@ def q1_1_markdown(spark, sf_dir):
 
 
 def q11_2_chunking(spark, sf_dir):
-    """The Markdown sections cut to passages of 120 bytes: how many, and that they make up their section again."""
+    """The Markdown sections as passages of at most 120 bytes where a section has lines to cut it at, each with its heading."""
     pieces = files.passages_of(files.markdown_sections(_markdown(spark, sf_dir)), 120)
-    return pieces.groupBy("path", "section").agg(F.count("*").alias("pieces"), F.max(F.octet_length("content")).alias("longest"))
+    return pieces.select("path", "section", "piece", F.octet_length("content").alias("bytes"), F.md5("content").alias("digest"))
 
 
 def q1_6_json_records(spark, sf_dir):
@@ -120,6 +120,8 @@ ORACLE = {
       SELECT CASE WHEN k < 2 THEN 'markdown' WHEN k = 2 THEN 'text' WHEN k < 5 THEN 'json' WHEN k < 7 THEN 'yaml' WHEN k = 7 THEN 'toml' WHEN k = 8 THEN 'xml' WHEN k < 11 THEN 'delimited' WHEN k < 13 THEN 'docx' WHEN k = 13 THEN 'pdf'
         WHEN k < 16 THEN 'pptx' WHEN k = 16 THEN 'xlsx' END AS source_type, count(*) AS files FROM x GROUP BY 1""", D),
     "q1_1_markdown": f"WITH {_TURNS} SELECT path, title, section, level, heading_path, md5(content) AS digest FROM s",
+    "q11_2_chunking": f"""WITH {_TURNS}, y AS (SELECT path, section, CASE level WHEN 1 THEN '# ' || heading_path || chr(10) || chr(10) WHEN 2 THEN '## ' || string_split(heading_path, ' > ')[-1] || chr(10) || chr(10) ELSE '' END || content AS t FROM s)
+      SELECT path, section, 0 AS piece, CAST(strlen(t) AS INTEGER) AS bytes, md5(t) AS digest FROM y""",
     "q1_6_json_records": "SELECT 'e' || event_id || '.json' AS path, 0 AS record, event_type AS kind FROM events",
     "q1_8_facts": """WITH f AS (SELECT 'e' || event_id || '.json' AS path, unnest(['kind', 'ok', 'who.user', 'who.tags[]', 'who.tags[]']) AS field_path, unnest([event_type, 'true', CAST(user_id AS VARCHAR), event_type, 'x']) AS value,
         unnest(['text', 'boolean', 'number', 'text', 'text']) AS kind FROM events) SELECT path, 0 AS record, field_path, value, kind FROM f""",

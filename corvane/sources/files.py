@@ -6,11 +6,14 @@ gives them, and work on lines and values, so a long file spreads like any table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import source_type, stem_of
 from ..functions.text import SEPARATOR, lexical_class
+from ..plans.lineage import materialize
 
 
 def markdown_sections(files: DataFrame) -> DataFrame:
@@ -90,29 +93,40 @@ def json_records(files: DataFrame) -> DataFrame:
     return lines.where(F.try_parse_json(F.col("text")).isNotNull())
 
 
-def facts(records: DataFrame, depth: int = 6, most_nodes: int = 10_000) -> DataFrame:
-    """Scalar facts of JSON records: path, record, field_path, value, kind; nested values to ``depth`` levels.
+def malformed_records(files: DataFrame) -> DataFrame:
+    """What ``json_records`` leaves out: path, line (from 1; 0 for a whole file), text."""
+    lines = files.where("text is not null and lower(path) like '%.jsonl'").select("path", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)
+    whole = files.where("text is not null and lower(path) not like '%.jsonl'").select("path", F.lit(0).alias("line"), "text")
+    return lines.where(F.trim("text") != "").unionByName(whole).where(F.try_parse_json(F.col("text")).isNull())
+
+
+def facts(records: DataFrame, depth: int = 64, most_nodes: int = 400_000) -> DataFrame:
+    """Scalar facts of JSON records: path, record, field_path, value, kind, whatever their nesting.
 
-    One level is opened a step; list members share their list's path with ``[]``.  At most
-    ``most_nodes`` facts of a record are kept, in the order of their paths.
+    One level is opened a step, until no record has a deeper one; list members share their
+    list's path with ``[]``, and a list or object without members has no facts.  A record
+    nested deeper than ``depth`` or with more than ``most_nodes`` facts is refused: it has one
+    row, of kind depth_reached or nodes_reached, and no facts.
     """
-    level = records.select("path", "record", F.lit("").alias("field_path"), F.parse_json(F.col("text")).alias("v"))
-    done = []
-    for _ in range(depth):
-        kind = F.schema_of_variant(F.col("v"))
-        nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        done.append(level.where(~nested))
+    kind = F.schema_of_variant(F.col("v"))
+    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    level = materialize(records.select("path", "record", F.lit("").alias("field_path"), F.parse_json(F.col("text")).alias("v")), "facts")
+    done, deep = [level.where(~nested)], None
+    while level.where(nested).limit(1).count():
         inside = level.where(nested)
+        if len(done) > depth:
+            deep = inside.select("path", "record").distinct()
+            break
         opened = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("v").outer()))
         step = F.when(F.col("key").isNull(), "[]").when(F.col("field_path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = opened.select("path", "record", F.concat("field_path", step).alias("field_path"), F.col("value").alias("v"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+        level = materialize(opened.select("path", "record", F.concat("field_path", step).alias("field_path"), F.col("value").alias("v")), "facts")
+        done.append(level.where(~nested))
     value = F.col("v").cast("string")
-    flat = out.select("path", "record", "field_path", value.alias("value"), lexical_class(value).alias("kind"))
-    turn = F.row_number().over(Window.partitionBy("path", "record").orderBy("field_path", "value"))
-    return flat.withColumn("turn", turn).where(F.col("turn") <= most_nodes).drop("turn")
+    flat = reduce(DataFrame.unionByName, done).select("path", "record", "field_path", value.alias("value"), lexical_class(value).alias("kind"))
+    large = flat.groupBy("path", "record").count().where(F.col("count") > most_nodes).select("path", "record", F.lit("nodes_reached").alias("why"))
+    refused = large if deep is None else deep.withColumn("why", F.lit("depth_reached")).unionByName(large.join(deep, ["path", "record"], "left_anti"))
+    none = F.lit(None).cast("string")
+    return flat.join(refused.select("path", "record"), ["path", "record"], "left_anti").unionByName(refused.select("path", "record", F.lit("").alias("field_path"), none.alias("value"), F.col("why").alias("kind")))
 
 
 def narrative_facts(files: DataFrame, most_bytes: int) -> DataFrame:

@@ -64,4 +64,25 @@ def test_facts_and_records(spark):
     assert records.groupBy("path").count().orderBy("path").collect() == [("a.jsonl", 2), ("b.json", 2)]
     got = {(r["path"], r["field_path"], r["value"], r["kind"]) for r in files.facts(records).collect()}
     assert {("a.jsonl", "a.b[]", "1", "number"), ("a.jsonl", "a.b[].c", "x", "text"), ("a.jsonl", "e", "2024-01-02", "date"), ("b.json", "k", "1", "number")} <= got
-    assert files.facts(records, depth=1).count() == files.facts(records, depth=1).where(F.col("field_path") == "").count()
+    refused = {(r["path"], r["kind"]) for r in files.facts(records, depth=0).where("value is null").collect()}
+    assert refused and all(kind == "depth_reached" for _, kind in refused)
+
+
+def test_facts_at_any_depth(spark):
+    """Deep values are found, bounds are reported for the record that passes them, other records stay whole."""
+    deep = '{"a":' * 40 + "1" + "}" * 40
+    rows = [("x", 0, '{"a":{"b":{"c":{"d":{"e":{"f":{"g":1}}}}}},"z":2}'), ("y", 0, deep), ("l", 0, "[1, [2, [3]]]"), ("n", 0, '{"e": {}, "l": [], "v": null}')]
+    records = spark.createDataFrame(rows, "path string, record int, text string")
+    got = {(r["path"], r["field_path"]): (r["value"], r["kind"]) for r in files.facts(records).collect()}
+    assert got["x", "a.b.c.d.e.f.g"][0] == "1" and got["x", "z"][0] == "2" and got["y", ".".join("a" * 40)][0] == "1"
+    assert {k for k in got if k[0] == "l"} == {("l", "[]"), ("l", "[][]"), ("l", "[][][]")} and got["n", "v"] == (None, "null")
+    short = {(r["path"], r["field_path"]): r["kind"] for r in files.facts(records, depth=10).collect()}
+    assert [k for k in short if k[0] == "y"] == [("y", "")] and short["y", ""] == "depth_reached" and ("x", "a.b.c.d.e.f.g") in short
+    few = {(r["path"], r["kind"]) for r in files.facts(records, most_nodes=2).collect() if r["path"] == "l"}
+    assert few == {("l", "nodes_reached")}
+
+
+def test_malformed_records(spark):
+    rows = [("a.jsonl", '{"x": 1}\n\nnot json\n{"x": 2}\n{'), ("b.json", "{oops"), ("c.json", "[1]"), ("d.json", None)]
+    found = files.malformed_records(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert sorted(map(tuple, found)) == [("a.jsonl", 3, "not json"), ("a.jsonl", 5, "{"), ("b.json", 0, "{oops")]
