@@ -37,7 +37,7 @@ from ._words import WordColumn, words
 
 WINDOW = 13
 SAMPLE = 8
-SHARD_WORDS = 500_000
+SHARD_WORDS = 200_000
 BLOCK_BYTES = 16_000_000
 
 
