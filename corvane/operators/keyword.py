@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stem_column, stem_word
 from ..functions.text import fold_for_query
 
 #: Words without meaning of their own in a query (fixed values).
@@ -24,29 +25,14 @@ STOP_WORDS = frozenset("a an and are as at be but by for if in into is it no not
 PASSAGE, SURFACE, BASEL = 0.1, 1.0, 1.64493406685
 
 
-#: Plural endings: the first pattern that fits decides; None keeps the word.
-PLURALS = (("(ss|us|is)$", None), ("(..)ies$", "y"), ("(x|z|ch|sh|ss)es$", ""), ("(..)s$", ""))
-
-
-def stem(word: str) -> str:
-    """A word without its plural ending."""
-    for pattern, put in PLURALS:
-        if found := re.search(pattern, word):
-            return word if put is None else word[: found.end(1)] + put
-    return word
+def words(text: Column) -> Column:
+    """Array of a text's words in order: lower-case runs of letters and digits."""
+    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
 
 
 def lexemes(text: Column) -> Column:
-    """Array of a text's lexemes in order: lower-case runs of letters and digits, plural endings off."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-
-    def singular(w: Column) -> Column:
-        out = F
-        for pattern, put in PLURALS:
-            out = out.when(w.rlike(pattern), w if put is None else F.regexp_replace(w, pattern, f"$1{put}"))
-        return out.otherwise(w)
-
-    return F.transform(words, singular)
+    """Array of the stems of a text's words, worked out word by word; an index stems its vocabulary once instead."""
+    return F.transform(words(text), stem_column)
 
 
 @dataclass
@@ -63,7 +49,7 @@ class KeywordQuery:
 
 
 def _words(text: str) -> list[str]:
-    return [stem(w) for w in re.findall("[a-z0-9]+", text.lower())]
+    return [stem_word(w) for w in re.findall("[a-z0-9]+", text.lower())]
 
 
 def parse(text: str) -> KeywordQuery:

@@ -22,8 +22,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stems
 from ..functions.text import fold_for_query
-from ..plans.lineage import fresh_path
+from ..plans.lineage import discard, fresh_path, materialize
 from . import keyword
 from .keyword import BASEL, PASSAGE, STOP_WORDS, SURFACE
 
@@ -45,19 +46,23 @@ class KeywordIndex:
 def build(passages: DataFrame, surfaces: DataFrame, path: str | None = None) -> KeywordIndex:
     """Write the index of passages (document_id, chunk_index, content) and surfaces (document_id, matchable, orienting).
 
-    Of a surface, positions cover the matchable text and counts also the orienting
+    Words are stemmed as a vocabulary, once each, and joined back.  Of a surface, positions cover the matchable text and counts also the orienting
     text behind it.  Passages before number 0 and null texts hold nothing.
     """
     spark = passages.sparkSession
     path = path or fresh_path(spark, "keyword")
-    row = passages.where("chunk_index >= 0").select("document_id", F.col("chunk_index").cast("int"), keyword.lexemes(F.col("content")).alias("lex")).withColumn("own", F.size("lex"))
-    own = keyword.lexemes(F.col("matchable"))
-    top = surfaces.select("document_id", F.lit(None).cast("int").alias("chunk_index"), F.concat(own, keyword.lexemes(F.col("orienting"))).alias("lex"), F.size(own).alias("own"))
+    row = passages.where("chunk_index >= 0").select("document_id", F.col("chunk_index").cast("int"), keyword.words(F.col("content")).alias("words")).withColumn("own", F.size("words"))
+    own = keyword.words(F.col("matchable"))
+    top = surfaces.select("document_id", F.lit(None).cast("int").alias("chunk_index"), F.concat(own, keyword.words(F.col("orienting"))).alias("words"), F.size(own).alias("own"))
     units = row.unionByName(top)
-    words = units.select("document_id", "chunk_index", "own", F.posexplode("lex").alias("at", "lexeme")).repartitionByRange("lexeme", "document_id")
-    # The range partitioning also serves this grouping: one shuffle in all.
-    found = words.groupBy("lexeme", "document_id", "chunk_index").agg(F.sort_array(F.collect_list(F.when(F.col("at") < F.col("own"), F.col("at")))).alias("positions"), F.count("*").alias("hits"))
+    said = units.select("document_id", "chunk_index", "own", F.posexplode("words").alias("at", "word")).repartitionByRange("word", "document_id")
+    # The range partitioning also serves the grouping below it, so words are shuffled once.
+    positions = F.sort_array(F.collect_list(F.when(F.col("at") < F.col("own"), F.col("at"))))
+    by_word = materialize(said.groupBy("word", "document_id", "chunk_index").agg(positions.alias("positions"), F.count("*").alias("hits")), "words")
+    stemmed = by_word.join(materialize(stems(by_word), "stems"), "word").repartitionByRange("lexeme", "document_id")
+    found = stemmed.groupBy("lexeme", "document_id", "chunk_index").agg(F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.sum("hits").alias("hits"))
     found.sortWithinPartitions("lexeme", "document_id", "chunk_index").write.parquet(f"{path}/postings")
+    discard(by_word)
     spark.read.parquet(f"{path}/postings").groupBy("lexeme").agg(F.count("*").alias("n")).write.parquet(f"{path}/lexicon")
     units.select("document_id", "chunk_index").write.parquet(f"{path}/units")
     return KeywordIndex.load(spark, path)

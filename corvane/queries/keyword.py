@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import stem
 from ..operators import filters, keyword, keyword_index
 from ..plans.oracle_tables import D, P, with_tables
 from ..sources import graph_tables as g
@@ -22,6 +23,12 @@ def q6_1_query_forms(spark, sf_dir):
     return g.documents(spark, sf_dir).select(F.col("title").alias("query"), operands.alias("operands"), folded.alias("folded")).distinct()
 
 
+def q6_1_stems(spark, sf_dir):
+    """The stem of every word of the texts."""
+    docs = g.table(spark, sf_dir, "documents")
+    return stem.stems(docs.select(F.explode(keyword.words(F.col("text"))).alias("word")))
+
+
 def q6_4_across_document(spark, sf_dir):
     return _search(spark, sf_dir, ACROSS).select("document_id", "matched_passages")
 
@@ -79,8 +86,7 @@ def q18_13_title_rank_summary(spark, sf_dir):
 
 QUERIES = {n: f for n, f in list(globals().items()) if n.startswith("q") and callable(f)}
 
-_CASES = " ".join(f"WHEN regexp_matches(w, '{pattern}') THEN " + ("w" if put is None else f"regexp_replace(w, '{pattern}', '\\1{put}')") for pattern, put in keyword.PLURALS)
-_LEX = f"list_transform(regexp_extract_all(lower(coalesce({{0}}, '')), '[a-z0-9]+'), lambda w: CASE {_CASES} ELSE w END)"
+_LEX = f"list_transform(regexp_extract_all(lower(coalesce({{0}}, '')), '[a-z0-9]+'), lambda w: {stem.stem_sql('w')})"
 _UNITS = f"""su AS (SELECT id AS document_id, concat_ws(' ', title, array_to_string(tags, ' '), regexp_extract(source_path, '([^/]*)[.]md$', 1)) AS m, semantic_abstract AS o FROM d),
 u AS (
   SELECT document_id, chunk_index, {_LEX.format("content")} AS lex, {_LEX.format("content")} AS wide FROM p
@@ -134,6 +140,7 @@ tr AS (
   LEFT JOIN tk ON tk.arm = a.arm AND tk.title = d.title AND tk.folded = r.folded AND tk.document_id = d.id WHERE d.lifecycle_status = 'active')"""
 
 ORACLE = {
+    "q6_1_stems": f"SELECT word, {stem.stem_sql('word')} AS lexeme FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents)",
     "q7_10_title_ranks": with_tables(f"{_TITLE_RANKS} SELECT * FROM tr", D, P),
     "q18_13_title_rank_summary": with_tables(f"{_TITLE_RANKS} SELECT arm, rendering, count(*) AS eligible, count(*) FILTER (rank = 1) AS rank_1, count(rank) AS recalled FROM tr GROUP BY 1, 2", D, P),
     "q6_6_ranking_scan": with_tables(f"{_SCORED} SELECT document_id, round(score, 9) AS score, CAST(best[2] AS INTEGER) AS chunk_index FROM hit JOIN b USING (document_id)", D, P),
