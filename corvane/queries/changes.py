@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import changes, lifecycle
+from ..operators.passage_table import PassageTable
+from ..plans.lineage import fresh_path
 from ..plans.oracle_tables import D, E, P, with_tables
 from ..sources import graph_tables as g
 
@@ -69,6 +71,17 @@ def q2_7_supersede(spark, sf_dir):
     return after.join(out, "id", "left").select("id", "lifecycle_status", "is_chain_head", F.coalesce("supersedes", F.lit(0)).alias("supersedes"))
 
 
+def q2_10_published(spark, sf_dir):
+    """A bucketed table of all passages after a later attempt for English documents, a repeated one for others, and a stale one."""
+    passages, docs = g.passages(spark, sf_dir), g.documents(spark, sf_dir).select(F.col("id").alias("document_id"), "doc_type")
+    table = PassageTable.create(passages.select("document_id", "chunk_index", "content"), fresh_path(spark, "passages"))
+    attempt = F.when(F.col("doc_type") == "report", 2).when(F.col("doc_type") == "note", 1).otherwise(0)
+    requests = docs.select("document_id", attempt.alias("attempt"))
+    incoming = passages.join(requests, "document_id").select("document_id", "attempt", "chunk_index", F.concat("content", F.lit(" #2")).alias("content"))
+    table.publish(requests, incoming)
+    return table.rows().select("document_id", "chunk_index", "attempt", "vectors_current", F.md5("content").alias("digest"))
+
+
 def q2_10_replace_passages(spark, sf_dir):
     """Passages of English documents are replaced by ones with a mark at their end, without their last."""
     passages, docs = g.passages(spark, sf_dir), g.documents(spark, sf_dir).where("doc_type = 'report'").select(F.col("id").alias("document_id"))
@@ -165,6 +178,9 @@ ORACLE = {
         SELECT d.id, coalesce(CASE WHEN l.predecessor_id IS NOT NULL THEN 'archived' END, lifecycle_status) AS lifecycle_status,
           l.predecessor_id IS NULL AND d.id NOT IN (SELECT target_id FROM e WHERE edge_type = 'supersedes') AS is_chain_head, (SELECT count(*) FROM m WHERE m.id = d.id) AS supersedes
         FROM d LEFT JOIN l ON l.predecessor_id = d.id""", D, E),
+    "q2_10_published": with_tables("""r AS (SELECT p.*, doc_type = 'report' AS new FROM p JOIN d ON d.id = document_id)
+        SELECT document_id, chunk_index, CASE WHEN new THEN 2 ELSE 1 END AS attempt, NULL AS vectors_current, md5(CASE WHEN new THEN content || ' #2' ELSE content END) AS digest FROM r
+        UNION ALL SELECT id, NULL, CASE WHEN doc_type = 'report' THEN 2 WHEN doc_type = 'note' OR held THEN 1 ELSE 0 END, doc_type <> 'report' AND held, NULL FROM (SELECT *, id IN (SELECT document_id FROM p) AS held FROM d)""", D, P),
     "q2_10_replace_passages": with_tables("""r AS (SELECT p.*, doc_type, max(chunk_index) OVER (PARTITION BY document_id) AS last FROM p JOIN d ON d.id = document_id)
         SELECT document_id, chunk_index, md5(CASE WHEN doc_type = 'report' THEN content || ' #2' ELSE content END) AS digest FROM r WHERE doc_type <> 'report' OR chunk_index < last OR chunk_index = 0""", D, P),
     "q2_11_upsert_surfaces": with_tables("""SELECT id AS document_id, title, CASE WHEN document_date IS NOT NULL THEN array_to_string(tags, ' ') END AS tags FROM d
