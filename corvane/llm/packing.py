@@ -10,7 +10,10 @@ by rank: a table of counts per range fixes which ranks of left gaps go to which
 ranks of left items.  Gaps shrink, and the next round starts; when gaps cannot hold
 what is left, the largest items open as many sequences as their sum needs at least
 (of items of one size those of the smallest hashes, found by counting hash ranges).
-A gap takes one item a round, so there are about as many rounds as items in a sequence.
+Inside a range the sweep is repeated on what the gaps have left until it places
+nothing more, and where every gap holds several of the largest item, inside a range
+or across two, a gap takes as many at once: rounds follow the ranges of sizes and
+not the number of items in a sequence.
 
 Null and empty texts are one piece that holds the end id alone.  Repeated
 documents are packed once per row; an empty table gives no rows.
@@ -23,7 +26,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import discard, materialize, release, slices
@@ -75,24 +78,14 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capa
 
 _SWEPT = "what int, id long, size long, part int, rank long, bin long, gap long"
 _SWEPT_ARROW = pa.schema([("what", pa.int32()), ("id", pa.int64()), ("size", pa.int64()), ("part", pa.int32()), ("rank", pa.int64()), ("bin", pa.int64()), ("gap", pa.int64())])
-GAP, ITEM, PLACED, OPENED = 0, 1, 2, 3
+GAP, ITEM, PLACED, OPENED, REST = 0, 1, 2, 3, 4
 
 
-def _sweep(batches):
-    """Match items to gaps inside one size range.
+def _matches(kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(items placed, their gaps, items left, gaps left) of rows by size descending, gaps (0) before items (1).
 
-    Rows come by size descending, gaps before items.  Depth counts gaps not yet
-    taken; an item takes the latest gap at its depth.  Yields the matches and, by
-    rank, the gaps and the items that are left.
+    Depth counts gaps not yet taken; an item takes the latest gap at its depth.
     """
-    from pyspark import TaskContext
-
-    part = TaskContext.get().partitionId()
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    kind, ids, size = (table.column(c).to_numpy() for c in ("what", "id", "size"))
     step = np.where(kind == 0, 1, -1)
     depth = np.cumsum(step)
     # An item that meets no gap leaves the stack empty: measure depth from the lowest point so far.
@@ -107,56 +100,121 @@ def _sweep(batches):
     items, gaps = order[pair], order[np.flatnonzero(pair) - 1]
     free = kind == 0
     free[gaps] = False
-    left_items, left_gaps = np.flatnonzero(unmatched), np.flatnonzero(free)
-    for what, rows, taken in ((PLACED, items, gaps), (GAP, left_gaps, None), (ITEM, left_items, None)):
-        n = len(rows)
+    return items, gaps, np.flatnonzero(unmatched), np.flatnonzero(free)
+
+
+def fill(kind: np.ndarray, ids: np.ndarray, size: np.ndarray):
+    """Match items to gaps inside one size range until nothing more is placed.
+
+    Rows come by size descending, gaps before items.  Gives the placed items as (id, size,
+    bin, gap before it), what the gaps that took any have left (bin, size), and the
+    places of the items and of the gaps that are left.
+    """
+    items, gaps, left, free = _matches(kind)
+    placed = [(ids[items], size[items], ids[gaps], size[gaps])]
+    bins, rest = ids[gaps], size[gaps] - size[items]
+    while len(left) and len(bins):
+        fits = np.flatnonzero(rest >= size[left[-1]])
+        if not len(fits):
+            break
+        fits = fits[np.argsort(rest[fits], kind="stable")]
+        each = int(rest[fits[0]] // max(1, size[left[0]]))
+        if each > 1:
+            # The smallest gap holds several of the largest item: rows of them, smallest gaps first.
+            n = min(len(left), each * len(fits))
+            owner, row = fits[np.arange(n) // each], left[:n]
+            before = np.cumsum(size[row]) - size[row]
+            before -= before[np.arange(n) // each * each]
+            placed.append((ids[row], size[row], bins[owner], rest[owner] - before))
+            rest = rest - np.bincount(owner, size[row], len(rest)).astype(np.int64)
+            left = left[n:]
+            continue
+        both = np.concatenate([np.zeros(len(fits), np.int32), np.ones(len(left), np.int32)])
+        sizes = np.concatenate([rest[fits], size[left]])
+        order = np.lexsort((both, -sizes))
+        some, into, still, _ = _matches(both[order])
+        if not len(some):
+            break
+        row, owner = left[order[some] - len(fits)], fits[order[into]]
+        placed.append((ids[row], size[row], bins[owner], rest[owner]))
+        rest[owner] -= size[row]
+        left = left[order[still] - len(fits)]
+    return [np.concatenate(x) for x in zip(*placed)], (bins, rest), left, free
+
+
+def _sweep(batches):
+    """Fill the gaps of one size range; yields the matches, what gaps that took any have left, and by rank the gaps and items that are left."""
+    from pyspark import TaskContext
+
+    part = TaskContext.get().partitionId()
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    kind, ids, size = (table.column(c).to_numpy() for c in ("what", "id", "size"))
+    (item, own, bins, gap), (changed, rest), left, free = fill(kind, ids, size)
+    zero = lambda n: np.zeros(n, np.int64)
+    for what, a, b, c, d in ((PLACED, item, own, bins, gap), (REST, changed, rest, None, None), (GAP, ids[free], size[free], None, None), (ITEM, ids[left], size[left], None, None)):
+        n = len(a)
         if n:
-            bins, gap = (np.zeros(n, np.int64),) * 2 if taken is None else (ids[taken], size[taken])
-            columns = (np.full(n, what, np.int32), ids[rows], size[rows], np.full(n, part, np.int32), np.arange(n), bins, gap)
-            yield pa.record_batch([pa.array(c) for c in columns], schema=_SWEPT_ARROW)
+            columns = (np.full(n, what, np.int32), a, b, np.full(n, part, np.int32), np.arange(n), zero(n) if c is None else c, zero(n) if d is None else d)
+            yield pa.record_batch([pa.array(x) for x in columns], schema=_SWEPT_ARROW)
 
 
 def _left(batches):
-    """(part, what, n) of the rows that one task reads."""
-    schema = pa.schema([("part", pa.int32()), ("what", pa.int32()), ("n", pa.int64())])
-    counts: dict[tuple[int, int], int] = {}
+    """(part, what, n, least, most) of the rows that one task reads: how many, and their sizes."""
+    schema = pa.schema([("part", pa.int32()), ("what", pa.int32()), ("n", pa.int64()), ("least", pa.int64()), ("most", pa.int64())])
+    counts: dict[tuple[int, int], Left] = {}
     for batch in batches:
-        key, n = np.unique(batch.column(0).to_numpy().astype(np.int64) * 4 + batch.column(1).to_numpy(), return_counts=True)
-        for k, c in zip(key.tolist(), n.tolist()):
-            counts[k >> 2, k & 3] = counts.get((k >> 2, k & 3), 0) + c
+        size = batch.column(2).to_numpy()
+        key, place, n = np.unique(batch.column(0).to_numpy().astype(np.int64) * 4 + batch.column(1).to_numpy(), return_inverse=True, return_counts=True)
+        for j, (k, c) in enumerate(zip(key.tolist(), n.tolist())):
+            own = size[place == j]
+            counts[k >> 2, k & 3] = _joined(counts.get((k >> 2, k & 3)), (c, int(own.min()), int(own.max())))
     if counts:
-        yield pa.record_batch([pa.array([k[0] for k in counts], pa.int32()), pa.array([k[1] for k in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], schema=schema)
+        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*((*k, *v) for k, v in counts.items())), schema)], schema=schema)
+
+
+#: How many rows a range left, and their least and greatest size.
+Left = tuple[int, int, int]
+
+
+def _joined(a: Left | None, b: Left) -> Left:
+    return b if a is None else (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]))
 
 
 #: Gaps handed over between ranges, counted, up to which they are broadcast; more are joined by a shuffle.
 _FEW = 20_000
 
 
-def carry(counts: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int]]:
-    """Intervals (item range, first rank, count, gap range, last gap rank) across ranges.
+def carry(left: dict[tuple[int, int], Left]) -> list[tuple[int, int, int, int, int, int]]:
+    """Intervals (item range, first rank, items, gap range, last gap rank, items a gap) across ranges.
 
-    ``counts`` has what each range left: (range, 0) gaps and (range, 1) items.  In
+    ``left`` has what each range left: (range, 0) gaps and (range, 1) items.  In
     sweep order a range's left items come before its left gaps, so they take gaps
-    of earlier ranges, latest first.
+    of earlier ranges, latest first.  Where the smallest gap of a range holds several
+    of the largest item, a gap takes that many items in a row at once.
     """
     stack: list[list[int]] = []
     out = []
-    for part in sorted({p for p, _ in counts}):
-        need, first = counts.get((part, 1), 0), 0
+    for part in sorted({p for p, _ in left}):
+        need, _, largest = left.get((part, 1), (0, 0, 0))
+        first = 0
         while need and stack:
             top = stack[-1]
-            n = min(need, top[1])
-            out.append((part, first, n, top[0], top[1] - 1))
-            first, need, top[1] = first + n, need - n, top[1] - n
+            each = max(1, top[2] // max(1, largest))
+            n = min(need, top[1] * each)
+            out.append((part, first, n, top[0], top[1] - 1, each))
+            first, need, top[1] = first + n, need - n, top[1] - math.ceil(n / each)
             if not top[1]:
                 stack.pop()
-        if counts.get((part, 0), 0):
-            stack.append([part, counts[part, 0]])
+        if (part, 0) in left:
+            stack.append([part, *left[part, 0][:2]])
     return out
 
 
 def one_round(state: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Give every gap one item at most; the state after it with the items placed just now, and a table it reads.
+    """Give every gap one item, or of much smaller ones a row of them; the state after it with the items placed just now, and a table it reads.
 
     ``state`` has the rows (what, id, size) of gaps (id: their sequence) and items.
     """
@@ -164,29 +222,39 @@ def one_round(state: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = state.withColumn("h", F.xxhash64("id")).repartitionByRange(*keys).sortWithinPartitions(*keys)
     swept = materialize(dealt.select("what", "id", "size").mapInArrow(_sweep, _SWEPT), "swept")
     # Each task of the next scan counts what it reads: about two rows a range reach the driver.
-    counts: dict[tuple[int, int], int] = {}
-    for r in swept.where(F.col("what") < PLACED).select("part", "what").mapInArrow(_left, "part int, what int, n long").collect():
-        counts[r["part"], r["what"]] = counts.get((r["part"], r["what"]), 0) + r["n"]
-    lines = carry(counts) or [(-1, 0, 0, -1, -1)]
-    matched = sum(line[2] for line in lines)
-    plan = state.sparkSession.createDataFrame(lines, "to_part int, first long, n long, from_part int, last long")
+    left: dict[tuple[int, int], Left] = {}
+    for r in swept.where(F.col("what") < PLACED).select("part", "what", "size").mapInArrow(_left, "part int, what int, n long, least long, most long").collect():
+        left[r["part"], r["what"]] = _joined(left.get((r["part"], r["what"])), (r["n"], r["least"], r["most"]))
+    lines = carry(left) or [(-1, 0, 0, -1, -1, 1)]
+    gaps = sum(math.ceil(line[2] / line[5]) for line in lines)
+    plan = state.sparkSession.createDataFrame(lines, "to_part int, first long, n long, from_part int, last long, each long")
     plan = F.broadcast(plan.coalesce(1))  # a few rows per task
-    rank = F.col("rank")
+    rank, wide = F.col("rank"), F.ceil(F.col("n") / F.col("each"))
     wants = swept.where(F.col("what") == ITEM).join(plan, (F.col("part") == F.col("to_part")) & (rank >= F.col("first")) & (rank < F.col("first") + F.col("n")), "left")
-    wants = wants.select("id", "size", "from_part", (F.col("last") - (rank - F.col("first"))).alias("from_rank"))
-    offers = swept.where(F.col("what") == GAP).join(plan, (F.col("part") == F.col("from_part")) & (rank <= F.col("last")) & (rank > F.col("last") - F.col("n")), "left")
-    free = offers.where("from_part is null").select("what", "id", "size", F.lit(None).cast("long").alias("bin"), F.lit(None).cast("long").alias("gap"))
+    wants = wants.select("id", "size", "rank", "from_part", (F.col("last") - F.floor((rank - F.col("first")) / F.col("each"))).alias("from_rank"))
+    offers = swept.where(F.col("what") == GAP).join(plan, (F.col("part") == F.col("from_part")) & (rank <= F.col("last")) & (rank > F.col("last") - wide), "left")
+    none = F.lit(None).cast("long")
+    free = offers.where("from_part is null").select("what", "id", "size", none.alias("bin"), none.alias("gap"))
     offers = offers.where("from_part is not null").select("from_part", rank.alias("from_rank"), F.col("id").alias("bin"), F.col("size").alias("gap"))
     # The gaps that are handed over are as many as the lines say; few go to all tasks.
-    across = wants.join(F.broadcast(offers) if matched <= _FEW else offers, ["from_part", "from_rank"], "left").select(F.when(F.col("bin").isNull(), ITEM).otherwise(PLACED).alias("what"), "id", "size", "bin", "gap")
-    found = swept.where(F.col("what") == PLACED).select("what", "id", "size", "bin", "gap").unionByName(across)
-    # A placed item also leaves a smaller gap.
-    rest = F.when(F.col("what") == PLACED, F.array(F.lit(PLACED), F.lit(GAP))).otherwise(F.array(F.col("what")))
-    after = found.withColumn("kind", F.explode(rest)).select(
+    across = wants.where("from_part is not null").join(F.broadcast(offers) if gaps <= _FEW else offers, ["from_part", "from_rank"])
+    if any(line[5] > 1 for line in lines):
+        # The items of one gap stand behind each other; the last one leaves the smaller gap.
+        row = Window.partitionBy("bin").orderBy("rank")
+        across = across.withColumn("before", F.coalesce(F.sum("size").over(row.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("closes", F.lead("id").over(row).isNull())
+        across = across.withColumn("gap", F.col("gap") - F.col("before"))
+    else:
+        across = across.withColumn("closes", F.lit(True))
+    # The last item of a gap also leaves the smaller gap.
+    found = across.withColumn("kind", F.explode(F.when(F.col("closes"), F.array(F.lit(PLACED), F.lit(GAP))).otherwise(F.array(F.lit(PLACED)))))
+    after = found.select(
         F.col("kind").alias("what"), F.when(F.col("kind") == GAP, F.col("bin")).otherwise(F.col("id")).alias("id"),
         F.when(F.col("kind") == GAP, F.col("gap") - F.col("size")).otherwise(F.col("size")).alias("size"), "bin", "gap",
     )
-    return after.unionByName(free).where((F.col("what") != GAP) | (F.col("size") > 0)), swept
+    after = after.unionByName(swept.where(F.col("what") == PLACED).select("what", "id", "size", "bin", "gap"))
+    after = after.unionByName(swept.where(F.col("what") == REST).select(F.lit(GAP).alias("what"), "id", "size", none.alias("bin"), none.alias("gap")))
+    waiting = wants.where("from_part is null").select(F.lit(ITEM).alias("what"), "id", "size", none.alias("bin"), none.alias("gap"))
+    return after.unionByName(waiting).unionByName(free).where((F.col("what") != GAP) | (F.col("size") > 0)), swept
 
 
 def _hash(turn: int) -> F.Column:

@@ -486,6 +486,48 @@ def test_placing_ties(spark, sizes):
     assert len(used) <= 1.02 * brute.best_fit_bins(sizes, 2048) + 1
 
 
+@pytest.mark.parametrize("size", [1, 10, 40])
+def test_rounds_do_not_follow_the_items_of_a_sequence(spark, monkeypatch, size):
+    """Thousands of tiny items in each of few sequences take few rounds, also beside large ones."""
+    rounds = []
+    once = packing.one_round
+    monkeypatch.setattr(packing, "one_round", lambda state: rounds.append(1) or once(state))
+    sizes = [size] * 10_000 + list(range(100, 2048, 40))
+    got = packing.place(spark.createDataFrame(list(enumerate(sizes)), "item long, item_size long").repartition(3)).collect()
+    used = {}
+    for r in got:
+        used.setdefault(r["bin"], []).append((r["bin_at"], sizes[r["item"]]))
+    for x in used.values():
+        at = 0
+        for offset, n in sorted(x):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(got) == len(sizes) and len(used) <= 1.02 * brute.best_fit_bins(sizes, 2048) + 1 and len(rounds) <= 20
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_filling_a_range(seed):
+    """Gaps never overflow, nothing is lost, and no item is left that a gap of the range could still hold."""
+    rng = np.random.default_rng(seed)
+    n, m = rng.integers(0, 30, 2)
+    size = np.concatenate([rng.integers(1, 200, n), rng.integers(1, rng.choice([3, 30, 200]), m)]).astype(np.int64)
+    kind = np.concatenate([np.zeros(n, np.int32), np.ones(m, np.int32)])
+    order = np.lexsort((kind, -size))
+    kind, size, ids = kind[order], size[order], np.arange(n + m)
+    (item, own, bins, gap), (changed, rest), left, free = packing.fill(kind, ids, size)
+    assert sorted([*item, *left]) == np.flatnonzero(kind == 1).tolist() and sorted([*changed, *free]) == np.flatnonzero(kind == 0).tolist()
+    for b, r in zip(changed, rest):
+        inside = sorted(((g, s) for g, s, x in zip(gap, own, bins) if x == b), reverse=True)
+        at = size[b]
+        for g, s in inside:
+            assert g == at and s <= at
+            at -= s
+        assert at == r
+    if len(left):
+        assert max([0, *rest, *size[free]]) < size[left].min()
+
+
 def test_placing_by_shuffle(spark, monkeypatch):
     """Gaps handed over between ranges by a shuffle, as where they are many."""
     monkeypatch.setattr(packing, "_FEW", -1)
