@@ -70,6 +70,20 @@ def q1_6_json_records(spark, sf_dir):
     return files.json_records(_json(spark, sf_dir)).select("path", "record", F.get_json_object("text", "$.kind").alias("kind"))
 
 
+def _delimited(spark, sf_dir):
+    """The suppliers of each nation as a delimited file: a header, then a row each, with quotes, a line end and doubled quotes in a field."""
+    rows = g.table(spark, sf_dir, "supplier")
+    line = F.concat(F.lit('"'), "s_name", F.lit('",'), F.col("s_acctbal").cast("string"), F.lit(',"say ""'), "s_suppkey", F.lit('"",\nand more"'))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("s_suppkey", line.alias("line")))), lambda x: x["line"]), "\r\n")
+    return rows.groupBy("s_nationkey").agg(body.alias("body")).select(F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".csv")).alias("path"), F.concat(F.lit("name,,note\n"), "body").alias("text"))
+
+
+def q1_6_delimited(spark, sf_dir):
+    """Delimited files as records, and their facts."""
+    found = files.facts(files.delimited_records(_delimited(spark, sf_dir)))
+    return found.select("path", "record", "field_path", "value")
+
+
 def q1_8_facts(spark, sf_dir):
     return files.facts(files.json_records(_json(spark, sf_dir)))
 
@@ -123,6 +137,8 @@ ORACLE = {
     "q11_2_chunking": f"""WITH {_TURNS}, y AS (SELECT path, section, CASE level WHEN 1 THEN '# ' || heading_path || chr(10) || chr(10) WHEN 2 THEN '## ' || string_split(heading_path, ' > ')[-1] || chr(10) || chr(10) ELSE '' END || content AS t FROM s)
       SELECT path, section, 0 AS piece, CAST(strlen(t) AS INTEGER) AS bytes, md5(t) AS digest FROM y""",
     "q1_6_json_records": "SELECT 'e' || event_id || '.json' AS path, 0 AS record, event_type AS kind FROM events",
+    "q1_6_delimited": """WITH r AS (SELECT *, CAST(row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS INTEGER) AS record FROM supplier)
+      SELECT 'n' || s_nationkey || '.csv' AS path, record, unnest(['name', 'column_2', 'note']) AS field_path, unnest([s_name, CAST(s_acctbal AS VARCHAR), 'say "' || s_suppkey || '",' || chr(10) || 'and more']) AS value FROM r""",
     "q1_8_facts": """WITH f AS (SELECT 'e' || event_id || '.json' AS path, unnest(['kind', 'ok', 'who.user', 'who.tags[]', 'who.tags[]']) AS field_path, unnest([event_type, 'true', CAST(user_id AS VARCHAR), event_type, 'x']) AS value,
         unnest(['text', 'boolean', 'number', 'text', 'text']) AS kind FROM events) SELECT path, 0 AS record, field_path, value, kind FROM f""",
     "q1_8_narrative": r"""WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS path, unnest(string_split(text, chr(10))) AS x FROM documents), q AS (SELECT path, regexp_replace(x, '^\s+|\s+$', '', 'g') AS x FROM p)

@@ -93,6 +93,52 @@ def json_records(files: DataFrame) -> DataFrame:
     return lines.where(F.try_parse_json(F.col("text")).isNotNull())
 
 
+#: A row of a delimited file (quoted fields may hold line ends), and what separates rows (fixed values).
+ROW, ROW_END = r'((?:[^"\r\n]++|"(?:[^"]++|"")*+")++)', r"\r\n|\r|\n"
+
+
+def _delimiter() -> Column:
+    return F.when(F.lower("path").endswith(".tsv"), F.lit("\t")).otherwise(F.lit(","))
+
+
+def _fields(row: Column, delimiter: str) -> Column:
+    """Fields of a row: quoted ones without their quotes, doubled quotes inside as one."""
+    found = F.regexp_extract_all(row, F.lit(rf'(?:^|{delimiter})("(?:[^"]++|"")*+"|[^"{delimiter}]*+)'), 1)
+    return F.transform(found, lambda f: F.when(f.startswith('"'), F.replace(F.substring(f, F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
+
+
+def delimited_rows(files: DataFrame) -> DataFrame:
+    """Rows of delimited files (a .tsv by tabs, others by commas): path, row, fields, well_formed.
+
+    A byte order mark and empty lines are passed over; a quoted field may hold delimiters,
+    line ends and doubled quotes.  A row with a quote that nothing closes, or with text
+    around a quoted field, is not well formed: it has no fields and is reported.
+    """
+    text = F.regexp_replace("text", "^\ufeff", "")
+    # What is left between the rows that can be read is a row that cannot.
+    parts = F.filter(F.regexp_extract_all(text, F.lit(rf'(?s){ROW}|("[^\r\n]*+)'), 0), lambda r: r != "")
+    rows = files.where("text is not null").select("path", F.posexplode(parts).alias("row", "line"))
+    fields = F.when(_delimiter() == "\t", _fields(F.col("line"), "\t")).otherwise(_fields(F.col("line"), ","))
+    width = lambda f: F.length(F.array_join(F.transform(F.regexp_extract_all(F.col("line"), F.lit(rf'(?:^|{f})("(?:[^"]++|"")*+"|[^"{f}]*+)'), 0), lambda x: x), ""))
+    whole = F.when(_delimiter() == "\t", width("\t")).otherwise(width(",")) == F.length("line")
+    return rows.select("path", "row", F.when(whole, fields).alias("fields"), whole.alias("well_formed"))
+
+
+def delimited_records(files: DataFrame) -> DataFrame:
+    """Rows below the first as records like those of JSON files: path, record, text; the first well-formed row names the fields.
+
+    A repeated name gets its place behind it, an empty or missing one is ``column_<place>``; fields
+    that a row lacks are not in its record.  Rows that are not well formed are left out (see ``delimited_rows``).
+    """
+    rows = delimited_rows(files).where("well_formed")
+    first = rows.groupBy("path").agg(F.min_by("fields", "row").alias("header"), F.min("row").alias("at"))
+    plain = F.transform("header", lambda h, i: F.when(F.trim(h) == "", F.concat(F.lit("column_"), i + 1)).otherwise(h))
+    named = first.withColumn("header", F.transform(plain, lambda h, i: F.when(F.array_position(plain, h) == i + 1, h).otherwise(F.concat(h, F.lit("_"), i + 1))))
+    name = lambda i: F.coalesce(F.get("header", i), F.concat(F.lit("column_"), i + 1))
+    record = F.map_from_entries(F.transform("fields", lambda f, i: F.struct(name(i), f)))
+    return rows.join(named, "path").where("row > at").select("path", (F.col("row") - F.col("at") - 1).alias("record"), F.to_json(record).alias("text"))
+
+
 def malformed_records(files: DataFrame) -> DataFrame:
     """What ``json_records`` leaves out: path, line (from 1; 0 for a whole file), text."""
     lines = files.where("text is not null and lower(path) like '%.jsonl'").select("path", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("line", F.col("line") + 1)

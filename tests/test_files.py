@@ -1,5 +1,7 @@
 """Markdown structure and file names by hand."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -86,3 +88,19 @@ def test_malformed_records(spark):
     rows = [("a.jsonl", '{"x": 1}\n\nnot json\n{"x": 2}\n{'), ("b.json", "{oops"), ("c.json", "[1]"), ("d.json", None)]
     found = files.malformed_records(spark.createDataFrame(rows, "path string, text string")).collect()
     assert sorted(map(tuple, found)) == [("a.jsonl", 3, "not json"), ("a.jsonl", 5, "{"), ("b.json", 0, "{oops")]
+
+
+def test_delimited_rows(spark):
+    rows = [
+        ("a.csv", '\ufeffname,"the ""note""",name\r\n"x, y","two\nlines",1\n\nlast,,\rmore,1,2,3\nshort'), ("b.tsv", 'a\tb,c\n"1\t2"\t3'), ("c.csv", 'a,b\n1,2\n3,"open\n5,6'), ("d.csv", 'a\nx"y"z\n2'), ("e.csv", None), ("f.csv", ""),
+    ]
+    frame = spark.createDataFrame(rows, "path string, text string")
+    got = {}
+    for r in sorted(files.delimited_rows(frame).collect()):
+        got.setdefault(r["path"], []).append(list(r["fields"]) if r["well_formed"] else None)
+    assert got["a.csv"] == [["name", 'the "note"', "name"], ["x, y", "two\nlines", "1"], ["last", "", ""], ["more", "1", "2", "3"], ["short"]]
+    assert got["b.tsv"] == [["a", "b,c"], ["1\t2", "3"]] and got["d.csv"] == [["a"], None, ["2"]] and "e.csv" not in got and "f.csv" not in got
+    assert got["c.csv"][:2] == [["a", "b"], ["1", "2"]] and None in got["c.csv"]
+    records = {(r["path"], r["record"]): json.loads(r["text"]) for r in files.delimited_records(frame).collect()}
+    assert records["a.csv", 0] == {"name": "x, y", 'the "note"': "two\nlines", "name_3": "1"} and records["a.csv", 2]["column_4"] == "3" and records["a.csv", 3] == {"name": "short"}
+    assert records["b.tsv", 0] == {"a": "1\t2", "b,c": "3"} and records["d.csv", 1] == {"a": "2"}
