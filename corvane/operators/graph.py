@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import materialize
+from ..sources.graph_tables import POLICIES
 from .components import connected_components
 
 TRANSITIVE = ("transitive_source", "transitive_both")
@@ -137,6 +138,44 @@ def resolved_traverse(docs: DataFrame, edges: DataFrame, seeds: DataFrame, direc
     return without_tombstoned(without_retracted(passes_anchors(rows, family), edges, family), family)
 
 
+#: Rows that one traversal looks at over all its seeds and phases (a fixed value).
+ROW_CAP = 10_000
+
+
+def policy_seeds(docs: DataFrame, edges: DataFrame, starts: DataFrame, direction: str, edge_type: str | None = None) -> DataFrame:
+    """(start_id, seed): where a traversal from each start begins, by the policy of its edge type.
+
+    An end that moves with its versions is searched from the start's whole lineage, as is
+    everything without a type; an end that is frozen, or has no policy, from the start alone.
+    """
+    policy = None if edge_type is None else POLICIES.get(edge_type, "none")
+    if policy == "TBD":
+        raise ValueError(f"edges of type {edge_type} have no policy yet")
+    frozen = policy == "none" or policy == "transitive_source" and direction == "inbound" or policy == "transitive_target" and direction == "outbound"
+    if frozen:
+        return starts.select(F.col("id").alias("start_id"), F.col("id").alias("seed")).distinct()
+    return lineage(docs, edges, starts=starts).select(F.col("id").alias("start_id"), F.col("ancestor").alias("seed"))
+
+
+def seeded_traverse(docs: DataFrame, edges: DataFrame, starts: DataFrame, direction: str = "outbound", edge_type: str | None = None, depth: int = 1, row_cap: int = ROW_CAP) -> DataFrame:
+    """Edges reached from the seeds of each start, at their least depth: start_id, id, depth, truncated.
+
+    Both directions are an outbound phase, then an inbound one, each with its own seeds.
+    ``row_cap`` is one budget of a start over its phases and seeds, spent in the order of
+    phase, seed, depth and edge; ``truncated`` says that it did not suffice.
+    """
+    rows = []
+    for turn, phase in enumerate(("outbound", "inbound") if direction == "both" else (direction,)):
+        seeds = materialize(policy_seeds(docs, edges, starts, phase, edge_type), "seeds")
+        visits = first_visits(traverse(edges, seeds.select(F.col("seed").alias("id")).distinct(), phase, edge_type, depth)).select(F.col("start_id").alias("seed"), "id", "depth")
+        rows.append(seeds.join(visits, "seed").withColumn("phase", F.lit(turn)))
+    order = Window.partitionBy("start_id").orderBy("phase", "seed", "depth", "id")
+    # One row beyond the cap is looked at, and no more.
+    first = reduce(DataFrame.unionByName, rows).withColumn("n", F.row_number().over(order)).where(F.col("n") <= row_cap + 1)
+    marked = first.withColumn("truncated", F.max("n").over(Window.partitionBy("start_id")) > row_cap).where(F.col("n") <= row_cap)
+    return marked.groupBy("start_id", "id").agg(F.min("depth").alias("depth"), F.first("truncated").alias("truncated"))
+
+
 def with_retraction(edges: DataFrame, filters: dict | None = None) -> DataFrame:
     """Edges of a type, source or target, each with its earliest retraction (time, then id)."""
     kept = edges

@@ -67,6 +67,12 @@ def q8_6_resolved_traverse(spark, sf_dir):
     return graph.resolved_traverse(docs, edges, docs.select("id"), depth=1).select("start_id", "id", "edge_type", "depth")
 
 
+def q8_6_seeded_traverse(spark, sf_dir):
+    """References from every document and what it supersedes, three rows a document at most."""
+    docs, edges = _both(spark, sf_dir)
+    return graph.seeded_traverse(docs, edges, docs.select("id"), "both", "references", row_cap=3)
+
+
 def q8_7_nodes(spark, sf_dir):
     docs, edges = _both(spark, sf_dir)
     return graph.nodes(graph.traverse(edges, docs.select("id"), "outbound", depth=3))
@@ -148,6 +154,11 @@ ORACLE = {
           ELSE FALSE END
         AND NOT (resolution_policy LIKE 'trans%' AND EXISTS (SELECT 1 FROM gone WHERE gone.start_id = e.source_id AND gone.eid = e.id))
         AND NOT (valid_until_version IS NOT NULL AND valid_until_version <> e.source_id AND EXISTS (SELECT 1 FROM fam f WHERE f.id = e.source_id AND f.ancestor = valid_until_version))""", D, E),
+    "q8_6_seeded_traverse": with_tables(f"""{_SUP}, {_FAM}, st AS (
+        SELECT fam.id AS start_id, ancestor AS seed, e.id, 0 AS phase FROM fam JOIN e ON source_id = ancestor WHERE edge_type = 'references' AND target_id IS NOT NULL
+        UNION ALL SELECT fam.id, ancestor, e.id, 1 FROM fam JOIN e ON target_id = ancestor WHERE edge_type = 'references'),
+      n AS (SELECT *, row_number() OVER (PARTITION BY start_id ORDER BY phase, seed, id) AS k, count(*) OVER (PARTITION BY start_id) > 3 AS truncated FROM st)
+      SELECT start_id, id, 1 AS depth, any_value(truncated) AS truncated FROM n WHERE k <= 3 GROUP BY 1, 2""", D, E),
     "q8_7_nodes": with_tables(f"{_SEEDS}, {_OUT}, {_WALK}, f AS (SELECT start_id, id, min(depth) AS depth, any_value(to_id) AS to_id FROM w GROUP BY 1, 2) SELECT start_id, to_id AS document_id, min(depth) AS depth, count(*) AS edge_count FROM f GROUP BY 1, 2", D, E),
     "q8_12_preconditions": with_tables(f"""{_SUP}, {_COMP}, {_HEADS}, j AS (SELECT e.source_id AS document_id, e.target_id, CASE WHEN comp.chain IS NULL THEN 'not found' WHEN heads = 0 THEN 'cyclic' WHEN heads > 1 THEN 'forked'
           WHEN h.pipeline_status = 'failed' THEN 'failed' WHEN h.lifecycle_status IN ('active', 'completed') THEN 'satisfied' ELSE 'unsatisfied' END AS verdict

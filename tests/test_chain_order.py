@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from corvane.operators import chain_order
+from corvane.operators import chain_order, graph
 
 EDGE = "id string, source_id string, target_id string, edge_type string"
 
@@ -148,3 +148,16 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
 def test_nothing(spark):
     frame, edges = tables(spark, [], [("a", "b")])
     assert chain_order.chain_order(frame, edges).count() == 0 and chain_order.chain_answers(frame, edges, frame).count() == 0
+
+
+def test_seeds_by_policy(spark):
+    frame, edges = tables(spark, list("abcd"), [("b", "a"), ("c", "b")], [("a", "d", "references"), ("d", "b", "derived_from"), ("a", "d", "supersedes_not")])
+    starts = frame.where("id = 'c'")
+    seeds = lambda direction, kind=None: sorted(r["seed"] for r in graph.policy_seeds(frame, edges, starts, direction, kind).collect())
+    assert seeds("outbound", "references") == seeds("inbound", "references") == seeds("outbound") == seeds("outbound", "derived_from") == ["a", "b", "c"]
+    assert seeds("inbound", "derived_from") == seeds("outbound", "supersedes") == seeds("inbound", "unheard_of") == ["c"]
+    with pytest.raises(ValueError):
+        seeds("outbound", "sync_target")
+    found = graph.seeded_traverse(frame, edges, frame.where("id in ('c', 'd')"), "both", row_cap=2).collect()
+    assert {r["start_id"]: r["truncated"] for r in found} == {"c": True, "d": True} and all(r["depth"] == 1 for r in found)
+    assert {(r["start_id"], r["id"], r["truncated"]) for r in graph.seeded_traverse(frame, edges, frame.where("id = 'c'"), "outbound", "references").collect()} == {("c", "o0", False)}
