@@ -666,13 +666,13 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "node", "component")
 
 
-def _nodes(n: int, at: int):
+def _nodes(n: int, at: int, name: str):
     """The rows with the node of their text behind them."""
 
     def run(batches):
         for batch in slices(batches, at):
             nodes = pa.array([node_of(s) for s in shingle_sets(batch.column(at), n)], pa.int64())
-            yield pa.record_batch([*batch.columns, nodes], names=[*batch.schema.names, "_node_of"])
+            yield pa.record_batch([*batch.columns, nodes], names=[*batch.schema.names, name])
 
     return run
 
@@ -688,16 +688,22 @@ def keep_one(docs: DataFrame) -> DataFrame:
     best = found.where("doc_id = component_id").select("doc_id").join(alone, "doc_id", "left_semi")
     kept = docs.join(best, "doc_id", "left_semi").select(*docs.columns)
     # Rows without an id of their own: told apart by their sets.
-    names = {"doc_id": "_id", "node": "_node", "component": "_component", "component_id": "_least", "n_shingles": "_n"}
+    # Names that no column of the documents has.
+    mark = "_"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    own, node, component, least, size, of, place = (f"{mark}{c}" for c in ("id", "node", "component", "least", "n", "node_of", "turn"))
+    names = {"doc_id": own, "node": node, "component": component, "component_id": least, "n_shingles": size}
     odd = found.join(alone, "doc_id", "left_anti").select(*(F.col(c).alias(x) for c, x in names.items())).distinct()
     some = odd.count()
     if not some:
         return kept
-    ids = odd.select("_id").distinct()
+    ids = odd.select(own).distinct()
     ids = F.broadcast(ids) if some < 1_000_000 else ids
-    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
-    keyed = rows.mapInArrow(_nodes(N, docs.columns.index("text")), T.StructType([*docs.schema.fields, T.StructField("_node_of", T.LongType())]))
-    named = keyed.join(odd, (F.col("_node_of") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id"))).where(F.col("doc_id").eqNullSafe(F.col("_least")) | (F.col("_n") == 0))
-    turn = Window.partitionBy("_component").orderBy(*docs.columns)
-    firsts = named.where("_n > 0").withColumn("_turn", F.row_number().over(turn)).where("_turn = 1")
-    return kept.unionByName(firsts.select(*docs.columns)).unionByName(named.where("_n = 0").select(*docs.columns))
+    rows = docs.join(ids, F.col("doc_id").eqNullSafe(F.col(own)), "left_semi").select(*docs.columns)
+    keyed = rows.mapInArrow(_nodes(N, docs.columns.index("text"), of), T.StructType([*docs.schema.fields, T.StructField(of, T.LongType())]))
+    named = keyed.join(odd, (F.col(of) == F.col(node)) & F.col("doc_id").eqNullSafe(F.col(own))).where(F.col("doc_id").eqNullSafe(F.col(least)) | (F.col(size) == 0))
+    # Maps have no order of their own; their text has.
+    keys = [F.to_json(F.struct(c.name)) if isinstance(c.dataType, T.MapType) else F.col(c.name) for c in docs.schema.fields]
+    firsts = named.where(F.col(size) > 0).withColumn(place, F.row_number().over(Window.partitionBy(component).orderBy(*keys))).where(F.col(place) == 1)
+    return kept.unionByName(firsts.select(*docs.columns)).unionByName(named.where(F.col(size) == 0).select(*docs.columns))

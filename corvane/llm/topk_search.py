@@ -343,9 +343,14 @@ def _searcher(mean_length: float, k: int):
     return run
 
 
+#: Stands for a null query_id inside the search.
+_NO_ID = -(2**63)
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None = None) -> DataFrame:
     """Top ``k`` documents of every query (query_id, text): query_id, rank, doc_id, score.
 
+    Rows that share an id, or have none, are one query of all their words.
     Queries go in blocks and shards in groups: each work unit is one block with one
     group, and there are as many groups as keep all tasks busy.
     """
@@ -355,7 +360,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, doc_id long, score double")
     frequency = index.where("kind = 1").groupBy("term").agg(F.sum("n").alias("df"))
-    terms = queries.select("query_id", "text").mapInArrow(_query_terms, "query_id long, term long").distinct()
+    asked = queries.select(F.coalesce(F.col("query_id").cast("long"), F.lit(_NO_ID)).alias("query_id"), "text")
+    terms = asked.mapInArrow(_query_terms, "query_id long, term long").distinct()
     idf = F.log(1 + (F.lit(total) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     wanted = terms.join(frequency, "term").select("query_id", F.struct("term", idf.alias("idf")).alias("t"))
     # A query's terms are at most the distinct words of its text.
@@ -369,4 +375,5 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     units = grouped.join(blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "g").repartition(n * groups, "block", "g").sortWithinPartitions("g", "block", "path")
     found = units.select("path", "block", "g").mapInArrow(_searcher(words / total, k), "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
+    known = F.when(F.col("query_id") != _NO_ID, F.col("query_id")).alias("query_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(known, "rank", "doc_id", "score")
