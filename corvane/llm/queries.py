@@ -144,6 +144,29 @@ def _lloyd_sql(rounds: int = 10, k: int = 8) -> str:
 
 
 ORACLE: dict[str, str] = {
+    "op13_harmonic_runs": r"""
+        WITH d0 AS MATERIALIZED (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+                list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+                    lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)) AS c
+            FROM documents),
+        d1 AS (SELECT doc_id, ws, len(ws) AS n, xor(c, 4294967295) AS h FROM d0),
+        d2 AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN h // 10 % n END AS a FROM d1),
+        d3 AS (SELECT *, CASE WHEN a IS NOT NULL THEN 1 + (n - a) // (3 + h // 10 % 8) END AS q FROM d2),
+        d AS MATERIALIZED (
+            SELECT doc_id, n, row_number() OVER () AS r, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % q END]) END AS w FROM d3),
+        e AS (SELECT r, p, unnest(list_filter(range(0, n - p), lambda i: w[i + 1] = w[i + p + 1])) AS i FROM (SELECT *, unnest(range(1, n // 4 + 1)) AS p FROM d)),
+        s AS (SELECT r, p, min(i) AS start, count(*) + p AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, p ORDER BY i) AS island FROM e) GROUP BY r, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+        run AS MATERIALIZED (SELECT r, start, length, min(p) AS period FROM s GROUP BY ALL),
+        listed AS (
+            SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs,
+                first(struct_pack(start := start, length := length, period := period) ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS best FROM run GROUP BY r),
+        gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM run),
+        word AS (SELECT r, unnest(range(0, n)) AS i, unnest(w) AS x FROM d),
+        kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+            sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+        FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)""",
     "op12_ball_tree_clusters": _lloyd_sql(),
     "op11_sainte_lague_mix": r"""
         WITH d AS (

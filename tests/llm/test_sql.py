@@ -12,7 +12,7 @@ SF = f"{DATA}/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_same_rows(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
         duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = duck.execute(ORACLE[name])
     columns = [d[0] for d in found.description]
