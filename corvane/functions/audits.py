@@ -18,16 +18,25 @@ _TENS = dict(zip("twenty thirty forty fifty sixty seventy eighty ninety".split()
 _CLOSERS = "[\"'\\)\\]”]*"
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _pieces(plain: Column) -> tuple[Column, Column]:
+    """(pieces, ends): stretches up to an end mark each, and the number of pieces up to it where a sentence ends there, else 0."""
+    pieces = F.regexp_extract_all(plain, F.lit(rf"(?s)(.*?[.!?]{_CLOSERS}(?=\s|$))"), 1)
+    token = lambda p: F.lower(F.regexp_extract(p, rf"(\S*\.){_CLOSERS}$", 1))
+    marker = lambda p, k: F.when(k == 0, p.rlike(rf"(?s)(^|\n)[ \t]*\d{{1,3}}\.{_CLOSERS}$")).otherwise(p.rlike(rf"(?s)\n[ \t]*\d{{1,3}}\.{_CLOSERS}$"))
+    return pieces, F.transform(pieces, lambda p, k: F.when(token(p).isin(*ABBREVIATIONS) | marker(p, k), 0).otherwise(k + 1))
+
+
 def trimmed_to_sentence(text: Column) -> Column:
     """Text to its last whole sentence; all of it, stripped, if no sentence ends in it.
 
     A period of an abbreviation, or of a number that starts a line, ends no sentence.
     """
-    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
-    pieces = F.regexp_extract_all(plain, F.lit(rf"(?s)(.*?[.!?]{_CLOSERS}(?=\s|$))"), 1)
-    token = lambda p: F.lower(F.regexp_extract(p, rf"(\S*\.){_CLOSERS}$", 1))
-    marker = lambda p, k: F.when(k == 0, p.rlike(rf"(?s)(^|\n)[ \t]*\d{{1,3}}\.{_CLOSERS}$")).otherwise(p.rlike(rf"(?s)\n[ \t]*\d{{1,3}}\.{_CLOSERS}$"))
-    ends = F.transform(pieces, lambda p, k: F.when(token(p).isin(*ABBREVIATIONS) | marker(p, k), 0).otherwise(k + 1))
+    plain = _stripped(text)
+    pieces, ends = _pieces(plain)
     last = F.array_max(ends)
     return F.when(F.coalesce(last, F.lit(0)) > 0, F.array_join(F.slice(pieces, 1, last), "")).otherwise(plain)
 
@@ -146,9 +155,17 @@ def type_opener(abstract: Column, doc_type: Column, window: int = 6) -> Column:
     and the type's words start within ``window`` words of it with no connecting word
     before them.  A number may follow the last of them behind a hyphen.
     """
-    first = F.regexp_extract(F.trim(abstract), r"(?s)^(.*?)([.!?](\s|$)|$)", 1)
-    said = F.filter(F.transform(F.split(first, r"\s+"), lambda w: F.regexp_replace(w, rf"^[{EDGES}]+|[{EDGES}]+$", "")), lambda w: w != "")
-    low = F.transform(said, F.lower)
+    place = _let(first_sentence(abstract), lambda first: _opener_place(first, doc_type, window))
+    return _let(place, lambda p: F.when(p.isNotNull(), F.struct(p["verb"].alias("verb"), p["surface"].alias("surface"))))
+
+
+def _opener_place(first: Column, doc_type: Column, window: int = 6) -> Column:
+    """``type_opener`` of a first sentence with the words' places: (verb, surface, at, first, words), the verb's, the type's first and how many; words without letters do not count."""
+    words = F.filter(F.transform(F.split(first, r"\s+"), lambda w: F.regexp_replace(w, rf"^[{EDGES}]+|[{EDGES}]+$", "")), lambda w: w != "")
+    return _let(words, lambda said: _let(F.transform(said, F.lower), lambda low: _classified(said, low, doc_type, window)))
+
+
+def _classified(said: Column, low: Column, doc_type: Column, window: int) -> Column:
     word = lambda k: F.get(low, k)
     phrase = F.regexp_replace(F.regexp_replace(F.lower(doc_type), "_+", " "), "^ | $", "")
     spelled = F.element_at(F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair]), F.lower(doc_type))
@@ -168,10 +185,85 @@ def type_opener(abstract: Column, doc_type: Column, window: int = 6) -> Column:
     pair = lambda k: word(k).isin(*VERBS_AS) & (word(k + 1) == "as")
     verbs = F.filter(F.sequence(F.lit(2), F.greatest(F.size(low) - 1, F.lit(2))), lambda k: F.coalesce(word(k).isin(*VERBS) | pair(k), F.lit(False)))
     after = lambda k: F.when(F.coalesce(pair(k), F.lit(False)), k + 2).otherwise(k + 1)
-    found = F.transform(verbs, lambda k: F.struct(F.array_join(F.slice(low, k + 1, after(k) - k), " ").alias("verb"), complement(after(k)).alias("c")))
+    found = F.transform(verbs, lambda k: F.struct(k.alias("at"), F.array_join(F.slice(low, k + 1, after(k) - k), " ").alias("verb"), complement(after(k)).alias("c")))
     hit = F.get(F.filter(found, lambda f: f["c"].isNotNull()), F.lit(0))
     frame = word(F.lit(0)).isin("this", "the") & word(F.lit(1)).isin(*SUBJECTS)
-    return F.when(frame & (phrase != "") & hit.isNotNull(), F.struct(hit["verb"].alias("verb"), F.array_join(F.slice(said, hit["c"]["k"] + 1, hit["c"]["n"]), " ").alias("surface")))
+    surface = F.array_join(F.slice(said, hit["c"]["k"] + 1, hit["c"]["n"]), " ")
+    return F.when(frame & (phrase != "") & hit.isNotNull(), F.struct(hit["verb"].alias("verb"), surface.alias("surface"), hit["at"].alias("at"), hit["c"]["k"].alias("first"), hit["c"]["n"].alias("words")))
+
+
+def first_sentence(text: Column) -> Column:
+    """The stripped text's first sentence, all of it if none ends."""
+    plain = _stripped(text)
+    pieces, ends = _pieces(plain)
+    first = F.array_min(F.filter(ends, lambda e: e > 0))
+    return F.when(first.isNotNull(), F.array_join(F.slice(pieces, 1, first), "")).otherwise(plain)
+
+
+#: Words that start a clause about the type (fixed values).
+RELATIVES = ("that", "which")
+
+
+def without_type_opener(abstract: Column, doc_type: Column) -> Column:
+    """The abstract with ``is a <type> that`` cut out of its first sentence: ``This document is a report that lists x`` becomes ``This document lists x``.
+
+    Only where that or which, bare, stands right behind the type, or behind one word in brackets after it; any other
+    abstract stays as it is, as do one without an opener and one of which nothing would be left.  What is before the
+    verb and behind the relative word keeps every character.
+    """
+    edges = lambda w: F.regexp_replace(w, rf"^[{EDGES}]+|[{EDGES}]+$", "")
+
+    def cut(first: Column, found: Column) -> Column:
+        # Words with the space behind them; put together again they are the sentence.
+        def at(raw: Column) -> Column:
+            words = F.filter(F.transform(raw, lambda w, i: F.struct(i.alias("i"), F.lower(edges(F.rtrim(w))).alias("low"))), lambda w: w["low"] != "")
+
+            def site(words: Column) -> Column:
+                """(verb, rest): the raw places of the verb and of what follows the relative word."""
+                bare = lambda k: F.regexp_replace(F.get(raw, F.get(words, k)["i"]), r"\s+$", "")
+                end = found["first"] + found["words"]
+                behind = F.when(F.coalesce(bare(end).rlike(r"(?s)^\(.*\)$"), F.lit(False)), end + 1).otherwise(end)
+                return F.when(F.lower(bare(behind)).isin(*RELATIVES), F.struct(F.get(words, found["at"])["i"].alias("verb"), (F.get(words, behind)["i"] + 1).alias("rest")))
+
+            def joined(s: Column) -> Column:
+                head = F.regexp_replace(F.array_join(F.slice(raw, 1, s["verb"]), ""), r"\s+$", "")
+                tail = F.regexp_replace(F.array_join(F.slice(raw, s["rest"] + 1, F.size(raw)), ""), r"^\s+", "")
+                return F.when((head != "") & (tail != ""), F.concat(head, F.lit(" "), tail))
+
+            return _let(_let(words, site), lambda s: F.when(s.isNotNull(), joined(s)))
+
+        return _let(F.regexp_extract_all(first, F.lit(r"(\S+\s*)"), 1), at)
+
+    first = first_sentence(abstract)
+    made = _let(first, lambda f: _let(_opener_place(f, doc_type), lambda found: F.when(found.isNotNull(), cut(f, found))))
+    rest = F.substring(_stripped(abstract), F.length(first) + 1, F.length(abstract))
+    spliced = F.concat(F.regexp_extract(abstract, r"^\s*", 0), made, rest, F.regexp_extract(abstract, r"\s*$", 0))
+    return F.when(made.isNotNull(), spliced).otherwise(abstract)
+
+
+#: Identifiers, counts of a file's parts, and ranges of identifiers (fixed values).
+IDENTIFIER = r"\b(?:item\d{4,12}|[A-Z]{1,10}-\d{2,12})\b"
+STRUCTURE = (
+    r"\b(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten)\s+(?:(?:sampled|inspected)\s+)?(?:records?|rows?|columns?|fields?|departments?|sentences?)\b"
+    r"|\b(?:column|field)\s*:?\s*\d+\b"
+)
+RANGE = r"\bitem\d{4,12}\s+(?:through|to)\s+([A-Za-z][A-Za-z0-9_-]*)\b"
+
+
+def recorded_findings(candidate: Column, authored: Column) -> Column:
+    """Names of the rules that a candidate breaks against what was written, in fixed order.
+
+    ``unsupported_identifier``: it has an identifier that the authored text has not, letter for letter.
+    ``bounded_structure``: it counts or numbers records, rows, columns and the like.  ``range_role``: it has a range, ``item0001 to x``,
+    whose end is no identifier and which the authored text has not word for word.  Nulls are empty texts.
+    """
+    text, source = F.coalesce(candidate, F.lit("")), F.coalesce(authored, F.lit(""))
+    all_of = lambda c, pattern, group=0: F.regexp_extract_all(c, F.lit(f"(?i){pattern}"), F.lit(group))
+    foreign = F.size(F.array_except(all_of(text, IDENTIFIER), all_of(source, IDENTIFIER))) > 0
+    ranges = F.zip_with(all_of(text, RANGE), all_of(text, RANGE, 1), lambda whole, end: F.struct(whole.alias("whole"), end.alias("end")))
+    role = F.exists(ranges, lambda r: ~source.contains(r["whole"]) & ~r["end"].rlike(f"(?i)^(?:{IDENTIFIER})$"))
+    rules = {"unsupported_identifier": foreign, "bounded_structure": text.rlike(f"(?i){STRUCTURE}"), "range_role": role}
+    return F.array_compact(F.array(*[F.when(broken, name) for name, broken in rules.items()]))
 
 
 def unsupported_identifiers(text: Column, evidence: Column) -> Column:

@@ -145,6 +145,25 @@ def q13_20_openers(spark, sf_dir):
     return g.documents(spark, sf_dir).select("id", found.alias("f")).select("id", "f.verb", "f.surface")
 
 
+def q13_20_repairs(spark, sf_dir):
+    """First lines of the documents behind openers of several shapes, and what is left of them."""
+    n, said = F.col("n"), F.regexp_replace("semantic_abstract", "[.!?]", ",")
+    opener = F.concat(F.lit("This document "), F.when(n % 3 == 0, "serves as").otherwise("is"), F.lit(" a short "), "doc_type", F.when(n % 4 == 1, " (its-12)").when(n % 4 == 2, " of weight").otherwise(""))
+    text = F.concat(F.lit(" "), opener, F.when(n % 5 == 0, ", which ").when(n % 5 == 1, " which ").otherwise(" that "), F.lit("lists "), said, F.lit(". It is e.g. this. "))
+    rows = g.documents(spark, sf_dir).where("semantic_abstract is not null").select("id", "doc_type", text.alias("text"))
+    return rows.select("id", F.md5(audits.without_type_opener(F.col("text"), F.col("doc_type"))).alias("digest"))
+
+
+def q13_21_recorded(spark, sf_dir):
+    """Every turn of the conversations with a closing remark against the turn before it."""
+    t, c = F.col("turn"), F.col("conv_id")
+    end = F.when((c + t) % 4 == 0, " See AB-12 to CD-3.").when((c + t) % 4 == 1, " It has two sampled rows, item0012 to end.").when((c + t) % 4 == 2, " ab-12, column: 7 and Item0012 through item0019.").otherwise("")
+    said = F.concat(F.coalesce("text", F.lit("")), end)
+    before = F.lag("said").over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
+    rows = g.table(spark, sf_dir, "conversations").withColumn("said", said).withColumn("before", before)
+    return rows.select("conv_id", "turn", F.array_join(audits.recorded_findings(F.col("said"), F.col("before")), ",").alias("findings"))
+
+
 def q13_21_findings(spark, sf_dir):
     n = F.col("n")
     text, evidence = F.concat(F.lit("see AB-12 and CD_7"), F.when(n % 3 == 0, " or EF-9").otherwise("")), F.when(n % 2 == 0, "AB-12, CD_7 stand").otherwise("CD_7")
@@ -200,6 +219,16 @@ ORACLE = {
     "q13_19_cardinals": with_tables("""x AS (SELECT id, n, CAST(n % 3 + 1 AS INTEGER) AS c, CASE n % 4 WHEN 1 THEN 3 WHEN 2 THEN 9 WHEN 3 THEN 21 END AS v, CASE n % 4 WHEN 1 THEN 'three' WHEN 2 THEN '9' WHEN 3 THEN 'twenty-one' END AS w FROM d WHERE n % 7 <> 0),
       y AS (SELECT *, v <= c OR v = 9 AND n % 5 = 0 AS said FROM x WHERE v IS NOT NULL) SELECT id, w || ' turns' AS surface, v AS value, c AS derived, said AS attested FROM y WHERE v <> c OR NOT said""", D),
     "q13_20_openers": with_tables("SELECT id, CASE WHEN n % 2 = 0 AND n % 3 <> 0 THEN 'is' END AS verb, CASE WHEN n % 2 = 0 AND n % 3 <> 0 THEN doc_type || '-12' END AS surface FROM d", D),
+    "q13_20_repairs": with_tables("""x AS (SELECT id, n, doc_type, 'lists ' || regexp_replace(semantic_abstract, '[.!?]', ',', 'g') || '. It is e.g. this. ' AS tail,
+        'a short ' || doc_type || CASE n % 4 WHEN 1 THEN ' (its-12)' WHEN 2 THEN ' of weight' ELSE '' END || CASE n % 5 WHEN 0 THEN ', which ' WHEN 1 THEN ' which ' ELSE ' that ' END AS class FROM d WHERE semantic_abstract IS NOT NULL)
+      SELECT id, md5(' This document ' || CASE WHEN n % 4 <> 2 AND (n % 5 <> 0 OR n % 4 <> 1) THEN '' ELSE CASE WHEN n % 3 = 0 THEN 'serves as ' ELSE 'is ' END || class END || tail) AS digest FROM x""", D),
+    "q13_21_recorded": r"""WITH s AS (SELECT *, coalesce(text, '') || CASE (conv_id + turn) % 4 WHEN 0 THEN ' See AB-12 to CD-3.' WHEN 1 THEN ' It has two sampled rows, item0012 to end.' WHEN 2 THEN ' ab-12, column: 7 and Item0012 through item0019.' ELSE '' END AS said FROM conversations),
+      b AS (SELECT *, coalesce(lag(said) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST), '') AS before FROM s),
+      i AS (SELECT *, regexp_extract_all(said, '(?i)\b(?:item\d{4,12}|[A-Z]{1,10}-\d{2,12})\b') AS own, regexp_extract_all(before, '(?i)\b(?:item\d{4,12}|[A-Z]{1,10}-\d{2,12})\b') AS old,
+        regexp_extract_all(said, '(?i)\bitem\d{4,12}\s+(?:through|to)\s+([A-Za-z][A-Za-z0-9_-]*)\b') AS spans FROM b)
+      SELECT conv_id, turn, concat_ws(',', CASE WHEN len(list_filter(own, lambda x: NOT list_contains(old, x))) > 0 THEN 'unsupported_identifier' END,
+        CASE WHEN regexp_matches(said, '(?i)\b(?:\d+|one|two|three|four|five|six|seven|eight|nine|ten)\s+(?:(?:sampled|inspected)\s+)?(?:records?|rows?|columns?|fields?|departments?|sentences?)\b|\b(?:column|field)\s*:?\s*\d+\b') THEN 'bounded_structure' END,
+        CASE WHEN len(list_filter(spans, lambda x: NOT contains(before, x) AND NOT regexp_matches(x, '(?i)\s(?:item\d{4,12}|[A-Z]{1,10}-\d{2,12})$'))) > 0 THEN 'range_role' END) AS findings FROM i""",
     "q13_21_findings": with_tables("""x AS (SELECT id, n, concat_ws(',', CASE WHEN n % 2 <> 0 THEN 'AB-12' END, CASE WHEN n % 3 = 0 THEN 'EF-9' END) AS i FROM d)
       SELECT id, i AS identifiers, concat_ws(',', CASE WHEN i <> '' THEN 'unsupported_identifier' END, CASE WHEN n % 5 = 0 THEN 'bounded_structure' END) AS findings FROM x""", D),
 }

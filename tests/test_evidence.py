@@ -103,6 +103,32 @@ def test_openers(spark):
         assert (tuple(got[k]) if got[k] else None) == want, text
 
 
+REPAIRS = [  # text, type, what is left
+    ("This document is a report that lists x. It is y.", "report", "This document lists x. It is y."), ("  The file serves as an ADR (ADR-1) which says  no.\n", "adr", "  The file says  no.\n"),
+    ("This text describes a design note, which grew.", "design_note", "This text grew."), ("This document is a report, that, so to say, is x.", "report", None), ("This document is a report on x that is y.", "report", None),
+    ("This document is a report (a b) that is y.", "report", None), ("This document is a report that", "report", None), ("This document is a report.", "report", None), ("A report that lists x.", "report", None),
+    ("This document, e.g. mine, is \"the\" — new REPORT THAT shows it.", "report", "This document, e.g. mine, shows it."), ("This document is new. It is a report that is x.", "report", None), ("", "report", None), (None, "report", None), ("This document is a report that x.", None, None),
+]
+
+
+def test_repaired_openers(spark):
+    rows = spark.createDataFrame([(k, t, d) for k, (t, d, _) in enumerate(REPAIRS)], "k int, t string, d string")
+    got = {r["k"]: r["left"] for r in rows.select("k", audits.without_type_opener(F.col("t"), F.col("d")).alias("left")).collect()}
+    for k, (text, _, want) in enumerate(REPAIRS):
+        assert got[k] == (text if want is None else want), text
+
+
+def test_recorded_findings(spark):
+    cases = [
+        ("AB-12 is old", "AB-12", []), ("ab-12 is old", "AB-12", ["unsupported_identifier"]), ("x AB-1", "", []), ("Three inspected  rows", None, ["bounded_structure"]), ("field: 3", "", ["bounded_structure"]), ("threerows", "", []),
+        ("item0001 through end", "item0001", ["range_role"]), ("item0001 to end", "item0001 to end", []), ("item0001 to item0002", "item0001 item0002", []), (None, None, []), ("", "AB-12", []),
+        ("item12345 TO Cd-77x, 10 columns", "", ["unsupported_identifier", "bounded_structure", "range_role"]),
+    ]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b, _) in enumerate(cases)], "k int, a string, b string")
+    got = {r["k"]: r["f"] for r in rows.select("k", audits.recorded_findings(F.col("a"), F.col("b")).alias("f")).collect()}
+    assert [got[k] for k in range(len(cases))] == [want for _, _, want in cases]
+
+
 def spell(n):
     units = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
     tens = "x x twenty thirty forty fifty sixty seventy eighty ninety".split()
