@@ -9,6 +9,7 @@ from ..functions import text as t
 from ..operators import evaluation, graph, inference, lifecycle, passages, search, selection
 from ..plans.oracle_tables import D, E, P, V, with_tables
 from ..sources import graph_tables as g
+from ..streaming import feeds
 from . import _indexes
 from .keyword import keyword_arm
 
@@ -148,6 +149,28 @@ def q11_9_timing_windows(spark, sf_dir):
     return events.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.max("value"), 6).alias("most")).select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "most")
 
 
+def _measured(spark, sf_dir):
+    return g.table(spark, sf_dir, "events").select("ts", (F.col("user_id") % 5).cast("string").alias("layer"), F.col("event_type").alias("label"), F.col("value").alias("duration"))
+
+
+def q11_9_summaries(spark, sf_dir):
+    found = feeds.summaries(_measured(spark, sf_dir), 5.0, 40.0)
+    return found.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "layer", "label", "n", "suppressed", "warned", "longest")
+
+
+def q11_9_emitted(spark, sf_dir):
+    return feeds.emitted(_measured(spark, sf_dir), 5.0, 40.0).groupBy("layer", "label", "level").agg(F.count("*").alias("n"), F.min("duration").alias("least"), F.max("duration").alias("most"))
+
+
+def q11_9_sketched(spark, sf_dir):
+    """Minutes rolled up by label: the exact p95 by nearest rank, and whether that of the merged sketches is within a hundredth of its rank."""
+    rows = _measured(spark, sf_dir)
+    rolled = feeds.rolled_up(feeds.summaries(rows, 5.0, 40.0), ["label"]).withColumn("near", F.get("quantiles", F.lit(1)))
+    at = rows.where("ts is not null and duration is not null").join(rolled.select("label", "near"), "label").groupBy("label").agg(F.avg((F.col("duration") < F.col("near")).cast("int")).alias("below"), F.avg((F.col("duration") <= F.col("near")).cast("int")).alias("upto"))
+    exact = evaluation.latency(rows.where("ts is not null"), "label", "duration").select("label", "p95_nearest")
+    return rolled.join(at, "label").join(exact, "label").select("label", "n", "suppressed", "warned", "longest", "p95_nearest", ((F.col("below") <= 0.96) & (F.col("upto") >= 0.94)).alias("sketch_is_near"))
+
+
 def q10_1_lifecycle(spark, sf_dir):
     docs = _light(spark, sf_dir)
     action = F.element_at(F.array(*[F.lit(a) for a in ("archive", "reactivate", "supersede", "vanish")]), (F.col("n") % 4 + 1).cast("int"))
@@ -328,6 +351,11 @@ ORACLE = {
     "q18_1_overlap": with_tables(f"{_R} SELECT q AS query, count(*) FILTER (r1 <= 5 AND r2 <= 5) / 5.0 AS overlap FROM r GROUP BY q", D),
     "q18_9_latency": """SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95_interpolated,
       list_sort(list(value))[CAST(ceil(count(*) * 0.95) AS INTEGER)] AS p95_nearest FROM events WHERE value IS NOT NULL GROUP BY 1""",
+    "q11_9_summaries": """SELECT strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M:%S') AS start, CAST(user_id % 5 AS VARCHAR) AS layer, event_type AS label, count(*) AS n, count(*) FILTER (value < 5) AS suppressed, count(*) FILTER (value > 40) AS warned, max(value) AS longest
+      FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1, 2, 3""",
+    "q11_9_emitted": "SELECT CAST(user_id % 5 AS VARCHAR) AS layer, event_type AS label, CASE WHEN value > 40 THEN 'WARNING' ELSE 'DEBUG' END AS level, count(*) AS n, min(value) AS least, max(value) AS most FROM events WHERE value >= 5 GROUP BY 1, 2, 3",
+    "q11_9_sketched": """SELECT event_type AS label, count(*) AS n, count(*) FILTER (value < 5) AS suppressed, count(*) FILTER (value > 40) AS warned, max(value) AS longest, list_sort(list(value))[CAST(ceil(count(*) * 0.95) AS INTEGER)] AS p95_nearest, TRUE AS sketch_is_near
+      FROM events WHERE ts IS NOT NULL AND value IS NOT NULL GROUP BY 1""",
     "q11_9_timing_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n, round(max(value), 6) AS most FROM events GROUP BY 1, 2",
     "q10_1_lifecycle": with_tables("""tr(f, a, t, c) AS (VALUES ('(new)', 'ingest', 'active', FALSE), ('active', 'supersede', 'archived', TRUE), ('active', 'archive', 'archived', FALSE), ('active', 'complete', 'completed', FALSE), ('completed', 'archive', 'archived', FALSE),
         ('archived', 'reactivate', 'active', FALSE), ('active', 'relocate', 'relocated', FALSE), ('completed', 'relocate', 'relocated', FALSE)),
