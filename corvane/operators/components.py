@@ -23,10 +23,16 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether edges (a, b) are whole stars: every a has one b, and no b is an a.  Such edges are their own components."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("centre")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("centre")))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).where("out > 1 or (out = 1 and centre = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 
-    Large-star and small-star steps alternate until nothing changes, which takes
+    Large-star and small-star steps alternate until only whole stars are left, which takes
     about log(n) rounds of aggregations and joins on narrow rows; a round writes
     its table once, and the one before goes.  A hub's neighbours are aggregated
     before the shuffle and never gathered; its rows, joined with one row, may be
@@ -34,13 +40,23 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
     state = materialize(_star(_star(pairs, True), False), "components")
-    before = None
-    while True:
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before or not now[0]:
-            break
-        before, last = now, state
+    while not _stars(state):
+        last = state
         state = materialize(_star(_star(state, True), False), "components")
         discard(last)
     members = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())
+
+
+def joined_components(labels: DataFrame, links: DataFrame, a: str, b: str, few: int = 1_000_000) -> DataFrame:
+    """``connected_components`` of the edges behind ``labels`` and further links: only components that links touch are worked on.
+
+    Links are written tables; ends without a label are components of their own.  What changes is
+    broadcast up to ``few`` counted components and joined by a shuffle beyond.
+    """
+    one = lambda end: labels.select(F.col("node").alias(end), F.col("component").alias(f"{end}_of"))
+    ends = links.select(F.col(a).alias("x"), F.col(b).alias("y")).join(one("x"), "x", "left").join(one("y"), "y", "left")
+    moved = connected_components(ends.select(F.coalesce("x_of", "x").alias("x"), F.coalesce("y_of", "y").alias("y")), "x", "y")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("root"))
+    old = labels.join(F.broadcast(to) if to.count() <= few else to, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return old.unionByName(moved.join(labels.select("node"), "node", "left_anti"))
