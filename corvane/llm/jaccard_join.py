@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.components import connected_components
+from ..operators.components import connected_components, joined_components
 from ._shared import discard, materialize, ranges, release, slices
 from ._words import WordColumn
 
@@ -643,8 +643,8 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
     near = rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_to_centres(bands), "a long, b long, far long")
     first = materialize(near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", "m.b"), "pairs")
     edges = materialize(verified(first, sets, bands), "edges")
+    labels = connected_components(edges, "a", "b")
     for every in (False, True):
-        labels = connected_components(edges, "a", "b")
         met = _tiled(rows, labels).mapInArrow(_across(bands, every), "ca long, cb long, far long, a long, b long, more int")
         one = F.struct("far", "a", "b")
         if every:
@@ -653,10 +653,11 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
             best = met.groupBy("ca", "cb").agg(F.min(one).alias("m"), F.max(one).alias("w"), F.max("more").alias("more"))
             pairs = best.select("m.a", "m.b", F.when(F.col("m") != F.col("w"), 1).otherwise(F.col("more")).alias("more"))
         pairs = materialize(pairs, "pairs")
-        edges = materialize(edges.unionByName(verified(pairs.select("a", "b"), sets, bands)), "edges")
+        links = materialize(verified(pairs.select("a", "b"), sets, bands), "edges")
+        if not links.isEmpty():
+            labels = joined_components(labels, links, "a", "b", _FEW)
         if pairs.where("more > 0").isEmpty():
             break
-    labels = connected_components(edges, "a", "b")
     grouped = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
     named = grouped.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
