@@ -1,7 +1,9 @@
 """Keyword queries by hand: words, phrases, OR, exclusions, folding, and advice."""
 
+import pyarrow as pa
 import pytest
 
+from corvane.functions.stem import stem_array, stem_word
 from corvane.operators import keyword, keyword_index
 
 PASSAGES = [
@@ -96,3 +98,42 @@ def test_parse_and_advice():
     assert q.branches == [[("state", "of"), ("plan",)], [("note",)]] and q.excluded == [("draft",)] and q.dropped == ["the"]
     assert keyword.forms("red-team PlanPort")[1] == "red team Plan Port" and keyword.forms("plain words")[1] is None
     assert keyword.advice("fox", 3) == [] and keyword.advice("the", 0) == ["only common words: the"]
+
+
+def _shuffled(spark):
+    """Bytes that all stages so far wrote for shuffles."""
+    rows = spark._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), spark._jvm.java.util.ArrayList())
+    return sum(s.shuffleWriteBytes() for s in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(rows))
+
+
+def test_an_index_is_built_without_dealing_its_words(spark):
+    """Occurrences are grouped where they are read; only the lexicon's counts are shuffled."""
+    rows = spark.range(400).selectExpr("concat('d', id) document_id", "0 chunk_index", "concat_ws(' ', transform(sequence(1, 500), k -> concat('w', k * (id + 7) % 97))) content").repartition(2).localCheckpoint()
+    before = _shuffled(spark)
+    index = keyword_index.build(rows, spark.createDataFrame([], "document_id string, matchable string, orienting string"))
+    assert _shuffled(spark) - before < 20_000
+    assert index.postings.selectExpr("sum(hits)", "sum(size(positions))").first()[:] == (200_000, 200_000)
+
+
+def test_runs_are_sorted_and_whole(monkeypatch):
+    """Units of several runs, one without words, one whose last words only rank."""
+    monkeypatch.setattr(keyword_index, "RUN", 6)
+    units = [("a", 0, "dogs fox dog", 9), ("b", 1, "", 9), ("c", None, "fox bears fox dog", 2), ("d", 0, "fox", 9)]
+    batch = pa.RecordBatch.from_arrays([pa.array([u[k] for u in units], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32()))], ["document_id", "chunk_index", "said", "own"])
+    runs = [r for b in (batch.slice(0, 3), batch.slice(3)) for r in keyword_index._runs(iter([b]))]
+    got = [[tuple(r.values()) for r in run.to_pylist()] for run in runs]
+    assert got == [
+        [("bear", "c", None, [1], 1), ("dog", "a", 0, [0, 2], 2), ("dog", "c", None, [], 1), ("fox", "a", 0, [1], 1), ("fox", "c", None, [0], 2)],
+        [("fox", "d", 0, [0], 1)],
+    ]
+
+
+def test_stems_of_arrays():
+    said = [*"generously communism dying ties flies agreed hopping fizzed toy happy geologi fluently us y ab12s adoption formative enjoyed boyish earrings sky".split(), "", "controll", "a" * 40 + "ement"]
+    assert stem_array(pa.array(said)).to_pylist() == [stem_word(w) for w in said]
+
+
+def test_lexemes_batch_by_batch(spark):
+    rows = spark.createDataFrame([("The quick Foxes' policies, 12 dogs!",), ("",), (None,), ("-- ",), ("Running-classes running",)], "t string").repartition(2)
+    both = rows.select(keyword.lexemes(rows.t).alias("a"), keyword.lexemes_of(rows.t).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and sum(len(r["b"]) for r in both) == 9
