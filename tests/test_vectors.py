@@ -77,3 +77,12 @@ def test_two_arms(spark):
     for query in ([1.0] * DIM, rows[7][-1]):
         want = sorted(map(tuple, search.vector_search(vectors, query, 12, 30).collect()))
         assert sorted(map(tuple, search.vector_hits(*arms, vectors, query, 12, 30, probes=1).collect())) == want
+
+
+def test_sample_is_that_of_smallest_hashes(spark):
+    """A cut by a limit on hashes first, not by every task's own first rows."""
+    rows = vector_index.directed(frame(spark, cloud(3_000)).repartition(7), DIM)
+    want = [r["v"] for r in rows.selectExpr("v", "xxhash64(vec_id, v) h", "vec_id").orderBy("h", "vec_id").limit(50).collect()]
+    assert np.allclose(vector_index._sampled(rows, 3_000, DIM, 50), [np.array(v) / np.linalg.norm(v) for v in want])
+    # A share that turns out too small grows; a sample larger than the table is the table.
+    assert len(vector_index._sampled(rows, 300_000, DIM, 50)) == 50 and len(vector_index._sampled(rows, 3_000, DIM, 5_000)) == 3_000
