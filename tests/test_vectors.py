@@ -1,6 +1,7 @@
 """The vector index against a search through all rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.operators import search, vector_index
@@ -86,3 +87,25 @@ def test_sample_is_that_of_smallest_hashes(spark):
     assert np.allclose(vector_index._sampled(rows, 3_000, DIM, 50), [np.array(v) / np.linalg.norm(v) for v in want])
     # A share that turns out too small grows; a sample larger than the table is the table.
     assert len(vector_index._sampled(rows, 300_000, DIM, 50)) == 50 and len(vector_index._sampled(rows, 3_000, DIM, 5_000)) == 3_000
+
+
+class _Taken:
+    """Stands for a table and keeps the function that would run over it."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+@pytest.mark.parametrize("deal", [vector_index._probes, vector_index._others])
+def test_queries_are_dealt_to_lists_in_small_batches(deal):
+    """Every query may ask every list: copies of its vector leave the task in bounded batches."""
+    rng = np.random.default_rng(3)
+    index = vector_index.VectorIndex(None, vector_index._units(rng.normal(size=(40, DIM))), np.full(40, 3.0))
+    q = pa.ListArray.from_arrays(pa.array(np.arange(0, 1000 * DIM + 1, DIM), pa.int32()), pa.array(rng.normal(size=1000 * DIM)))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(1000)), q, pa.array(np.full(1000, -2.0))], ["query_id", "q", "kth"])
+    probes = 40 if deal is vector_index._probes else 0
+    made = list(deal(index, _Taken(), probes).run(iter([batch])))
+    assert max(b.num_rows for b in made) <= 40 * vector_index.DEALT
+    assert sum(b.num_rows for b in made) == 40_000 and {tuple(r) for b in made for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())} == {(i, j) for i in range(40) for j in range(1000)}
+    assert all(b.column(2)[0].as_py() == q[b.column(1)[0].as_py()].as_py() for b in made)
