@@ -22,12 +22,16 @@ def _stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def _pieces(plain: Column) -> tuple[Column, Column]:
-    """(pieces, ends): stretches up to an end mark each, and the number of pieces up to it where a sentence ends there, else 0."""
-    pieces = F.regexp_extract_all(plain, F.lit(rf"(?s)(.*?[.!?]{_CLOSERS}(?=\s|$))"), 1)
+def _stretches(plain: Column) -> Column:
+    """Stretches of a text up to an end mark each."""
+    return F.regexp_extract_all(plain, F.lit(rf"(?s)(.*?[.!?]{_CLOSERS}(?=\s|$))"), 1)
+
+
+def _ends(pieces: Column) -> Column:
+    """For each stretch the number of them up to it where a sentence ends there, else 0."""
     token = lambda p: F.lower(F.regexp_extract(p, rf"(\S*\.){_CLOSERS}$", 1))
     marker = lambda p, k: F.when(k == 0, p.rlike(rf"(?s)(^|\n)[ \t]*\d{{1,3}}\.{_CLOSERS}$")).otherwise(p.rlike(rf"(?s)\n[ \t]*\d{{1,3}}\.{_CLOSERS}$"))
-    return pieces, F.transform(pieces, lambda p, k: F.when(token(p).isin(*ABBREVIATIONS) | marker(p, k), 0).otherwise(k + 1))
+    return F.transform(pieces, lambda p, k: F.when(token(p).isin(*ABBREVIATIONS) | marker(p, k), 0).otherwise(k + 1))
 
 
 def trimmed_to_sentence(text: Column) -> Column:
@@ -35,10 +39,10 @@ def trimmed_to_sentence(text: Column) -> Column:
 
     A period of an abbreviation, or of a number that starts a line, ends no sentence.
     """
-    plain = _stripped(text)
-    pieces, ends = _pieces(plain)
-    last = F.array_max(ends)
-    return F.when(F.coalesce(last, F.lit(0)) > 0, F.array_join(F.slice(pieces, 1, last), "")).otherwise(plain)
+    def of(plain: Column) -> Column:
+        return _let(_stretches(plain), lambda pieces: _let(F.array_max(_ends(pieces)), lambda last: F.when(F.coalesce(last, F.lit(0)) > 0, F.array_join(F.slice(pieces, 1, last), "")).otherwise(plain)))
+
+    return _let(_stripped(text), of)
 
 
 def _normal(text: Column) -> Column:
@@ -167,37 +171,43 @@ def _opener_place(first: Column, doc_type: Column, window: int = 6) -> Column:
 
 def _classified(said: Column, low: Column, doc_type: Column, window: int) -> Column:
     word = lambda k: F.get(low, k)
-    phrase = F.regexp_replace(F.regexp_replace(F.lower(doc_type), "_+", " "), "^ | $", "")
+    plain = F.regexp_replace(F.regexp_replace(F.lower(doc_type), "_+", " "), "^ | $", "")
     spelled = F.element_at(F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair]), F.lower(doc_type))
+    typed = lambda words: F.struct(words.alias("words"), F.size(F.split(words, " ")).alias("n"))
+    pair = lambda k: word(k).isin(*VERBS_AS) & (word(k + 1) == "as")
+    after = lambda k: F.when(F.coalesce(pair(k), F.lit(False)), k + 2).otherwise(k + 1)
 
-    def stands(k: Column, words: Column) -> Column:
-        n = F.size(F.split(words, " "))
-        return (k + n <= F.size(low)) & (F.regexp_replace(F.array_join(F.slice(low, k + 1, n), " "), r"-\d+$", "") == words)
+    def stands(k: Column, t: Column) -> Column:
+        return (k + t["n"] <= F.size(low)) & (F.regexp_replace(F.array_join(F.slice(low, k + 1, t["n"]), " "), r"-\d+$", "") == t["words"])
 
-    def complement(start: Column) -> Column:
+    def complement(start: Column, own: Column, other: Column) -> Column:
         """(first word, words) of the type after a verb that ends before ``start``."""
         near = F.filter(F.sequence(start, start + window - 1), lambda k: k < F.size(low))
-        ends = F.coalesce(F.array_min(F.filter(near, lambda k: word(k).isin(*BREAKS))), F.lit(1 << 30))
-        fits = lambda words: F.array_min(F.filter(near, lambda k: (k < ends) & stands(k, words)))
-        own, other = fits(phrase), fits(spelled)
-        return F.when(own.isNotNull() & (other.isNull() | (own <= other)), F.struct(own.alias("k"), F.size(F.split(phrase, " ")).alias("n"))).when(other.isNotNull(), F.struct(other.alias("k"), F.size(F.split(spelled, " ")).alias("n")))
+        before = lambda near: _let(F.coalesce(F.array_min(F.filter(near, lambda k: word(k).isin(*BREAKS))), F.lit(1 << 30)), lambda ends: F.filter(near, lambda k: k < ends))
+        first = lambda near, t: F.array_min(F.filter(near, lambda k: stands(k, t)))
+        either = lambda at: F.when(at["own"].isNotNull() & (at["other"].isNull() | (at["own"] <= at["other"])), F.struct(at["own"].alias("k"), own["n"].alias("n"))).when(at["other"].isNotNull(), F.struct(at["other"].alias("k"), other["n"].alias("n")))
+        return _let(_let(near, before), lambda some: _let(F.struct(first(some, own).alias("own"), first(some, other).alias("other")), either))
+
+    def found(own: Column, other: Column) -> Column:
+        verbs = F.filter(F.sequence(F.lit(2), F.greatest(F.size(low) - 1, F.lit(2))), lambda k: F.coalesce(word(k).isin(*VERBS) | pair(k), F.lit(False)))
+        ends = F.transform(verbs, lambda k: F.struct(k.alias("at"), after(k).alias("end")))
+        made = F.transform(ends, lambda v: F.struct(v["at"].alias("at"), F.array_join(F.slice(low, v["at"] + 1, v["end"] - v["at"]), " ").alias("verb"), complement(v["end"], own, other).alias("c")))
+        return _let(F.get(F.filter(made, lambda f: f["c"].isNotNull()), F.lit(0)), lambda hit: result(hit, own))
+
+    def result(hit: Column, own: Column) -> Column:
+        surface = F.array_join(F.slice(said, hit["c"]["k"] + 1, hit["c"]["n"]), " ")
+        return F.when((own["words"] != "") & hit.isNotNull(), F.struct(hit["verb"].alias("verb"), surface.alias("surface"), hit["at"].alias("at"), hit["c"]["k"].alias("first"), hit["c"]["n"].alias("words")))
 
-    pair = lambda k: word(k).isin(*VERBS_AS) & (word(k + 1) == "as")
-    verbs = F.filter(F.sequence(F.lit(2), F.greatest(F.size(low) - 1, F.lit(2))), lambda k: F.coalesce(word(k).isin(*VERBS) | pair(k), F.lit(False)))
-    after = lambda k: F.when(F.coalesce(pair(k), F.lit(False)), k + 2).otherwise(k + 1)
-    found = F.transform(verbs, lambda k: F.struct(k.alias("at"), F.array_join(F.slice(low, k + 1, after(k) - k), " ").alias("verb"), complement(after(k)).alias("c")))
-    hit = F.get(F.filter(found, lambda f: f["c"].isNotNull()), F.lit(0))
     frame = word(F.lit(0)).isin("this", "the") & word(F.lit(1)).isin(*SUBJECTS)
-    surface = F.array_join(F.slice(said, hit["c"]["k"] + 1, hit["c"]["n"]), " ")
-    return F.when(frame & (phrase != "") & hit.isNotNull(), F.struct(hit["verb"].alias("verb"), surface.alias("surface"), hit["at"].alias("at"), hit["c"]["k"].alias("first"), hit["c"]["n"].alias("words")))
+    return F.when(frame, _let(typed(plain), lambda own: _let(typed(spelled), lambda other: found(own, other))))
 
 
 def first_sentence(text: Column) -> Column:
     """The stripped text's first sentence, all of it if none ends."""
-    plain = _stripped(text)
-    pieces, ends = _pieces(plain)
-    first = F.array_min(F.filter(ends, lambda e: e > 0))
-    return F.when(first.isNotNull(), F.array_join(F.slice(pieces, 1, first), "")).otherwise(plain)
+    def of(plain: Column) -> Column:
+        return _let(_stretches(plain), lambda pieces: _let(F.array_min(F.filter(_ends(pieces), lambda e: e > 0)), lambda first: F.when(first.isNotNull(), F.array_join(F.slice(pieces, 1, first), "")).otherwise(plain)))
+
+    return _let(_stripped(text), of)
 
 
 #: Words that start a clause about the type (fixed values).
@@ -211,34 +221,33 @@ def without_type_opener(abstract: Column, doc_type: Column) -> Column:
     abstract stays as it is, as do one without an opener and one of which nothing would be left.  What is before the
     verb and behind the relative word keeps every character.
     """
-    edges = lambda w: F.regexp_replace(w, rf"^[{EDGES}]+|[{EDGES}]+$", "")
-
     def cut(first: Column, found: Column) -> Column:
         # Words with the space behind them; put together again they are the sentence.
         def at(raw: Column) -> Column:
-            words = F.filter(F.transform(raw, lambda w, i: F.struct(i.alias("i"), F.lower(edges(F.rtrim(w))).alias("low"))), lambda w: w["low"] != "")
+            places = F.filter(F.sequence(F.lit(0), F.size(raw) - 1), lambda i: F.rtrim(F.get(raw, i)).rlike(rf"[^{EDGES}]"))
 
-            def site(words: Column) -> Column:
+            def site(places: Column) -> Column:
                 """(verb, rest): the raw places of the verb and of what follows the relative word."""
-                bare = lambda k: F.regexp_replace(F.get(raw, F.get(words, k)["i"]), r"\s+$", "")
+                bare = lambda k: F.regexp_replace(F.get(raw, F.get(places, k)), r"\s+$", "")
                 end = found["first"] + found["words"]
                 behind = F.when(F.coalesce(bare(end).rlike(r"(?s)^\(.*\)$"), F.lit(False)), end + 1).otherwise(end)
-                return F.when(F.lower(bare(behind)).isin(*RELATIVES), F.struct(F.get(words, found["at"])["i"].alias("verb"), (F.get(words, behind)["i"] + 1).alias("rest")))
+                return F.when(F.lower(bare(behind)).isin(*RELATIVES), F.struct(F.get(places, found["at"]).alias("verb"), (F.get(places, behind) + 1).alias("rest")))
 
             def joined(s: Column) -> Column:
                 head = F.regexp_replace(F.array_join(F.slice(raw, 1, s["verb"]), ""), r"\s+$", "")
                 tail = F.regexp_replace(F.array_join(F.slice(raw, s["rest"] + 1, F.size(raw)), ""), r"^\s+", "")
                 return F.when((head != "") & (tail != ""), F.concat(head, F.lit(" "), tail))
 
-            return _let(_let(words, site), lambda s: F.when(s.isNotNull(), joined(s)))
+            return _let(_let(places, site), lambda s: F.when(s.isNotNull(), joined(s)))
 
         return _let(F.regexp_extract_all(first, F.lit(r"(\S+\s*)"), 1), at)
 
-    first = first_sentence(abstract)
-    made = _let(first, lambda f: _let(_opener_place(f, doc_type), lambda found: F.when(found.isNotNull(), cut(f, found))))
-    rest = F.substring(_stripped(abstract), F.length(first) + 1, F.length(abstract))
-    spliced = F.concat(F.regexp_extract(abstract, r"^\s*", 0), made, rest, F.regexp_extract(abstract, r"\s*$", 0))
-    return F.when(made.isNotNull(), spliced).otherwise(abstract)
+    def spliced(first: Column, made: Column) -> Column:
+        rest = F.substring(_stripped(abstract), F.length(first) + 1, F.length(abstract))
+        return F.when(made.isNotNull(), F.concat(F.regexp_extract(abstract, r"^\s*", 0), made, rest, F.regexp_extract(abstract, r"\s*$", 0))).otherwise(abstract)
+
+    made = lambda first: _let(_opener_place(first, doc_type), lambda found: F.when(found.isNotNull(), cut(first, found)))
+    return _let(first_sentence(abstract), lambda first: _let(made(first), lambda m: spliced(first, m)))
 
 
 #: Identifiers, counts of a file's parts, and ranges of identifiers (fixed values).
