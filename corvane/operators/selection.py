@@ -7,8 +7,9 @@ dealt round robin over the groups (region, field), spread evenly over a group, a
 paid from an equal share of the tokens each; what the shares leave pays for those that
 did not fit their own, in the order of the groups.
 
-Ranks and sums are windows by source or group.  Only excerpts that were dealt out,
-``max_excerpts`` of a source at most, ever meet in one row.
+Texts are dealt by source once; ranks and sums are windows by source or group.  Only
+excerpts that were dealt out, ``max_excerpts`` of a source at most, ever meet in one row,
+and those rows find their texts by source, where they already are.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def select_evidence(facts: DataFrame, max_excerpts: int = 64, max_tokens: int =
     regions and fields are empty ones.
     """
     rows = facts.where("source is not null and trim(coalesce(text, '')) <> ''").select("source", F.coalesce("region", F.lit("")).alias("region"), F.coalesce("field", F.lit("")).alias("field"), "place", "text", F.col("tokens").cast("long"))
-    first = rows.groupBy("source", "text").agg(F.min(F.struct("place", "region", "field", "tokens")).alias("f"), F.count("*").alias("repetitions"))
+    # Texts are dealt by source once; all that follows keeps to that.
+    first = rows.repartition("source").groupBy("source", "text").agg(F.min(F.struct("place", "region", "field", "tokens")).alias("f"), F.count("*").alias("repetitions"))
     by_hash = Window.partitionBy("source").orderBy("hash", "text")
     upto = by_hash.rowsBetween(Window.unboundedPreceding, 0)
     ranked = first.select("source", "text", "f.*", "repetitions", F.sha2("text", 256).alias("hash")).withColumn("k", F.row_number().over(by_hash)).withColumn("bytes", F.sum(F.octet_length("text")).over(upto))
@@ -47,25 +49,23 @@ def select_evidence(facts: DataFrame, max_excerpts: int = 64, max_tokens: int =
         kept.withColumn("at", F.row_number().over(group.orderBy("place", "text")) - 1).withColumn("size", F.count(F.lit(1)).over(group))
         .withColumn("fits", (F.count(F.lit(1)).over(whole) <= max_excerpts) & (F.sum("tokens").over(whole) <= max_tokens))
     )
-    tight = placed.where("not fits")
+    tight = placed.where("not fits").select("source", "region", "field", "at", "tokens", "size")
     # Round robin: the first of every group, then the second of every group, and so on.
-    dealt = tight.withColumn("slot", F.row_number().over(whole.orderBy("at", "region", "field"))).groupBy("source", "region", "field").agg(F.count_if(F.col("slot") <= max_excerpts).alias("slots"), F.first("size").alias("size"))
-    shares = dealt.withColumn("share", F.floor(max_tokens / F.count(F.lit(1)).over(whole))).where("slots > 0")
+    slot = tight.withColumn("slot", F.row_number().over(whole.orderBy("at", "region", "field"))).withColumn("share", F.floor(max_tokens / F.count_if(F.col("at") == 0).over(whole)))
+    dealt = slot.withColumn("slots", F.count_if(F.col("slot") <= max_excerpts).over(group)).where("slots > 0")
     spread = F.when(F.col("slots") >= F.col("size"), F.sequence(F.lit(0), F.col("size").cast("int") - 1)).when(F.col("slots") == 1, F.array(F.floor(F.col("size") / 2).cast("int"))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("slots").cast("int") - 1), lambda i: F.floor(i * (F.col("size") - 1) / (F.col("slots") - 1)).cast("int"))
     )
-    chosen = shares.select("source", "region", "field", "share", F.explode(spread).alias("at")).join(tight.select("source", "region", "field", "at", "tokens"), ["source", "region", "field", "at"])
+    chosen = dealt.where((F.col("slots") >= F.col("size")) | F.array_contains(spread, F.col("at")))
     queues = chosen.groupBy("source", "region", "field").agg(F.first("share").alias("share"), F.sort_array(F.collect_list(F.struct("region", "field", "at", "tokens"))).alias("items"))
     paid = queues.withColumn("kept", _greedy(F.col("items"), F.col("share"))).withColumn("pending", F.array_except("items", "kept"))
     spent = lambda items: F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s + x["tokens"])
     sources = paid.groupBy("source").agg(F.flatten(F.collect_list("kept")).alias("kept"), F.sort_array(F.flatten(F.collect_list("pending"))).alias("pending"))
-    out = sources.withColumn("left", max_tokens - spent(F.col("kept"))).select("source", F.explode(F.concat("kept", _greedy(F.col("pending"), F.col("left")))).alias("x")).select("source", "x.region", "x.field", "x.at")
-    columns = ["source", "region", "field", "place", "text", "tokens", "repetitions"]
-    cut = F.when(F.col("cut"), "candidate_retention")
-    limits = lambda *names: F.array_compact(F.array(*names))
-    return placed.where("fits").select(*columns, limits(cut).alias("limits")).unionByName(
-        tight.join(out, ["source", "region", "field", "at"]).select(*columns, limits(cut, F.lit("selection_budget")).alias("limits"))
-    )
+    taken = F.transform(F.concat("kept", _greedy(F.col("pending"), F.col("left"))), lambda x: F.struct(x["region"].alias("region"), x["field"].alias("field"), x["at"].alias("at")))
+    out = sources.withColumn("left", max_tokens - spent(F.col("kept"))).select("source", taken.alias("taken"))
+    limits = F.array_compact(F.array(F.when(F.col("cut"), "candidate_retention"), F.when(~F.col("fits"), "selection_budget")))
+    joined = placed.join(out, "source", "left").where(F.col("fits") | F.array_contains("taken", F.struct("region", "field", "at")))
+    return joined.select("source", "region", "field", "place", "text", "tokens", "repetitions", limits.alias("limits"))
 
 
 def resolve_abbreviations(short: DataFrame, hashes: DataFrame, least: int = 4) -> DataFrame:
