@@ -86,9 +86,10 @@ def json_records(files: DataFrame) -> DataFrame:
     """Top-level records of JSON and JSON-lines files as text: path, record, text.  A file named .jsonl has a record a line;
     in others an array's members are records, and anything else is one.  What is no JSON is left out.
     """
-    whole = F.try_parse_json(F.col("text"))
+    # Only an array starts with a bracket, behind the spaces that JSON allows.
+    listed = F.ltrim(F.col("text"), F.lit(" \t\n\r")).startswith("[") & F.try_parse_json(F.col("text")).isNotNull()
     lines = F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")
-    rows = F.when(F.lower("path").endswith(".jsonl"), lines).when(F.schema_of_variant(whole).startswith("ARRAY"), F.from_json("text", "array<string>")).otherwise(F.array("text"))
+    rows = F.when(F.lower("path").endswith(".jsonl"), lines).when(listed, F.from_json("text", "array<string>")).otherwise(F.array("text"))
     lines = files.where("text is not null").select("path", F.posexplode(rows).alias("record", "text"))
     return lines.where(F.try_parse_json(F.col("text")).isNotNull())
 
@@ -155,22 +156,30 @@ def facts(records: DataFrame, depth: int = 64, most_nodes: int = 400_000) -> Dat
     row, of kind depth_reached or nodes_reached, and no facts.
     """
     kind = F.schema_of_variant(F.col("v"))
-    nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-    level = materialize(records.select("path", "record", F.lit("").alias("field_path"), F.parse_json(F.col("text")).alias("v")), "facts")
-    done, deep = [level.where(~nested)], None
-    while level.where(nested).limit(1).count():
-        inside = level.where(nested)
+
+    def leveled(rows: DataFrame) -> DataFrame:
+        """Written once with what is asked of it: scalars as strings, only nested values as variants."""
+        some = rows.withColumn("nested", kind.startswith("OBJECT") | kind.startswith("ARRAY"))
+        return materialize(some.select("path", "record", "large", "field_path", "nested", F.when(F.col("nested"), F.col("v")).alias("v"), F.when(~F.col("nested"), F.col("v").cast("string")).alias("value")), "facts")
+
+    # n facts take 2n letters at least, so only a long record can have too many.
+    large = F.octet_length("text") > 2 * most_nodes
+    level = leveled(records.select("path", "record", large.alias("large"), F.lit("").alias("field_path"), F.parse_json(F.col("text")).alias("v")))
+    done, deep = [level.where("not nested")], None
+    while level.where("nested").limit(1).count():
+        inside = level.where("nested").drop("value", "nested")
         if len(done) > depth:
             deep = inside.select("path", "record").distinct()
             break
-        opened = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("v").outer()))
+        opened = inside.lateralJoin(inside.sparkSession.tvf.variant_explode(F.col("v").outer()).withColumnRenamed("value", "member"))
         step = F.when(F.col("key").isNull(), "[]").when(F.col("field_path") == "", F.col("key")).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = materialize(opened.select("path", "record", F.concat("field_path", step).alias("field_path"), F.col("value").alias("v")), "facts")
-        done.append(level.where(~nested))
-    value = F.col("v").cast("string")
-    flat = reduce(DataFrame.unionByName, done).select("path", "record", "field_path", value.alias("value"), lexical_class(value).alias("kind"))
-    large = flat.groupBy("path", "record").count().where(F.col("count") > most_nodes).select("path", "record", F.lit("nodes_reached").alias("why"))
-    refused = large if deep is None else deep.withColumn("why", F.lit("depth_reached")).unionByName(large.join(deep, ["path", "record"], "left_anti"))
+        level = leveled(opened.select("path", "record", "large", F.concat("field_path", step).alias("field_path"), F.col("member").alias("v")))
+        done.append(level.where("not nested"))
+    found = reduce(DataFrame.unionByName, done)
+    flat = found.select("path", "record", "field_path", "value", lexical_class(F.col("value")).alias("kind"))
+    many = found.where("large").groupBy("path", "record").count().where(F.col("count") > most_nodes).select("path", "record", F.lit("nodes_reached").alias("why"))
+    refused = many if deep is None else deep.withColumn("why", F.lit("depth_reached")).unionByName(many.join(deep, ["path", "record"], "left_anti"))
+    refused = materialize(refused, "refused")
     none = F.lit(None).cast("string")
     return flat.join(refused.select("path", "record"), ["path", "record"], "left_anti").unionByName(refused.select("path", "record", F.lit("").alias("field_path"), none.alias("value"), F.col("why").alias("kind")))
 
