@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import discard, materialize
+from .components import dealt
 from .graph import chains
 
 #: Edges of a chain with merges that one task walks.
@@ -33,7 +34,7 @@ def chain_steps(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes"
     """(s, t): distinct edges of one type between documents, from the newer to the older."""
     live = edges.where((F.col("edge_type") == edge_type) & (F.col("source_id") != F.col("target_id"))).select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).distinct()
     known = docs.select("id")
-    return live.join(known.withColumnRenamed("id", "s"), "s", "left_semi").join(known.withColumnRenamed("id", "t"), "t", "left_semi").select("s", "t")
+    return live.join(dealt(known.withColumnRenamed("id", "s")), "s", "left_semi").join(dealt(known.withColumnRenamed("id", "t")), "t", "left_semi").select("s", "t")
 
 
 def list_rank(items: DataFrame, key: str = "id") -> DataFrame:
@@ -42,7 +43,7 @@ def list_rank(items: DataFrame, key: str = "id") -> DataFrame:
     while state.where("next is not null").limit(1).count():
         ahead = state.select(F.col(key).alias("next"), F.col("next").alias("after"), F.col("rank").alias("more"))
         last = state
-        state = materialize(last.join(ahead, "next", "left").select(key, F.col("after").alias("next"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "ranks")
+        state = materialize(last.join(dealt(ahead), "next", "left").select(key, F.col("after").alias("next"), (F.col("rank") + F.coalesce("more", F.lit(0))).alias("rank")), "ranks")
         discard(last)
     return state.select(key, "rank")
 
@@ -50,7 +51,7 @@ def list_rank(items: DataFrame, key: str = "id") -> DataFrame:
 def shapes(named: DataFrame, steps: DataFrame) -> DataFrame:
     """Per chain: length, roots, whether it is linear, whether some document has several newer ones, its least root and its least document."""
     newer, older = steps.groupBy(F.col("t").alias("id")).agg(F.count("*").alias("newer")), steps.groupBy(F.col("s").alias("id")).agg(F.count("*").alias("older"))
-    rows = named.join(newer, "id", "left").join(older, "id", "left").select("id", "chain", F.coalesce("newer", F.lit(0)).alias("newer"), F.coalesce("older", F.lit(0)).alias("older"))
+    rows = named.join(dealt(newer), "id", "left").join(dealt(older), "id", "left").select("id", "chain", F.coalesce("newer", F.lit(0)).alias("newer"), F.coalesce("older", F.lit(0)).alias("older"))
     return rows.groupBy("chain").agg(
         F.count("*").alias("length"), F.count_if(F.col("newer") == 0).alias("roots"), ((F.max("newer") <= 1) & (F.max("older") <= 1)).alias("is_linear"), (F.max("newer") > 1).alias("merges"),
         F.min(F.when(F.col("newer") == 0, F.col("id"))).alias("root"), F.min("id").alias("least"),
@@ -69,8 +70,8 @@ def breadth_first(starts: DataFrame, steps: DataFrame) -> DataFrame:
     while True:
         level += 1
         seen = reduce(DataFrame.unionByName, parts).select("walk", "id")
-        ahead = parts[-1].join(steps, F.col("id") == F.col("s")).groupBy("walk", "t").agg(F.min("n").alias("by")).withColumnRenamed("t", "id")
-        fresh = ahead.join(seen, ["walk", "id"], "left_anti")
+        ahead = parts[-1].join(dealt(steps), F.col("id") == F.col("s")).groupBy("walk", "t").agg(F.min("n").alias("by")).withColumnRenamed("t", "id")
+        fresh = ahead.join(dealt(seen), ["walk", "id"], "left_anti")
         numbered = fresh.withColumn("n", F.row_number().over(Window.partitionBy("walk").orderBy("by", "id")).cast("long")).drop("by")
         part = materialize(numbered.withColumn("level", F.lit(level)), "level")
         if part.isEmpty():
@@ -80,7 +81,7 @@ def breadth_first(starts: DataFrame, steps: DataFrame) -> DataFrame:
             parts = [materialize(reduce(DataFrame.unionByName, parts[:-1]), "levels"), parts[-1]]
     rows = reduce(DataFrame.unionByName, parts)
     before = rows.groupBy("walk", "level").agg(F.count("*").alias("size")).withColumn("before", F.coalesce(F.sum("size").over(Window.partitionBy("walk").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return rows.join(before, ["walk", "level"]).select("walk", "id", (F.col("before") + F.col("n") - 1).alias("place"))
+    return rows.join(dealt(before), ["walk", "level"]).select("walk", "id", (F.col("before") + F.col("n") - 1).alias("place"))
 
 
 def chain_order(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes") -> DataFrame:
@@ -90,23 +91,29 @@ def chain_order(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes"
     with its smallest id (see ``chain_answers`` for another start).  Documents that no root
     leads to have no position; ``length`` counts those that have one.
     """
-    named = materialize(chains(docs, edges, edge_type), "chains")
-    steps = materialize(chain_steps(docs, edges, edge_type), "steps")
-    shape = materialize(shapes(named, steps), "shapes")
-    members = named.join(shape, "chain")
+    named, steps = _named(docs, edges, edge_type)
+    return _ordered(named, steps, materialize(shapes(named, steps), "shapes"))
+
+
+def _named(docs: DataFrame, edges: DataFrame, edge_type: str) -> tuple[DataFrame, DataFrame]:
+    return materialize(chains(docs, edges, edge_type, dealt=True), "chains"), materialize(chain_steps(docs, edges, edge_type), "steps")
+
+
+def _ordered(named: DataFrame, steps: DataFrame, shape: DataFrame) -> DataFrame:
+    members = named.join(dealt(shape), "chain")
     start = F.coalesce("root", "least")
     # A linear chain as a list from its newest document; a cycle is cut before its start.
     linear = members.where("is_linear").select("id", "chain", start.alias("start"))
-    next_ = steps.join(linear.select(F.col("id").alias("t"), F.col("start")), "t").where("t <> start").select(F.col("s").alias("id"), F.col("t").alias("next"))
-    ranked = list_rank(linear.select("id").join(next_, "id", "left").withColumn("weight", F.lit(1)))
-    straight = linear.join(ranked, "id").join(shape.select("chain", "length"), "chain").select("chain", "id", (F.col("rank") - 1).alias("position"), "length", F.lit(True).alias("is_linear"))
+    next_ = steps.join(dealt(linear.select(F.col("id").alias("t"), F.col("start"))), "t").where("t <> start").select(F.col("s").alias("id"), F.col("t").alias("next"))
+    ranked = list_rank(linear.select("id").join(dealt(next_), "id", "left").withColumn("weight", F.lit(1)))
+    straight = linear.join(dealt(ranked), "id").join(dealt(shape.select("chain", "length")), "chain").select("chain", "id", (F.col("rank") - 1).alias("position"), "length", F.lit(True).alias("is_linear"))
     forked = members.where("not is_linear")
-    newest = forked.join(steps.select(F.col("t").alias("id")).distinct(), "id", "left_anti").select(F.col("chain").alias("walk"), "id").unionByName(
+    newest = forked.join(dealt(steps.select(F.col("t").alias("id")).distinct()), "id", "left_anti").select(F.col("chain").alias("walk"), "id").unionByName(
         shape.where("not is_linear and roots = 0").select(F.col("chain").alias("walk"), F.col("least").alias("id"))
     )
-    walked = breadth_first(newest, steps.join(forked.select(F.col("id").alias("s")), "s", "left_semi"))
+    walked = breadth_first(newest, steps.join(dealt(forked.select(F.col("id").alias("s"))), "s", "left_semi"))
     counted = walked.groupBy("walk").agg(F.count("*").alias("length"))
-    spread = walked.join(counted, "walk").select(F.col("walk").alias("chain"), "id", (F.col("length") - 1 - F.col("place")).alias("position"), "length", F.lit(False).alias("is_linear"))
+    spread = walked.join(dealt(counted), "walk").select(F.col("walk").alias("chain"), "id", (F.col("length") - 1 - F.col("place")).alias("position"), "length", F.lit(False).alias("is_linear"))
     return straight.unionByName(spread)
 
 
@@ -117,21 +124,21 @@ def chain_answers(docs: DataFrame, edges: DataFrame, asked: DataFrame, edge_type
     which types of edges it has.  Without a limit the page is the rest of the chain, so
     the answer then grows with asked documents x chain.
     """
-    order = materialize(chain_order(docs, edges, edge_type), "order")
-    named = materialize(chains(docs, edges, edge_type), "chains")
-    steps = materialize(chain_steps(docs, edges, edge_type), "steps")
-    shape = shapes(named, steps).select("chain", "roots", F.col("is_linear").alias("straight"))
-    who = asked.select("id").distinct().join(named, "id").join(shape, "chain").select(F.col("id").alias("asked"), "chain", "roots", "straight")
+    named, steps = _named(docs, edges, edge_type)
+    shaped = materialize(shapes(named, steps), "shapes")
+    order = materialize(_ordered(named, steps, shaped), "order")
+    shape = shaped.select("chain", "roots", F.col("is_linear").alias("straight"))
+    who = asked.select("id").distinct().join(dealt(named), "id").join(dealt(shape), "chain").select(F.col("id").alias("asked"), "chain", "roots", "straight")
     rows = order.withColumnRenamed("id", "member")
-    rooted = who.where("roots > 0").join(rows, "chain")
+    rooted = who.where("roots > 0").join(dealt(rows), "chain")
     # A linear cycle, turned so that the asked document comes last.
     own = order.select(F.col("id").alias("asked"), F.col("position").alias("own"))
-    turned = who.where("roots = 0 and straight").join(own, "asked").join(rows, "chain").withColumn("position", (F.col("position") - F.col("own") - 1 + F.col("length")) % F.col("length")).drop("own")
+    turned = who.where("roots = 0 and straight").join(dealt(own), "asked").join(dealt(rows), "chain").withColumn("position", (F.col("position") - F.col("own") - 1 + F.col("length")) % F.col("length")).drop("own")
     loops = who.where("roots = 0 and not straight")
-    inside = steps.join(named.join(loops.select("chain").distinct(), "chain").select(F.col("id").alias("s")), "s", "left_semi")
+    inside = steps.join(dealt(named.join(dealt(loops.select("chain").distinct()), "chain").select(F.col("id").alias("s"))), "s", "left_semi")
     walked = breadth_first(loops.select(F.col("asked").alias("walk"), F.col("asked").alias("id")), inside)
-    sized = walked.join(walked.groupBy("walk").agg(F.count("*").alias("length")), "walk")
-    looped = loops.join(sized.withColumnsRenamed({"walk": "asked", "id": "member"}), "asked").withColumn("position", F.col("length") - 1 - F.col("place")).drop("place").withColumn("is_linear", F.lit(False))
+    sized = walked.join(dealt(walked.groupBy("walk").agg(F.count("*").alias("length"))), "walk")
+    looped = loops.join(dealt(sized.withColumnsRenamed({"walk": "asked", "id": "member"})), "asked").withColumn("position", F.col("length") - 1 - F.col("place")).drop("place").withColumn("is_linear", F.lit(False))
     every = rooted.unionByName(turned.select(*rooted.columns)).unionByName(looped.select(*rooted.columns))
     page = (F.col("position") >= offset) & (F.lit(True) if limit is None else F.col("position") < offset + limit)
     found = every.groupBy("asked").agg(
@@ -141,7 +148,7 @@ def chain_answers(docs: DataFrame, edges: DataFrame, asked: DataFrame, edge_type
     )
     touched = edges.select(F.explode(F.array("source_id", "target_id")).alias("asked"), F.col("edge_type").alias("type")).where("asked is not null").groupBy("asked").agg(F.sort_array(F.collect_set("type")).alias("types"))
     types = F.when(F.col("total_length") == 1, F.coalesce("types", F.array().cast("array<string>")))
-    return found.join(touched, "asked", "left").select(
+    return found.join(dealt(touched), "asked", "left").select(
         F.col("asked").alias("id"), "query_position", "head_id", "tail_id", "total_length", "is_linear", types.alias("available_edge_types"), F.transform("page", lambda p: p["member"]).alias("page")
     )
 
@@ -188,8 +195,7 @@ def purge_order(docs: DataFrame, edges: DataFrame, heads: DataFrame, staging: Da
     (merges and more than ``merged`` edges) or members; refused before the walk, a
     head has one row without members.  Members that the head does not lead to come last, by id.
     """
-    named = materialize(chains(docs, edges, edge_type), "chains")
-    steps = materialize(chain_steps(docs, edges, edge_type), "steps")
+    named, steps = _named(docs, edges, edge_type)
     shape = shapes(named, steps)
     weight = steps.join(named.withColumnRenamed("id", "s"), "s").groupBy("chain").agg(F.count("*").alias("steps"))
     newer = steps.select(F.col("t").alias("head_id")).distinct().withColumn("led", F.lit(True))

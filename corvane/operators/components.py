@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..plans.lineage import discard, materialize
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def dealt(table: DataFrame) -> DataFrame:
+    """The table as a side of a join that both sides are dealt for by key: whatever its size, it does not pass through the driver."""
+    return table.hint("merge")
+
+
+def _star(edges: DataFrame, large: bool, deal: bool = False) -> DataFrame:
     """One star step on edges (a, b) with a > b: link neighbours to the smallest of each neighbourhood."""
     if large:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges
     least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    linked = both.join(least, "a")
+    linked = both.join(dealt(least) if deal else least, "a")
     if large:
         out = linked.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
@@ -29,20 +34,21 @@ def _stars(edges: DataFrame) -> bool:
     return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("centre").alias("centre")).where("out > 1 or (out = 1 and centre = 1)").isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, deal: bool = False) -> DataFrame:
     """(node, component) of every node with an edge; the component is its smallest node.
 
     Large-star and small-star steps alternate until only whole stars are left, which takes
     about log(n) rounds of aggregations and joins on narrow rows; a round writes
     its table once, and the one before goes.  A hub's neighbours are aggregated
     before the shuffle and never gathered; its rows, joined with one row, may be
-    split by Spark's skew join.
+    split by Spark's skew join.  With ``deal`` no round broadcasts a table, as the driver
+    would hold the small ones of every round.
     """
     pairs = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a != b").distinct()
-    state = materialize(_star(_star(pairs, True), False), "components")
+    state = materialize(_star(_star(pairs, True, deal), False, deal), "components")
     while not _stars(state):
         last = state
-        state = materialize(_star(_star(state, True), False), "components")
+        state = materialize(_star(_star(state, True, deal), False, deal), "components")
         discard(last)
     members = state.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return members.unionByName(members.select(F.col("component").alias("node"), "component").distinct())

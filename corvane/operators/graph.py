@@ -83,11 +83,11 @@ def lineage(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes", st
         parts.append(fresh)
 
 
-def chains(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes") -> DataFrame:
-    """(id, chain): the connected component of every document over one edge type; alone, it is its own."""
+def chains(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes", dealt: bool = False) -> DataFrame:
+    """(id, chain): the connected component of every document over one edge type; alone, it is its own.  With ``dealt`` nothing is broadcast."""
     links = edges.where((F.col("edge_type") == edge_type) & F.col("target_id").isNotNull())
-    found = connected_components(links, "source_id", "target_id")
-    return docs.select("id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
+    found = connected_components(links, "source_id", "target_id", dealt).select(F.col("node").alias("id"), "component")
+    return docs.select("id").join(found.hint("merge") if dealt else found, "id", "left").select("id", F.coalesce("component", "id").alias("chain"))
 
 
 def chain_heads(docs: DataFrame, edges: DataFrame, edge_type: str = "supersedes", named: DataFrame | None = None) -> DataFrame:
