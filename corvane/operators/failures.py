@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.lineage import discard, materialize
+from .components import dealt
 
 #: What names a commit, and what names a ticket (fixed values).
 COMMIT, TICKET = "^[0-9a-f]{7,40}$", r"\bT-[0-9]{4}\b"
@@ -123,7 +124,7 @@ def mapped_commits(stored: DataFrame, commits: DataFrame, merged: DataFrame) ->
             break
         last = state
         ahead = last.select(F.col("sha").alias("next"), F.col("next").alias("after"), F.col("carrier").alias("found"))
-        state = materialize(last.join(ahead, "next", "left").select("sha", F.col("after").alias("next"), F.coalesce("carrier", "found").alias("carrier"), "tier"), "ways")
+        state = materialize(last.join(dealt(ahead), "next", "left").select("sha", F.col("after").alias("next"), F.coalesce("carrier", "found").alias("carrier"), "tier"), "ways")
         discard(last)
     # A null tier with a carrier was found for an ancestor.
     way = state.select("sha", "carrier", F.when(F.col("carrier").isNotNull(), F.coalesce("tier", F.lit("first_parent"))).alias("tier"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import failures
+from ..plans.lineage import materialize
 from ..plans.oracle_tables import D, with_tables
 from ..sources import graph_tables as g
 
@@ -32,6 +33,7 @@ def _commits(spark, sf_dir):
         "n", _sha(n).alias("sha"), F.when(~main, _sha(n - 1)).when(n >= 16, _sha(n - 16)).alias("parent"),
         F.when(~main, F.col("own")).when(n == 0, "root").otherwise(F.concat(F.coalesce("kept", F.lit("")), suffix)).alias("subject"), (n * 3600 + n * 7919 % F.when(main, 50_000).otherwise(200_000)).alias("stamp"),
     )
+    commits = materialize(commits, "commits")  # read many times, and the texts once
     total = docs.agg(F.count("*").alias("total"))
     dated = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(n / 400).cast("int"))
     merged = commits.where(main).join(F.broadcast(total)).select("sha", "subject", "stamp", dated.alias("date"), (n * 2 >= F.col("total")).alias("inside"))
@@ -62,7 +64,7 @@ def _judged(spark, sf_dir):
     commits, merged = _commits(spark, sf_dir)
     rows, edges = _rows(spark, sf_dir)
     heads = failures.chain_heads(rows, edges).where("head is not null").select(F.col("head").alias("doc_id"))
-    kept = rows.join(heads, "doc_id", "left_semi")
+    kept = materialize(rows.join(heads, "doc_id", "left_semi"), "heads")
     return failures.judged(kept, failures.mapped_commits(_stored(kept), commits, merged), merged, GATE), merged
 
 
