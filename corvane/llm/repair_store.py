@@ -60,8 +60,14 @@ def _pairs(seq: np.ndarray, bounds: np.ndarray, fresh: int, least: int, floor: i
         next_ = max(least, min(int(slots.max()) // 8, floor // 8 if floor else len(at)))
         often = slots[slot] >= next_
         at, key = at[often], key[often]
-    pairs, place, counts = np.unique(key, return_inverse=True, return_counts=True)
-    return pairs, counts, np.stack([at, place]), next_
+    # Only the distinct pairs are sorted.
+    coded = pa.array(key).dictionary_encode()
+    distinct = coded.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    place = rank[coded.indices.to_numpy()] if len(key) else np.zeros(0, np.int64)
+    return distinct[order], np.bincount(place, minlength=len(order)), np.stack([at, place]), next_
 
 
 def compress(ids: np.ndarray, bounds: np.ndarray, first: int = 50257, least: int = 16):
