@@ -30,6 +30,8 @@ _CUT = np.zeros(64, bool)
 for _p, _c in ((0, 1), (2, 1), (3, 1), (4, 1), (0, 2), (0, 4), (2, 0)):
     _CUT[_p * 8 + _c] = True
 
+#: Words of one text that the library encodes in a row.
+_ROW = 2_000
 #: Pieces that a worker remembers; later ones are encoded anew in each batch that has them.
 _MAX_PIECES = 600_000
 _ENCODERS: dict[str, "PieceEncoder"] = {}
@@ -42,6 +44,19 @@ def encoder(path: str) -> "PieceEncoder":
     return _ENCODERS[path]
 
 
+def _widths(tokenizer) -> np.ndarray | None:
+    """Bytes that each id of a byte-level vocabulary stands for; None where the text is changed before or pieces are left out."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    if tokenizer.normalizer is not None or not isinstance(tokenizer.pre_tokenizer, ByteLevel):
+        return None
+    vocabulary = tokenizer.get_vocab()
+    out = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+    for token, number in vocabulary.items():
+        out[number] = len(token)  # a byte is a character
+    return out
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         import os
@@ -50,6 +65,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.widths = _widths(self.tokenizer)
         self.known: dict[bytes, int] = {}
         self.starts, self.lengths, self.pool = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() <= 65_536 else np.uint32)
 
@@ -73,12 +89,43 @@ class PieceEncoder:
         return np.fromiter((numbers[p] if p in numbers else known[p] for p in pieces), np.int64, len(pieces)), starts, lengths, pool
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of pieces in a row, and how many each has."""
-        ids: list[np.ndarray] = []
-        for low in range(0, len(pieces), 20_000):
-            got = self.tokenizer.encode_batch_fast([p.decode() for p in pieces[low : low + 20_000]], add_special_tokens=False)
+        """Ids of pieces in a row, and how many each has.
+
+        A word behind white space never shares an id with what stands before it.  Such words are
+        encoded as one text, and the bytes that each id stands for tell which are whose.
+        """
+        texts = [p.decode() for p in pieces]
+        if self.widths is None:
+            return self._singly(texts)
+        word = np.fromiter((t[0] in " \t\n\r" and t[1:].isalnum() for t in texts), bool, len(texts))
+        words, others = np.flatnonzero(word), np.flatnonzero(~word)
+        ids, sizes = self._in_rows([texts[k] for k in words.tolist()], np.fromiter(map(len, pieces), np.int64, len(pieces))[words])
+        if not len(others):
+            return ids, sizes
+        more, counts = self._singly([texts[k] for k in others.tolist()])
+        order = np.argsort(np.concatenate([words, others]), kind="stable")
+        both, lengths = np.concatenate([ids, more]), np.concatenate([sizes, counts])
+        starts = (np.cumsum(lengths) - lengths)[order]
+        return both[ranges(starts, lengths[order])], lengths[order]
+
+    def _in_rows(self, words: list[str], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``_singly`` of words behind white space, of ``sizes`` bytes each, many to a text."""
+        if not words:
+            return self._singly(words)
+        rows = ["".join(words[k : k + _ROW]) for k in range(0, len(words), _ROW)]
+        ids = np.concatenate([np.array(e.ids, self.pool.dtype) for e in self.tokenizer.encode_batch_fast(rows, add_special_tokens=False)])
+        ends, wanted = np.cumsum(self.widths[ids]), np.cumsum(sizes)
+        last = np.searchsorted(ends, wanted)
+        if not len(ids) or ends[-1] != wanted[-1] or (ends[last] != wanted).any():
+            return self._singly(words)
+        return ids, np.diff(last, prepend=-1).astype(np.int32)
+
+    def _singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids: list[np.ndarray] = [np.zeros(0, self.pool.dtype)]
+        for low in range(0, len(texts), 20_000):
+            got = self.tokenizer.encode_batch_fast(texts[low : low + 20_000], add_special_tokens=False)
             ids += [np.array(e.ids, self.pool.dtype) for e in got]
-        return np.concatenate(ids), np.fromiter(map(len, ids), np.int32, len(ids))
+        return np.concatenate(ids), np.fromiter(map(len, ids[1:]), np.int32, len(ids) - 1)
 
     def encode_column(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each text); a null is an empty text."""
