@@ -22,7 +22,7 @@ class Counted:
 
 
 def test_words_are_encoded_in_rows():
-    """A text of the library for each new word took two thirds of the encoding (op3_repair_tokens, round 3)."""
+    """The library is not given a text for each new word (op3_repair_tokens, round 3)."""
     r = random.Random(3)
     word = lambda: "".join(r.choice("abcdefgzäß中é0123AB") for _ in range(r.randint(1, 9)))
     texts = ["".join(r.choice([" ", " ", " ", "\n", "\t", "  ", "\r\n ", "\n\n"]) + word() + r.choice(["", "", "", ",", "'s", "-", " ", "!?"]) for _ in range(r.randint(0, 60))) for _ in range(150)]
