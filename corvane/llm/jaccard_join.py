@@ -643,7 +643,8 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
     near = rows.repartition("bucket").sortWithinPartitions(*order).mapInArrow(_to_centres(bands), "a long, b long, far long")
     first = materialize(near.groupBy("a").agg(F.min(F.struct("far", "b")).alias("m")).select("a", "m.b"), "pairs")
     edges = materialize(verified(first, sets, bands), "edges")
-    labels = connected_components(edges, "a", "b")
+    # A written table: each plan that reads labels holds a scan and not all that led to them.
+    labels = materialize(connected_components(edges, "a", "b"), "labels")
     for every in (False, True):
         met = _tiled(rows, labels).mapInArrow(_across(bands, every), "ca long, cb long, far long, a long, b long, more int")
         one = F.struct("far", "a", "b")
@@ -655,7 +656,8 @@ def join_components(docs: DataFrame, similarity: tuple[int, int] = (80, 100), n:
         pairs = materialize(pairs, "pairs")
         links = materialize(verified(pairs.select("a", "b"), sets, bands), "edges")
         if not links.isEmpty():
-            labels = joined_components(labels, links, "a", "b", _FEW)
+            last, labels = labels, joined_components(labels, links, "a", "b", _FEW)
+            discard(last)
         if pairs.where("more > 0").isEmpty():
             break
     grouped = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import texts_of
+from ._shared import release, texts_of
 
 PER_CLASS = 6_000
 SAMPLE_BYTES = 64_000_000
@@ -122,12 +122,16 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, sample
     size = 0
     texts_in = docs.where(~held_out()).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     joined = texts_in.join(sample, "doc_id").select("h", "doc_id", "quality", "text")
+    row = None
     for row in joined.orderBy("h", "doc_id", "text").toLocalIterator():
         texts[row["quality"]].append(row["text"].encode())
         size += len(row["text"])
         if size > sample_bytes:
             break
-    return fit(texts[1], texts[0], counts.get(1, 0) / max(1, sum(counts.values())))
+    model = fit(texts[1], texts[0], counts.get(1, 0) / max(1, sum(counts.values())))
+    del joined, texts, row
+    release()  # the sample's memory, in the driver
+    return model
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64())])
