@@ -7,17 +7,19 @@ document frequencies and lengths are summed over all shards, so every shard rank
 with global statistics and their top lists merge exactly.
 
 A block of queries goes through the shards of a group in turn, and each query takes
-its k-th best score so far along as its threshold.  In a shard its lists stand by
-falling upper bound.  The pivot is the first list from which on all bounds together
-stay under the threshold: a document without a list before the pivot cannot enter.
-The maxima of a document block over all lists bound its documents: blocks under the
-threshold are skipped and their postings never read.  In the blocks that are left
-the lists before the pivot are added up, many postings at a time in place of one
-cursor step after the other; documents that can reach the threshold by their sum and
-the block maxima of the lists behind the pivot are scored in full, best sums first,
-which raises the threshold for the rest.  Full scores are summed in one fixed
-term order, rounded to ``DIGITS`` and ranked by score, then id, so pruning never
-changes a result.
+its k-th best score so far along as its threshold.  A shard orders its documents so
+that like ones stand in one block.  Its rare terms are posting lists; terms that are
+common in a run of ``RUN`` documents are rows of a table of the run, with the largest
+part of every row and block.  A query's lists stand rarest first.  The pivot is the
+first list from which on all bounds together add a part of the threshold only: where
+the lists before it are short, only their documents can enter.  Otherwise the lists
+are added up, and the maxima of a document block bound what common terms add: blocks
+under the threshold are skipped and their part of the table never read.  In the blocks
+that are left the rows are added for many queries at once, as a product of matrices in
+place of one cursor step after the other, which raises the threshold for the blocks to
+come.  These sums are of single precision; documents that reach the threshold within
+its error are scored in full in one fixed term order, rounded to ``DIGITS`` and ranked
+by score, then id, so pruning never changes a result.
 
 A query is the set of distinct words of a text; rows of one query id are one query of
 all their words.  Null and wordless texts are indexed as empty and match nothing; a
@@ -30,6 +32,7 @@ from __future__ import annotations
 
 import io
 import math
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +46,19 @@ K1, B = 1.2, 0.75
 BLOCK = 64
 SHARD_DOCS = 20_000
 SHARD_BYTES = 64_000_000
-QUERY_BLOCK = 512
+QUERY_BLOCK = 16_384
 DIGITS = 6
+#: Documents of a run, and from which chance that one of them and a query both have a term, and from how many that have it, it stands in the run's table.
+RUN = 1024
+COMMON, LEAST = 0.005, 8
+#: Cells of a shard's tables, and of the sums of a step of queries, at most.
+TABLE_CELLS = 32_000_000
+SCORES = 8_000_000
 _SLACK = 2e-6
-#: The part of the threshold that counts as small.
-_SMALL = 0.1
+#: The part of the threshold that lists behind the pivot may add.
+_PIVOT = 0.5
+#: The half of a 64-bit number that stands for its low bits.
+_LOW = 0 if sys.byteorder == "little" else 1
 
 
 def term_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,116 +130,219 @@ class Shard:
             return cls(*(z[n] for n in ("doc_ids", "lengths", "terms", "starts", "docs", "counts")))
 
     def weigh(self, mean_length: float) -> "Shard":
-        """Term parts with the global mean length, and their maxima by list and block."""
+        """Term parts with the global mean length, their maxima by list, and by block where a term is common."""
         tf = self.counts.astype(np.float64)
         norm = K1 * (1 - B + B * self.lengths / max(mean_length, 1e-9))
         self.part = tf * (K1 + 1) / (tf + norm[self.docs])
         n = len(self.terms)
         self.most = np.maximum.reduceat(self.part, self.starts[:-1]) if n else np.zeros(0)
-        # Blocks of document numbers: (list, block) pairs with their maxima.
-        block = self.docs // BLOCK
-        fresh = np.concatenate([[True], block[1:] != block[:-1]]) if len(block) else np.zeros(0, bool)
-        fresh[self.starts[:-1]] = True
-        self.heads = np.flatnonzero(fresh)
-        self.block_of = block[self.heads]
-        self.block_most = np.maximum.reduceat(self.part, self.heads) if len(self.heads) else np.zeros(0)
-        self.block_starts = np.searchsorted(self.heads, self.starts)
-        self.heads = np.append(self.heads, len(self.docs))
         self.blocks = (len(self.doc_ids) + BLOCK - 1) // BLOCK
+        self._split()
         # The same postings by document, to score one in full.
         by_doc = np.argsort(self.docs.astype(np.uint16) if len(self.doc_ids) <= 1 << 16 else self.docs, kind="stable")
         self.term_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))[by_doc]
         self.part_of = self.part[by_doc]
         self.doc_starts = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=len(self.doc_ids)))])
-        self.weight = np.zeros(n)
         self.skipped = self.scored = 0
         return self
 
-    def full(self, docs: np.ndarray) -> np.ndarray:
-        """Whole scores of documents, by the weights set for the query."""
-        sizes = self.doc_starts[docs + 1] - self.doc_starts[docs]
-        at = ranges(self.doc_starts[docs], sizes)
-        return np.bincount(np.repeat(np.arange(len(docs)), sizes), self.weight[self.term_of[at]] * self.part_of[at], len(docs))
-
-    def _entries(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The (list, block) entries of some lists, and the place of each one's list among them."""
-        sizes = self.block_starts[lists + 1] - self.block_starts[lists]
-        return ranges(self.block_starts[lists], sizes), np.repeat(np.arange(len(lists)), sizes)
+    def _split(self) -> None:
+        """Postings of terms that are common in a run of documents as a table of the run; the others stay lists."""
+        n = len(self.doc_ids)
+        run = self.docs // RUN
+        fresh = np.concatenate([[True], run[1:] != run[:-1]]) if len(run) else np.zeros(0, bool)
+        fresh[self.starts[:-1]] = True
+        heads = np.flatnonzero(fresh)
+        sizes, run = np.diff(np.append(heads, len(self.docs))), run[heads]
+        width = np.minimum(RUN, n - RUN * np.arange((n + RUN - 1) // RUN))
+        lists = np.repeat(np.arange(len(self.terms)), np.add.reduceat(fresh, self.starts[:-1], dtype=np.int64)) if len(self.terms) else np.zeros(0, np.int64)
+        # How often a document of the run and a query, which is like any document, both have the term.
+        both = sizes / width[run] * (np.diff(self.starts)[lists] / max(1, n))
+        least = COMMON
+        while (chosen := (both >= least) & (sizes >= LEAST)).sum() * RUN > TABLE_CELLS:
+            least *= 2
+        held = np.repeat(~chosen, sizes)
+        before = np.concatenate([[0], np.cumsum(held)])
+        self.list_starts = before[self.starts]
+        # A posting of a list: the document, and its part in single precision, in one number.
+        self.packed = self.docs[held].astype(np.int64) << 32
+        self.packed.view(np.float32)[_LOW::2] = self.part[held]
+        chosen = np.flatnonzero(chosen)
+        lists, run = lists[chosen], run[chosen]
+        known = np.unique(lists)
+        self.common = np.full(len(self.terms), -1, np.int32)
+        self.common[known] = np.arange(len(known))
+        self.runs = []
+        for r in range(len(width)):
+            own = np.flatnonzero(run == r)
+            at, size = heads[chosen[own]], sizes[chosen[own]]
+            read = ranges(at, size)
+            blocks = (int(width[r]) + BLOCK - 1) // BLOCK
+            table = np.zeros((len(own), blocks * BLOCK), np.float32)
+            table[np.repeat(np.arange(len(own)), size), self.docs[read] - r * RUN] = self.part[read]
+            slot = np.full(len(known), -1, np.int32)
+            slot[self.common[lists[own]]] = np.arange(len(own))
+            self.runs.append((r * RUN, slot, table, table.reshape(len(own), blocks, BLOCK).max(2)))
+        # Long documents first: they raise the thresholds.
+        self.runs.sort(key=lambda x: -float(x[3].sum()))
+        #: Sums in single precision are off by less, as a part of themselves.
+        self.off = (max((len(x[1]) for x in self.runs), default=0) + 8) * 2.0**-23
+
+    def full(self, doc: int, lists: np.ndarray, weight: np.ndarray) -> float:
+        """The whole score of a document, added up in the order of terms (``lists`` ascend)."""
+        terms = self.term_of[self.doc_starts[doc] : self.doc_starts[doc + 1]]
+        at = np.minimum(np.searchsorted(terms, lists), len(terms) - 1)
+        own = np.flatnonzero(terms[at] == lists)
+        return float(np.sum(weight[own] * self.part_of[self.doc_starts[doc] + at[own]]))
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(document numbers, rounded scores): the top ``k`` here by score, then document id.
 
         Documents that score less than ``floor`` need not be found.
         """
-        none = np.zeros(0, np.int64), np.zeros(0)
-        if not len(self.terms) or not len(terms):
-            return none
-        at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        here = np.flatnonzero(self.terms[at] == terms)
-        lists, weight = at[here], idf[here]
-        bound = weight * self.most[lists]
-        order = np.argsort(-bound, kind="stable")
-        lists, weight, bound = lists[order], weight[order], bound[order]
-        rest = np.append(np.cumsum(bound[::-1])[::-1], 0.0)
-        if rest[0] + _SLACK < floor or not len(lists):
-            self.skipped += self.blocks
-            return none
-        # The last lists, which may add a small part of the threshold only, are bounded by their sum.
-        cut = int(np.searchsorted(-rest, _SLACK - _SMALL * floor, "right")) if floor > 0 else len(lists)
-        cut = min(cut, len(lists))
-        entries, of = self._entries(lists[:cut])
-        most, where = weight[of] * self.block_most[entries], self.block_of[entries]
-        limit = np.bincount(where, most, self.blocks) + rest[cut]
-        postings = np.cumsum(self.starts[lists + 1] - self.starts[lists])
-        acc = np.zeros(len(self.doc_ids))
-        edges = np.arange(0, len(acc), BLOCK)
-        done, step, share, live = 0, 20_000, 1.0, limit + _SLACK >= floor
-        self.skipped += int((~live).sum())
-        while True:
-            # Up to the pivot, then up to where the rest may add a small part of the threshold only.
-            pivot = min(cut, int(np.searchsorted(-rest, _SLACK - share * floor, "right"))) if floor > 0 else cut
-            if done >= pivot:
-                if share < 1 or done == cut:
-                    break
-                share = _SMALL
-                continue
-            # Without a threshold yet, a few of the best lists give one.
-            upto = pivot if floor > 0 else max(done + 1, int(np.searchsorted(postings, step, "right")))
-            low, high = np.searchsorted(of, [done, upto])
-            some = low + np.flatnonzero(live[where[low:high]])
-            sizes = self.heads[entries[some] + 1] - self.heads[entries[some]]
-            read = ranges(self.heads[entries[some]], sizes)
-            acc += np.bincount(self.docs[read], np.repeat(weight[of[some]], sizes) * self.part[read], len(acc))
-            done, step = upto, 4 * step
-            if len(acc) >= k and share == 1:
-                floor = max(floor, float(np.partition(acc, -k)[-k]))
-            more = np.bincount(where[high:], most[high:], self.blocks) + rest[cut]
-            live = np.maximum.reduceat(acc, edges) + more + _SLACK >= floor
-        reach = acc + more[np.arange(len(acc)) // BLOCK] + _SLACK
-        live = np.flatnonzero((acc > 0) & (reach >= floor))
-        live = live[np.argsort(-reach[live], kind="stable")]
-        self.weight[lists] = weight
-        found, scores, at, step = [], [], 0, 64
-        best = np.zeros(0)
-        while at < len(live) and reach[live[at]] >= floor:
-            some = live[at : at + step]
-            got = self.full(some)
-            found.append(some)
-            scores.append(got)
-            best = np.sort(np.concatenate([best, got]))[-k:]
-            if len(best) == k:
-                floor = max(floor, float(best[0]))
-            at, step = at + step, 4 * step
-        self.weight[lists] = 0
-        self.scored += sum(map(len, found))
-        if not found:
-            return none
-        docs, final = np.concatenate(found), np.round(np.concatenate(scores), DIGITS)
+        for _, docs, scores in self.search_all(Queries.of(terms, idf, np.array([len(terms)])), k, np.array([floor])):
+            return docs, scores
+        return np.zeros(0, np.int64), np.zeros(0)
+
+    def search_all(self, asked: "Queries", k: int, floors: np.ndarray):
+        """(query, document numbers, rounded scores) of every query that has documents here at its floor."""
+        if not len(self.terms) or not len(asked.terms):
+            return
+        at = np.minimum(np.searchsorted(self.terms, asked.terms), len(self.terms) - 1)
+        here = np.flatnonzero(self.terms[at] == asked.terms)
+        list_of, idf = np.full(len(asked.terms), -1, np.int32), np.zeros(len(self.terms))
+        list_of[here], idf[at[here]] = at[here], asked.idf[here]
+        packed = self.packed.copy()
+        packed.view(np.float32)[_LOW::2] *= np.repeat(idf.astype(np.float32), np.diff(self.list_starts))
+        step = max(1, SCORES // (self.blocks * BLOCK))
+        for low in range(0, len(asked.edges) - 1, step):
+            yield from self._search_some(asked, list_of, idf, packed, low, min(low + step, len(asked.edges) - 1), k, floors)
+
+    def _search_some(self, asked: "Queries", list_of: np.ndarray, idf: np.ndarray, packed: np.ndarray, low: int, high: int, k: int, floors: np.ndarray):
+        n = high - low
+        lists = list_of[asked.code[asked.edges[low] : asked.edges[high]]]
+        row = np.repeat(np.arange(n), np.diff(asked.edges[low : high + 1]))[lists >= 0]
+        lists = lists[lists >= 0]
+        edges = np.searchsorted(row, np.arange(n + 1))
+        floor = floors[low:high].astype(np.float64)
+        # Bounds of each list and all behind it.
+        bound = idf[lists] * self.most[lists]
+        total = np.append(0.0, np.cumsum(bound))
+        rest = total[edges[1:]][row] - total[:-1]
+        all_bounds = total[edges[1:]] - total[edges[:-1]]
+        asks = (edges[1:] > edges[:-1]) & (all_bounds * (1 + self.off) + _SLACK >= floor)
+        # The pivot: from it on, lists may add a part of the threshold only.
+        front = rest > _PIVOT * floor[row]
+        pivot = np.bincount(row[front], minlength=n)
+        sizes = self.starts[lists + 1] - self.starts[lists]
+        few = asks & (pivot < np.diff(edges)) & (np.bincount(row[front], sizes[front], n) * 4 <= len(self.doc_ids))
+        self.skipped += int((~asks).sum()) * self.blocks
+        cands = []
+        for q in np.flatnonzero(few):
+            some = lists[edges[q] : edges[q] + pivot[q]]
+            read = ranges(self.starts[some], self.starts[some + 1] - self.starts[some])
+            got = np.bincount(self.docs[read], np.repeat(idf[some], self.starts[some + 1] - self.starts[some]) * self.part[read], len(self.doc_ids))
+            behind = rest[edges[q] + pivot[q]]
+            found = np.flatnonzero((got > 0) & ((got + behind) * (1 + self.off) + _SLACK >= floor[q]))
+            self.skipped += self.blocks - len(np.unique(found // BLOCK))
+            cands.append((np.full(len(found), q), found, got[found], got[found] + behind))
+        rows = np.flatnonzero(asks & ~few)
+        if len(rows):
+            cands += self._runs(rows, packed, row, lists, edges, idf, floor, k)
+        if not cands:
+            return
+        who, docs, under, over = (np.concatenate(x) for x in zip(*cands))
+        good = over * (1 + self.off) + _SLACK >= floor[who]
+        who, docs, under, over = who[good], docs[good], under[good], over[good]
+        order = np.lexsort((-over, who))
+        who, docs, under, over = who[order], docs[order], under[order] * (1 - self.off), over[order] * (1 + self.off)
+        bounds = np.searchsorted(who, np.arange(n + 1))
+        for q in np.flatnonzero(np.diff(bounds)):
+            own, some = slice(bounds[q], bounds[q + 1]), np.sort(lists[edges[q] : edges[q + 1]])
+            found, final = self._best(docs[own], under[own], over[own], some, idf[some], k, floors[low + q])
+            if len(found):
+                yield low + q, found, final
+
+    def _runs(self, rows: np.ndarray, packed: np.ndarray, row: np.ndarray, lists: np.ndarray, edges: np.ndarray, idf: np.ndarray, floor: np.ndarray, k: int) -> list[tuple]:
+        """Documents that reach the threshold by all lists, a step of queries at once; raises ``floor``.
+
+        The lists are added up; in each run the maxima of its blocks in the table bound what common
+        terms add, and where that reaches the threshold the table's block is read.
+        """
+        sums = np.zeros((len(rows), self.blocks * BLOCK), np.float32)
+        starts, ends = self.list_starts[lists], self.list_starts[lists + 1]
+        full = np.flatnonzero(ends > starts)
+        at = np.searchsorted(full, edges)
+        starts, ends = starts[full].tolist(), ends[full].tolist()
+        for i, q in enumerate(rows):
+            read = [packed[a:b] for a, b in zip(starts[at[q] : at[q + 1]], ends[at[q] : at[q + 1]])]
+            if read:
+                read = np.concatenate(read)
+                sums[i, : len(self.doc_ids)] = np.bincount(read >> 32, read.view(np.float32)[_LOW::2], len(self.doc_ids))
+        place = np.full(len(floor), -1)
+        place[rows] = np.arange(len(rows))
+        own = np.flatnonzero((place[row] >= 0) & (self.common[lists] >= 0))
+        row, where, weight = place[row[own]], self.common[lists[own]], idf[lists[own]].astype(np.float32)
+        tops = sums.reshape(len(rows), -1, BLOCK).max(2)
+        best, least, out = np.zeros((len(rows), k), np.float32), floor[rows], []
+        if tops.shape[1] >= k:
+            np.maximum(least, np.partition(tops, -k, axis=1)[:, -k] * (1 - self.off), out=least)
+        for base, slot, table, most in self.runs:
+            at = slot[where]
+            some = np.flatnonzero(at >= 0)
+            w = np.zeros((len(rows), len(table)), np.float32)
+            w[row[some], at[some]] = weight[some]
+            first = base // BLOCK
+            bar = ((least - _SLACK) * (1 - 2 * self.off)).astype(np.float32)
+            live = tops[:, first : first + most.shape[1]] + w @ most >= bar[:, None]
+            self.skipped += int((~live).sum())
+            reached = np.zeros(live.shape, np.float32)
+            for b in np.flatnonzero(live.any(0)):
+                who = np.flatnonzero(live[:, b])
+                score = w[who] @ table[:, b * BLOCK : (b + 1) * BLOCK]
+                score += sums[who, base + b * BLOCK : base + (b + 1) * BLOCK]
+                reached[who, b] = score.max(1)
+                q, d = np.nonzero((score >= bar[who, None]) & (score > 0))
+                if len(q):
+                    score = score[q, d].astype(np.float64)
+                    out.append((rows[who[q]], base + b * BLOCK + d, score, score))
+            best = np.partition(np.concatenate([best, reached], 1), -k, axis=1)[:, -k:]
+            np.maximum(least, best[:, 0] * (1 - self.off), out=least)
+        floor[rows] = least
+        return out
+
+    def _best(self, docs: np.ndarray, under: np.ndarray, over: np.ndarray, lists: np.ndarray, weight: np.ndarray, k: int, floor: float) -> tuple[np.ndarray, np.ndarray]:
+        """The top ``k`` of documents with bounds of their scores, by falling upper bound: scored in full until none can enter."""
+        if len(docs) >= k:
+            floor = max(floor, float(np.partition(under, -k)[-k]))
+        scores: list[float] = []
+        for doc, most in zip(docs.tolist(), over.tolist()):
+            if most + _SLACK < floor:
+                break
+            scores.append(self.full(doc, lists, weight))
+            if len(scores) % k == 0:
+                floor = max(floor, sorted(scores)[-k])
+        self.scored += len(scores)
+        docs, final = docs[: len(scores)], np.round(np.array(scores), DIGITS)
         best = np.lexsort((self.doc_ids[docs], -final))[:k]
         best = best[final[best] > 0]
         return docs[best], final[best]
 
 
+class Queries:
+    """Sets of terms: distinct terms in order with their idf, and by number which of them each query has, rarest first."""
+
+    def __init__(self, terms: np.ndarray, idf: np.ndarray, code: np.ndarray, edges: np.ndarray):
+        self.terms, self.idf, self.code, self.edges = terms, idf, code, edges
+
+    @classmethod
+    def of(cls, terms: np.ndarray, idf: np.ndarray, sizes: np.ndarray) -> "Queries":
+        """From the terms of each query, one after the other."""
+        distinct, first, code = np.unique(terms, return_index=True, return_inverse=True)
+        order = np.lexsort((-idf, np.repeat(np.arange(len(sizes)), sizes)))
+        return cls(distinct, idf[first], code[order].astype(np.int32), np.append(0, np.cumsum(sizes)))
+
+
 _BUILT = pa.schema([("kind", pa.int32()), ("path", pa.string()), ("term", pa.int64()), ("n", pa.int64()), ("words", pa.int64())])
 
 
@@ -276,19 +390,25 @@ def _block_writer(folder: str):
 
     def run(batches):
         held: list[tuple] = []
+        n = 0
 
         def flush():
-            out = io.BytesIO()
-            np.savez(out, ids=np.array([h[0] for h in held]), sizes=np.array([len(h[1]) for h in held]), terms=np.concatenate([h[1] for h in held]), idf=np.concatenate([h[2] for h in held]))
+            ids, sizes, terms, idf = (np.concatenate(x) for x in zip(*held))
             held.clear()
+            q, out = Queries.of(terms, idf, sizes), io.BytesIO()
+            np.savez(out, ids=ids, terms=q.terms, idf=q.idf, code=q.code, edges=q.edges)
             return pa.record_batch([[write_file(folder, "queries", ".npz", out.getvalue())]], schema=schema)
 
         for batch in batches:
-            for query, terms, idf in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                order = np.argsort(np.array(terms, np.int64))
-                held.append((query, np.array(terms, np.int64)[order], np.array(idf)[order]))
-                if len(held) >= QUERY_BLOCK:
+            at = 0
+            while at < batch.num_rows:
+                some = batch.slice(at, QUERY_BLOCK - n)
+                ids, terms, idf = (some.column(c) for c in range(3))
+                held.append((ids.to_numpy(), terms.value_lengths().to_numpy(), terms.flatten().to_numpy(), idf.flatten().to_numpy()))
+                at, n = at + some.num_rows, n + some.num_rows
+                if n >= QUERY_BLOCK:
                     yield flush()
+                    n = 0
         if held:
             yield flush()
 
@@ -304,40 +424,34 @@ def _searcher(mean_length: float, k: int):
 
         def __init__(self, path: str):
             with np.load(io.BytesIO(read_file(path))) as z:
-                self.ids, sizes, terms, idf = (z[n] for n in ("ids", "sizes", "terms", "idf"))
-            edges = np.cumsum(sizes)[:-1]
-            self.terms, self.idf = np.split(terms, edges), np.split(idf, edges)
-            self.docs, self.scores = [np.zeros(0, np.int64)] * len(sizes), [np.zeros(0)] * len(sizes)
+                self.ids, self.asked = z["ids"], Queries(*(z[n] for n in ("terms", "idf", "code", "edges")))
+            self.floors = np.zeros(len(self.ids))
+            self.docs, self.scores = [np.zeros(0, np.int64)] * len(self.ids), [np.zeros(0)] * len(self.ids)
 
         def meet(self, shard: Shard) -> None:
-            for q in range(len(self.ids)):
-                known = self.scores[q]
-                docs, scores = shard.search(self.terms[q], self.idf[q], k, float(known[-1]) if len(known) == k else 0.0)
-                if len(docs):
-                    docs, scores = np.concatenate([self.docs[q], shard.doc_ids[docs]]), np.concatenate([known, scores])
-                    best = np.lexsort((docs, -scores))[:k]
-                    self.docs[q], self.scores[q] = docs[best], scores[best]
+            for q, docs, scores in shard.search_all(self.asked, k, self.floors):
+                docs, scores = np.concatenate([self.docs[q], shard.doc_ids[docs]]), np.concatenate([self.scores[q], scores])
+                best = np.lexsort((docs, -scores))[:k]
+                self.docs[q], self.scores[q] = docs[best], scores[best]
+                if len(best) == k:
+                    self.floors[q] = self.scores[q][-1]
 
         def rows(self) -> pa.RecordBatch:
             d, s = np.concatenate(self.docs), np.concatenate(self.scores)
             return pa.record_batch([pa.array(np.repeat(self.ids, [len(x) for x in self.docs])), pa.array(d, mask=d == -(2**63)), pa.array(s)], schema=schema)
 
     def run(batches):
-        blocks: dict[tuple[str, int], Block] = {}
-        opened: tuple[str, Shard] | None = None
+        unit, block = None, None
         for batch in batches:
-            for path, name, group in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "g"))):
-                if (name, group) not in blocks:
-                    # Rows come by group and block: the one before is complete.
-                    for done in blocks.values():
-                        yield done.rows()
-                    blocks = {(name, group): Block(name)}
-                if not opened or opened[0] != path:
-                    opened = None
-                    opened = path, Shard.from_bytes(read_file(path)).weigh(mean_length)
-                blocks[name, group].meet(opened[1])
-        for done in blocks.values():
-            yield done.rows()
+            for path, name, u in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "u"))):
+                if u != unit:
+                    # Rows come by unit: the one before is complete.
+                    if block:
+                        yield block.rows()
+                    unit, block = u, Block(name)
+                block.meet(Shard.from_bytes(read_file(path)).weigh(mean_length))
+        if block:
+            yield block.rows()
         release()
 
     return run
@@ -372,8 +486,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     groups = max(1, min(files, math.ceil((parts or spark.sparkContext.defaultParallelism * 3) / n)))
     # Shards are files of many thousand documents: one row each.
     grouped = shards.select("path", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).alias("g"))
-    units = grouped.join(blocks.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))), "g").repartition(n * groups, "block", "g").sortWithinPartitions("g", "block", "path")
-    found = units.select("path", "block", "g").mapInArrow(_searcher(words / total, k), "query_id long, doc_id long, score double")
+    numbered = blocks.select("block", F.row_number().over(Window.orderBy("block")).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    units = grouped.join(numbered, "g").select("path", "block", (F.col("b") * groups + F.col("g")).alias("u"))
+    # Ranges, twice as many as there are units, part all units: by hash, several would meet in one task.
+    units = units.repartitionByRange(2 * n * groups, "u").sortWithinPartitions("u", "path")
+    found = units.mapInArrow(_searcher(words / total, k), "query_id long, doc_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     known = F.when(F.col("query_id") != _NO_ID, F.col("query_id")).alias("query_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(known, "rank", "doc_id", "score")

@@ -618,3 +618,38 @@ def test_search_skips_blocks(rows):
             assert shard.scored < len(docs)
             if query == len(docs) - 1 and floor:
                 assert shard.skipped >= len(rows) // topk_search.BLOCK - 1
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_search_of_many_queries(seed):
+    """All queries of a step at once, over several runs with tables: the top lists of all scores, and few documents scored in full."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(seed)
+    texts = [" ".join(f"w{w}" for w in np.minimum(rng.zipf(1.3, rng.integers(1, 120)), 3_000)) for _ in range(2_600)]
+    texts += texts[:30] + [texts[7]] * 12 + [None, "", "alone"]
+    term, text, count, words = topk_search.term_sets(pa.array(texts, pa.string()))
+    ids = rng.permutation(len(texts)) - 5
+    shard = topk_search.Shard.build([(ids, term, text, count, words)]).weigh(float(np.mean(words)))
+    assert len(shard.runs) == 3 and all(len(table) for _, _, table, _ in shard.runs) and len(shard.packed)
+    df = np.diff(shard.starts)
+    idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
+    queries = np.arange(0, len(texts), 5)
+    own = [np.searchsorted(shard.terms, np.sort(term[text == q])) for q in queries]
+    whole = np.zeros((len(queries), len(texts)))
+    for row, some in zip(whole, own):
+        for t in some:
+            at = slice(shard.starts[t], shard.starts[t + 1])
+            row[shard.docs[at]] += idf[t] * shard.part[at]
+    whole = np.round(whole, topk_search.DIGITS)
+    order = [np.lexsort((shard.doc_ids, -row))[:10] for row in whole]
+    asked = topk_search.Queries.of(shard.terms[np.concatenate(own)], idf[np.concatenate(own)], np.array([len(x) for x in own]))
+    last = np.array([row[o[-1]] for row, o in zip(whole, order)])
+    for floors in (np.zeros(len(queries)), last):
+        shard.scored = shard.skipped = 0
+        got = {q: (docs, scores) for q, docs, scores in shard.search_all(asked, 10, floors)}
+        for q, (row, o) in enumerate(zip(whole, order)):
+            want = o[row[o] > 0]
+            docs, scores = got.get(q, (want[:0], row[:0]))
+            assert shard.doc_ids[docs].tolist() == shard.doc_ids[want].tolist() and scores == pytest.approx(row[want], abs=2e-6)
+        assert shard.scored < 40 * len(queries) and shard.skipped
