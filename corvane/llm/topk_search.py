@@ -32,7 +32,6 @@ from __future__ import annotations
 
 import io
 import math
-import sys
 
 import numpy as np
 import pyarrow as pa
@@ -57,23 +56,48 @@ SCORES = 8_000_000
 _SLACK = 2e-6
 #: The part of the threshold that lists behind the pivot may add.
 _PIVOT = 0.5
-#: The half of a 64-bit number that stands for its low bits.
-_LOW = 0 if sys.byteorder == "little" else 1
+#: Postings from which on a list is long.
+_SHORT = 48
+
+
+def word_hashes(w: WordColumn) -> np.ndarray:
+    """A 64-bit hash of every word, eight bytes at a time; words of up to eight bytes never share one."""
+    sizes = np.diff(w.bounds).astype(np.int64)
+    padded = np.concatenate([w.bytes, np.zeros(8, np.uint8)])
+    at = w.bounds[:-1].astype(np.int64)
+    eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at]).view("<u8")[:, 0] if len(at) else np.zeros(0, np.uint64)
+    # Bytes behind the word's end count as zero, which no word has.
+    found = _mixed(eights & _KEPT[np.minimum(sizes, 8)])
+    more = np.flatnonzero(sizes > 8)
+    done = 8
+    while len(more):
+        eights = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[at[more] + done]).view("<u8")[:, 0]
+        found[more] = _mixed(found[more] * np.uint64(0x9E3779B97F4A7C15) + (eights & _KEPT[np.minimum(sizes[more] - done, 8)]))
+        done += 8
+        more = more[sizes[more] > done]
+    return found.view(np.int64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """One 64-bit number for another, so that near ones stand far apart."""
+    for shift, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(33))
+
+
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def term_sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, text number, count) sorted by term then text, and the words of each text.  A term is a word's 64-bit hash."""
-    import xxhash
-
     w = WordColumn(column)
-    distinct, at = w.numbered()
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) - 2**63 for x in distinct), np.int64, len(distinct))
-    order = np.argsort(hashes, kind="stable")
-    rank = np.empty(len(hashes), np.int64)
-    rank[order] = np.arange(len(hashes))
-    text = np.repeat(np.arange(len(w.counts)), w.counts)
-    key, count = np.unique(rank[at] * max(1, len(w.counts)) + text, return_counts=True) if len(at) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    return hashes[order][key // max(1, len(w.counts))], key % max(1, len(w.counts)), count, w.counts
+    term, text = word_hashes(w), np.repeat(np.arange(len(w.counts)), w.counts)
+    # Words come by text, and a stable order keeps that.
+    order = np.argsort(term, kind="stable")
+    term, text = term[order], text[order]
+    fresh = np.concatenate([[True], (term[1:] != term[:-1]) | (text[1:] != text[:-1])]) if len(term) else np.zeros(0, bool)
+    heads = np.flatnonzero(fresh)
+    return term[heads], text[heads], np.diff(np.append(heads, len(term))), w.counts
 
 
 def alike(some_terms: np.ndarray, some_docs: np.ndarray, some: int, terms: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
@@ -164,9 +188,10 @@ class Shard:
         held = np.repeat(~chosen, sizes)
         before = np.concatenate([[0], np.cumsum(held)])
         self.list_starts = before[self.starts]
-        # A posting of a list: the document, and its part in single precision, in one number.
-        self.packed = self.docs[held].astype(np.int64) << 32
-        self.packed.view(np.float32)[_LOW::2] = self.part[held]
+        # A document stands in the last bits of a posting, its part in the first ones (``search_all``).
+        wide, bits = n > 1 << 16, max(1, (n - 1).bit_length())
+        self.whole, self.real, self.low = np.int64 if wide else np.int32, np.float64 if wide else np.float32, (1 << bits) - 1
+        self.list_docs, self.list_part = self.docs[held].astype(np.uint32 if wide else np.uint16), self.part[held].astype(np.float32)
         chosen = np.flatnonzero(chosen)
         lists, run = lists[chosen], run[chosen]
         known = np.unique(lists)
@@ -185,8 +210,8 @@ class Shard:
             self.runs.append((r * RUN, slot, table, table.reshape(len(own), blocks, BLOCK).max(2)))
         # Long documents first: they raise the thresholds.
         self.runs.sort(key=lambda x: -float(x[3].sum()))
-        #: Sums in single precision are off by less, as a part of themselves.
-        self.off = (max((len(x[1]) for x in self.runs), default=0) + 8) * 2.0**-23
+        #: Sums of packed parts and in single precision are off by less, as a part of themselves.
+        self.off = 2.0 ** (bits - (52 if wide else 23)) + (max((len(x[2]) for x in self.runs), default=0) + 8) * 2.0**-23
 
     def full(self, doc: int, lists: np.ndarray, weight: np.ndarray) -> float:
         """The whole score of a document, added up in the order of terms (``lists`` ascend)."""
@@ -212,8 +237,10 @@ class Shard:
         here = np.flatnonzero(self.terms[at] == asked.terms)
         list_of, idf = np.full(len(asked.terms), -1, np.int32), np.zeros(len(self.terms))
         list_of[here], idf[at[here]] = at[here], asked.idf[here]
-        packed = self.packed.copy()
-        packed.view(np.float32)[_LOW::2] *= np.repeat(idf.astype(np.float32), np.diff(self.list_starts))
+        # A posting of a list in one number: as a floating-point number it is the weighted part, off by what the document's bits are worth.
+        packed = (self.list_part * np.repeat(idf.astype(np.float32), np.diff(self.list_starts))).astype(self.real).view(self.whole)
+        packed &= ~self.whole(self.low)
+        packed |= self.list_docs.astype(self.whole)
         step = max(1, SCORES // (self.blocks * BLOCK))
         for low in range(0, len(asked.edges) - 1, step):
             yield from self._search_some(asked, list_of, idf, packed, low, min(low + step, len(asked.edges) - 1), k, floors)
@@ -270,17 +297,20 @@ class Shard:
         terms add, and where that reaches the threshold the table's block is read.
         """
         sums = np.zeros((len(rows), self.blocks * BLOCK), np.float32)
-        starts, ends = self.list_starts[lists], self.list_starts[lists + 1]
-        full = np.flatnonzero(ends > starts)
-        at = np.searchsorted(full, edges)
-        starts, ends = starts[full].tolist(), ends[full].tolist()
-        for i, q in enumerate(rows):
-            read = [packed[a:b] for a, b in zip(starts[at[q] : at[q + 1]], ends[at[q] : at[q + 1]])]
-            if read:
-                read = np.concatenate(read)
-                sums[i, : len(self.doc_ids)] = np.bincount(read >> 32, read.view(np.float32)[_LOW::2], len(self.doc_ids))
         place = np.full(len(floor), -1)
         place[rows] = np.arange(len(rows))
+        starts, sizes = self.list_starts[lists], self.list_starts[lists + 1] - self.list_starts[lists]
+        # Short lists of all queries are read at once, long ones as they stand.
+        short = np.flatnonzero((sizes < _SHORT) & (place[row] >= 0))
+        shorts = packed[ranges(starts[short], sizes[short])]
+        at = np.append(0, np.cumsum(sizes[short]))[np.searchsorted(short, edges)]
+        long = np.flatnonzero(sizes >= _SHORT)
+        long_at = np.searchsorted(long, edges)
+        starts, ends = starts[long].tolist(), (starts + sizes)[long].tolist()
+        for i, q in enumerate(rows):
+            read = [packed[a:b] for a, b in zip(starts[long_at[q] : long_at[q + 1]], ends[long_at[q] : long_at[q + 1]])]
+            read = np.concatenate([shorts[at[q] : at[q + 1]], *read])
+            sums[i, : len(self.doc_ids)] = np.bincount(read & self.low, read.view(self.real), len(self.doc_ids))
         own = np.flatnonzero((place[row] >= 0) & (self.common[lists] >= 0))
         row, where, weight = place[row[own]], self.common[lists[own]], idf[lists[own]].astype(np.float32)
         tops = sums.reshape(len(rows), -1, BLOCK).max(2)

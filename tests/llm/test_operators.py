@@ -631,7 +631,7 @@ def test_search_of_many_queries(seed):
     term, text, count, words = topk_search.term_sets(pa.array(texts, pa.string()))
     ids = rng.permutation(len(texts)) - 5
     shard = topk_search.Shard.build([(ids, term, text, count, words)]).weigh(float(np.mean(words)))
-    assert len(shard.runs) == 3 and all(len(table) for _, _, table, _ in shard.runs) and len(shard.packed)
+    assert len(shard.runs) == 3 and all(len(table) for _, _, table, _ in shard.runs) and len(shard.list_docs)
     df = np.diff(shard.starts)
     idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
     queries = np.arange(0, len(texts), 5)
