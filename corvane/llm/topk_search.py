@@ -215,10 +215,12 @@ class Shard:
 
     def full(self, doc: int, lists: np.ndarray, weight: np.ndarray) -> float:
         """The whole score of a document, added up in the order of terms (``lists`` ascend)."""
-        terms = self.term_of[self.doc_starts[doc] : self.doc_starts[doc + 1]]
-        at = np.minimum(np.searchsorted(terms, lists), len(terms) - 1)
-        own = np.flatnonzero(terms[at] == lists)
-        return float(np.sum(weight[own] * self.part_of[self.doc_starts[doc] + at[own]]))
+        first = self.doc_starts[doc]
+        terms = self.term_of[first : self.doc_starts[doc + 1]]
+        at = terms.searchsorted(lists)
+        at[at == len(terms)] = 0
+        own = (terms[at] == lists).nonzero()[0]
+        return float((weight[own] * self.part_of[first + at[own]]).sum())
 
     def search(self, terms: np.ndarray, idf: np.ndarray, k: int, floor: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
         """(document numbers, rounded scores): the top ``k`` here by score, then document id.
@@ -513,7 +515,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     full = full.repartition(max(1, math.ceil(queries.count() / QUERY_BLOCK)))
     blocks = materialize(full.mapInArrow(_block_writer(fresh_path(spark, "bm25-queries")), "block string"), "bm25-blocks")
     n = max(1, blocks.count())
-    groups = max(1, min(files, math.ceil((parts or spark.sparkContext.defaultParallelism * 3) / n)))
+    groups = max(1, min(files, math.ceil((parts or spark.sparkContext.defaultParallelism * 2) / n)))
     # Shards are files of many thousand documents: one row each.
     grouped = shards.select("path", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).alias("g"))
     numbered = blocks.select("block", F.row_number().over(Window.orderBy("block")).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
