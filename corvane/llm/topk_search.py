@@ -46,6 +46,7 @@ BLOCK = 64
 SHARD_DOCS = 20_000
 SHARD_BYTES = 64_000_000
 QUERY_BLOCK = 16_384
+GROUP_SHARDS = 8
 DIGITS = 6
 #: Documents of a run, and from which chance that one of them and a query both have a term, and from how many that have it, it stands in the run's table.
 RUN = 1024
@@ -498,7 +499,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
 
     Rows that share an id, or have none, are one query of all their words.
     Queries go in blocks and shards in groups: each work unit is one block with one
-    group, and there are as many groups as keep all tasks busy.
+    group, and there are as many groups as keep all tasks busy, of ``GROUP_SHARDS`` at most.
     """
     spark = index.sparkSession
     shards = index.where("kind = 0").select("path", "n", "words")
@@ -515,7 +516,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, parts: int | None
     full = full.repartition(max(1, math.ceil(queries.count() / QUERY_BLOCK)))
     blocks = materialize(full.mapInArrow(_block_writer(fresh_path(spark, "bm25-queries")), "block string"), "bm25-blocks")
     n = max(1, blocks.count())
-    groups = max(1, min(files, math.ceil((parts or spark.sparkContext.defaultParallelism * 2) / n)))
+    groups = max(1, min(files, max(math.ceil((parts or spark.sparkContext.defaultParallelism * 3) / n), math.ceil(files / GROUP_SHARDS))))
     # Shards are files of many thousand documents: one row each.
     grouped = shards.select("path", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).alias("g"))
     numbered = blocks.select("block", F.row_number().over(Window.orderBy("block")).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
