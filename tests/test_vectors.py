@@ -109,3 +109,20 @@ def test_queries_are_dealt_to_lists_in_small_batches(deal):
     assert max(b.num_rows for b in made) <= 40 * vector_index.DEALT
     assert sum(b.num_rows for b in made) == 40_000 and {tuple(r) for b in made for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())} == {(i, j) for i in range(40) for j in range(1000)}
     assert all(b.column(2)[0].as_py() == q[b.column(1)[0].as_py()].as_py() for b in made)
+
+
+def test_queries_go_once_to_each_part_and_are_not_broadcast(spark):
+    """Rows made by Arrow batches look small to Spark; the queries of every list were once collected by the driver."""
+    rows = [(k, [1.0, *(0.001 * ((k * j) % 7) for j in range(1, DIM))]) for k in range(3_000)] + [(3_000 + k, v) for k, v in cloud(400)]
+    index = vector_index.build(frame(spark, rows), DIM, 12)
+    first, spread = vector_index._parts(index, 4)
+    assert index.sizes.sum() == 3_400 and spread.max() > 1 and len({*first[spread == 1].tolist()}) < (spread == 1).sum()
+    queries = [r for r in rows if r[0] % 40 == 0]
+    asked = vector_index.directed(frame(spark, queries), DIM).selectExpr("vec_id as query_id", "v as q")
+    found = vector_index._scan(index, vector_index._probes(index, asked, 12), 5)
+    per = {tuple(r) for r in found.groupBy("query_id").count().select("count").distinct().collect()}
+    assert per == {(5 * int((first + spread).max()),)}
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    order = sorted((r["query_id"], -r["score"], r["vec_id"]) for r in found.collect())
+    best = [r for k, r in enumerate(order) if k < 5 or order[k - 5][0] != r[0]]
+    assert [(q, v) for q, _, v in best] == [(q, v) for q, _, v, _ in nearest(rows, queries, 5)]
