@@ -126,3 +126,21 @@ def test_queries_go_once_to_each_part_and_are_not_broadcast(spark):
     order = sorted((r["query_id"], -r["score"], r["vec_id"]) for r in found.collect())
     best = [r for k, r in enumerate(order) if k < 5 or order[k - 5][0] != r[0]]
     assert [(q, v) for q, _, v in best] == [(q, v) for q, _, v, _ in nearest(rows, queries, 5)]
+
+
+def test_recall_broadcasts_no_queries(spark):
+    """Probes, the exact way and the recall of the one against the other, over more queries than a batch takes."""
+    rows = cloud(1_500, spread=1.0)
+    index = vector_index.build(frame(spark, rows), DIM, 15)
+    some = vector_index.search(index, frame(spark, rows[:700]), 10, probes=3)
+    truth = vector_index.search(index, frame(spark, rows[:700]), 10, exact=True)
+    want = {i: set() for i, _ in rows[:700]}
+    for q, _, v, _ in nearest(rows, rows[:700], 10):
+        want[q].add(v)
+    got = {i: set() for i in want}
+    for r in some.collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert {r["query_id"]: round(r["recall"], 6) for r in vector_index.recall(some, truth).collect()} == {i: round(len(want[i] & got[i]) / 10, 6) for i in want}
+    for found in (some, truth):
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow best" not in plan and plan.count("RepartitionByExpression") >= 1 and "query_unit" not in plan
